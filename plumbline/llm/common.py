@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -59,3 +63,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` is the quick way where a text is all ASCII."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def with_columns(docs: DataFrame, new: T.StructType, make: Callable[[pa.RecordBatch], list], rows: int = 256) -> DataFrame:
+    """``docs`` with the columns ``new``, which ``make`` computes from Arrow batches of few rows.
+
+    Columns of ``docs`` with the same names are replaced; all others pass unchanged.
+    """
+    names = set(new.fieldNames())
+    kept = [f for f in docs.schema.fields if f.name not in names]
+    schema = T.StructType([*kept, *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(new)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                made = make(batch)
+                arrays = [pa.array(v, type=f.type) for v, f in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(f.name) for f in kept), *arrays], names=[f.name for f in schema.fields]
+                )
+
+    return docs.mapInArrow(run, schema)
