@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, fingerprint, line_dedup, packing
+from plumbline.llm import decontaminate, fingerprint, langid, licenses, line_dedup, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,20 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.find_licenses(docs).select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -58,17 +72,59 @@ def op7_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs.where(~langid.held_out()).select("text", "lang"))
+    out = langid.predict_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op7_document_fingerprint": op7_document_fingerprint,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def _license_sql() -> str:
+    words = _WORDS.format(_LOWER.format("text"))
+    base = " UNION ALL ".join(f"SELECT '{label}' AS label, string_split('{p}', ' ') AS p" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({k}, '{label}', '{t}')" for k, (label, t) in enumerate(licenses.TEMPLATES))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce({words}, []) AS w FROM documents),
+places AS (
+  SELECT doc_id, i - 1 AS pos, label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), ({base})
+  WHERE w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id),
+template AS (SELECT k, label, list_distinct({words}) AS t FROM (VALUES {templates}) AS v(k, label, text)),
+block AS (
+  SELECT doc_id, list_distinct({_WORDS.format(_LOWER.format("line"))}) AS b
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+contained AS (
+  SELECT doc_id, label, max(n / m) AS share
+  FROM (SELECT doc_id, label, CAST(len(list_intersect(b, t)) AS DOUBLE) AS n, len(t) AS m FROM block, template)
+  WHERE n >= ceil({licenses.THRESHOLD} * m - 1e-9) GROUP BY doc_id, label),
+both_labels AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM contained UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM contained GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0)) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN both_labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 ORACLES = {
     "op2_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER.format("text"))}, []) AS w FROM documents),
@@ -91,6 +147,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op3_license_scan": _license_sql(),
     "op4_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
