@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, simhash
+from plumbline.llm import decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return sharding.shard_documents(docs).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprint.half_edited(docs).select(
@@ -108,6 +121,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
     "op7_document_fingerprint": op7_document_fingerprint,
     "op8_pii": op8_pii,
     "op10_language_id": op10_language_id,
