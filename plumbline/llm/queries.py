@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, sharding, simhash
+from plumbline.llm import decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,22 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The columns of packed pieces.
+PACKED = (
+    "doc_id",
+    "start",
+    "length",
+    "ids_crc32",
+    "doc_tokens",
+    "sequence_id",
+    "offset",
+)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = packing.pack_documents(docs, tokenizer_file())
-    return out.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    return out.withColumn("ids_crc32", F.crc32("ids")).select(*PACKED)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +88,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprint.half_edited(docs).select(
@@ -108,6 +124,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    models = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.judge_quality(docs, models).select("doc_id", "p_quality", "p_toxic", "score", "keep")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_languages(docs.where(~langid.held_out()).select("text", "lang"))
@@ -124,7 +146,9 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_document_fingerprint": op7_document_fingerprint,
     "op8_pii": op8_pii,
+    "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "pipeline": pipeline,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
