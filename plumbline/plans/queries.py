@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
 from plumbline.functions.expression import compile_expression
-from plumbline.operators import boreholes, fidelity, points, raster, spatial
+from plumbline.operators import boreholes, fidelity, points, raster, rules, spatial, vector
 from plumbline.operators import table as tab
 from plumbline.plans import layers
 from plumbline.plans.layers import table
+from plumbline.sources import binary_vector, tables, text_vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -451,14 +454,14 @@ def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT c_custkey, round(6378137 * radians(lon), 3) AS x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS y,
+SELECT c_custkey, round(6378137 * radians(lon), 3) AS x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS y,
   round(2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(10 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(20 - lon) / 2), 2)))), 2) AS distance
 FROM {_PLACE}""")
 def web_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = _places()
     x, y = crs.to_web_mercator(lon, lat)
     far = crs.great_circle(lon, lat, F.lit(20.0), F.lit(10.0))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(far, 2).alias("distance"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(x, 3).alias("x"), (F.round(y, 3) + 0.0).alias("y"), F.round(far, 2).alias("distance"))
 
 
 @query(f"SELECT c_custkey, true AS geocentric_returns, 100.0 AS moved, round((lon + 180) * 1000 / 0.3048, 3) AS feet FROM {_PLACE}")
@@ -508,11 +511,11 @@ def raster_warped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH d AS (SELECT row, col, value FROM {_DEM})
-SELECT a.row AS row, a.col AS col, round(0.25 * (a.value + b.value + c.value + e.value), 6) AS value
+SELECT a.row AS row, a.col AS col, round(0.25 * (a.value + b.value + c.value + e.value), 3) AS value
 FROM d a JOIN d b ON b.row = a.row AND b.col = a.col + 1 JOIN d c ON c.row = a.row + 1 AND c.col = a.col JOIN d e ON e.row = a.row + 1 AND e.col = a.col + 1""".replace("SELECT a.row AS row, a.col AS col", "SELECT CAST(a.row AS INTEGER) AS row, CAST(a.col AS INTEGER) AS col"))
 def raster_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = raster.warp(layers.dem(spark, sf_dir), 24, 31, (F.col("col") + 0.5, F.col("row") + 0.5), "bilinear")
-    return out.select("row", "col", F.round("value", 6).alias("value"))
+    return out.select("row", "col", F.round("value", 3).alias("value"))
 
 
 @query(f"""
@@ -586,3 +589,150 @@ SELECT event_id FROM o JOIN s USING (event_type) WHERE mad > 0 AND 0.6745 * d /
 def cloud_z_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = layers.observations(spark, sf_dir).withColumnRenamed("value", "z")
     return points.z_anomalies(obs, ["event_type"], 3.0).select(F.col("idx").alias("event_id"))
+
+
+# Polygon algebra, rules and repairs.
+
+
+@query(f"""
+SELECT p_size, count(*) * 100.0 AS area FROM {_PARCEL} GROUP BY 1""")
+def parcels_dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector.dissolve(layers.parcels(spark, sf_dir), "p_size", 250.0)
+    return out.select("p_size", F.round(g.area(F.col("geom")), 6).alias("area"))
+
+
+@query("""
+SELECT event_type, count(*) AS points_inside FROM events GROUP BY 1""")
+def event_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = layers.observations(spark, sf_dir)
+    hulls = vector.convex_hulls(obs, ["event_type"])
+    # A hull holds all its points: those on its edge count by a small tolerance.
+    edges = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    left = F.forall(edges, lambda e: (e["q"][0] - e["p"][0]) * (F.col("y") - e["p"][1]) - (e["q"][1] - e["p"][1]) * (F.col("x") - e["p"][0]) >= -1e-6)
+    return obs.join(hulls, "event_type").where(left).groupBy("event_type").agg(F.count(F.lit(1)).alias("points_inside"))
+
+
+@query(f"""
+SELECT idx, 25.0 AS both, 175.0 AS either, 75.0 AS less, 150.0 AS one, round(100 + 40 + pi(), 0) AS grown FROM {_PARCEL} WHERE idx % 7 = 0""")
+def parcels_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = layers.parcels(spark, sf_dir).where("idx % 7 = 0")
+    a = F.col("geom")
+    moved = g.translated(a, 5, 5)
+    ops = {"both": "intersection", "either": "union", "less": "difference", "one": "symmetric-difference"}
+    made = [F.round(g.area(vector.overlay_columns(a, moved, op)), 6).alias(k) for k, op in ops.items()]
+    return df.select("idx", *made, F.round(g.area(vector.buffer_column(a, 1.0, 0.001)), 0).alias("grown"))
+
+
+@query(f"""
+SELECT p_size % 2 AS part, p_partkey AS idx FROM part WHERE p_size % 2 = 1 AND p_partkey % 50 = 0""".replace("p_size % 2 AS part, ", ""))
+def topology_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when((F.col("p_size") % 2 == 1) & (F.col("idx") % 50 == 0), g.map_rings(F.col("geom"), lambda r, _: F.reverse(r))).otherwise(F.col("geom"))
+    found = rules.topology_issues(layers.parcels(spark, sf_dir).withColumn("geom", turned))
+    return found.where("issue = 'wrong orientation'").select("idx")
+
+
+@query(f"""
+SELECT idx, 100.0 AS area, 5 AS vertices, true AS closed FROM {_PARCEL}""")
+def parcels_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = g.map_rings(F.col("geom"), lambda r, _: F.reverse(F.concat(F.slice(r, 1, 2), F.slice(r, 2, 3))))
+    geom = F.col("fixed")
+    df = layers.parcels(spark, sf_dir).withColumn("fixed", rules.repaired(broken))
+    ring = g.rings(geom)[0]
+    return df.select("idx", g.signed_area(ring).alias("area"), g.vertex_count(geom).alias("vertices"), g.is_closed(ring).alias("closed"))
+
+
+@query(f"""
+SELECT idx FROM {_PARCEL} WHERE NOT EXISTS (SELECT 1 FROM events WHERE value >= minx AND value < minx + 10 AND user_id + 0.5 >= miny AND user_id + 0.5 < miny + 10)""")
+def rule_must_contain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.must_contain(layers.parcels(spark, sf_dir), layers.observations(spark, sf_dir), 50.0).select("idx")
+
+
+@query("""
+SELECT 'parcels must not overlap' AS rule, count(*) AS subjects, 0 AS violations, 'passed' AS verdict FROM part""")
+def rule_must_not_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parcels = layers.parcels(spark, sf_dir)
+    return rules.evaluated("parcels must not overlap", parcels, rules.must_not_overlap(parcels, 40.0))
+
+
+@query(f"""
+SELECT 'Polygon' AS type, count(*) AS features, count(*) * 5 AS vertices, min(minx) AS minx, max(miny) + 10 AS maxy FROM {_PARCEL}""")
+def layer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.profile(layers.parcels(spark, sf_dir))
+
+
+@query(f"""
+SELECT user_id, count(*) AS vertices, true AS ends_stay FROM events GROUP BY 1""")
+def tracks_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, smooth = F.col("path"), F.col("smooth")
+    df = layers.tracks(spark, sf_dir).withColumn("smooth", g.smoothed(F.col("path")))
+    same = (F.get(smooth, F.lit(0)) == F.get(path, F.lit(0))) & (F.element_at(smooth, -1) == F.element_at(path, -1))
+    # Two vertices for each edge; the outer two become the line's ends.
+    n = F.when(F.size(path) > 1, F.floor(F.size(smooth) / 2) + 1).otherwise(F.lit(1))
+    return df.select("user_id", n.cast("bigint").alias("vertices"), F.when(F.size(path) > 1, same).otherwise(F.lit(True)).alias("ends_stay"))
+
+
+# Files: written by Spark to the shared folder, and read again.
+
+
+def _folder(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-files-")
+    return f"{shared}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey AS idx, p_brand, (p_partkey % 50) * 10.0 + 5 AS cx FROM part")
+def files_geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    text_vector.write_geojsonl(layers.parcels(spark, sf_dir).select("idx", "geom", "p_brand"), path, id_col="idx")
+    back = text_vector.read_geojsonl(spark, path)
+    return back.select(F.col("id").cast("bigint").alias("idx"), F.col("properties")["p_brand"].alias("p_brand"), g.centroid(F.col("geom"))[0].alias("cx"))
+
+
+@query("SELECT count(*) AS features, sum((p_partkey % 50) * 10.0) AS minx, count(*) * 100.0 AS area FROM part")
+def files_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    text_vector.write_wkt(layers.parcels(spark, sf_dir), path)
+    geom = F.col("geom")
+    return text_vector.read_wkt(spark, path).agg(F.count(F.lit(1)).alias("features"), F.sum(g.bounds(geom)["minx"]).alias("minx"), F.sum(g.area(geom)).alias("area"))
+
+
+@query("SELECT p_partkey AS idx, p_retailprice, 100.0 AS area FROM part")
+def files_geoparquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    binary_vector.write_geoparquet(layers.parcels(spark, sf_dir), path)
+    return binary_vector.read_geoparquet(spark, path).select("idx", "p_retailprice", g.area(F.col("geom")).alias("area"))
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS easting, CAST(c_nationkey AS DOUBLE) AS northing, c_mktsegment AS code, 'easting,northing,id,code' AS roles FROM customer")
+def files_csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    c = table(spark, sf_dir, "customer")
+    c.select(F.concat_ws(",", "c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment").alias("value")).unionAll(
+        spark.createDataFrame([("Pt,Easting,Northing,Code",)], "value string")
+    ).orderBy(F.col("value").startswith("Pt").desc()).write.text(path)
+    df, roles = tables.read_csv_table(spark, path)
+    named = ",".join({"x": "easting", "y": "northing", "id": "id", "code": "code"}[r] for r in ("x", "y", "id", "code") if r in roles)
+    return df.select(
+        F.col(roles["id"]).cast("bigint").alias("id"), F.col(roles["x"]).alias("easting"), F.col(roles["y"]).alias("northing"), F.col(roles["code"]).alias("code"), F.lit(named).alias("roles")
+    )
+
+
+@query("SELECT count(*) AS points, sum(l_quantity) AS x, round(sum(l_extendedprice), 2) AS z FROM lineitem")
+def files_xyz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    tables.write_xyz(layers.cloud(spark, sf_dir), path)
+    return tables.read_xyz(spark, path).agg(F.count(F.lit(1)).alias("points"), F.sum("x").alias("x"), F.round(F.sum("z"), 2).alias("z"))
+
+
+@query("SELECT CAST(l_linenumber AS INTEGER) AS classification, count(*) AS points, sum(CAST(l_partkey % 65536 AS BIGINT)) AS intensity, round(sum(l_quantity), 1) AS x FROM lineitem GROUP BY 1".replace("sum(CAST(l_partkey % 65536 AS BIGINT))", "CAST(sum(l_partkey % 65536) AS BIGINT)"))
+def files_las(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tables.write_las(layers.cloud(spark, sf_dir), _folder(spark))
+    back = made.select(F.col("part").cast("string").alias("path"), "content").mapInArrow(tables.las_rows, tables.LAS_SCHEMA)
+    return back.groupBy("classification").agg(F.count(F.lit(1)).alias("points"), F.sum("intensity").alias("intensity"), F.round(F.sum("x"), 1).alias("x"))
+
+
+@query(f"SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(value, 6) AS value FROM {_DEM}")
+def files_ascii_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    tables.write_ascii_grid(layers.dem(spark, sf_dir), path, tables.Grid(24, 31, 1.0, 0.0, 0.0, -9999.0))
+    back, _ = tables.read_ascii_grid(spark, path)
+    return back.where("value <> -9999").select("row", F.col("col").cast("int").alias("col"), F.round("value", 6).alias("value"))
