@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
 from plumbline.functions.expression import compile_expression
-from plumbline.operators import boreholes, fidelity, points, raster, rules, spatial, vector
+from plumbline.operators import boreholes, components, edits, fidelity, points, raster, rules, spatial, vector
 from plumbline.operators import table as tab
 from plumbline.plans import layers
 from plumbline.plans.layers import table
-from plumbline.sources import binary_vector, tables, text_vector
+from plumbline.sources import binary_vector, detect, tables, text_vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -511,11 +511,11 @@ def raster_warped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH d AS (SELECT row, col, value FROM {_DEM})
-SELECT a.row AS row, a.col AS col, round(0.25 * (a.value + b.value + c.value + e.value), 3) AS value
+SELECT a.row AS row, a.col AS col, round(0.25 * (a.value + b.value + c.value + e.value), 10) AS value
 FROM d a JOIN d b ON b.row = a.row AND b.col = a.col + 1 JOIN d c ON c.row = a.row + 1 AND c.col = a.col JOIN d e ON e.row = a.row + 1 AND e.col = a.col + 1""".replace("SELECT a.row AS row, a.col AS col", "SELECT CAST(a.row AS INTEGER) AS row, CAST(a.col AS INTEGER) AS col"))
 def raster_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = raster.warp(layers.dem(spark, sf_dir), 24, 31, (F.col("col") + 0.5, F.col("row") + 0.5), "bilinear")
-    return out.select("row", "col", F.round("value", 3).alias("value"))
+    return out.select("row", "col", F.round("value", 10).alias("value"))
 
 
 @query(f"""
@@ -736,3 +736,65 @@ def files_ascii_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.write_ascii_grid(layers.dem(spark, sf_dir), path, tables.Grid(24, 31, 1.0, 0.0, 0.0, -9999.0))
     back, _ = tables.read_ascii_grid(spark, path)
     return back.where("value <> -9999").select("row", F.col("col").cast("int").alias("col"), F.round("value", 6).alias("value"))
+
+
+# Components, programs and detection.
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(floor(value / 40) AS INTEGER) AS v FROM {_DEM}),
+r(row, col, v, root) AS (
+  SELECT row, col, v, row * 1000 + col FROM d
+  UNION SELECT d.row, d.col, d.v, r.root FROM r JOIN d ON d.v = r.v AND abs(d.row - r.row) + abs(d.col - r.col) = 1),
+m AS (SELECT row, col, v, min(root) AS root FROM r GROUP BY 1, 2, 3)
+SELECT CAST(v AS BIGINT) AS value, count(*) AS cells, root // 1000 AS row0 FROM m GROUP BY v, root""")
+def raster_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = layers.dem(spark, sf_dir).withColumn("value", F.floor(F.col("value") / 40))
+    return components.raster_regions(df).select("value", "cells", F.col("row0").cast("int").alias("row0"))
+
+
+@query(f"""
+SELECT count(*) AS polygons, 1 AS groups, min(idx) AS component FROM {_PARCEL} WHERE idx % 50 < 25 AND minx >= 0""")
+def adjacent_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    west = layers.parcels(spark, sf_dir).where("idx % 50 < 25")
+    groups = components.adjacent_groups(west, 40.0)
+    return groups.agg(F.count(F.lit(1)).alias("polygons"), F.count_distinct("component").cast("int").alias("groups"), F.min("component").alias("component"))
+
+
+@query("""
+SELECT o_orderkey, upper(o_orderstatus) || '-' || CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS label,
+  'orders-' || o_orderpriority AS layer FROM orders WHERE o_totalprice > 1000""")
+def edits_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").withColumn("layer", F.lit("orders"))
+    flow = edits.Workflow("labels", [
+        {"kind": "filter", "expression": "o_totalprice > 1000"},
+        {"kind": "add-field", "field": "size", "type": "string", "initial": "small"},
+        {"kind": "set-value", "field": "size", "value": "big", "scope": "o_totalprice > 100000"},
+        {"kind": "calculate", "field": "label", "expression": "concat(upper(o_orderstatus), '-', size)"},
+        {"kind": "split-layer", "layer": "orders", "field": "o_orderpriority"},
+    ])
+    again = edits.Workflow.from_json(flow.to_json())
+    return again.run(df, confirmed={0}).select("o_orderkey", "label", "layer")
+
+
+@query("""
+SELECT doc_id AS path, CASE WHEN doc_id % 3 = 2 THEN 'missing' WHEN doc_id % 3 = 1 THEN 'changed' ELSE 'matched' END AS state FROM documents""".replace("doc_id AS path", "CAST(doc_id AS VARCHAR) AS path"))
+def sources_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("File"), "doc_id").alias("name"), F.sha2(F.concat_ws("|", "doc_id", "text"), 256).alias("sha256"), "doc_id"
+    )
+    supplied = docs.where("doc_id % 3 <> 2").select("path", F.upper("name").alias("name"), F.when(F.col("doc_id") % 3 == 0, F.col("sha256")).otherwise(F.lit("x")).alias("sha256"))
+    return edits.match_sources(docs.drop("doc_id"), supplied).select("path", "state")
+
+
+@query("""
+SELECT page_id AS id, 'geojson' AS format, round(1 - 0.4 * 0.15, 9) AS confidence, false AS needs_confirmation FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 'csv', 0.6, true FROM pages WHERE page_id % 2 = 1""")
+def formats_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("page_id") % 2 == 0
+    body = F.when(even, F.concat(F.lit('{"type": "FeatureCollection", "features": []}'), F.lit(" "))).otherwise(F.concat(F.lit("page "), "url"))
+    files = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("in/"), "page_id", F.when(even, ".geojson").otherwise(".txt")).alias("path"), body.cast("binary").alias("content")
+    )
+    out = detect.detected(files)
+    return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("id"), "format", F.round("confidence", 9).alias("confidence"), "needs_confirmation")
