@@ -293,6 +293,9 @@ def near_components(
     known = nodes.join(named, "fingerprint", "left").select(
         "fingerprint", F.coalesce("of_all", "least").alias("component_id")
     )
+    # Kept by itself, so that both sides of the last join are plain shuffles, which the adaptive
+    # planner splits where a fingerprint stands on very many rows.
+    known = checkpointed(known)
     return prints.join(known, "fingerprint").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
 
 
