@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
 from plumbline.functions.expression import compile_expression
-from plumbline.operators import boreholes, components, edits, fidelity, points, raster, rules, spatial, vector
+from plumbline.operators import boreholes, components, edits, fidelity, points, raster, rules, spatial, survey, vector
 from plumbline.operators import table as tab
 from plumbline.plans import layers
 from plumbline.plans.layers import table
@@ -798,3 +798,50 @@ def formats_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = detect.detected(files)
     return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("id"), "format", F.round("confidence", 9).alias("confidence"), "needs_confirmation")
+
+
+# Surveying.
+
+
+@query(f"""
+SELECT c_custkey, true AS near_sphere, true AS converged FROM {_PLACE} WHERE abs(lon - 20) < 100""")
+def geodesic_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = _places()
+    df = table(spark, sf_dir, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat")).where("abs(lon - 20) < 100")
+    df = df.withColumn("geo", survey.geodesic(F.col("lon"), F.col("lat"), F.lit(20.0), F.lit(10.0)))
+    ball = crs.great_circle(F.col("lon"), F.col("lat"), F.lit(20.0), F.lit(10.0))
+    return df.select("c_custkey", (F.abs(F.col("geo.distance") / ball - 1) < 0.007).alias("near_sphere"), F.col("geo.converged").alias("converged"))
+
+
+@query(f"SELECT idx, minx + 5 AS x, miny + 5 AS y, 5.0 AS clearance, length(p_brand) * 0.6 <= 5 AS fits FROM {_PARCEL} WHERE idx % 5 = 0")
+def parcel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = layers.parcels(spark, sf_dir).where("idx % 5 = 0").withColumn("at", survey.label_places(F.col("geom")))
+    return df.select("idx", *[F.round(f"at.{c}", 6).alias(c) for c in ("x", "y", "clearance")], survey.fits(F.col("p_brand"), 2.0, F.col("at.clearance")).alias("fits"))
+
+
+@query(f"""
+WITH p AS (SELECT c_custkey, s_suppkey, {_GAP} AS gap, s_acctbal / 100 AS sx, row_number() OVER (PARTITION BY c_custkey ORDER BY {_GAP}, s_suppkey) AS r FROM customer, supplier WHERE {_GAP} <= 1.5)
+SELECT c_custkey, round(coalesce(sx, c_acctbal / 100), 6) AS x, round(coalesce(gap, 0), 6) AS moved_by FROM customer LEFT JOIN (SELECT * FROM p WHERE r = 1) USING (c_custkey)""")
+def points_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = _balances(spark, sf_dir)
+    out = survey.snapped(c.withColumnsRenamed({"lx": "x", "ly": "y"}), s, 1.5, "c_custkey")
+    return out.select("c_custkey", F.round("x", 6).alias("x"), F.round("moved_by", 6).alias("moved_by"))
+
+
+@query("""
+SELECT o_orderpriority AS layer, regexp_replace(o_orderpriority, '[^\\w-]+', '_', 'g') AS file, count(*) AS features, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS parts FROM orders GROUP BY 1""")
+def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.manifest(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "layer"), units=1000)
+
+
+@query("""
+SELECT * FROM (VALUES ('geojson', 'coordinates are reprojected', 'adapted'), ('shapefile', 'field names are cut', 'adapted'), ('kml', 'coordinates are reprojected', 'adapted'),
+  ('gpx', 'attributes are dropped; coordinates are reprojected', 'lossy'), ('wkt', 'attributes are dropped', 'lossy'), ('dxf', 'attributes are dropped', 'lossy'),
+  ('csv', '', 'full'), ('xyz', 'attributes are dropped', 'lossy'), ('flatgeobuf', '', 'full')) v(format, losses, grade)""")
+def export_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parcels = layers.parcels(spark, sf_dir)
+    names = [c for c in parcels.columns if c != "geom"]
+    profile = parcels.agg(
+        F.count_distinct("geom.type").alias("n_types"), F.lit(len(names)).alias("n_fields"), F.lit(max(map(len, names))).alias("longest_name")
+    )
+    return survey.predicted_losses(profile)
