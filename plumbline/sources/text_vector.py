@@ -156,3 +156,20 @@ def read_surpac(spark: SparkSession, path: str) -> DataFrame:
     rows = whole.mapInArrow(numbered, "path string, part long, idx long, string long, x double, y double, z double, d1 string")
     at = F.transform(F.array_sort(F.collect_list(F.struct("idx", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"]))
     return rows.groupBy("path", "part", "string").agg(g.line(at).alias("geom"))
+
+
+def read_osm(spark: SparkSession, path: str) -> DataFrame:
+    """Tagged nodes as points and ways as lines, or polygons where they close; ways meet their nodes by a join."""
+    tag = "tag array<struct<_k:string,_v:string>>"
+    tags = F.map_from_entries(F.transform(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string>>")), lambda t: F.struct(t["_k"], t["_v"])))
+    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id long, _lat double, _lon double, {tag}").load(path)
+    ways = spark.read.format("xml").option("rowTag", "way").schema(f"_id long, nd array<struct<_ref:long>>, {tag}").load(path)
+    refs = ways.select("_id", F.posexplode("nd").alias("i", "nd")).select("_id", "i", F.col("nd._ref").alias("ref"))
+    at = nodes.select(F.col("_id").alias("ref"), F.array("_lon", "_lat").alias("p"))
+    paths = refs.join(at, "ref").groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("path"))
+    closed = (F.size("path") > 3) & g.is_closed(F.col("path"))
+    lines = ways.select("_id", tags.alias("tags")).join(paths, "_id").select(
+        F.concat(F.lit("way/"), "_id").alias("id"), "tags", F.when(closed, g.polygon(F.col("path"))).otherwise(g.line(F.col("path"))).alias("geom")
+    )
+    points = nodes.where(F.size("tag") > 0).select(F.concat(F.lit("node/"), "_id").alias("id"), tags.alias("tags"), g.point(F.col("_lon"), F.col("_lat")).alias("geom"))
+    return points.unionByName(lines)
