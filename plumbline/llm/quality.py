@@ -217,6 +217,13 @@ def _views(batch: pa.RecordBatch, text: str, source: str, lang: str) -> tuple[li
     return [content_features(x) for x in t], [metadata_features(*x) for x in zip(t, s, g, strict=True)]
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of one array."""
+    whole = column.combine_chunks()
+    values, at = whole.values.to_numpy(), whole.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def _low(df: DataFrame, share: Column) -> DataFrame:
     """The rows whose id's hash is in the lowest share of all hashes."""
     return df.where(F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1_000_003)) < share * 1_000_003)
@@ -261,16 +268,19 @@ def fit_quality(
     sample = docs.select(F.col(id_col).alias("id"), *inputs).join(F.broadcast(picked), "id")
     featured = with_columns(sample, FEATURES, lambda b: list(_views(b, text, source, lang)))
     # Bounded by the picked ids, also where an id stands on very many rows.
-    rows = featured.groupBy("id").agg(F.min(F.struct("content", "metadata")).alias("f")).orderBy("id").collect()
-    known = [r for r in rows if r["id"] in chosen]
-    spare = [r for r in rows if r["id"] not in chosen]
+    rows = featured.groupBy("id").agg(F.min(F.struct("content", "metadata")).alias("f")).orderBy("id")
+    sample = rows.select("id", "f.content", "f.metadata").toArrow()
+    names = sample.column("id").to_pylist()
+    known = [i for i, name in enumerate(names) if name in chosen]
+    spare = [i for i, name in enumerate(names) if name not in chosen]
+    content, metadata = (_lists(sample.column(c)) for c in ("content", "metadata"))
     models = {}
     for k, target in enumerate(TARGETS):
-        y = np.array([1 if chosen[r["id"]][k] else 0 for r in known])
+        y = np.array([1 if chosen[names[i]][k] else 0 for i in known])
         # Both sides need rows to learn from, and others to be calibrated on.
         if min(y.sum(), len(y) - y.sum()) < 10:
             continue
-        views = [[r["f"][v] for r in some] for some in (known, spare) for v in ("content", "metadata")]
+        views = [[v[i] for i in some] for some in (known, spare) for v in (content, metadata)]
         models[target] = co_train(views[0], views[1], y, views[2], views[3])
     return models
 
