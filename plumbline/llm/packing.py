@@ -28,6 +28,10 @@ from plumbline.llm.common import stored
 
 
 
+#: Combinations in use are at most so many times the window's length.
+IN_USE = 4
+
+
 def _byte_of_char() -> dict[str, int]:
     """Byte-level BPE files write bytes as printable characters; this is the way back."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -142,6 +146,10 @@ def plan_slots(histogram: dict[int, int], window: int) -> tuple[list[tuple], dic
     taken = dict.fromkeys(left, 0)
     slots, sequences = [], 0
     if len(combos):
+        # The most used combinations are solved for once more by themselves, so that slots, and
+        # with them the table of slots that tasks get, stay few however many documents there are.
+        x = solve_counts(bins, combos)
+        combos = combos[np.sort(np.argsort(-x, kind="stable")[: IN_USE * window])]
         x = solve_counts(bins, combos)
         for k in np.argsort(-x, kind="stable"):
             lengths = [int(v) for v in combos[k] if v]
