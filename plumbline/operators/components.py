@@ -135,3 +135,51 @@ def coverage_gaps(polygons: DataFrame, cell: float, least_area: float = 1.0) ->
     whole = dissolve(polygons.withColumn("__all", F.lit(1)), "__all", cell)
     holes = whole.select(F.explode(F.flatten(F.transform(F.col("geom.parts"), lambda rs: F.slice(rs, 2, F.size(rs))))).alias("ring"))
     return holes.withColumn("area", F.abs(g.signed_area(F.col("ring")))).where(F.col("area") >= least_area)
+
+
+def contour_lines(pixels: DataFrame, interval: float, base: float = 0.0, no_data: float | None = None, index_every: int = 5) -> DataFrame:
+    """Contours as lines in pixel coordinates: ``elevation, is_index, length, closed, path``.
+
+    Segments of marching squares meet at equal points, which only those of one level share.
+    """
+    from plumbline.operators.raster import contour_segments
+
+    segments = contour_segments(pixels, interval, base, no_data).where("x1 <> x2 or y1 <> y2")
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    named = checkpointed(
+        segments.select(F.xxhash64("band", "level", "r", "c", *ends).alias("idx"), "level", F.array(F.array(*ends[:2]), F.array(*ends[2:])).alias("path"))
+    )
+    lines = merge_lines(named.select("idx", "path"))
+    levels = named.select(F.col("idx").alias("component"), "level")
+    path = F.col("path")
+    return lines.join(levels, "component").select(
+        F.col("level").alias("elevation"),
+        (F.floor(F.round((F.col("level") - base) / interval)) % index_every == 0).alias("is_index"),
+        g.path_length(path).alias("length"), g.is_closed(path).alias("closed"), "path",
+    )
+
+
+def polygonize(lines: DataFrame, tolerance: float, size: float, key: str = "idx", least_area: float = 0.0) -> DataFrame:
+    """Closed loops of lines, end to end within the tolerance, as polygons; loops inside loops are holes.
+
+    Ends are snapped to a grid of the tolerance first. A loop at odd depth is a hole of the
+    smallest loop around it. Loops meet the loops around them by a join on grid cells.
+    """
+    snap = lambda p: F.transform(p, lambda v: F.floor(v / tolerance + 0.5) * tolerance)
+    path = F.col("path")
+    ends = lines.select(key, F.concat(F.array(snap(F.get(path, F.lit(0)))), F.slice(path, 2, F.greatest(F.size(path) - 2, F.lit(0))), F.array(snap(F.element_at(path, -1)))).alias("path"))
+    ring = F.col("ring")
+    loops = merge_lines(ends, key).select("component", g.oriented(F.col("path")).alias("ring"))
+    loops = loops.where((F.size("ring") > 3) & g.is_closed(ring)).withColumn("area", F.abs(g.signed_area(ring))).where(F.col("area") > least_area)
+    b = g.bounds(F.col("geom"))
+    loops = checkpointed(loops.withColumn("geom", g.polygon(ring)).select("*", *[b[k].alias(k) for k in spatial.BOX]))
+    # The middle of the first edge stands for a loop: loops don't cross.
+    mid = [(ring[0][i] + ring[1][i]) / 2 for i in (0, 1)]
+    marks = loops.select(F.col("component").alias("inner"), F.col("area").alias("inner_area"), mid[0].alias("x"), mid[1].alias("y"))
+    around = spatial.contained(marks, loops, size).where((F.col("inner") != F.col("component")) & (F.col("area") > F.col("inner_area")))
+    depth = around.groupBy("inner").agg(F.count(F.lit(1)).alias("depth"), F.min_by("component", "area").alias("parent"))
+    placed = loops.join(depth.withColumnRenamed("inner", "component"), "component", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    holes = placed.where("depth % 2 = 1").groupBy(F.col("parent").alias("component")).agg(F.collect_list(F.reverse("ring")).alias("holes"))
+    shells = placed.where("depth % 2 = 0").join(holes, "component", "left")
+    whole = F.concat(F.array(ring), F.coalesce("holes", F.array().cast("array<array<array<double>>>")))
+    return shells.select(F.col("component").alias(key), g.geometry("Polygon", F.array(whole)).alias("geom"))
