@@ -615,7 +615,7 @@ def event_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT idx, 25.0 AS both, 175.0 AS either, 75.0 AS less, 150.0 AS one, round(100 + 40 + pi(), 0) AS grown FROM {_PARCEL} WHERE idx % 7 = 0""")
 def parcels_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = layers.parcels(spark, sf_dir).where("idx % 7 = 0")
+    df = vector.spread(layers.parcels(spark, sf_dir).where("idx % 7 = 0"), "idx")
     a = F.col("geom")
     moved = g.translated(a, 5, 5)
     ops = {"both": "intersection", "either": "union", "less": "difference", "one": "symmetric-difference"}
