@@ -77,7 +77,8 @@ def from_wkt(text: Column) -> Column:
     raw = F.when(kind == "Point", F.regexp_replace(raw, r"^\[(.*)\]$", "$1")).when(
         kind == "MultiPoint", F.regexp_replace(raw, r"\[\s*(\[[^\[\]]*\])\s*\](?=\s*[,\]])", "$1")
     ).otherwise(raw)
-    raw = F.regexp_replace(raw, r"(?<=[\[,])\+?\.", "0.")
+    # JSON wants a digit before a point, and no plus.
+    raw = F.regexp_replace(F.regexp_replace(raw, r"(?<=[\[,])\+", ""), r"(?<=[\[,-])\.", "0.")
     return g.from_geojson(F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), raw, F.lit("}")))
 
 
