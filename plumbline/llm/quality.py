@@ -11,7 +11,9 @@ end each view is calibrated (a logistic fit of its scores on labelled rows it di
 from), and the calibrated views are combined by another one. All documents are scored.
 
 The fit is bounded: at most ``LABELLED`` rows for each combination of labels and ``POOL``
-unlabelled rows, of lowest hash of their id. Features of all documents, and their scores,
+unlabelled rows, of lowest hash of their id. Calibration and combination count each row as
+often as its combination has labels for a sampled one, so probabilities follow the shares of
+all labels, whatever the bound leaves out. Features of all documents, and their scores,
 come from one narrow pass over whole texts; only the sample's features reach the driver.
 """
 
@@ -130,15 +132,16 @@ def fit_view(rows: Rows, y: np.ndarray, w: np.ndarray, steps: int = 40) -> np.nd
     return np.append(beta * odds, bias)
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression on few columns by Newton's steps, with a weak pull to small weights."""
+def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Logistic regression of weighted rows on few columns by Newton's steps, with a weak pull to small weights."""
+    w = w / w.mean()  # the pull counts the same against rows of any weight
     x = np.column_stack([x, np.ones(len(y))])
     beta = np.zeros(x.shape[1])
     pull = 1e-2 * np.eye(x.shape[1])
     for _ in range(30):
         p = _sigmoid(x @ beta)
-        h = x.T @ ((p * (1 - p) + 1e-6)[:, None] * x) + pull
-        beta = beta - np.linalg.solve(h, x.T @ (p - y) + pull @ beta)
+        h = x.T @ ((w * (p * (1 - p) + 1e-6))[:, None] * x) + pull
+        beta = beta - np.linalg.solve(h, x.T @ (w * (p - y)) + pull @ beta)
     return beta
 
 
@@ -158,9 +161,16 @@ class CoTrained:
 
 
 def co_train(
-    content: list, metadata: list, y: np.ndarray, pool_content: list, pool_metadata: list, rounds: int = ROUNDS
+    content: list,
+    metadata: list,
+    y: np.ndarray,
+    pool_content: list,
+    pool_metadata: list,
+    rounds: int = ROUNDS,
+    w: np.ndarray | None = None,
 ) -> CoTrained:
-    """Co-trains both views; a fifth of the labelled rows is kept for calibration."""
+    """Co-trains both views; a fifth of the labelled rows is kept for calibration, where ``w`` is how much each counts."""
+    w = np.ones(len(y)) if w is None else w
     spare = np.arange(len(y)) % 5 == 4
     n, m = int((~spare).sum()), len(pool_content)
     views = []
@@ -189,9 +199,9 @@ def co_train(
 
     held = [rows(content, CONTENT_PLACES), rows(metadata, METADATA_PLACES)]
     raw = [r.dot(b[:-1]) + b[-1] for r, b in zip(held, betas, strict=True)]
-    calibration = tuple(_platt(x[:, None], y[spare].astype(float)) for x in raw)
+    calibration = tuple(_platt(x[:, None], y[spare].astype(float), w[spare]) for x in raw)
     logits = np.column_stack([c[0] * x + c[1] for x, c in zip(raw, calibration, strict=True)])
-    return CoTrained(*betas, calibration, _platt(logits, y[spare].astype(float)))
+    return CoTrained(*betas, calibration, _platt(logits, y[spare].astype(float), w[spare]))
 
 
 TARGETS = ("quality", "toxic")
@@ -251,11 +261,14 @@ def fit_quality(
     )
     sizes = named.groupBy(*TARGETS).count().orderBy(*TARGETS).collect()
     chosen: dict = {}
+    counts: dict = {}  # labels for each sampled row, by combination
     for r in sizes:  # one for each combination of labels
         same = named.where((F.col("quality") == r["quality"]) & (F.col("toxic") == r["toxic"]))
         share = min(1.0, 1.2 * LABELLED / r["count"] + 20 / r["count"])
         rows = _low(same, F.lit(share)).select("id").distinct().collect()
-        chosen |= {x["id"]: (r["quality"], r["toxic"]) for x in _lowest(rows, LABELLED)}
+        same_ids = _lowest(rows, LABELLED)
+        chosen |= {x["id"]: (r["quality"], r["toxic"]) for x in same_ids}
+        counts[r["quality"], r["toxic"]] = r["count"] / max(len(same_ids), 1)
     if not chosen:
         return {}
     ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull())
@@ -281,7 +294,8 @@ def fit_quality(
         if min(y.sum(), len(y) - y.sum()) < 10:
             continue
         views = [[v[i] for i in some] for some in (known, spare) for v in (content, metadata)]
-        models[target] = co_train(views[0], views[1], y, views[2], views[3])
+        w = np.array([counts[chosen[names[i]]] for i in known])
+        models[target] = co_train(views[0], views[1], y, views[2], views[3], w=w)
     return models
 
 

@@ -55,6 +55,16 @@ def test_quality_of_odd_tables(spark):
     assert quality.judge_quality(docs.limit(0), {}).count() == 0
 
 
+def test_probabilities_follow_the_shares_of_all_labels_when_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 100)
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 8)), "s") for i in range(1500)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    rows = quality.judge_quality(docs, quality.fit_quality(docs, labels)).collect()
+    assert abs(np.mean([r["p_quality"] for r in rows]) - 0.9) < 0.05
+    assert np.mean([r["keep"] for r in rows]) > 0.95
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
 
