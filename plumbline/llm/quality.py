@@ -32,6 +32,8 @@ from plumbline.llm.common import WORD_BYTES, with_columns
 
 #: Bounds of the fit: labelled rows for each combination of labels; rows of the pool.
 LABELLED, POOL = 1500, 2000
+#: A target with fewer labelled documents of the sample on either side has no model.
+LEAST_SIDE = 10
 ROUNDS = 2
 #: Of the pool, each view passes on this share of each side in a round, if it is this sure.
 PASSED_ON, SURE = 0.1, 0.9
@@ -251,21 +253,22 @@ def fit_quality(
     source: str = "source",
     lang: str = "lang",
 ) -> dict[str, CoTrained]:
-    """A model for each of ``TARGETS`` of which the labels have both sides.
+    """A model for each of ``TARGETS`` of which the labels have ``LEAST_SIDE`` documents on both sides.
 
-    Labels with a null id, or where both are null, aren't used, nor are those of absent documents.
-    Of documents that share an id, and of several labels for an id, one is used.
+    Each target learns from the labels that aren't null in its own column. Labels with a null id, or
+    where both are null, aren't used, nor are those of absent documents. Of documents that share an id
+    one is used, and of several labels for an id each target's largest.
     """
-    named = labels.select(F.col(id_col).alias("id"), *TARGETS).where(
-        F.col("id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()
-    )
+    given = labels.select(F.col(id_col).alias("id"), *(F.col(t).cast("boolean").alias(t) for t in TARGETS))
+    given = given.where(F.col("id").isNotNull() & F.coalesce(*TARGETS).isNotNull())
+    named = given.groupBy("id").agg(*(F.max(t).alias(t) for t in TARGETS))
     sizes = named.groupBy(*TARGETS).count().orderBy(*TARGETS).collect()
     chosen: dict = {}
     counts: dict = {}  # labels for each sampled row, by combination
-    for r in sizes:  # one for each combination of labels
-        same = named.where((F.col("quality") == r["quality"]) & (F.col("toxic") == r["toxic"]))
+    for r in sizes:  # one for each combination of labels, of which either may be null
+        same = named.where(F.col("quality").eqNullSafe(r["quality"]) & F.col("toxic").eqNullSafe(r["toxic"]))
         share = min(1.0, 1.2 * LABELLED / r["count"] + 20 / r["count"])
-        rows = _low(same, F.lit(share)).select("id").distinct().collect()
+        rows = _low(same, F.lit(share)).select("id").collect()
         same_ids = _lowest(rows, LABELLED)
         chosen |= {x["id"]: (r["quality"], r["toxic"]) for x in same_ids}
         counts[r["quality"], r["toxic"]] = r["count"] / max(len(same_ids), 1)
@@ -289,12 +292,13 @@ def fit_quality(
     content, metadata = (_lists(sample.column(c)) for c in ("content", "metadata"))
     models = {}
     for k, target in enumerate(TARGETS):
-        y = np.array([1 if chosen[names[i]][k] else 0 for i in known])
+        own = [i for i in known if chosen[names[i]][k] is not None]
+        y = np.array([int(chosen[names[i]][k]) for i in own])
         # Both sides need rows to learn from, and others to be calibrated on.
-        if min(y.sum(), len(y) - y.sum()) < 10:
+        if min(y.sum(), len(y) - y.sum()) < LEAST_SIDE:
             continue
-        views = [[v[i] for i in some] for some in (known, spare) for v in (content, metadata)]
-        w = np.array([counts[chosen[names[i]]] for i in known])
+        views = [[v[i] for i in some] for some in (own, spare) for v in (content, metadata)]
+        w = np.array([counts[chosen[names[i]]] for i in own])
         models[target] = co_train(views[0], views[1], y, views[2], views[3], w=w)
     return models
 

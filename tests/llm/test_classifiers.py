@@ -65,6 +65,22 @@ def test_probabilities_follow_the_shares_of_all_labels_when_the_sample_is_bounde
     assert np.mean([r["keep"] for r in rows]) > 0.95
 
 
+def test_each_target_learns_from_its_own_labels(spark):
+    docs = spark.createDataFrame([(i, f"{'good calm' if i % 2 else 'poor'} {'vile' if i % 3 else 'kind'} text", "s") for i in range(240)], "doc_id long, text string, source string")
+    schema = "doc_id long, quality int, toxic int"
+    models = quality.fit_quality(docs, spark.createDataFrame([(i, i % 2, None) for i in range(120)], schema))
+    assert set(models) == {"quality"}
+    rows = quality.judge_quality(docs, models).collect()
+    assert all(r["keep"] == (r["doc_id"] % 2 == 1) and r["p_toxic"] == 0 for r in rows)
+    # Half of the ids have one label, half the other; the odd ones have both, in two rows.
+    labels = [(i, i % 2, None) for i in range(120)] + [(i, None, int(i % 3 > 0)) for i in range(120, 240)] + [(i, None, int(i % 3 > 0)) for i in range(1, 60, 2)]
+    models = quality.fit_quality(docs, spark.createDataFrame(labels, schema))
+    assert set(models) == {"quality", "toxic"}
+    rows = quality.judge_quality(docs, models).collect()
+    assert all((r["p_quality"] > 0.5) == (r["doc_id"] % 2 == 1) for r in rows)
+    assert all((r["p_toxic"] > 0.5) == (r["doc_id"] % 3 > 0) for r in rows)
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
 
