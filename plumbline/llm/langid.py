@@ -5,7 +5,7 @@ after lower-casing, with runs of anything but letters as one space) that both ha
 divided by the root of the product of their own counts. A few landmark texts stand for the
 space: with K the kernel of landmarks among themselves, a text's features are its kernels
 with the landmarks times K^(-1/2), and one ridge regression per language (that language
-against the rest) scores them. All texts of a batch are scored by two matrix products.
+against the rest) scores them.
 
 The fit takes a bounded sample (``SAMPLE`` texts a language, the lowest hashes of their
 text); its size doesn't depend on the input. Every text is read whole when it is scored.
@@ -29,8 +29,9 @@ SAMPLE, LANGUAGES, SAMPLE_CHARS = 150, 100, 200_000
 #: Landmarks for each language and in all.
 LANDMARKS, ALL_LANDMARKS = 24, 512
 GRAMS = (1, 2, 3, 4)
-#: Presence is kept in so many hashed places.
-PLACES = 1 << 14
+#: Presence is kept in so many hashed places: few n-grams share one, also those of long texts.
+PLACE_BITS = 16
+PLACES = 1 << PLACE_BITS
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -44,9 +45,9 @@ def letters_of(text: str | None) -> str:
 
 
 def presence(text: str) -> np.ndarray:
-    """Which places the n-grams of a prepared text fall into, as a vector of 0 and 1."""
+    """The places that the n-grams of a prepared text fall into, in order."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    found = np.zeros(PLACES, np.float32)
+    found = np.zeros(PLACES, bool)
     rolled = np.zeros(len(codes), np.uint64)
     for n in range(1, max(GRAMS) + 1):
         if len(codes) < n:
@@ -54,8 +55,15 @@ def presence(text: str) -> np.ndarray:
         # The n-gram that ends at each character, as a number; then its upper bits mixed.
         rolled = rolled[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
         if n in GRAMS:
-            found[((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64)] = 1
-    return found
+            found[((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)] = True
+    return np.flatnonzero(found)
+
+
+def kernel(rows: list[np.ndarray], marks: np.ndarray) -> np.ndarray:
+    """How many places each row has in common with each landmark, over the root of the row's own number."""
+    if not rows:
+        return np.zeros((0, marks.shape[1]), np.float32)
+    return np.stack([marks[r].sum(axis=0) / np.sqrt(max(len(r), 1)) for r in rows])
 
 
 @dataclass(frozen=True)
@@ -67,24 +75,25 @@ class KernelModel:
     weights: np.ndarray
     bias: np.ndarray
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        norms = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-        return (rows @ self.landmarks) / norms @ self.weights + self.bias
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        return kernel(rows, self.landmarks) @ self.weights + self.bias
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
     """Kernel ridge regression on Nystrom features, one against the rest."""
     languages = tuple(sorted(set(langs)))
     landmarks = max(2, min(landmarks, ALL_LANDMARKS // max(len(languages), 1)))
-    rows = np.stack([presence(letters_of(t)) for t in texts]) if texts else np.zeros((0, PLACES), np.float32)
+    rows = [presence(letters_of(t)) for t in texts]
     chosen = [i for lang in languages for i in [k for k, x in enumerate(langs) if x == lang][:landmarks]]
-    marks = rows[chosen].T / np.sqrt(np.maximum(rows[chosen].sum(axis=1), 1))
-    kernel = (rows @ marks) / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-    own = kernel[chosen].astype(np.float64)
+    marks = np.zeros((PLACES, len(chosen)), np.float32)
+    for k, i in enumerate(chosen):
+        marks[rows[i], k] = 1 / np.sqrt(max(len(rows[i]), 1))
+    shared = kernel(rows, marks)
+    own = shared[chosen].astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * max(values.max(initial=0), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = kernel @ root
+    features = shared @ root
     mean = features.mean(axis=0) if len(features) else np.zeros(features.shape[1])
     centred = features - mean
     aims = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x in langs]).reshape(len(langs), -1)
@@ -95,7 +104,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     beta = np.linalg.solve(gram, centred.T @ (w * (aims - mid))) if len(langs) else np.zeros((0, 0))
     return KernelModel(
         languages,
-        marks.astype(np.float32),
+        marks,
         (root @ beta).astype(np.float32),
         (mid - mean @ beta).astype(np.float32),
     )
@@ -111,15 +120,18 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang") -
     known = labelled.where(
         F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= SAMPLE_CHARS)
     )
-    common = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES)
-    n = {r[0]: r[1] for r in common.collect()}
+    place = F.xxhash64(F.lit("sample"), F.col(text))
+    # Copies of a text have one place, so the share that is taken goes by different places, not by rows.
+    sizes = known.groupBy(lang).agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct(place, 0.03).alias("texts"))
+    common = sizes.orderBy(F.desc("count"), lang).limit(LANGUAGES)
+    n = {r[0]: max(r["texts"], 1) for r in common.collect()}
     if not n:
         return None
-    # First those of low hash, by a share that leaves enough of each language, then the lowest.
+    # First those of low hash, by a share that leaves enough of each language (twice as many texts as
+    # are needed; the counts are off by some hundredths), then the lowest.
     share = F.element_at(
         F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, 2 * SAMPLE / v + 20 / v))]), F.col(lang)
     )
-    place = F.xxhash64(F.lit("sample"), F.col(text))
     low = known.where(F.col(lang).isin(list(n))).where(
         (F.pmod(place, F.lit(1_000_003)) / 1_000_003) <= share
     )
@@ -146,7 +158,7 @@ def predict_languages(docs: DataFrame, model: KernelModel | None, text: str = "t
     ``docs`` with these names are replaced, others pass. Equal texts get equal results.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # some hundred landmarks at most: 7 MB
+    shared = spark.sparkContext.broadcast(model)  # at most ALL_LANDMARKS columns, most of whose places are 0: 32 MB for each 128
 
     def made(batch: pa.RecordBatch) -> list:
         model = shared.value
@@ -154,7 +166,7 @@ def predict_languages(docs: DataFrame, model: KernelModel | None, text: str = "t
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         some = [i for i, t in enumerate(texts) if t] if model is not None else []
         if some:
-            raw = 4 * model.scores(np.stack([presence(texts[i]) for i in some]))
+            raw = 4 * model.scores([presence(texts[i]) for i in some])
             raw = np.exp(raw - raw.max(axis=1, keepdims=True))
             best = raw.argmax(axis=1)
             share = raw.max(axis=1) / raw.sum(axis=1)

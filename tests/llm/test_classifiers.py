@@ -32,6 +32,26 @@ def test_odd_texts_have_a_language_or_und(spark):
     assert langid.predict_languages(docs.limit(0), model).count() == 0
 
 
+def test_a_language_with_many_copies_has_a_full_sample(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: fitted.append(list(zip(langs, texts, strict=True))))
+    different = spark.range(1001).selectExpr("concat('the text ', id) as text", "'en' as lang")
+    copies = spark.range(300_000).selectExpr("'one text of very many copies' as text", "'en' as lang")
+    others = spark.range(400).selectExpr("concat('der text ', id) as text", "'de' as lang")
+    langid.fit_languages(different.union(copies).union(others))
+    for lang in ("en", "de"):
+        texts = [t for x, t in fitted[0] if x == lang]
+        assert len(texts) == len(set(texts)) == langid.SAMPLE
+
+
+def test_different_ngrams_of_a_long_text_seldom_share_a_place():
+    rng = np.random.default_rng(0)
+    text = langid.letters_of(" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(1500)))
+    different = {text[i : i + n] for n in langid.GRAMS for i in range(len(text) - n + 1)}
+    assert len(different) > 8000
+    assert len(langid.presence(text)) > 0.85 * len(different)
+
+
 def test_quality_of_documents_outside_the_fit(spark):
     docs = spark.read.parquet(f"{PATH}/documents.parquet").select("doc_id", "text", "source", "lang")
     labels = spark.read.parquet(f"{PATH}/labels.parquet")
