@@ -9,7 +9,9 @@ driver, at most ``BINS`` for each node.
 
 Groups stay together unless that would leave shards uneven: large ones, which are few by
 their weight, are dealt first, each to the shard with most room, and the tree fills what is
-left. A group larger than ``HUGE`` of a shard is dissolved to its single documents.
+left. A group larger than ``HUGE`` of a shard is dissolved to its single documents, and so is
+one over ``LARGE`` that no shard has room for at its turn, by falling weight. A group that
+weighs w meets the second case only when all shards have room for less than w each.
 """
 
 from __future__ import annotations

@@ -50,3 +50,15 @@ def test_odd_tables(spark):
     same = spark.createDataFrame([(None, "b")] * 50, "doc_id long, text string")
     rows = sharding.shard_documents(same, 4).collect()
     assert len(rows) == 50
+
+
+def test_groups_that_no_shard_has_room_for_are_dealt_out_and_no_other(spark):
+    # 60 groups of about half a shard and more: no two fit one shard.
+    rows = [(g * 100 + c, f"group {g:03d} ".ljust(50, "x")) for g in range(60) for c in range(12)]
+    rows += [(100_000 + i, f"s{i:03d}".ljust(10, "y")) for i in range(400)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=40).collect()
+    held = {}
+    for r in out:
+        if r["doc_id"] < 100_000:
+            held.setdefault(r["doc_id"] // 100, set()).add(r["shard"])
+    assert len(out) == len(rows) and sum(len(s) == 1 for s in held.values()) == 40
