@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, checkpointed
+from plumbline.llm.common import ascii_lower, stored
 
 #: What a line key loses at both ends: space, and the controls from tab to return.
 STRIPPED = "\t\n\v\f\r "
@@ -136,12 +136,12 @@ def dedup_lines(
         .groupBy("batch", "a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    staged = checkpointed(once)
+    staged = stored(once)
     store = LineRuns(spark, min_docs)
     try:
         for k in range(batches):
             store.add(staged.where(F.col("batch") == k).select("a", "b", "n"))
-        common = checkpointed(store.common())
+        common = stored(store.common())
     finally:
         store.drop()
     gone = (

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed
+from plumbline.llm.common import stored
 
 BINS = 4096
 #: Shares of a shard: a group over LARGE is dealt before the tree, one over HUGE is dissolved.
@@ -144,7 +144,7 @@ def build_tree(points: DataFrame, room: dict[int, float]) -> Node:
             child = F.when(F.col("node") == n.number, side).otherwise(child)
         going = [x.number for n in level for x in (n.low, n.high) if len(x.shards) > 1]
         if going:
-            here = checkpointed(here.withColumn("node", child).where(F.col("node").isin(going)))
+            here = stored(here.withColumn("node", child).where(F.col("node").isin(going)))
     return root
 
 
@@ -175,7 +175,7 @@ def shard_documents(
     results = ["size", "text_crc32", "shard", "slot"]
     kept = [c for c in docs.columns if c != text and c not in results]
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = checkpointed(
+    rows = stored(
         docs.select(
             *kept,
             document_sizes(docs, text).alias("size"),
@@ -188,7 +188,7 @@ def shard_documents(
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     target = total / shards
     group = ["__g1", "__g2"]
-    groups = checkpointed(
+    groups = stored(
         rows.groupBy(*group).agg(
             F.sum("size").alias("weight"),
             F.min("size").alias("size"),
@@ -221,7 +221,7 @@ def shard_documents(
     def keyed(df: DataFrame) -> DataFrame:
         tie = F.pmod(F.xxhash64(*group, "__id", "__source", "__lang"), F.lit(1 << (KEY_BITS - VALUE_BITS)))
         keys = {d: _key(v, ends[f"{d}_min"] or 0.0, ends[f"{d}_max"] or 0.0, tie) for d, v in measures.items()}
-        return checkpointed(df.withColumns(keys))
+        return stored(df.withColumns(keys))
 
     own = [*kept, "size", "text_crc32", *group, "__id"]
     whole = keyed(whole.select(*group, "weight", *inputs))
