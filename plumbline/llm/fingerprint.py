@@ -1,31 +1,38 @@
 """Document fingerprints: a homomorphic multiset hash of the sentences of a text's paragraphs.
 
-Every unit (a paragraph, cut after sentence ends) is hashed to a wide vector, and a
-document is the sum of its units' vectors, lane by lane modulo a power of two:
+Every unit (a paragraph, cut after sentence ends, with the line break or white space that
+ends it) is hashed to a wide vector, and a document is the sum of its units' vectors, lane
+by lane modulo a power of two:
 
 * 8 lanes of 32 bits modulo 2**32 (256 bits) decide equality;
-* 63 lanes of 20 bits modulo 2**20, three packed in a long, count how many units have
-  each of 63 hash bits set, and one lane counts the units. From two sums,
-  ``sum((2 * ones - units) ** 2) / 63`` of their difference estimates in how many units
-  the documents differ, which gives a likeness from 0 to 1.
+* 62 lanes modulo 2**30, two packed in a long, count how many units have each of 62 hash
+  bits set, and one lane counts the units. From two sums, ``sum((2 * ones - units) ** 2) / 62``
+  of their difference estimates in how many units the documents differ, which gives a
+  likeness from 0 to 1. A lane wraps only beyond a thousand million units.
 
-Sums do not depend on the order of units; ``added`` and ``removed`` insert and delete
+The units of a text joined are the text again, so texts with equal fingerprints have the
+same units with the same ends, in any order. ``added`` and ``removed`` insert and delete
 units, or whole documents, without reading the rest again. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-PACKED = 21
-LANE = (1 << 20) - 1
-#: Three lanes of 20 bits, each with a guard bit above it.
-MASK = LANE | LANE << 21 | LANE << 42
-ONES = 1 | 1 << 21 | 1 << 42
+#: Longs of two lanes, and the lanes' bits; each lane has a guard bit above it.
+PACKED = 31
+LANE = (1 << 30) - 1
+MASK = LANE | LANE << 31
+ONES = 1 | 1 << 31
 WIDE = (1 << 32) - 1
-#: The units of a text end at line breaks, and at white space after a sentence end.
-UNIT_END = r"\n|(?<=[.!?])\s"
+#: Units end after a line break, and after white space that follows a sentence end.
+UNIT_END = r"((?<=\n)|(?<=[.!?]\s))(?!\z)"
+#: Ranges of ids are cut for so many bytes of text each, and at most so many are made.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
+#: The cuts are found from about so many sampled rows for each range.
+SAMPLED = 20
 
 
 def units(text: Column) -> Column:
@@ -33,7 +40,7 @@ def units(text: Column) -> Column:
 
 
 def _vector(h: Column) -> list[Column]:
-    """What one unit adds: its count, 21 longs of three lanes, 8 wide lanes."""
+    """What one unit adds: its count, longs of two lanes, 8 wide lanes."""
     signs = [F.shiftrightunsigned(h["h0"], k).bitwiseAND(F.lit(ONES)) for k in range(PACKED)]
     wide = [
         half for k in range(1, 5) for half in (F.shiftrightunsigned(h[f"h{k}"], 32), h[f"h{k}"].bitwiseAND(F.lit(WIDE)))
@@ -74,7 +81,8 @@ def added(a: Column, b: Column) -> Column:
 def removed(a: Column, b: Column) -> Column:
     """The hash of a multiset from which the units of ``b`` are taken away."""
     # Each lane gets a power to borrow from; the mask drops it again.
-    loans = F.array(*[F.lit(x).cast("long") for x in (WIDE + 1, *[(MASK << 1 & ~MASK) | 1 << 20] * PACKED, *[WIDE + 1] * 8)])
+    guards = 1 << 30 | 1 << 61
+    loans = F.array(*[F.lit(x).cast("long") for x in (WIDE + 1, *[guards] * PACKED, *[WIDE + 1] * 8)])
     masks = F.array(*[F.lit(m).cast("long") for m in _MASKS])
     lent = F.zip_with(a, loans, lambda x, y: x.bitwiseOR(y))
     return F.zip_with(F.zip_with(lent, b, lambda x, y: x - y), masks, lambda x, m: x.bitwiseAND(m))
@@ -86,28 +94,24 @@ def likeness(a: Column, b: Column) -> Column:
     The estimated number of units in which they differ, against the units of both.
     """
     n_a, n_b = F.get(a, 0), F.get(b, 0)
-    half = 1 << 19
 
     def lane(x: Column, y: Column, shift: int) -> Column:
-        ones = F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(LANE)) - F.shiftrightunsigned(y, shift).bitwiseAND(
-            F.lit(LANE)
-        )
-        signed = (ones + half).bitwiseAND(F.lit(LANE)) - half
-        return signed.cast("double")
+        ones = [F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(LANE)) for c in (x, y)]
+        return (ones[0] - ones[1]).cast("double")
 
     pairs = F.zip_with(F.slice(a, 2, PACKED), F.slice(b, 2, PACKED), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    # sum((2d - u)^2) = 4 sum(d^2) - 4u sum(d) + 63 u^2, with u the difference in units.
+    # sum((2d - u)^2) = 4 sum(d^2) - 4u sum(d) + 62 u^2, with u the difference in units.
     sums = F.aggregate(
         pairs,
         F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
         lambda acc, p: F.struct(
-            (acc["s"] + lane(p["x"], p["y"], 0) + lane(p["x"], p["y"], 21) + lane(p["x"], p["y"], 42)).alias("s"),
-            (acc["q"] + sum(F.pow(lane(p["x"], p["y"], k), F.lit(2.0)) for k in (0, 21, 42))).alias("q"),
+            (acc["s"] + lane(p["x"], p["y"], 0) + lane(p["x"], p["y"], 31)).alias("s"),
+            (acc["q"] + sum(F.pow(lane(p["x"], p["y"], k), F.lit(2.0)) for k in (0, 31))).alias("q"),
         ),
         lambda acc: acc,
     )
     u = (n_a - n_b).cast("double")
-    differ = (4 * sums["q"] - 4 * u * sums["s"] + 63 * u * u) / 63.0
+    differ = (4 * sums["q"] - 4 * u * sums["s"] + 62 * u * u) / 62.0
     guess = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - differ / F.greatest(n_a + n_b, F.lit(1))))
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(guess, F.lit(0.999)))
 
@@ -134,38 +138,38 @@ def half_edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     Returns id, ``n_chars``, ``edited`` (text), ``fingerprint``, ``edited_fingerprint``
     (arrays), ``near_edited`` and ``near_next``.
 
-    Texts move once, dealt out by ranges of ids, and each range looks at its neighbour in
-    order; only the first row of a range is also sent to the range before it. Null ids come
-    last in the order, and rows of the same id are ordered by hash and length of their text,
-    so equal rows may stand in either order with the same result. A single document is its
-    own next one. An empty table gives an empty one. Null texts count as empty.
+    Ids are compared as they are, in the order Spark has for their type (strings by their
+    bytes). Null ids come last, and rows of the same id are ordered by a hash of their text,
+    so equal rows may stand in either order with the same result. Texts move once, dealt out
+    by ranges of ids, each of about ``RANGE_BYTES`` of text, and each range looks at its
+    neighbour in order; only the first row of a range is also sent to the range before it.
+    The ranges' cuts are found in a sample; they decide only where work is done. A range can
+    be crowded only by rows that are equal in id and text. A single document is its own next
+    one. An empty table gives an empty one. Null texts count as empty.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    key = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
-    known = docs.select(key.alias("k")).where(F.col("k") > float("-inf"))
-    cuts = sorted(set(known.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = (
-        docs.select(F.col(id_col).alias("__id"), body.alias("__text"), key.alias("__k"))
-        # The highest ids are in range 0.
-        .select("*", (len(cuts) - _cuts_below(F.col("__k"), cuts)).alias("__span"), F.lit(0).alias("__guest"))
-        .select("*", F.length("__text").cast("long").alias("n_chars"), F.xxhash64("__text").alias("__h"))
+    keyed = docs.select(
+        F.struct(F.col(id_col).alias("id"), F.xxhash64(body).alias("h")).alias("__key"), body.alias("__text")
     )
-    order = ["__guest", F.col("__k").desc(), "__h", "n_chars"]
-    head = rows.groupBy("__span").agg(
-        F.min_by(F.struct("__text", "__h", "n_chars", "__k", "__id"), F.struct(-F.col("__k"), "__h", "n_chars")).alias("x")
+    cuts = _range_cuts(keyed)
+    rows = keyed.select(
+        "*",
+        # The highest ids are in range 0.
+        (len(cuts) - _cuts_below(F.col("__key"), cuts, docs.schema[id_col].dataType)).alias("__range"),
+        F.lit(0).alias("__guest"),
+        F.length("__text").cast("long").alias("n_chars"),
     )
+    head = rows.groupBy("__range").agg(F.max_by(F.struct("__key", "__text", "n_chars"), "__key").alias("x"))
     # The first row of each range is a guest at the end of the range before it. These
-    # windows are over one row for each range, so over ``parts`` rows at most.
-    by_span = Window.orderBy("__span")
+    # windows are over one row for each range.
+    by_range = Window.orderBy("__range")
     guests = head.select(
         "x.*",
-        F.coalesce(F.lag("__span").over(by_span), F.max("__span").over(Window.partitionBy(F.lit(0)))).alias("__span"),
+        F.coalesce(F.lag("__range").over(by_range), F.max("__range").over(Window.partitionBy(F.lit(0)))).alias("__range"),
         F.lit(1).alias("__guest"),
     )
     hashed = rows.unionByName(guests).withColumn("__print", multiset_hash(F.col("__text")))
-    within = Window.partitionBy("__span").orderBy(*order)
+    within = Window.partitionBy("__range").orderBy("__guest", F.col("__key").desc())
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
         F.substring(F.col("__text"), F.lit(1), (F.col("n_chars") - half).cast("int")),
@@ -174,10 +178,10 @@ def half_edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     return (
         hashed.withColumn("__next", F.lead(F.struct("__text", "__print")).over(within))
         .where(F.col("__guest") == 0)
-        .select("__id", "n_chars", "__print", F.col("__next.__print").alias("__next_print"), edited.alias("edited"))
+        .select("__key.id", "n_chars", "__print", F.col("__next.__print").alias("__next_print"), edited.alias("edited"))
         .withColumn("edited_fingerprint", multiset_hash(F.col("edited")))
         .select(
-            F.col("__id").alias(id_col),
+            F.col("id").alias(id_col),
             "n_chars",
             "edited",
             F.col("__print").alias("fingerprint"),
@@ -188,12 +192,34 @@ def half_edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     )
 
 
-def _cuts_below(key: Column, cuts: list[float]) -> Column:
-    """How many of the sorted cuts are below the key, by two steps of about sqrt(cuts) comparisons."""
+def _range_cuts(keyed: DataFrame) -> list[Row]:
+    """Keys, in order, that cut all rows into ranges of about equal bytes of text."""
+    n, size = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
+    ranges = min(MOST_RANGES, -(-size // RANGE_BYTES))
+    if ranges < 2:
+        return []
+    share = min(1.0, SAMPLED * ranges / n)
+    place = F.pmod(F.xxhash64(F.lit("range"), "__key.id", "__key.h"), F.lit(1_000_003)) / 1_000_003
+    # At most about SAMPLED * MOST_RANGES keys.
+    sample = keyed.where(place <= share).select("__key", F.octet_length("__text").alias("b")).orderBy("__key").collect()
+    total, seen, cuts = sum(r["b"] for r in sample), 0, []
+    for before, r in zip(sample, sample[1:], strict=False):
+        seen += before["b"]
+        if seen * ranges >= total * (len(cuts) + 1) and (not cuts or cuts[-1] != r["__key"]):
+            cuts.append(r["__key"])
+    return cuts
+
+
+def _cuts_below(key: Column, cuts: list[Row], kind: DataType) -> Column:
+    """How many of the sorted cuts are at most the key, by two steps of about sqrt(cuts) comparisons."""
     if not cuts:
         return F.lit(0)
+
+    def listed(some: list[Row]) -> Column:
+        return F.array(*[F.struct(F.lit(c["id"]).cast(kind).alias("id"), F.lit(c["h"]).cast("long").alias("h")) for c in some])
+
     step = max(1, int(len(cuts) ** 0.5))
-    blocks = F.array(*[F.array(*map(F.lit, cuts[i : i + step])) for i in range(0, len(cuts), step)])
-    full = F.size(F.filter(F.array(*map(F.lit, cuts[step - 1 :: step])), lambda c: c < key))
-    rest = F.size(F.filter(F.coalesce(F.get(blocks, full), F.array().cast("array<double>")), lambda c: c < key))
+    blocks = F.array(*[listed(cuts[i : i + step]) for i in range(0, len(cuts), step)])
+    full = F.size(F.filter(listed(cuts[step - 1 :: step]), lambda c: c <= key))
+    rest = F.coalesce(F.size(F.filter(F.get(blocks, full), lambda c: c <= key)), F.lit(0))
     return full * step + rest
