@@ -1,41 +1,40 @@
 """Language ID by string kernels: presence of character n-grams, Nystrom landmarks, ridge.
 
 The blended-spectrum presence kernel of two texts counts the character n-grams (n = 1 to 4,
-after lower-casing, with runs of anything but letters as one space) that both have; it is
-divided by the root of the product of their own counts. A few landmark texts stand for the
-space: with K the kernel of landmarks among themselves, a text's features are its kernels
-with the landmarks times K^(-1/2), and one ridge regression per language (that language
-against the rest) scores them.
-
-The fit takes a bounded sample (``SAMPLE`` texts a language, the lowest hashes of their
-text); its size doesn't depend on the input. Every text is read whole when it is scored.
+after lower-casing, with runs of anything but letters as one space) that both have, divided
+by the root of the product of their own counts. N-grams are known by 64 bits each, so long
+texts don't run together. A few landmark texts stand for the space: with K the kernel of
+landmarks among themselves, a text's features are its kernels with the landmarks times
+K^(-1/2), and one ridge regression per language (that language against the rest) scores
+them. Batches of texts are scored by one matrix product.
+
+Every language of the labelled rows is learned. The fit takes a bounded sample of them: at
+most ``SAMPLE`` texts of a language and ``ALL_SAMPLE`` in all (but one for each language at
+least), the lowest hashes of their text. Every text is read whole when it is scored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import with_columns
 
-#: Bounds of the fit: texts for each language, languages, code points of a text in the sample.
-SAMPLE, LANGUAGES, SAMPLE_CHARS = 150, 100, 200_000
-#: Landmarks for each language and in all.
-LANDMARKS, ALL_LANDMARKS = 24, 512
+#: Bounds of the fit: texts for each language, texts in all, code points of a text in the sample.
+SAMPLE, ALL_SAMPLE, SAMPLE_CHARS = 150, 15_000, 200_000
+#: Landmarks for each language and in all; of a language's sample, the texts nearest to this length.
+LANDMARKS, ALL_LANDMARKS, LANDMARK_CHARS = 24, 512, 3_000
 GRAMS = (1, 2, 3, 4)
-#: Presence is kept in so many hashed places: few n-grams share one, also those of long texts.
-PLACE_BITS = 16
-PLACES = 1 << PLACE_BITS
 RIDGE = 1e-3
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters_of(text: str | None) -> str:
@@ -45,103 +44,129 @@ def letters_of(text: str | None) -> str:
 
 
 def presence(text: str) -> np.ndarray:
-    """The places that the n-grams of a prepared text fall into, in order."""
+    """The different n-grams of a prepared text as sorted numbers of 64 bits."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    found = np.zeros(PLACES, bool)
     rolled = np.zeros(len(codes), np.uint64)
+    found = []
     for n in range(1, max(GRAMS) + 1):
         if len(codes) < n:
             break
         # The n-gram that ends at each character, as a number; then its upper bits mixed.
         rolled = rolled[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
         if n in GRAMS:
-            found[((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)] = True
-    return np.flatnonzero(found)
-
-
-def kernel(rows: list[np.ndarray], marks: np.ndarray) -> np.ndarray:
-    """How many places each row has in common with each landmark, over the root of the row's own number."""
-    if not rows:
-        return np.zeros((0, marks.shape[1]), np.float32)
-    return np.stack([marks[r].sum(axis=0) / np.sqrt(max(len(r), 1)) for r in rows])
+            found.append(rolled * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+class Landmarks:
+    """The n-grams of the landmark texts, and for each n-gram the landmarks that have it."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        self.root = np.sqrt([max(len(r), 1) for r in rows])
+        grams = np.concatenate([np.zeros(0, np.uint64), *rows])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
+        order = np.argsort(grams, kind="stable")
+        self.owner = owner[order]
+        self.grams, start = np.unique(grams[order], return_index=True)
+        self.start = np.append(start, len(grams))
+
+    def kernel(self, rows: list[np.ndarray]) -> np.ndarray:
+        """One row for each text, one column for each landmark."""
+        out = np.zeros((len(rows), self.n))
+        for i, r in enumerate(rows):
+            if not len(r) or not len(self.grams):
+                continue
+            at = np.minimum(np.searchsorted(self.grams, r), len(self.grams) - 1)
+            at = at[self.grams[at] == r]
+            first, count = self.start[at], self.start[at + 1] - self.start[at]
+            flat = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            out[i] = np.bincount(self.owner[flat], minlength=self.n) / np.sqrt(len(r))
+        return out / self.root
 
 
 @dataclass(frozen=True)
 class KernelModel:
-    """``landmarks``: places x landmarks, scaled; ``weights``: landmarks x languages."""
+    """``weights``: landmarks x languages."""
 
     languages: tuple[str, ...]
-    landmarks: np.ndarray
+    landmarks: Landmarks
     weights: np.ndarray
     bias: np.ndarray
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        return kernel(rows, self.landmarks) @ self.weights + self.bias
+        return self.landmarks.kernel(rows) @ self.weights + self.bias
+
+
+def choose_landmarks(texts: list[str], langs: list[str], each: int = LANDMARKS) -> list[int]:
+    """Places of the landmarks: as many of each language, of those of middle length; ``ALL_LANDMARKS`` at most."""
+    languages = sorted(set(langs))
+    each = max(1, min(each, ALL_LANDMARKS // max(len(languages), 1)))
+
+    def middle(i: int) -> tuple[float, int]:
+        return abs(np.log((len(texts[i]) + 1) / LANDMARK_CHARS)), i
+
+    own = {lang: [] for lang in languages}
+    for i, lang in enumerate(langs):
+        own[lang].append(i)
+    chosen = [i for lang in languages for i in sorted(own[lang], key=middle)[:each]]
+    return chosen[:: -(-len(chosen) // ALL_LANDMARKS)] if chosen else []
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
     """Kernel ridge regression on Nystrom features, one against the rest."""
     languages = tuple(sorted(set(langs)))
-    landmarks = max(2, min(landmarks, ALL_LANDMARKS // max(len(languages), 1)))
     rows = [presence(letters_of(t)) for t in texts]
-    chosen = [i for lang in languages for i in [k for k, x in enumerate(langs) if x == lang][:landmarks]]
-    marks = np.zeros((PLACES, len(chosen)), np.float32)
-    for k, i in enumerate(chosen):
-        marks[rows[i], k] = 1 / np.sqrt(max(len(rows[i]), 1))
-    shared = kernel(rows, marks)
-    own = shared[chosen].astype(np.float64)
+    chosen = choose_landmarks(texts, langs, landmarks)
+    marks = Landmarks([rows[i] for i in chosen])
+    shared = marks.kernel(rows)
+    own = shared[chosen]
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * max(values.max(initial=0), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = shared @ root
-    mean = features.mean(axis=0) if len(features) else np.zeros(features.shape[1])
-    centred = features - mean
-    aims = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x in langs]).reshape(len(langs), -1)
+    place = {lang: k for k, lang in enumerate(languages)}
+    of = np.array([place[x] for x in langs], dtype=int)
+    aims = np.full((len(langs), len(languages)), -1.0)
+    aims[np.arange(len(langs)), of] = 1.0
     # Each language weighs the same, however many texts it has.
-    w = np.array([1 / langs.count(x) for x in langs])[:, None] * (len(langs) / max(len(languages), 1))
+    w = (len(langs) / len(languages) / np.bincount(of, minlength=len(languages)))[of][:, None]
+    mean, mid = (w * features).sum(axis=0) / w.sum(), (w * aims).sum(axis=0) / w.sum()
+    centred = features - mean
     gram = centred.T @ (w * centred) + ridge * len(langs) * np.eye(centred.shape[1])
-    mid = (w * aims).sum(axis=0) / max(w.sum(), 1e-12)
-    beta = np.linalg.solve(gram, centred.T @ (w * (aims - mid))) if len(langs) else np.zeros((0, 0))
-    return KernelModel(
-        languages,
-        marks,
-        (root @ beta).astype(np.float32),
-        (mid - mean @ beta).astype(np.float32),
-    )
+    beta = np.linalg.solve(gram, centred.T @ (w * (aims - mid)))
+    return KernelModel(languages, marks, root @ beta, mid - mean @ beta)
 
 
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang") -> KernelModel | None:
-    """Fits on at most ``SAMPLE`` texts of each of the ``LANGUAGES`` commonest languages.
+    """Fits on a sample of the texts of every language; None where there is nothing to learn from.
 
-    Rows with a null language, or a text without letters or over ``SAMPLE_CHARS``, aren't used. The sample of a
-    language is its texts of lowest hash, so it depends on the rows only, not on their
-    order. None where there is nothing to learn from.
+    Rows with a null language, or a text without letters or over ``SAMPLE_CHARS``, aren't used.
+    The sample of a language is its different texts of lowest hash, so it depends on the rows
+    only, not on their order or on how often a text is repeated. A text of two languages is in
+    the sample of both. How many languages there are is taken to be what a driver can hold.
     """
     known = labelled.where(
         F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= SAMPLE_CHARS)
-    )
-    place = F.xxhash64(F.lit("sample"), F.col(text))
+    ).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), F.col(text)).alias("place"))
     # Copies of a text have one place, so the share that is taken goes by different places, not by rows.
-    sizes = known.groupBy(lang).agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct(place, 0.03).alias("texts"))
-    common = sizes.orderBy(F.desc("count"), lang).limit(LANGUAGES)
-    n = {r[0]: max(r["texts"], 1) for r in common.collect()}
-    if not n:
+    sizes = {r[0]: max(r[1], 1) for r in known.groupBy("lang").agg(F.approx_count_distinct("place", 0.03)).collect()}
+    if not sizes:
         return None
+    each = max(1, min(SAMPLE, ALL_SAMPLE // len(sizes)))
     # First those of low hash, by a share that leaves enough of each language (twice as many texts as
     # are needed; the counts are off by some hundredths), then the lowest.
-    share = F.element_at(
-        F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, 2 * SAMPLE / v + 20 / v))]), F.col(lang)
-    )
-    low = known.where(F.col(lang).isin(list(n))).where(
-        (F.pmod(place, F.lit(1_000_003)) / 1_000_003) <= share
-    )
-    picked = F.slice(
-        F.array_sort(F.collect_set(F.struct(place.alias("h"), F.col(text).alias("t")))),
-        1,
-        SAMPLE,
+    shares = labelled.sparkSession.createDataFrame(
+        [(k, min(1.0, 2 * each / v + 20 / v)) for k, v in sizes.items()], "lang string, share double"
     )
-    rows = low.groupBy(lang).agg(picked.alias("x")).orderBy(lang).collect()
-    pairs = [(t["t"], r[0]) for r in rows for t in r["x"]]
+    low = known.join(F.broadcast(shares), "lang").where(F.pmod("place", F.lit(1_000_003)) / 1_000_003 <= F.col("share"))
+    found = low.groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
+    taken: dict[str, int] = {}
+    pairs = []
+    for r in sorted(found, key=lambda r: (r["lang"], r["place"])):
+        if taken.setdefault(r["lang"], 0) < each:
+            taken[r["lang"]] += 1
+            pairs.append((r["text"], r["lang"]))
     return fit([t for t, _ in pairs], [x for _, x in pairs]) if pairs else None
 
 
@@ -154,11 +179,13 @@ def predict_languages(docs: DataFrame, model: KernelModel | None, text: str = "t
     """``docs`` with ``lang_pred`` and ``score``; one narrow pass over whole texts.
 
     ``score`` is the softmax share (0 to 1) of the predicted language. A null text, or one
-    without letters, gives ``und`` and 0; so does everything if there is no model. Columns of
-    ``docs`` with these names are replaced, others pass. Equal texts get equal results.
+    without letters (numerals of any kind aren't letters), gives ``und`` and 0; so does
+    everything if there is no model. Of languages with equal scores the first by name is
+    predicted. Columns of ``docs`` with these names are replaced, others pass. Equal texts get
+    equal results.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most ALL_LANDMARKS columns, most of whose places are 0: 32 MB for each 128
+    # At most ALL_LANDMARKS texts' n-grams and a weight for each landmark and language.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def made(batch: pa.RecordBatch) -> list:
         model = shared.value

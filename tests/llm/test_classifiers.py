@@ -44,12 +44,55 @@ def test_a_language_with_many_copies_has_a_full_sample(spark, monkeypatch):
         assert len(texts) == len(set(texts)) == langid.SAMPLE
 
 
-def test_different_ngrams_of_a_long_text_seldom_share_a_place():
+def grams(text):
+    t = langid.letters_of(text)
+    return {t[i : i + n] for n in langid.GRAMS for i in range(len(t) - n + 1)}
+
+
+def test_presence_and_kernel_are_exact():
     rng = np.random.default_rng(0)
-    text = langid.letters_of(" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(1500)))
-    different = {text[i : i + n] for n in langid.GRAMS for i in range(len(text) - n + 1)}
-    assert len(different) > 8000
-    assert len(langid.presence(text)) > 0.85 * len(different)
+    texts = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)) for n in (1, 7, 300, 20_000)]
+    assert [len(langid.presence(langid.letters_of(t))) for t in texts] == [len(grams(t)) for t in texts]
+    rows = [langid.presence(langid.letters_of(t)) for t in texts]
+    want = [[len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5 for b in texts[:3]] for a in texts]
+    assert np.allclose(langid.Landmarks(rows[:3]).kernel(rows), want)
+
+
+def test_scores_are_kernel_ridge_regression(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and length(text) > 20")
+    pairs = [(r["text"], r["lang"]) for r in docs.orderBy("doc_id").limit(60).collect()]
+    texts, langs = [t for t, _ in pairs], [x for _, x in pairs]
+    model = langid.fit(texts, langs, landmarks=1000)  # every text is a landmark: no approximation is left
+    assert model.landmarks.n == len(texts)
+    k = np.array([[len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5 for b in texts] for a in texts])
+    names = sorted(set(langs))
+    n, w = len(langs), np.array([len(langs) / len(names) / langs.count(x) for x in langs])
+    for j, name in enumerate(names):
+        y = np.array([1.0 if x == name else -1.0 for x in langs])
+        # Weighted ridge in the dual: centred kernel, (K W + ridge n I) a = y, f = K W a.
+        c = np.eye(n) - np.outer(np.ones(n), w / w.sum())
+        kc = c @ k @ c.T
+        mid = (w * y).sum() / w.sum()
+        f = kc @ (w * np.linalg.solve(kc * w[None, :] + langid.RIDGE * n * np.eye(n), y - mid)) + mid
+        got = model.scores([langid.presence(langid.letters_of(t)) for t in texts])[:, j]
+        assert np.allclose(got, f, atol=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"wort{k:03d} " * 5 + f"n{chr(97 + i)}", f"l{k:03d}") for k in range(130) for i in range(3)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.fit_languages(df.withColumn("text", F.translate("text", "0123456789", "abcdefghij")))
+    assert len(model.languages) == 130 and model.landmarks.n <= langid.ALL_LANDMARKS
+    assert len(langid.choose_landmarks(["x"] * 3000, [f"l{i % 1500}" for i in range(3000)])) <= langid.ALL_LANDMARKS
+
+
+def test_numerals_are_not_letters_and_ties_have_a_result(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["½ ² ①", "Ⅷ", "१२३", "the dog", "the dog"])]
+    rows += [(10 + i, "same words here", x) for i, x in enumerate(["en", "de", "en", "de"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(docs, langid.fit_languages(docs)).collect()}
+    assert [got[i] for i in (0, 1, 2)] == ["und"] * 3
+    assert got[3] == got[4] == "en" and len({got[i] for i in range(10, 14)}) == 1
 
 
 def test_quality_of_documents_outside_the_fit(spark):
