@@ -52,7 +52,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,128}(?![A-Za-z0-9_+/=-])")
+#: A run of any length, also with parts joined by dots, as signed tokens have, and padded at its end.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{20,}(?:\.[A-Za-z0-9_+/-]{8,})*={0,2}(?![A-Za-z0-9_+/=-])")
+_LETTER = re.compile(r"[A-Za-z]")
+_AT_WORD = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,8}")
+_LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[a-z]+")
@@ -92,11 +96,17 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """``(kind, start, end, base)``: matches of the base patterns, and weaker ones of all kinds."""
     for a, b in emails(text):
         yield "email", a, b, True
+    if "at]" in text or "at)" in text:
+        for m in _AT_WORD.finditer(text):
+            yield "email", *m.span(), False
     if _DIGIT.search(text) is None:
         return
     for m in _IP.finditer(text):
         if _ip_ok(m[0]):
             yield "ip", *m.span(), True
+    if ":" in text:
+        for m in _LONG_IP.finditer(text):
+            yield "ip", *m.span(), False
     for m in _CARD.finditer(text):
         digits = _only_digits(m[0])
         if 13 <= len(digits) <= 19:
@@ -108,7 +118,7 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in _LOCAL_PHONE.finditer(text):
         yield "phone", *m.span(), False
     for m in _SECRET.finditer(text):
-        if _DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0]):
+        if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
             yield "secret", *m.span(), False
     for m in _NATIONAL.finditer(text):
         yield "national_id", *m.span(), False
@@ -125,14 +135,14 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
         check = 1 if luhn(digits) else -1
         listed = 1 if digits.startswith(ISSUERS) else -1
     elif kind == "ip":
-        check = 1 if _ip_ok(s) else -1
-        listed = -1 if s.startswith(("0.", "127.", "255.")) else 0
+        check = 1 if ":" in s or _ip_ok(s) else -1
+        listed = -1 if s.startswith(("0.", "127.", "255.", "0:0:0:0:")) else 0
     elif kind == "phone":
         check = 1 if 9 <= len(digits) <= 15 else 0
         listed = 1 if s[0] == "+" and digits.startswith(CALLING) else 0
     elif kind == "email":
         check = 0
-        listed = 1 if s.rpartition(".")[2].lower() in DOMAINS else 0
+        listed = 1 if re.split(r"[^a-z]+", s.lower())[-1] in DOMAINS else 0
     elif kind == "secret":
         share = len(digits) / len(s)
         check = 1 if 0.2 <= share <= 0.9 and len(set(s)) >= 10 else -1
@@ -240,33 +250,52 @@ def train(counts: dict[str, int], likely: dict[str, float], rounds: int = 400) -
     return dict(zip(names, 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))), strict=True))
 
 
+FOUND = T.StructType(
+    [
+        T.StructField(
+            "spans",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("kind", T.StringType()),
+                        T.StructField("start", T.LongType()),
+                        T.StructField("end", T.LongType()),
+                        T.StructField("base", T.BooleanType()),
+                        T.StructField("score", T.DoubleType()),
+                    ]
+                ),
+                False,
+            ),
+            False,
+        )
+    ]
+)
+
+
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without its text, with ``spans``: all base spans, and those the classifier adds.
 
     A span has ``kind``, ``start``, ``end``, ``base`` and ``score``, in code points, end
-    exclusive; spans are in the order of ``KINDS`` (its place is ``k``), then start. Candidates are found in one pass over whole texts and kept in the
-    shared folder; only pattern counts reach the driver.
+    exclusive; spans are in the order of ``KINDS``, then of start. Candidates, of any length,
+    are found in one pass over whole texts and kept in the shared folder; only pattern counts
+    reach the driver, and a score for each pattern (kinds x votes x shapes at most) the tasks.
 
     A null or empty text has no spans. Columns named ``spans`` or ``candidates`` are replaced;
     others pass. Equal texts get equal spans. An empty table gives an empty one.
     """
     found = stored(with_candidates(docs, text).drop(text), "pii-candidates")
     each = found.select(F.explode("candidates").alias("c")).groupBy("c.pattern").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["pattern"]: r["n"] for r in each.collect()}  # kinds x votes x shapes at most
-    score = train(counts, estimate(counts))
-    known = F.create_map(*[F.lit(x) for k, v in score.items() for x in (k, float(v))]) if score else None
-    order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    of = (lambda c: known[c["pattern"]]) if score else (lambda c: F.lit(0.0))
-    scored = F.transform(
-        "candidates",
-        lambda c: F.struct(
-            order[c["kind"]].alias("k"),
-            c["start"].alias("start"),
-            c["end"].alias("end"),
-            c["kind"].alias("kind"),
-            c["base"].alias("base"),
-            of(c).alias("score"),
-        ),
-    )
-    kept = F.array_sort(F.filter(scored, lambda s: s["base"] | (s["score"] >= threshold)))
-    return found.withColumn("spans", kept).drop("candidates")
+    counts = {r["pattern"]: r["n"] for r in each.collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(train(counts, estimate(counts)))
+    order = {k: i for i, k in enumerate(KINDS)}
+
+    def made(batch: pa.RecordBatch) -> list:
+        score = shared.value
+        rows = []
+        for spans in batch.column("candidates").to_pylist():
+            kept = [s | {"score": float(score[s["pattern"]])} for s in spans]
+            kept = [s for s in kept if s["base"] or s["score"] >= threshold]
+            rows.append(sorted(kept, key=lambda s: (order[s["kind"]], s["start"], s["end"])))
+        return [rows]
+
+    return with_columns(found, FOUND, made).drop("candidates")

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,31 @@ def test_em_learns_which_labeler_to_trust():
     likely = pii.estimate(counts)
     got = pii.train(counts, likely)
     assert got["secret:0,1,1,1,0,1:500"] > 0.9 and got["secret:0,-1,0,0,0,-1:300"] < 0.1
+
+
+def test_spans_beyond_the_base(spark):
+    """Kinds, places and lengths of what the classifier adds, and how much of each kind it finds."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("aeioulmnrst", k=rng.randint(3, 8)))
+    rows, want = [], []
+    for i in range(400):
+        kind = i % 5
+        hidden = (
+            "".join(rng.choices(string.ascii_letters + string.digits, k=rng.choice([32, 40, 129, 700]))),
+            ".".join("".join(rng.choices(string.ascii_letters + string.digits + "_-", k=k)) for k in (36, 80, 43)),
+            f"{word()}.{word()} [at] {word()} [dot] com",
+            ":".join(f"{rng.randint(4096, 65535):x}" for _ in range(8)),
+            f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        )[kind]
+        lead = ("the token = ", "bearer ", "contact ", "host ", "ssn ")[kind]
+        before = " ".join(word() for _ in range(6)) + " " + lead
+        rows.append((i, before + hidden + " " + word()))
+        want.append(("secret secret email ip national_id".split()[kind], len(before), len(before) + len(hidden)))
+    rows += [(1000 + i, f"version {i} checksum " + " ".join(word() for _ in range(30))) for i in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = {k: [] for k in ("secret", "email", "ip", "national_id")}
+    for i, (kind, a, b) in enumerate(want):
+        hits[kind].append((kind, a, b) in {(s["kind"], s["start"], s["end"]) for s in got[i]})
+        assert all(0 <= s["score"] <= 1 and not s["base"] for s in got[i] if s["kind"] == kind)
+    assert {k: sum(v) / len(v) > 0.9 for k, v in hits.items()} == dict.fromkeys(hits, True)
+    assert not any(got[1000 + i] for i in range(200))
