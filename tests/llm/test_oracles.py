@@ -1,6 +1,7 @@
 """Queries with SQL twins, held against them; and the odd tables of their operators."""
 
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -50,13 +51,13 @@ def test_runs_count_over_all_batches(spark, batches):
     assert kept == {i: "\n".join(x for x in t.split("\n") if x and 60 / (int(x[5:]) + 1) < 10) for i, t in texts}
 
 
-def test_contamination_of_odd_tables(spark, monkeypatch):
+def test_contamination_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "The QUICK, brown fox."), (4, "x " * 200 + "Quick-brown fox"), (4, "quick brown")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "quick brown FOX"), (7, "fox"), (None, "brown"), (8, None), (9, "!")], "item_id long, text string")
     want = [(1, 0, 0, [], False), (2, 0, 0, [], False), (3, 4, 3, ["7"], True), (4, 2, 1, [], True), (4, 203, 3, ["7"], False)]
-    for chars in (decontaminate.BLOCK_CHARS, 1):
-        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
-        out = decontaminate.find_contamination(docs, items).collect()
+    clash = docs.withColumn("n_words", F.lit("clash")).withColumn("__items", F.lit(0))
+    for given, most in ((docs, decontaminate.MOST_WORDS), (docs, 1), (clash, 3)):
+        out = decontaminate.find_contamination(given, items, most_words=most).collect()
         assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["hit_items"], r["contaminated"]) for r in out) == want
         spans = {r["n_words"]: r["hit_spans"] for r in out}
         assert [tuple(s) for s in spans[4]] == [(4, 20)] and [tuple(s) for s in spans[203]] == [(400, 415)]
@@ -64,6 +65,50 @@ def test_contamination_of_odd_tables(spark, monkeypatch):
     assert decontaminate.find_contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def plain_hits(text, items, size):
+    """Hit words and items of a text, by looking at each window of each item at each word."""
+    w = [bytes(x) for x in licenses.words_of(text)]
+    hit, names = set(), set()
+    for name, t in items:
+        v = [bytes(x) for x in licenses.words_of(t)]
+        n = min(size, len(v))
+        for i in range(len(v) - n + 1 if v else 0):
+            for j in range(len(w) - n + 1):
+                if w[j : j + n] == v[i : i + n]:
+                    hit.update(range(j, j + n))
+                    names.add(str(name))
+    return len(hit), sorted(names)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 6, 13])
+def test_contamination_is_brute_force(spark, size):
+    rng = random.Random(size)
+    word = lambda: rng.choice("abcdé") + rng.choice(["", "1", "x"])
+    items = [(i, " ".join(word() for _ in range(rng.randint(0, 4 * size)))) for i in range(30)]
+    pieces = [t.split()[a:] for _, t in items for a in (0, 1, 3)]
+    docs = [(i, " ".join(x for _ in range(5) for x in [word(), *rng.choice(pieces)])) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (10**6, 40):
+        out = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, size=size, most_words=most)
+        got = {r["doc_id"]: (r["n_hit"], r["hit_items"]) for r in out.collect()}
+        assert got == {k: plain_hits(t, items, size) for k, t in docs}
+
+
+def test_a_large_benchmark_is_one_automaton(spark):
+    """Twenty million characters, items that share their first words, and a very long text."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(50_000)]
+    lead = "which of the following statements is true about"
+    items = [(i, f"{lead} " + " ".join(rng.choices(vocabulary, k=700))) for i in range(4000)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    cut = items[77][1].split()
+    texts = [(1, " ".join(cut[100:113])), (2, " ".join(cut[100:112])), (3, f"{lead} nothing " * 1000), (4, " ".join(rng.choices(vocabulary, k=200_000)) + " " + " ".join(cut[5:40]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    out = decontaminate.find_contamination(docs, bench)
+    got = {r["doc_id"]: (r["n_hit"], r["hit_items"], r["contaminated"]) for r in out.collect()}
+    assert got == {1: (13, ["77"], True), 2: (0, [], False), 3: (0, [], False), 4: (35, ["77"], False)}
+
+
 def test_licenses_by_brute_force(spark):
     lines = [t for _, t in licenses.TEMPLATES] + ["nothing here", "", "cc by nc cc by nc", "licensed under the Apache thing version two"]
     texts = [(1, None), (2, ""), (3, "\n".join(lines))] + [(10 + i, " ".join(t.split()[k:])) for i, t in enumerate(lines) for k in range(4)]
