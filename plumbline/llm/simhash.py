@@ -3,16 +3,21 @@
 Fingerprints link when they differ in at most ``radius`` bits. The 64 bits are dealt to m
 partitions. If partition i has the threshold t_i >= -1 and sum(t_i + 1) = radius + 1, then
 two linked fingerprints are within t_i on partition i for some i (a threshold of -1 skips
-a partition). So each fingerprint is indexed under its own value of each partition in use,
-and probes all values within t_i of it; what meets there is verified on all 64 bits.
+a partition). So each fingerprint is indexed once in each partition in use, under its own
+value there, and probes the other values within t_i of it. Of two values each is within t_i
+of the other, so only the smaller one probes. What meets in a value is verified on all 64
+bits: indexed fingerprints with each other, and probes with indexed ones.
 
 * Correlated bits share a partition: then their values repeat together in one partition
   and leave the other partitions more selective.
 * Thresholds, and the number of partitions, come from dynamic programming over estimated
-  numbers of candidates and probes, from bit and value counts over all fingerprints.
-* A value that very many fingerprints share is cut into chunks; every pair of chunks is a
+  numbers of candidates and probes, from counts of bits and of pairs of bits over all
+  fingerprints.
+* Where very many fingerprints meet in one value, they can differ in at most ``radius`` of the
+  other bits: they are dealt again by ``radius + 1`` parts of these, of which one must be equal.
+  What is still crowded is cut into chunks, and every pair of chunks that must meet is a
   group of its own, so no task gathers an unbounded group. Groups return links that span
-  them (at most one for each member), not all of their pairs.
+  them, not all of their pairs.
 
 Copies, and all texts of one fingerprint, are one node from the start.
 """
@@ -30,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import LOWER_BYTES, checkpointed, with_columns
+from plumbline.llm.common import LOWER_BYTES, stored, with_columns
 from plumbline.llm.graph import connected_components
 
 BITS = 64
@@ -135,13 +140,13 @@ def estimated_candidates(both: np.ndarray, n: int, partition: tuple[int, ...], r
     return np.concatenate([[0.0], np.cumsum(chance)]) * n
 
 
-def probes(width: int, t: int) -> int:
-    """How many values are within t bits of one of ``width`` bits."""
+def probes(width: int, t: int) -> float:
+    """How many entries a fingerprint has in a partition of ``width`` bits: its own, and half of the values near it."""
     total, ways = 0, 1
     for k in range(t + 1):
         total += ways
         ways = ways * (width - k) // (k + 1)
-    return total
+    return (1 + total) / 2
 
 
 #: What a probe costs (it is shuffled), in units of a candidate (which is compared).
@@ -156,7 +161,7 @@ def choose_scheme(both: np.ndarray, n: int, radius: int = 3) -> Scheme:
         cost = []
         for part in parts:
             hits = estimated_candidates(both, n, part, radius)
-            cost.append([0.0] + [hits[t + 1] + PROBE_COST * probes(len(part), t) for t in range(radius + 1)])
+            cost.append([0.0] + [hits[t + 1] / 2 + PROBE_COST * probes(len(part), t) for t in range(radius + 1)])
         # spent[k]: least cost with sum(t_i + 1) = k so far, and the thresholds that give it.
         spent: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for row in cost:
@@ -178,13 +183,19 @@ def _masks(partition: tuple[int, ...], t: int) -> list[int]:
     return [sum(1 << b for b in bits) for k in range(t + 1) for bits in combinations(partition, k)]
 
 
-def _spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join what is within the radius, directly or over others of these; fewer than members."""
+#: What an entry is in its group: compared with all, with indexed ones, or with probes only.
+INDEXED, PROBE, MET = 0, 1, 2
+
+
+def _spanning(values: np.ndarray, roles: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that join what is within the radius, directly or over others of these; probes stand last."""
     n = len(values)
+    probe = int(np.searchsorted(roles == PROBE, True)) if PROBE in roles else n
     label = np.arange(n)
     links = []
-    for i in range(n - 1):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius)
+    for i in range(probe):
+        first = i + 1 if roles[i] == INDEXED else probe
+        near = first + np.flatnonzero(np.bitwise_count(values[first:] ^ values[i]) <= radius)
         near = near[label[near] != label[i]]
         while len(near):
             j = int(near[0])
@@ -194,43 +205,89 @@ def _spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(nodes: DataFrame, scheme: Scheme, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """Links ``(a, b)`` between the fingerprints of ``nodes``, which must be distinct.
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) * (bits >> 63)).cast("long")
 
-    Two within the radius are linked, or joined by links over others. A group of more than
-    eight returns fewer links than it has members.
-    """
-    used = [(i, p, t) for i, (p, t) in enumerate(zip(scheme.partitions, scheme.thresholds, strict=True)) if t >= 0]
+
+def entries_of(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(fingerprint, part, value, role)``: each fingerprint once indexed and its probes, in each partition in use."""
     keys = []
-    for i, part, t in used:
-        own = sum(1 << b for b in part)
-        own -= (1 << 64) * (own >> 63)
+    for i, (part, t) in enumerate(zip(scheme.partitions, scheme.thresholds, strict=True)):
+        if t < 0:
+            continue
+        own = F.col("fingerprint").bitwiseAND(_signed(sum(1 << b for b in part)))
         for mask in _masks(part, t):
-            flip = mask - (1 << 64) * (mask >> 63)
-            value = F.col("fingerprint").bitwiseAND(F.lit(own).cast("long")).bitwiseXOR(F.lit(flip).cast("long"))
-            keys.append(F.struct(F.lit(i).alias("part"), value.alias("value")))
-    entries = nodes.select("fingerprint", F.explode(F.array(*keys)).alias("k")).select("fingerprint", "k.*")
-    # Groups of one have no links; those above a chunk are dealt to pairs of chunks.
-    sizes = (
-        entries.groupBy("part", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-        .withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+            value = own.bitwiseXOR(_signed(mask)) if mask else own
+            entry = F.struct(F.lit(i).alias("part"), value.alias("value"), F.lit(PROBE if mask else INDEXED).alias("role"))
+            keys.append(F.when(value > own, entry) if mask else entry)
+    each = nodes.select("fingerprint", F.explode(F.array(*keys)).alias("k")).where(F.col("k").isNotNull())
+    return each.select("fingerprint", "k.*")
+
+
+def _grouped(nodes: DataFrame, scheme: Scheme, radius: int, chunk: int) -> DataFrame:
+    """``(fingerprint, role, group)``: what must be compared meets in a group of a few chunks at most."""
+    entries = entries_of(nodes, scheme)
+
+    def crowded(df: DataFrame, key: list[str]) -> DataFrame:
+        # Few by their size. Written before they are joined, so that the join's sides are plain shuffles.
+        n = df.groupBy(*key).agg(
+            F.count_if(F.col("role") == INDEXED).alias("indexed"), F.count_if(F.col("role") == PROBE).alias("probes")
+        )
+        return stored(n.where((F.col("indexed") > 0) & (F.col("indexed") + F.col("probes") > chunk)), "crowded")
+
+    hot = crowded(entries, ["part", "value"]).select("part", "value")
+    light = entries.join(hot, ["part", "value"], "left_anti")
+    out = light.select("fingerprint", "role", F.xxhash64("part", "value").alias("group"))
+    if not hot.take(1):
+        return out
+    # Fingerprints that met in a value differ in at most ``radius`` of the bits outside of its partition.
+    again = []
+    for i, part in enumerate(scheme.partitions):
+        rest = [b for b in range(BITS) if b not in part]
+        cuts = [rest[k :: radius + 1] for k in range(radius + 1)]
+        under = [F.col("fingerprint").bitwiseAND(_signed(sum(1 << b for b in c))) for c in cuts]
+        subs = F.array(*[F.xxhash64(F.lit(k), "part", "value", u) for k, u in enumerate(under)])
+        again.append(F.when(F.col("part") == i, subs))
+    dealt = entries.join(hot, ["part", "value"], "left_semi").select(
+        "fingerprint", "role", F.explode(F.coalesce(*again)).alias("sub")
     )
-    mine = F.pmod(F.xxhash64("fingerprint", "part"), F.col("chunks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda c: F.struct(F.least(c, F.col("mine")).alias("x"), F.greatest(c, F.col("mine")).alias("y")),
+    full = crowded(dealt, ["sub"])
+    out = out.unionByName(dealt.join(full, "sub", "left_anti").select("fingerprint", "role", F.col("sub").alias("group")))
+    # Chunks of indexed fingerprints meet each other and all chunks of probes.
+    of = lambda n: F.greatest(F.ceil(F.col(n) / chunk), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("fingerprint"), F.when(F.col("role") == INDEXED, of("indexed")).otherwise(of("probes"))).cast("int")
+
+    def meeting(kind: str, count: Column, role: int, x: object, y: object) -> Column:
+        """A struct for each group of a kind that the entry takes part in."""
+        return F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda c: F.struct(F.lit(kind).alias("kind"), x(c).alias("x"), y(c).alias("y"), F.lit(role).alias("as")),
+        )
+
+    own = F.col("mine")
+    indexed = F.concat(
+        meeting("indexed", of("indexed"), INDEXED, lambda c: F.least(c, own), lambda c: F.greatest(c, own)),
+        meeting("probes", of("probes"), MET, lambda c: c, lambda c: own),
     )
-    dealt = (
-        entries.join(sizes, ["part", "value"])
+    probing = meeting("probes", of("indexed"), PROBE, lambda c: own, lambda c: c)
+    pairs = (
+        dealt.join(full, "sub")
         .withColumn("mine", mine)
-        .select("fingerprint", "part", "value", F.explode(pairs).alias("p"))
-        .select("fingerprint", F.xxhash64("part", "value", "p.x", "p.y").alias("group"))
+        .select("fingerprint", "sub", F.explode(F.when(F.col("role") == INDEXED, indexed).otherwise(probing)).alias("p"))
+        .select("fingerprint", F.col("p.as").alias("role"), F.xxhash64("sub", "p.kind", "p.x", "p.y").alias("group"))
     )
+    return out.unionByName(pairs)
+
+
+def near_links(nodes: DataFrame, scheme: Scheme, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """Links ``(a, b)`` between the fingerprints of ``nodes``, which must be distinct.
+
+    Two within the radius are linked, or joined by links over others. A group of more than
+    eight returns fewer links than it has members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flushed(g: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        def flushed(g: np.ndarray, r: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
             found: list[tuple[int, int]] = []
             edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
             length = np.diff(edge)
@@ -238,12 +295,13 @@ def near_links(nodes: DataFrame, scheme: Scheme, radius: int = 3, chunk: int = C
                 starts = edge[:-1][length == size]
                 if 1 < size <= 8:  # many small groups: all of one size at once
                     for i, j in combinations(range(int(size)), 2):
-                        ok = np.bitwise_count(v[starts + i] ^ v[starts + j]) <= radius
-                        s = starts[ok]
-                        found += zip(v[s + i].tolist(), v[s + j].tolist(), strict=True)
+                        a, b = starts + i, starts + j
+                        ok = ((r[a] == INDEXED) | (r[a] != r[b])) & (np.bitwise_count(v[a] ^ v[b]) <= radius)
+                        found += zip(v[a[ok]].tolist(), v[b[ok]].tolist(), strict=True)
                 elif size > 8:
                     for s in starts:
-                        found += _spanning(v[s : s + size], radius)
+                        order = s + np.argsort(r[s : s + size] == PROBE, kind="stable")
+                        found += _spanning(v[order], r[order], radius)
             # Keys of 64 bits may coincide: then groups are merged, which only adds comparisons.
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -251,7 +309,8 @@ def near_links(nodes: DataFrame, scheme: Scheme, radius: int = 3, chunk: int = C
         kept: list[np.ndarray] | None = None
         for batch in batches:
             now = [
-                batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("group", "fingerprint")
+                batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                for c in ("group", "role", "fingerprint")
             ]
             if not len(now[0]):
                 continue
@@ -264,7 +323,8 @@ def near_links(nodes: DataFrame, scheme: Scheme, radius: int = 3, chunk: int = C
         if kept is not None:
             yield flushed(*kept)
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    groups = _grouped(nodes, scheme, radius, chunk)
+    return groups.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
 
 def near_components(
@@ -279,23 +339,24 @@ def near_components(
     its result. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
-    prints = checkpointed(with_fingerprints(rows, "__text", shingle).drop("__text"))
+    prints = stored(with_fingerprints(rows, "__text", shingle).drop("__text"))
     # One node for each fingerprint.
-    nodes = checkpointed(prints.groupBy("fingerprint").agg(F.min("__id").alias("least")))
+    nodes = stored(prints.groupBy("fingerprint").agg(F.min("__id").alias("least")))
     n = nodes.count()
     scheme = choose_scheme(bit_counts(nodes), n, radius)
     found = connected_components(near_links(nodes, scheme, radius))
     members = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
-    least = (
-        members.join(nodes, F.col("id") == F.col("fingerprint")).groupBy("component").agg(F.min("least").alias("of_all"))
+    # Aggregates are kept before they are joined, so that both sides of a join are plain shuffles, which the
+    # adaptive planner splits where a component or a fingerprint stands on very many rows.
+    least = stored(
+        members.join(nodes, F.col("id") == F.col("fingerprint")).groupBy("component").agg(F.min("least").alias("of_all")),
+        "least",
     )
     named = members.join(least, "component").select(F.col("id").alias("fingerprint"), "of_all")
     known = nodes.join(named, "fingerprint", "left").select(
         "fingerprint", F.coalesce("of_all", "least").alias("component_id")
     )
-    # Kept by itself, so that both sides of the last join are plain shuffles, which the adaptive
-    # planner splits where a fingerprint stands on very many rows.
-    known = checkpointed(known)
+    known = stored(known, "components")
     return prints.join(known, "fingerprint").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
 
 

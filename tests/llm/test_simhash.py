@@ -71,6 +71,31 @@ def test_links_join_dense_groups_in_chunks(spark):
         assert {p: got.get(p, p) for p in prints} == want
 
 
+def test_probes_meet_indexed_values_within_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(0, 2**63))
+    prints = {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (60, 2))}
+    nodes = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    scheme = simhash.Scheme(simhash.correlated_partitions(np.eye(64), 1, 2), (1, 1))
+    rows = simhash.entries_of(nodes, scheme).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["part"], r["value"]), ([], []))[r["role"]].append(r["fingerprint"])
+    met = []
+    for (part, _), (indexed, probing) in groups.items():
+        own = sum(1 << b for b in scheme.partitions[part])
+        pairs = [*combinations(indexed, 2), *((a, b) for a in indexed for b in probing)]
+        assert all(((a ^ b) & own).bit_count() <= 1 for a, b in pairs)
+        met += [(part, *sorted(p)) for p in pairs]
+    assert len(met) == len(set(met))  # two meet in a partition once at most
+
+
+def test_roles_of_a_crowded_group_are_kept():
+    values, roles = np.array([0, 1, 2, 3]), np.array([simhash.MET, simhash.MET, simhash.PROBE, simhash.PROBE])
+    links = simhash._spanning(values, roles, 3)
+    assert all({a, b} & {0, 1} and {a, b} & {2, 3} for a, b in links) and len(links) == 3
+
+
 def test_large_inputs_get_wider_partitions():
     both = np.full((64, 64), 0.25)
     np.fill_diagonal(both, 0.5)
@@ -90,3 +115,29 @@ def test_odd_rows(spark):
     assert sorted((r[2] for r in out if r[0] is None), key=str) == [4, None]
     assert {r[1] % 2**64 for r in out} == set(prints.values())
     assert simhash.near_components(docs.limit(0)).count() == 0
+
+
+def test_a_hub_of_very_many_links_is_split(spark):
+    """The joins of a star's rounds have plain shuffles on both sides; the planner can split these."""
+    links = spark.range(1, 200_000).selectExpr("id as a", "0L as b").union(spark.range(300_000, 300_100).selectExpr("id as a", "id + 1 as b"))
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = graph.connected_components(links)
+        least = graph.stored(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+        joined = found.repartition(16).join(least, "component")
+        joined.write.format("noop").mode("overwrite").save()
+        assert found.where("component = 0").count() == 199_999
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
