@@ -174,13 +174,18 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id),
-template AS (SELECT k, label, list_distinct({words}) AS t FROM (VALUES {templates}) AS v(k, label, text)),
-block AS (
-  SELECT doc_id, list_distinct({_WORDS.format(_LOWER.format("line"))}) AS b
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+template AS (
+  SELECT k, label, list_distinct(w) AS t, ceil(len(w) / {licenses.THRESHOLD} - 1e-9) AS length
+  FROM (SELECT k, label, {words} AS w FROM (VALUES {templates}) AS v(k, label, text))),
+word AS (SELECT k, label, length, len(t) AS m, unnest(t) AS x FROM template),
+hit AS (
+  SELECT doc_id, k, label, length, m, i AS pos, x
+  FROM (SELECT doc_id, w[i] AS x, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)) JOIN word USING (x)),
 contained AS (
   SELECT doc_id, label, max(n / m) AS share
-  FROM (SELECT doc_id, label, CAST(len(list_intersect(b, t)) AS DOUBLE) AS n, len(t) AS m FROM block, template)
+  FROM (SELECT a.doc_id, a.k, a.label, a.m, a.pos, CAST(count(DISTINCT b.x) AS DOUBLE) AS n
+        FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.k = b.k AND b.pos >= a.pos AND b.pos < a.pos + a.length
+        GROUP BY ALL)
   WHERE n >= ceil({licenses.THRESHOLD} * m - 1e-9) GROUP BY doc_id, label),
 both_labels AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

@@ -109,22 +109,52 @@ def test_a_large_benchmark_is_one_automaton(spark):
     assert got == {1: (13, ["77"], True), 2: (0, [], False), 3: (0, [], False), 4: (35, ["77"], False)}
 
 
+def plain_blocks(text, threshold):
+    """Blocks of every template at every place, joined where they overlap."""
+    w, out = [bytes(x) for x in licenses.words_of(text)], set()
+    for label, t in licenses.TEMPLATES:
+        own = [bytes(x) for x in licenses.words_of(t)]
+        length, runs = -(-len(own) // threshold), []
+        for i in range(len(w)):
+            block = w[i : int(i + length)]
+            share = len(set(block) & set(own)) / len(set(own))
+            if w[i] in own and share >= threshold - 1e-12:
+                if runs and i < runs[-1][1]:
+                    runs[-1] = (runs[-1][0], i + len(block), max(share, runs[-1][2]))
+                else:
+                    runs.append((i, i + len(block), share))
+        out |= {(a, b, label, c) for a, b, c in runs}
+    return out
+
+
 def test_licenses_by_brute_force(spark):
     lines = [t for _, t in licenses.TEMPLATES] + ["nothing here", "", "cc by nc cc by nc", "licensed under the Apache thing version two"]
-    texts = [(1, None), (2, ""), (3, "\n".join(lines))] + [(10 + i, " ".join(t.split()[k:])) for i, t in enumerate(lines) for k in range(4)]
+    texts = [(1, None), (2, ""), (3, "\n".join(lines)), (3, "\n".join(lines))]
+    texts += [(10 + i, " ".join(t.split()[k:])) for i, t in enumerate(lines) for k in range(4)]
+    texts += [(60 + i, "of the license " * 9 + t.replace(" ", " and the ", 3) + " x" * 40 + t) for i, t in enumerate(lines)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    words = lambda t: {bytes(w) for w in licenses.words_of(t)}
     for threshold in (0.5, 0.8, 1.0):
         for r in licenses.find_licenses(docs, threshold=threshold).collect():
-            want = {}
-            for i, line in enumerate((r["text"] or "").split("\n")):
-                for label, t in licenses.TEMPLATES:
-                    share = len(words(line) & words(t)) / len(words(t))
-                    if share >= threshold:
-                        want[i, label] = max(share, want.get((i, label), 0))
-            assert {(b["line"], b["label"]): b["containment"] for b in r["blocks"]} == want
+            got = {(b["start_word"], b["end_word"], b["label"], b["containment"]) for b in r["blocks"]}
+            assert got == plain_blocks(r["text"], threshold)
     assert licenses.find_licenses(docs.limit(0)).count() == 0
 
 
+#: Notices as they stand in files, wrapped and marked as comments.
+WRAPPED = {
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+    "mpl-2": "# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy",
+    "gpl-3": "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_notices_over_lines_and_in_very_long_texts(spark):
+    long = "word of the license " * 60_000
+    texts = [(label, f"{lead}\n{t}\n{lead}") for label, t in WRAPPED.items() for lead in ("some text", long)] + [("", long)]
+    docs = spark.createDataFrame(texts, "want string, text string")
+    for r in licenses.find_licenses(docs).collect():
+        assert (r["want"] in r["labels"]) if r["want"] else not r["labels"]
+
+
 def test_empty_sha(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
