@@ -6,6 +6,7 @@ against the runs: keys that are already known to be common are anti-joined away,
 what is left becomes a run of level 0. When a level has ``fanout`` runs they are merged
 into one run of the next level, so a store of B batches has O(fanout * log B) runs.
 Bucketing and sorting on the key let Spark's sort-merge join read runs without a shuffle.
+Runs lie in the shared folder.
 
 Only DataFrame functions are used; no Python runs on the executors.
 """
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, stored
+from plumbline.llm.common import ascii_lower, shared_path, stored
 
 #: What a line key loses at both ends: space, and the controls from tab to return.
 STRIPPED = "\t\n\v\f\r "
@@ -46,7 +47,8 @@ class LineRuns:
     def _write(self, counts: DataFrame, level: int) -> None:
         name = f"{self.prefix}_{self.made}"
         self.made += 1
-        counts.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").format("parquet").saveAsTable(name)
+        sorted_runs = counts.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").format("parquet")
+        sorted_runs.option("path", shared_path(self.spark, name)).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -119,29 +121,30 @@ def dedup_lines(
         F.xxhash64(F.col(id_col).cast("string"), F.col(text)).alias("r1"),
         F.xxhash64(F.col(text), F.lit("row"), F.col(id_col).cast("string")).alias("r2"),
     ).alias("__row")
-    each = (
-        docs.where(F.length(F.col(text)) > 0)
-        .select(row, F.posexplode(F.transform(lines, line_key)).alias("pos", "key"))
-        .where(F.length("key") >= max(1, min_key))
-        .select("__row.r1", "__row.r2", "pos", key_hash(F.col("key")).alias("h"))
-        .select("r1", "r2", "pos", "h.a", "h.b")
+    # Keys are hashed once, in one pass over the texts; null stands for a key that is too short.
+    hashed = F.transform(F.transform(lines, line_key), lambda k: F.when(F.length(k) >= max(1, min_key), key_hash(k)))
+    keys = stored(
+        docs.where(F.length(F.col(text)) > 0).select(row, hashed.alias("h")).select("__row.r1", "__row.r2", "h"), "line-keys"
+    )
+    each = keys.select("r1", "r2", F.posexplode("h").alias("pos", "h")).where(F.col("h").isNotNull()).select("r1", "r2", "pos", "h.a", "h.b")
+    # A document counts once for a key: of its sorted keys, those unlike the one before.
+    first_ones = F.transform(
+        F.array(F.array_sort(F.array_compact("h"))),
+        lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))),
     )
     once = (
-        docs.where(F.length(F.col(text)) > 0)
-        .select(row, F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key"))
-        .where(F.length("key") >= max(1, min_key))
-        .select(key_hash(F.col("key")).alias("h"), F.pmod("__row.r1", F.lit(batches)).cast("int").alias("batch"))
+        keys.select(F.pmod("r1", F.lit(batches)).cast("int").alias("batch"), F.explode(F.get(first_ones, 0)).alias("h"))
         .select("batch", "h.a", "h.b")
-        # One pass over the texts deals the keys to batches, added up before anything moves.
+        # Added up before anything moves.
         .groupBy("batch", "a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    staged = stored(once)
+    staged = stored(once, "line-counts")
     store = LineRuns(spark, min_docs)
     try:
         for k in range(batches):
             store.add(staged.where(F.col("batch") == k).select("a", "b", "n"))
-        common = stored(store.common())
+        common = stored(store.common(), "common-lines")
     finally:
         store.drop()
     gone = (
