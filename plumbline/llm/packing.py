@@ -27,11 +27,6 @@ from pyspark.sql import types as T
 from plumbline.llm.common import stored
 
 
-
-#: Combinations in use are at most so many times the window's length.
-IN_USE = 4
-
-
 def _byte_of_char() -> dict[str, int]:
     """Byte-level BPE files write bytes as printable characters; this is the way back."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -39,56 +34,85 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Tokens:
-    """Ids as ``tokenizers`` gives them for a byte-level BPE file, by a faster encoder.
+def _merges(model: dict) -> list[tuple[str, str]]:
+    return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+
 
-    The file's vocabulary is read as ranks for ``tiktoken``, which merges in the same order
-    where ids follow the merges. That is checked on a few texts for each worker; a file of
-    another kind, or a text that the encoder refuses, goes to ``tokenizers`` itself.
+def same_by_rank(path: str) -> bool:
+    """Whether merging by the ids of what comes out gives what the file's merges give, for every text.
+
+    That is so for a byte-level file without options that change the splitting into words, if
+
+    * every token of more than one byte is made by one merge, and ids rise in the order of merges;
+    * every token, as a word of its own, is encoded as itself.
+
+    For take the first time that merging by ids joins a pair x, y which is not the merge of its
+    token xy. All before were merges of the file, and those inside xy happened as they do in
+    the word xy by itself. That word ends as one token, so its last merge is the one of xy,
+    and x, y are its pair.
     """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    )
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    added = spec.get("added_tokens", [])
+    whole = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (plain and level and whole) or spec.get("normalizer"):
+        return False
+    vocab, special = model["vocab"], {x["content"] for x in added}
+    made = ["".join(m) for m in _merges(model)]
+    ids = [vocab.get(x, -1) for x in made]
+    if set(_byte_of_char()) - set(vocab) or len(set(made)) < len(made) or any(b <= a for a, b in zip([255, *ids], ids, strict=False)):
+        return False
+    tokens = [x for x in vocab if x not in special]
+    if {x for x in tokens if len(x) > 1} != set(made):
+        return False
+    words = Tokenizer.from_str(json.dumps({**spec, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+    return all(e.ids == [vocab[t]] for t, e in zip(tokens, words.encode_batch(tokens, add_special_tokens=False), strict=True))
 
-    PROBES = ("", "It's 1,000 words -- déjà vu!\n\n  tab\tend  ", "ÉÈÇ ñandú 日本語 🙂 l'eau", "x" * 70 + "   y")
 
-    def __init__(self, path: str):
+class Tokens:
+    """Ids as ``tokenizers`` gives them, by a faster encoder where ``by_rank``: see ``same_by_rank``.
+
+    A text that the faster encoder refuses, and all texts otherwise, go to ``tokenizers`` itself.
+    """
+
+    def __init__(self, path: str, by_rank: bool):
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.fast = None
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        if model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not spec.get("normalizer"):
+        self.slow, self.fast = Tokenizer.from_file(path), None
+        if by_rank:
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
             back = _byte_of_char()
             special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-            ranks = {bytes(back[c] for c in k): v for k, v in model["vocab"].items() if k not in special}
+            ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
+            # Fixed value: how the byte-level pre-tokenizer splits texts.
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            fast = tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+            self.fast = tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
             self.allowed = set(special)
-            if all(self._quick(fast, x) == self._exact(x) for x in (*self.PROBES, *special)):
-                self.fast = fast
-
-    def _quick(self, fast, text: str) -> list[int]:
-        return fast.encode(text, allowed_special=self.allowed, disallowed_special=())
-
-    def _exact(self, text: str) -> list[int]:
-        return self.slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> list[int]:
         if self.fast is not None:
             try:
-                return self._quick(self.fast, text)
+                return self.fast.encode(text, allowed_special=self.allowed, disallowed_special=())
             except Exception:  # noqa: BLE001 - its matcher gives up on some very long runs
                 pass
-        return self._exact(text)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 _loaded: dict[str, Tokens] = {}
 
 
-def _tokens(path: str) -> Tokens:
+def _tokens(path: str, by_rank: bool) -> Tokens:
     if path not in _loaded:
-        _loaded[path] = Tokens(path)
+        _loaded[path] = Tokens(path, by_rank)
     return _loaded[path]
 
 
@@ -146,14 +170,16 @@ def plan_slots(histogram: dict[int, int], window: int) -> tuple[list[tuple], dic
     taken = dict.fromkeys(left, 0)
     slots, sequences = [], 0
     if len(combos):
-        # The most used combinations are solved for once more by themselves, so that slots, and
-        # with them the table of slots that tasks get, stay few however many documents there are.
-        x = solve_counts(bins, combos)
-        combos = combos[np.sort(np.argsort(-x, kind="stable")[: IN_USE * window])]
         x = solve_counts(bins, combos)
-        for k in np.argsort(-x, kind="stable"):
+        # Rounded down; the fractions are summed in the order of combinations, of which neighbours are
+        # alike, and each whole that the sum passes counts there. So the totals stay at any size.
+        sums = np.floor(np.cumsum(x - np.floor(x)) + 0.5)
+        rounded = (np.floor(x) + np.diff(sums, prepend=0.0)).astype(np.int64)
+        for k in np.argsort(-rounded, kind="stable"):
+            if not rounded[k]:
+                break
             lengths = [int(v) for v in combos[k] if v]
-            times = min([int(x[k] + 0.5), *(left[v] // lengths.count(v) for v in lengths)])
+            times = min([int(rounded[k]), *(left[v] // lengths.count(v) for v in lengths)])
             if times <= 0:
                 continue
             for v, offset in zip(lengths, [0, *accumulate(lengths)], strict=False):
@@ -189,7 +215,7 @@ def pack_documents(
     tails move, by length and task, and a length that is very common is one count for each
     task and length, so no task gets all rows of a length.
     """
-    spark = docs.sparkSession
+    spark, by_rank = docs.sparkSession, same_by_rank(tokenizer_path)
     head = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),
@@ -206,7 +232,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         task, wholes = TaskContext.get().partitionId(), 0
-        tokens = _tokens(tokenizer_path)
+        tokens = _tokens(tokenizer_path, by_rank)
         seen = [0] * window
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
@@ -251,7 +277,10 @@ def pack_documents(
 
     before = Window.partitionBy("tail").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("tail", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    slot_rows = spark.createDataFrame(slots, "t int, first_rank long, end_rank long, first_seq long, slot_offset long")
+    columns = ("t", "first_rank", "end_rank", "first_seq", "slot_offset")
+    kinds = (pa.int32(), *[pa.int64()] * 4)
+    each = zip(*slots, strict=True) if slots else [[]] * 5
+    slot_rows = spark.createDataFrame(pa.table({c: pa.array(v, k) for c, v, k in zip(columns, each, kinds, strict=True)}))
     rest_rows = spark.createDataFrame([(k, *v) for k, v in rest.items()], "tail int, slot_ranks long, tape_base long")
     placed = (
         rows.where(F.col("tail") > 0)
@@ -265,7 +294,8 @@ def pack_documents(
         )
         .join(bases, ["tail", "task"])
         .withColumn("rank", F.col("base") + F.col("tail_rank"))
-        # Both are bounded by the window: lengths, and slots of the combinations in use.
+        # Both are bounded by the window: lengths, and three slots for each combination at most
+        # (some window ** 2 / 4 rows).
         .join(F.broadcast(rest_rows), "tail")
         .join(
             F.broadcast(slot_rows),

@@ -72,3 +72,37 @@ def test_slots_hold_what_the_histogram_has(window):
     assert set(filled.values()) == {window} and len(filled) == sequences
     assert tape + sequences * window == sum(k * v for k, v in histogram.items())
     assert all(rest[k][0] <= v for k, v in histogram.items())
+
+
+def test_combinations_are_used_at_any_size():
+    rng = np.random.default_rng(2)
+    for n in (2_000, 300_000, 10**9):
+        histogram = {k: int(v) for k, v in enumerate(rng.multinomial(n, np.full(1023, 1 / 1023)), 1) if v}
+        slots, _, sequences, tape = packing.plan_slots(histogram, 1024)
+        assert sequences * 1024 > 0.7 * sum(k * v for k, v in histogram.items())
+        assert tape + sequences * 1024 == sum(k * v for k, v in histogram.items())
+
+
+def test_ids_are_those_of_tokenizers_for_all_code_points():
+    assert packing.same_by_rank(PATH)
+    tokens, rng = packing.Tokens(PATH, True), np.random.default_rng(4)
+    exact = Tokenizer.from_file(PATH)
+    points = [chr(c) for c in [*range(0x3000), *range(0xA000, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1FB00)]]
+    texts = ["".join(f"a{c} {c}1{c}{c}! {c}" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts += ["".join(rng.choice(points[:0x500], 300)) for _ in range(300)]
+    texts += ["".join(rng.choice(list("etaoin shrdlu'.\n"), 200)) for _ in range(300)]
+    for t, e in zip(texts, exact.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert tokens.ids(t) == e.ids
+
+
+def test_other_files_go_to_tokenizers_itself(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    a, b = spec["model"]["merges"][300:302]
+    spec["model"]["merges"][300:302] = [b, a]  # ids no longer rise in the order of merges
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    assert not packing.same_by_rank(str(other))
+    assert packing.Tokens(str(other), False).fast is None
