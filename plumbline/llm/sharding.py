@@ -7,11 +7,10 @@ nodes of a level are cut together. Weighted quantiles are found over all points
 histograms of a key of 62 bits, refined until a bin weighs little: only bin sums reach the
 driver, at most ``BINS`` for each node.
 
-Groups stay together unless that would leave shards uneven: large ones, which are few by
-their weight, are dealt first, each to the shard with most room, and the tree fills what is
-left. A group larger than ``HUGE`` of a shard is dissolved to its single documents, and so is
-one over ``LARGE`` that no shard has room for at its turn, by falling weight. A group that
-weighs w meets the second case only when all shards have room for less than w each.
+Groups of at most a shard stay together. Large ones, which are few by their weight, are dealt
+first, by falling weight, each to the shard with most room, and the tree fills what is left. A
+shard can so exceed an even share by less than the last group it got. A group larger than
+``HUGE`` of a shard is dissolved to its single documents.
 """
 
 from __future__ import annotations
@@ -163,8 +162,9 @@ def shard_documents(
 ) -> DataFrame:
     """``docs`` without its text, with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
-    ``size`` is the text's UTF-8 bytes and 16; shards get near equal sums of it. ``slot``
-    counts from 0 without gaps in each shard. ``source`` and ``lang`` may be None or absent.
+    ``size`` is the text's UTF-8 bytes and 16; shards get near equal sums of it, as near as
+    groups of equal texts allow, which stay in one shard where they fit one. ``slot`` counts
+    from 0 without gaps in each shard. ``source`` and ``lang`` may be None or absent.
 
     A null text has no bytes, and groups with empty ones. Null metadata and ids are values
     like others. Equal rows are separate documents. An empty table gives an empty one, and
@@ -200,9 +200,10 @@ def shard_documents(
     room, dealt = dict.fromkeys(range(shards), target), []
     for r in sorted(heavy, key=lambda r: (-r["weight"], r["__g1"], r["__g2"])):
         best = max(room, key=lambda s: (room[s], -s))
-        fits = r["weight"] == r["size"] or r["weight"] <= min(HUGE * target, room[best])
+        fits = r["weight"] == r["size"] or r["weight"] <= HUGE * target
         room[best] -= r["weight"] * fits
         dealt.append((r["__g1"], r["__g2"], best if fits else -1))
+    room = {s: x for s, x in room.items() if x > 0} or {0: 1.0}
     known = F.broadcast(spark.createDataFrame(dealt, "__g1 long, __g2 long, dealt int"))
     groups = groups.join(known, group, "left")
     dissolved = rows.join(known.where("dealt = -1"), group, "left_semi")
