@@ -6,9 +6,9 @@ by lane modulo a power of two:
 
 * 8 lanes of 32 bits modulo 2**32 (256 bits) decide equality;
 * 62 lanes modulo 2**30, two packed in a long, count how many units have each of 62 hash
-  bits set, and one lane counts the units. From two sums, ``sum((2 * ones - units) ** 2) / 62``
-  of their difference estimates in how many units the documents differ, which gives a
-  likeness from 0 to 1. A lane wraps only beyond a thousand million units.
+  bits set, and one lane counts the units, so ``2 * ones - units`` sums a sign for each
+  unit. Products of these sums give a likeness from 0 to 1. A lane wraps only beyond a
+  thousand million units.
 
 The units of a text joined are the text again, so texts with equal fingerprints have the
 same units with the same ends, in any order. ``added`` and ``removed`` insert and delete
@@ -30,7 +30,7 @@ WIDE = (1 << 32) - 1
 #: Units end after a line break, and after white space that follows a sentence end.
 UNIT_END = r"((?<=\n)|(?<=[.!?]\s))(?!\z)"
 #: Ranges of ids are cut for so many bytes of text each, and at most so many are made.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
+RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 #: The cuts are found from about so many sampled rows for each range.
 SAMPLED = 20
 
@@ -91,29 +91,29 @@ def removed(a: Column, b: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """How alike two hashed multisets are, 0 to 1; exactly 1 for equal hashes only.
 
-    The estimated number of units in which they differ, against the units of both.
+    With units' signs summed in each lane, products of the lanes estimate products of the
+    multisets: this is ``2 a.b / (a.a + b.b)``, where units that are repeated weigh more.
     """
-    n_a, n_b = F.get(a, 0), F.get(b, 0)
 
-    def lane(x: Column, y: Column, shift: int) -> Column:
-        ones = [F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(LANE)) for c in (x, y)]
-        return (ones[0] - ones[1]).cast("double")
+    def lane(x: Column, n: Column, shift: int) -> Column:
+        return (2 * F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(LANE)) - n).cast("double")
 
-    pairs = F.zip_with(F.slice(a, 2, PACKED), F.slice(b, 2, PACKED), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    # sum((2d - u)^2) = 4 sum(d^2) - 4u sum(d) + 62 u^2, with u the difference in units.
+    pairs = F.zip_with(
+        F.slice(a, 2, PACKED),
+        F.slice(b, 2, PACKED),
+        lambda x, y: F.struct(x.alias("x"), y.alias("y"), F.get(a, 0).alias("n"), F.get(b, 0).alias("m")),
+    )
     sums = F.aggregate(
         pairs,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+        F.struct(F.lit(0.0).alias("both"), F.lit(0.0).alias("own")),
         lambda acc, p: F.struct(
-            (acc["s"] + lane(p["x"], p["y"], 0) + lane(p["x"], p["y"], 31)).alias("s"),
-            (acc["q"] + sum(F.pow(lane(p["x"], p["y"], k), F.lit(2.0)) for k in (0, 31))).alias("q"),
+            sum((lane(p["x"], p["n"], k) * lane(p["y"], p["m"], k) for k in (0, 31)), acc["both"]).alias("both"),
+            sum((F.pow(lane(p[v], p[n], k), F.lit(2.0)) for k in (0, 31) for v, n in (("x", "n"), ("y", "m"))), acc["own"]).alias("own"),
         ),
         lambda acc: acc,
     )
-    u = (n_a - n_b).cast("double")
-    differ = (4 * sums["q"] - 4 * u * sums["s"] + 62 * u * u) / 62.0
-    guess = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - differ / F.greatest(n_a + n_b, F.lit(1))))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.least(guess, F.lit(0.999)))
+    guess = 2 * sums["both"] / F.greatest(sums["own"], F.lit(1.0))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(guess, F.lit(0.999))))
 
 
 def as_string(a: Column) -> Column:
