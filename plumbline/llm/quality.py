@@ -5,21 +5,24 @@ For each target (high quality, toxic) two classifiers see disjoint views of a do
 * content: which words and beginnings of words it has, and shares of character classes;
 * metadata: where it is from, its language, and its size and layout.
 
-Each starts from the labelled sample. In every round each view labels the documents of an
-unlabelled pool that it is most sure of, and the *other* view learns from these too. At the
-end each view is calibrated (a logistic fit of its scores on labelled rows it did not learn
-from), and the calibrated views are combined by another one. All documents are scored.
-
-The fit is bounded: at most ``LABELLED`` rows for each combination of labels and ``POOL``
-unlabelled rows, of lowest hash of their id. Calibration and combination count each row as
-often as its combination has labels for a sampled one, so probabilities follow the shares of
-all labels, whatever the bound leaves out. Features of all documents, and their scores,
-come from one narrow pass over whole texts; only the sample's features reach the driver.
+Each starts from a labelled sample. In every round one pass over all documents lets each
+view label those that it is sure of, and the *other* view learns from these: how often
+they have each feature, by side, is added up in the tasks (two vectors of fixed size for
+each view) and sharpens the odds that the other view's weights start from. At the end each
+view is calibrated (a logistic fit of its scores on labelled rows it did not learn from),
+and the calibrated views are combined by another one. All documents are scored.
+
+Only the labelled sample is bounded: at most ``LABELLED`` rows for each combination of labels,
+of lowest hash of their id. Calibration and combination count each row as often as its
+combination has labels for a sampled one, so probabilities follow the shares of all labels,
+whatever the bound leaves out. Every pass is narrow and reads whole texts; only the sample's
+features and the summed vectors reach the driver.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +33,18 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import WORD_BYTES, with_columns
 
-#: Bounds of the fit: labelled rows for each combination of labels; rows of the pool.
-LABELLED, POOL = 1500, 2000
+#: Bound of the fit: labelled rows for each combination of labels.
+LABELLED = 1500
 #: A target with fewer labelled documents of the sample on either side has no model.
 LEAST_SIDE = 10
 ROUNDS = 2
-#: Of the pool, each view passes on this share of each side in a round, if it is this sure.
-PASSED_ON, SURE = 0.1, 0.9
+#: A view passes on its label of a document if it is this sure.
+SURE = 0.9
+#: What a view is told by the other weighs so much for each document, but together no more
+#: than its labelled rows of that side.
+TOLD = 0.3
+#: Features of documents are summed in whole numbers of this part, so that no order changes a sum.
+UNIT = 2.0**-20
 #: A document goes where it is less likely than this to be of high quality, or this likely toxic.
 LEAST_QUALITY, MOST_TOXIC = 0.3, 0.5
 #: Hashed places of each view's features.
@@ -63,18 +71,32 @@ def _level(share: float) -> int:
     return int(np.log2(max(share, 1e-4) * 1e4) * 2)
 
 
+#: The places of words seen before, in each worker; emptied when it has so many.
+_places: dict[bytes, tuple[int, ...]] = {}
+MOST_WORDS = 300_000
+
+
+def _places_of(word: bytes) -> tuple[int, ...]:
+    if len(_places) >= MOST_WORDS:
+        _places.clear()
+    named = [word, *(word[:k] + b"-" for k in BEGINNINGS if len(word) > k)]
+    _places[word] = found = tuple(zlib.crc32(w) % (CONTENT_PLACES - SHARES) for w in named)
+    return found
+
+
 def content_features(text: str | None) -> list[int]:
     """Hashed places of the words a text has, and of its shares of character classes."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = set(raw.translate(WORD_BYTES).split())
-    words |= {w[:k] + b"-" for k in BEGINNINGS for w in words if len(w) > k}
-    places = {zlib.crc32(w) % (CONTENT_PLACES - SHARES) for w in words}
+    places: set[int] = set()
+    known = _places.get
+    for w in set(raw.translate(WORD_BYTES).split()):
+        places.update(known(w) or _places_of(w))
     n = max(len(raw), 1)
     for k, (_, chars) in enumerate(_CLASSES.items()):
         share = (n - len(raw.translate(None, chars))) / n
         # Shares have several places each, so that many words don't drown them.
         level = min(_level(share), 31)
-        places.update(CONTENT_PLACES - SHARES + (32 * k + level) * COPIES + c for c in range(COPIES))
+        places.update(range(first := CONTENT_PLACES - SHARES + (32 * k + level) * COPIES, first + COPIES))
     return sorted(places)
 
 
@@ -115,15 +137,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_view(rows: Rows, y: np.ndarray, w: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Weights (the bias last) of a logistic regression on features scaled by their log odds."""
-    total = [rows.back(w * s) for s in (y, 1 - y)]
-    odds = np.log((total[0] + 0.02) / (total[0].sum() + 0.02 * rows.width))
-    odds -= np.log((total[1] + 0.02) / (total[1].sum() + 0.02 * rows.width))
-    odds[(total[0] + total[1]) == 0] = 0
+class Told:
+    """What one view learns from the other: sums of features by side (not so, so), and numbers of documents."""
+
+    def __init__(self, width: int):
+        self.sums, self.n = np.zeros((2, width)), np.zeros(2)
+
+
+def fit_view(rows: Rows, y: np.ndarray, told: Told | None = None, steps: int = 40) -> np.ndarray:
+    """Weights (the bias last) of a logistic regression on features scaled by their log odds.
+
+    Features that only the other view's documents have take the average weight of the others.
+    """
+    sides = (1 - y, y)
+    own = np.stack([rows.back(s) for s in sides])
+    total = own.copy()
+    if told is not None:
+        for k, s in enumerate(sides):
+            if told.n[k]:
+                total[k] += told.sums[k] * min(TOLD, s.sum() / told.n[k])
+    odds = np.log((total[1] + 0.02) / (total[1].sum() + 0.02 * rows.width))
+    odds -= np.log((total[0] + 0.02) / (total[0].sum() + 0.02 * rows.width))
+    odds[total.sum(axis=0) == 0] = 0
     beta, bias = np.zeros(rows.width), 0.0
     grad_sq, bias_sq = np.full(rows.width, 1e-8), 1e-8
-    balance = np.where(y > 0.5, 0.5 / max((w * y).sum(), 1e-9), 0.5 / max((w * (1 - y)).sum(), 1e-9)) * w
+    balance = np.where(y > 0.5, 0.5 / max(y.sum(), 1e-9), 0.5 / max((1 - y).sum(), 1e-9))
     for _ in range(steps):
         r = balance * (_sigmoid(rows.dot(beta * odds) + bias) - y)
         g = rows.back(r) * odds + 1e-5 * beta
@@ -131,6 +169,8 @@ def fit_view(rows: Rows, y: np.ndarray, w: np.ndarray, steps: int = 40) -> np.nd
         bias_sq += r.sum() ** 2
         beta = beta - 1.0 * g / np.sqrt(grad_sq)
         bias -= 0.5 * r.sum() / bias_sq**0.5
+    seen = own.sum(axis=0)
+    beta[seen == 0] = (beta @ seen) / max(seen.sum(), 1e-9)
     return np.append(beta * odds, bias)
 
 
@@ -162,48 +202,42 @@ class CoTrained:
         return _sigmoid(np.column_stack([*logits, np.ones(len(views[0]))]) @ self.combined)
 
 
-def co_train(
-    content: list,
-    metadata: list,
-    y: np.ndarray,
-    pool_content: list,
-    pool_metadata: list,
-    rounds: int = ROUNDS,
-    w: np.ndarray | None = None,
-) -> CoTrained:
-    """Co-trains both views; a fifth of the labelled rows is kept for calibration, where ``w`` is how much each counts."""
-    w = np.ones(len(y)) if w is None else w
-    spare = np.arange(len(y)) % 5 == 4
-    n, m = int((~spare).sum()), len(pool_content)
-    views = []
-    for labelled, pool, width in ((content, pool_content, CONTENT_PLACES), (metadata, pool_metadata, METADATA_PLACES)):
-        views.append(Rows([*(f for f, s in zip(labelled, spare, strict=True) if not s), *pool], width))
-    known = y[~spare].astype(float)
-    # What each view has been told about the pool by the other: a label, and how much it counts.
-    told = [(np.zeros(m), np.zeros(m)) for _ in views]
-    betas = [np.zeros(0), np.zeros(0)]
-    for k in range(rounds + 1):
-        for i, view in enumerate(views):
-            label, weight = told[i]
-            betas[i] = fit_view(view, np.concatenate([known, label]), np.concatenate([np.ones(n), weight]))
-        if k == rounds or not m:
-            break
-        for i, view in enumerate(views):
-            p = _sigmoid(view.dot(betas[i][:-1]) + betas[i][-1])[n:]
-            label, weight = told[1 - i]
-            for side, score in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-score, kind="stable")[: int(PASSED_ON * m)]
-                best = best[score[best] >= SURE]
-                label[best], weight[best] = side, 0.3
-
-    def rows(lists: list, width: int) -> Rows:
-        return Rows([f for f, s in zip(lists, spare, strict=True) if s], width)
-
-    held = [rows(content, CONTENT_PLACES), rows(metadata, METADATA_PLACES)]
-    raw = [r.dot(b[:-1]) + b[-1] for r, b in zip(held, betas, strict=True)]
-    calibration = tuple(_platt(x[:, None], y[spare].astype(float), w[spare]) for x in raw)
-    logits = np.column_stack([c[0] * x + c[1] for x, c in zip(raw, calibration, strict=True)])
-    return CoTrained(*betas, calibration, _platt(logits, y[spare].astype(float), w[spare]))
+WIDTHS = (CONTENT_PLACES, METADATA_PLACES)
+
+
+class CoTraining:
+    """For one target: both views, trained in rounds; a fifth of the labelled rows is kept for calibration."""
+
+    def __init__(self, content: list, metadata: list, y: np.ndarray, w: np.ndarray | None = None):
+        spare = np.arange(len(y)) % 5 == 4
+        y = y.astype(float)
+
+        def rows(which: np.ndarray) -> list[Rows]:
+            return [Rows([f for f, s in zip(v, which, strict=True) if s], n) for v, n in zip((content, metadata), WIDTHS, strict=True)]
+
+        self.known, self.y = rows(~spare), y[~spare]
+        self.held, self.y_held, self.w_held = rows(spare), y[spare], (np.ones(len(y)) if w is None else w)[spare]
+        self.betas = [fit_view(v, self.y) for v in self.known]
+
+    def learn(self, told: list[Told]) -> None:
+        self.betas = [fit_view(v, self.y, t) for v, t in zip(self.known, told, strict=True)]
+
+    def model(self) -> CoTrained:
+        raw = [r.dot(b[:-1]) + b[-1] for r, b in zip(self.held, self.betas, strict=True)]
+        calibration = tuple(_platt(x[:, None], self.y_held, self.w_held) for x in raw)
+        logits = np.column_stack([c[0] * x + c[1] for x, c in zip(raw, calibration, strict=True)])
+        return CoTrained(*self.betas, calibration, _platt(logits, self.y_held, self.w_held))
+
+
+def tell(betas: list[np.ndarray], views: list[Rows], told: list[Told]) -> None:
+    """Adds what each view is sure of to what the other one is told."""
+    for i, (beta, view) in enumerate(zip(betas, views, strict=True)):
+        p = _sigmoid(view.dot(beta[:-1]) + beta[-1])
+        other = views[1 - i]
+        for side, sure in enumerate((p <= 1 - SURE, p >= SURE)):
+            told[1 - i].n[side] += sure.sum()
+            whole = np.round(other.value / UNIT) * sure[other.row]
+            told[1 - i].sums[side] += np.bincount(other.places, weights=whole, minlength=other.width)
 
 
 TARGETS = ("quality", "toxic")
@@ -245,6 +279,47 @@ def _lowest(rows: list, n: int) -> list:
     return sorted(rows, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))[:n]
 
 
+def told_by_all(docs: DataFrame, betas: dict[str, list[np.ndarray]], labelled: set, names: tuple[str, str, str, str]) -> dict[str, list[Told]]:
+    """One pass: what both views of each target are told by the other, over all documents but those labelled."""
+    id_col, text, source, lang = names
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((betas, labelled))  # weights of fixed size, ids of the sample
+    targets = list(betas)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        betas, labelled = shared.value
+        told = {t: [Told(n) for n in WIDTHS] for t in targets}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                mask = [i not in labelled for i in batch.column(id_col).to_pylist()]
+                lists = _views(batch.filter(pa.array(mask, pa.bool_())), text, source, lang)
+                views = [Rows(x, n) for x, n in zip(lists, WIDTHS, strict=True)]
+                for t in targets:
+                    tell(betas[t], views, told[t])
+        for k, t in enumerate(targets):
+            for view, one in enumerate(told[t]):
+                for side in (0, 1):
+                    # Place -1 is the number of documents.
+                    sums = np.concatenate([[one.n[side]], one.sums[side]]).astype(np.int64)
+                    at = np.flatnonzero(sums)
+                    kind = np.full(len(at), 4 * k + 2 * view + side, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array((at - 1).astype(np.int32)), pa.array(sums[at])], names=["kind", "place", "n"])
+
+    inputs = [c for c in dict.fromkeys(names) if c in docs.columns]
+    sums = docs.select(*inputs).mapInArrow(run, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
+    out = {t: [Told(n) for n in WIDTHS] for t in targets}
+    kinds, places, n = (sums.column(c).to_numpy() for c in ("kind", "place", "n"))
+    for k, t in enumerate(targets):
+        for view, one in enumerate(out[t]):
+            for side in (0, 1):
+                of = kinds == 4 * k + 2 * view + side
+                counted = of & (places < 0)
+                one.n[side] = n[counted].sum()
+                one.sums[side][places[of & ~counted]] = n[of & ~counted] * UNIT
+    return out
+
+
 def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -252,12 +327,14 @@ def fit_quality(
     id_col: str = "doc_id",
     source: str = "source",
     lang: str = "lang",
+    rounds: int = ROUNDS,
 ) -> dict[str, CoTrained]:
     """A model for each of ``TARGETS`` of which the labels have ``LEAST_SIDE`` documents on both sides.
 
     Each target learns from the labels that aren't null in its own column. Labels with a null id, or
     where both are null, aren't used, nor are those of absent documents. Of documents that share an id
-    one is used, and of several labels for an id each target's largest.
+    one is used, and of several labels for an id each target's largest. Each round of co-training
+    reads all documents once.
     """
     given = labels.select(F.col(id_col).alias("id"), *(F.col(t).cast("boolean").alias(t) for t in TARGETS))
     given = given.where(F.col("id").isNotNull() & F.coalesce(*TARGETS).isNotNull())
@@ -274,12 +351,8 @@ def fit_quality(
         counts[r["quality"], r["toxic"]] = r["count"] / max(len(same_ids), 1)
     if not chosen:
         return {}
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull())
-    n = max(ids.count(), 1)
-    pool = _low(ids, F.lit(min(1.0, (2 * POOL + 50) / n))).distinct().join(named.select("id"), "id", "left_anti")
-    unlabelled = {r["id"]: (None, None) for r in _lowest(pool.collect(), POOL)}
     spark = docs.sparkSession
-    picked = spark.createDataFrame([(i,) for i in {**unlabelled, **chosen}], f"id {docs.schema[id_col].dataType.simpleString()}")
+    picked = spark.createDataFrame([(i,) for i in chosen], f"id {docs.schema[id_col].dataType.simpleString()}")
     inputs = [c for c in dict.fromkeys((text, source, lang)) if c in docs.columns]
     sample = docs.select(F.col(id_col).alias("id"), *inputs).join(F.broadcast(picked), "id")
     featured = with_columns(sample, FEATURES, lambda b: list(_views(b, text, source, lang)))
@@ -287,20 +360,21 @@ def fit_quality(
     rows = featured.groupBy("id").agg(F.min(F.struct("content", "metadata")).alias("f")).orderBy("id")
     sample = rows.select("id", "f.content", "f.metadata").toArrow()
     names = sample.column("id").to_pylist()
-    known = [i for i, name in enumerate(names) if name in chosen]
-    spare = [i for i, name in enumerate(names) if name not in chosen]
     content, metadata = (_lists(sample.column(c)) for c in ("content", "metadata"))
-    models = {}
+    training = {}
     for k, target in enumerate(TARGETS):
-        own = [i for i in known if chosen[names[i]][k] is not None]
+        own = [i for i, name in enumerate(names) if chosen[name][k] is not None]
         y = np.array([int(chosen[names[i]][k]) for i in own])
         # Both sides need rows to learn from, and others to be calibrated on.
         if min(y.sum(), len(y) - y.sum()) < LEAST_SIDE:
             continue
-        views = [[v[i] for i in some] for some in (own, spare) for v in (content, metadata)]
         w = np.array([counts[chosen[names[i]]] for i in own])
-        models[target] = co_train(views[0], views[1], y, views[2], views[3], w=w)
-    return models
+        training[target] = CoTraining([content[i] for i in own], [metadata[i] for i in own], y, w)
+    for _ in range(rounds if training else 0):
+        told = told_by_all(docs, {t: c.betas for t, c in training.items()}, set(chosen), (id_col, text, source, lang))
+        for t, c in training.items():
+            c.learn(told[t])
+    return {t: c.model() for t, c in training.items()}
 
 
 def judge_quality(

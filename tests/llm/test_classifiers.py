@@ -144,14 +144,71 @@ def test_each_target_learns_from_its_own_labels(spark):
     assert all((r["p_toxic"] > 0.5) == (r["doc_id"] % 3 > 0) for r in rows)
 
 
-def test_views_teach_each_other():
-    rng = np.random.default_rng(0)
+def views_of(y, rng):
+    return [[int(v) * 50 + int(rng.integers(50))] for v in y]
 
-    def rows(n, y):
-        return [[int(v) * 50 + int(rng.integers(50))] for v in y[:n]]
 
-    y, hidden = rng.integers(0, 2, 60), rng.integers(0, 2, 500)
-    told = quality.co_train(rows(60, y), rows(60, y), y, rows(500, hidden), rows(500, hidden))
-    test = rng.integers(0, 2, 400)
-    p = told.probability(quality.Rows(rows(400, test), quality.CONTENT_PLACES), quality.Rows(rows(400, test), quality.METADATA_PLACES))
-    assert np.mean((p > 0.5) == test) > 0.95
+def test_views_teach_each_other():
+    """Both views see few features in the labelled rows; documents that the other is sure of have the rest."""
+    rng = np.random.default_rng(0)
+    y, hidden, test = rng.integers(0, 2, 40), rng.integers(0, 2, 3000), rng.integers(0, 2, 400)
+    co = quality.CoTraining(views_of(y, rng), [[int(v)] for v in y], y)
+    pool = [quality.Rows(v, n) for v, n in zip((views_of(hidden, rng), [[int(v)] for v in hidden]), quality.WIDTHS, strict=True)]
+    right = []
+    tested = quality.Rows(views_of(test, rng), quality.CONTENT_PLACES)
+    for _ in range(quality.ROUNDS + 1):
+        right.append(np.mean((tested.dot(co.betas[0][:-1]) + co.betas[0][-1] > 0) == test))
+        told = [quality.Told(n) for n in quality.WIDTHS]
+        quality.tell(co.betas, pool, told)
+        for t in told:
+            t.sums *= quality.UNIT
+        co.learn(told)
+    assert right[0] < 0.8 and right[-1] > 0.98
+
+
+def test_what_views_are_told_is_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choice(words[: 20 + 20 * (i % 2)], 12)) if i % 17 else None, f"s{i % 4}", "en") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    betas = {"quality": [np.append(rng.normal(0, 9, n), 0.1) for n in quality.WIDTHS]}
+    got = quality.told_by_all(docs, betas, {0, 5}, ("doc_id", "text", "source", "lang"))["quality"]
+    want = [np.zeros((2, n)) for n in quality.WIDTHS]
+    n = np.zeros((2, 2))
+    for i, text, source, lang in rows:
+        features = quality.content_features(text), quality.metadata_features(text, source, lang)
+        for view in (0, 1):
+            beta = betas["quality"][view]
+            p = 1 / (1 + np.exp(-(sum(beta[f] for f in features[view]) / len(features[view]) ** 0.5 + beta[-1])))
+            side = 1 if p >= 0.9 else 0 if p <= 0.1 else None
+            if side is not None and i not in (0, 5):
+                n[1 - view][side] += 1
+                want[1 - view][side][features[1 - view]] += len(features[1 - view]) ** -0.5
+    for view in (0, 1):
+        assert (got[view].n == n[view]).all() and n[view].sum() > 50
+        assert np.allclose(got[view].sums, want[view], atol=1e-3)
+
+
+def test_scores_are_the_two_views_combined(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 8)), f"s{i % 3}", None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int("w3 " in rows[i][1]), 0) for i in range(250)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels)["quality"]
+    for r in quality.judge_quality(docs, {"quality": model}).collect():
+        logits = []
+        for beta, (a, b), f in (
+            (model.content, model.calibration[0], quality.content_features(r["text"])),
+            (model.metadata, model.calibration[1], quality.metadata_features(r["text"], r["source"], r["lang"])),
+        ):
+            logits.append(a * (sum(beta[x] for x in f) / len(f) ** 0.5 + beta[-1]) + b)
+        p = 1 / (1 + np.exp(-(model.combined[:2] @ logits + model.combined[2])))
+        assert abs(r["p_quality"] - p) < 1e-6 and r["p_toxic"] == 0 and abs(r["score"] - p) < 1e-6
+        assert r["keep"] == (r["p_quality"] >= quality.LEAST_QUALITY)
+
+
+def test_long_and_repeated_rows_of_quality(spark):
+    docs = spark.createDataFrame([(i // 2, ("good " if i % 2 else "bad ") * (200_000 if i < 2 else 3), "s") for i in range(60)], "doc_id long, text string, p_toxic string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    rows = quality.judge_quality(docs, quality.fit_quality(docs, labels)).collect()
+    assert len(rows) == 60 and all(0 <= r["p_quality"] <= 1 and r["p_toxic"] == 0 for r in rows)
