@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.operators import spatial
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder that the session shares (a temporary one if it names none)."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-    return df.checkpoint(eager=True)
+from plumbline.storage import stored
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes (id)`` with ``component``, the smallest id reachable over ``links (a, b)``.
 
     Each round takes the least label among neighbours and then the label of that label, so
-    rounds grow with the logarithm of distances, not with them; each is checkpointed.
+    rounds grow with the logarithm of distances, not with them; each is kept in the shared folder.
     """
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = checkpointed(nodes.select("id", F.col("id").alias("component")).distinct())
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = stored(nodes.select("id", F.col("id").alias("component")).distinct())
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
         lower = labels.join(near, "id", "left").select("id", "component", F.least("component", "least").alias("low"))
@@ -36,7 +26,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         step = lower.join(roots.withColumnsRenamed({"id": "low", "root": "jump"}), "low", "left").join(
             roots.withColumnsRenamed({"id": "component", "root": "own"}), "component", "left"
         )
-        new = checkpointed(step.select("id", F.least("low", "jump", "own").alias("component")))
+        new = stored(step.select("id", F.least("low", "jump", "own").alias("component")))
         if not new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").take(1):
             return new
         labels = new
@@ -47,7 +37,7 @@ def _labelled_runs(pixels: DataFrame) -> DataFrame:
     from plumbline.operators.raster import runs_of_value
 
     place = (F.col("band").cast("bigint") * (1 << 20) + F.col("row")) * (1 << 20) + F.col("c0")
-    runs = checkpointed(runs_of_value(pixels).withColumn("id", place))
+    runs = stored(runs_of_value(pixels).withColumn("id", place))
     a = runs.select(F.col("id").alias("a"), "band", "value", "row", F.col("c0").alias("a0"), F.col("c1").alias("a1"))
     b = runs.select(F.col("id").alias("b"), "band", "value", (F.col("row") - 1).alias("row"), F.col("c0").alias("b0"), F.col("c1").alias("b1"))
     links = a.join(b, ["band", "value", "row"]).where("a0 <= b1 and b0 <= a1").select("a", "b")
@@ -67,7 +57,7 @@ def region_polygons(pixels: DataFrame) -> DataFrame:
     """Each region as a multi polygon with its cell count: the union of its runs' rectangles."""
     from plumbline.operators.vector import dissolve
 
-    runs = checkpointed(_labelled_runs(pixels))
+    runs = stored(_labelled_runs(pixels))
     x0, x1, y0, y1 = F.col("c0").cast("double"), F.col("c1") + 1.0, F.col("row").cast("double"), F.col("row") + 1.0
     shapes = runs.select("component", x0.alias("minx"), y0.alias("miny"), g.polygon(g.box(x0, y0, x1, y1)).alias("geom"))
     facts = runs.groupBy("component").agg(F.first("value").alias("value"), F.sum(F.col("c1") - F.col("c0") + 1).alias("cells"))
@@ -86,38 +76,57 @@ def adjacent_groups(polygons: DataFrame, size: float, key: str = "idx") -> DataF
     return components(polygons.select(F.col(key).alias("id")), links).withColumnRenamed("id", key)
 
 
-def merge_lines(lines: DataFrame, key: str = "idx", path: str = "path") -> DataFrame:
-    """Lines joined end to end where exactly two ends meet; junctions of three or more stay."""
-    node = lambda p: F.concat_ws(" ", F.round(p[0], 9), F.round(p[1], 9))
-    ends = lines.select(F.col(key).alias("id"), F.explode(F.array(node(F.get(path, F.lit(0))), node(F.element_at(path, -1)))).alias("node"))
-    pairs = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2 and a <> b")
-    of = components(lines.select(F.col(key).alias("id")), pairs.select("a", "b"))
-    # The nodes at which a chain may go on: of two ends, wherever these are.
-    joints = ends.join(pairs.select("node"), "node").groupBy("id").agg(F.collect_set("node").alias("joints"))
-    rows = lines.withColumnRenamed(key, "id").join(of, "id").join(joints, "id", "left").select("component", "id", path, "joints")
-
-    def stitched(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        name = lambda p: (round(p[0], 9), round(p[1], 9))
-        left = {i: [tuple(q) for q in p] for i, p in zip(pdf["id"], pdf[path], strict=True)}
-        open_ = {tuple(map(float, j.split())) for js in pdf["joints"] if js is not None for j in js}
-        out = []
-        while left:
-            _, chain = left.popitem()
-            grown = True
-            while grown:
-                grown = False
-                for i, p in list(left.items()):
-                    for at_end in (True, False):
-                        tip = name(chain[-1] if at_end else chain[0])
-                        if tip in open_ and tip in (name(p[0]), name(p[-1])) and not grown:
-                            part = p if (name(p[0]) == tip) == at_end else p[::-1]
-                            chain = chain + part[1:] if at_end else part[:-1] + chain
-                            del left[i]
-                            grown = True
-            out.append((key_[0], len(pdf), [list(q) for q in chain]))
-        return pd.DataFrame(out, columns=["component", "merged", "path"])
-
-    return rows.groupBy("component").applyInPandas(stitched, "component long, merged long, path array<array<double>>")
+def merge_lines(lines: DataFrame, key: str = "idx", path: str = "path", within: tuple[str, ...] = ()) -> DataFrame:
+    """Lines joined end to end where exactly two ends meet; junctions of three or more stay.
+
+    Lines meet only where they are equal in the columns ``within``. Returns ``component`` (the
+    least key of a chain), ``merged`` (how many lines), ``path`` and those columns.
+
+    Each line can be run through in two directions, and a direction has at most one that
+    follows it. By pointer jumping every direction learns its chain's last one and how many
+    steps away it is, in rounds that grow with the logarithm of the longest chain. Of a chain's
+    two directions the one is kept in which its least line runs as it was given; a closed chain
+    begins there. A chain's pieces are gathered, in order, into the one value that it is.
+    """
+    node = lambda p: F.array(*[F.round(p[i], 9) + 0.0 for i in (0, 1)])
+    first, last = F.get(path, F.lit(0)), F.element_at(path, -1)
+    rows = stored(lines.select(F.col(key).alias("id"), *within, F.col(path).alias("path"), node(first).alias("a"), node(last).alias("b")), "lines")
+    ends = rows.select("id", *within, F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))).alias("e")).select("id", *within, "e.*")
+    # Of two ends that meet, each is where the other line goes on. A line that ends where it begins stays as it is.
+    meet = ends.groupBy("node", *within).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "side")).alias("x"), F.max(F.struct("id", "side")).alias("y"))
+    meet = meet.where((F.col("n") == 2) & (F.col("x.id") != F.col("y.id"))).select("x", "y")
+    of = stored(components(rows.select("id"), meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))), "chains")
+    # Way 0 enters a line by its side 0 and leaves by side 1; way 1 the other way round.
+    both = meet.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("y").alias("v")), F.struct(F.col("y").alias("u"), F.col("x").alias("v")))).alias("m"))
+    follow = both.select(F.col("m.u.id").alias("id"), (1 - F.col("m.u.side")).alias("way"), F.col("m.v.id").alias("to"), F.col("m.v.side").alias("to_way"))
+    linked = rows.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way")).join(of, "id").join(follow, ["id", "way"], "left")
+    rings = stored(linked.groupBy("component").agg(F.bool_and(F.col("to").isNotNull()).alias("ring")).where("ring"), "rings")
+    goes_on = F.col("to").isNotNull() & ~(F.col("ring").isNotNull() & (F.col("to") == F.col("component")))
+    state = stored(
+        linked.join(rings, "component", "left").select(
+            "component", "id", "way",
+            F.when(goes_on, F.col("to")).otherwise(F.col("id")).alias("to"),
+            F.when(goes_on, F.col("to_way")).otherwise(F.col("way")).alias("to_way"),
+            F.when(goes_on, 1).otherwise(0).cast("long").alias("steps"), goes_on.alias("moved"),
+        ),
+        "ways",
+    )
+    while state.where("moved").take(1):
+        ahead = state.select(F.col("id").alias("to"), F.col("way").alias("to_way"), F.col("to").alias("next"), F.col("to_way").alias("next_way"), F.col("steps").alias("more"))
+        state = stored(
+            state.join(ahead, ["to", "to_way"]).select(
+                "component", "id", "way", F.col("next").alias("to"), F.col("next_way").alias("to_way"),
+                (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved"),
+            ),
+            "ways",
+        )
+    chosen = state.where("id = component and way = 0").select("component", "to", "to_way")
+    runs = state.join(chosen, ["component", "to", "to_way"]).join(rows, "id")
+    part = F.when(F.col("way") == 0, F.col("path")).otherwise(F.reverse("path"))
+    pieces = F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("at"), part.alias("p"))))
+    joined = runs.groupBy("component", *within).agg(F.count(F.lit(1)).alias("merged"), pieces.alias("pieces"))
+    path = F.flatten(F.transform("pieces", lambda x, i: F.when(i == 0, x["p"]).otherwise(F.slice(x["p"], 2, F.size(x["p"])))))
+    return joined.select("component", *within, "merged", path.alias("path"))
 
 
 def near_duplicates(polygons: DataFrame, size: float, tolerance: float) -> DataFrame:
@@ -138,21 +147,21 @@ def coverage_gaps(polygons: DataFrame, cell: float, least_area: float = 1.0) ->
 
 
 def contour_lines(pixels: DataFrame, interval: float, base: float = 0.0, no_data: float | None = None, index_every: int = 5) -> DataFrame:
-    """Contours as lines in pixel coordinates: ``elevation, is_index, length, closed, path``.
+    """Contours as lines in pixel coordinates: ``band, elevation, is_index, length, closed, path``.
 
-    Segments of marching squares meet at equal points, which only those of one level share.
+    Segments of marching squares meet at equal points; those of one band and level are joined.
     """
     from plumbline.operators.raster import contour_segments
 
     segments = contour_segments(pixels, interval, base, no_data).where("x1 <> x2 or y1 <> y2")
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    named = checkpointed(
-        segments.select(F.xxhash64("band", "level", "r", "c", *ends).alias("idx"), "level", F.array(F.array(*ends[:2]), F.array(*ends[2:])).alias("path"))
+    named = stored(
+        segments.select(F.xxhash64("band", "level", "r", "c", *ends).alias("idx"), "band", "level", F.array(F.array(*ends[:2]), F.array(*ends[2:])).alias("path"))
     )
-    lines = merge_lines(named.select("idx", "path"))
-    levels = named.select(F.col("idx").alias("component"), "level")
+    lines = merge_lines(named, within=("band", "level"))
     path = F.col("path")
-    return lines.join(levels, "component").select(
+    return lines.select(
+        "band",
         F.col("level").alias("elevation"),
         (F.floor(F.round((F.col("level") - base) / interval)) % index_every == 0).alias("is_index"),
         g.path_length(path).alias("length"), g.is_closed(path).alias("closed"), "path",
@@ -172,7 +181,7 @@ def polygonize(lines: DataFrame, tolerance: float, size: float, key: str = "idx"
     loops = merge_lines(ends, key).select("component", g.oriented(F.col("path")).alias("ring"))
     loops = loops.where((F.size("ring") > 3) & g.is_closed(ring)).withColumn("area", F.abs(g.signed_area(ring))).where(F.col("area") > least_area)
     b = g.bounds(F.col("geom"))
-    loops = checkpointed(loops.withColumn("geom", g.polygon(ring)).select("*", *[b[k].alias(k) for k in spatial.BOX]))
+    loops = stored(loops.withColumn("geom", g.polygon(ring)).select("*", *[b[k].alias(k) for k in spatial.BOX]))
     # The middle of the first edge stands for a loop: loops don't cross.
     mid = [(ring[0][i] + ring[1][i]) / 2 for i in (0, 1)]
     marks = loops.select(F.col("component").alias("inner"), F.col("area").alias("inner_area"), mid[0].alias("x"), mid[1].alias("y"))

@@ -69,9 +69,9 @@ def cloud_summary(points: DataFrame) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("n_points"), *axes)
 
 
-def z_anomalies(points: DataFrame, by: list[str], score: float = 6.0) -> DataFrame:
-    """Points far from the median height of their group, by median absolute deviations (groups of 8 or more)."""
+def z_anomalies(points: DataFrame, by: list[str], score: float = 3.5) -> DataFrame:
+    """Points at least so far from the median height of their group, by median absolute deviations (groups of 8 or more)."""
     middle = points.groupBy(*by).agg(F.percentile("z", F.lit(0.5)).alias("median_z"), F.count("z").alias("n")).where("n >= 8")
     off = points.join(middle, by).withColumn("off", F.abs(F.col("z") - F.col("median_z")))
     spread = off.groupBy(*by).agg(F.percentile("off", F.lit(0.5)).alias("mad")).where("mad > 0")
-    return off.join(spread, by).where(0.6745 * F.col("off") / F.col("mad") > score)
+    return off.join(spread, by).where(0.6745 * F.col("off") / F.col("mad") >= score)

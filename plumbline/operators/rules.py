@@ -24,10 +24,12 @@ def hole_outside(geom: Column) -> Column:
     )
 
 
-def topology_issues(df: DataFrame, key: str = "idx", geom: str = "geom", longest: int = 2000) -> DataFrame:
-    """One row for each issue of each feature; shapes over ``longest`` vertices aren't searched for crossings."""
+def topology_issues(df: DataFrame, key: str = "idx", geom: str = "geom") -> DataFrame:
+    """One row for each issue of each feature; shapes of any size are searched for crossings.
+
+    Edges of one ring that cross are found by an equi-join of edges on ring and grid cell.
+    """
     s = F.col(geom)
-    n = g.vertex_count(s)
     is_area, is_line = s["type"].endswith("Polygon"), s["type"].endswith("LineString")
     issues = {
         "missing geometry": s.isNull(),
@@ -35,12 +37,40 @@ def topology_issues(df: DataFrame, key: str = "idx", geom: str = "geom", longest
         "too few vertices": (is_area & F.exists(g.rings(s), lambda r: F.size(r) < 4)) | (is_line & F.exists(g.rings(s), lambda r: F.size(r) < 2)),
         "repeated vertices": ~s["type"].endswith("Point") & F.exists(g.rings(s), lambda r: F.size(g.without_repeats(r, 0.0)) < F.size(r)),
         "wrong orientation": is_area & F.exists(s["parts"], lambda rs: g.signed_area(F.get(rs, F.lit(0))) < 0),
-        "self-intersection": (n <= longest) & ~s["type"].endswith("Point") & F.exists(g.rings(s), g.self_crossing),
         "hole outside shell": is_area & hole_outside(s),
         "sliver": is_area & is_sliver(s),
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in issues.items()]))
-    return df.select(key, F.explode(found).alias("issue"))
+    crossing = self_crossings(df, key, geom).select(key).distinct().withColumn("issue", F.lit("self-intersection"))
+    return df.select(key, F.explode(found).alias("issue")).unionByName(crossing)
+
+
+def self_crossings(df: DataFrame, key: str = "idx", geom: str = "geom", short: int = 64) -> DataFrame:
+    """Pairs of edges of one ring that cross properly: ``key, part, ring, i, j``.
+
+    Edges of short rings meet by their ring; those of longer ones on a grid over their ring of
+    about as many cells a side as the root of its edges, so that no ring's edges all meet.
+    """
+    s = F.col(geom)
+    rings = df.where(~s["type"].endswith("Point")).select(F.col(key), F.posexplode(s["parts"]).alias("part", "rings")).select(key, "part", F.posexplode("rings").alias("ring", "path"))
+    x, y = F.transform("path", lambda p: p[0]), F.transform("path", lambda p: p[1])
+    n = F.size("path") - 1
+    side = F.when(n > short, F.floor(F.sqrt(n))).otherwise(1)
+    wide = F.greatest(F.array_max(x) - F.array_min(x), F.array_max(y) - F.array_min(y)) / side
+    sized = rings.select(key, "part", "ring", F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.greatest(wide, F.lit(1e-12)).alias("cell"), "path")
+    ends = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    edges = sized.where(F.size("path") > 3).select(key, "part", "ring", "x0", "y0", "cell", F.posexplode(ends).alias("i", "e"))
+
+    def place(k: int, f: object, origin: str) -> Column:
+        return F.floor((f(F.col("e.p")[k], F.col("e.q")[k]) - F.col(origin)) / F.col("cell"))
+
+    dealt = edges.withColumn("cx", F.explode(F.sequence(place(0, F.least, "x0"), place(0, F.greatest, "x0")))).withColumn(
+        "cy", F.explode(F.sequence(place(1, F.least, "y0"), place(1, F.greatest, "y0")))
+    )
+    at = [key, "part", "ring", "cx", "cy"]
+    other = dealt.select(*at, F.col("i").alias("j"), F.col("e").alias("f"))
+    met = dealt.join(other, at).where(F.col("i") < F.col("j"))
+    return met.where(g.segments_cross(F.col("e.p"), F.col("e.q"), F.col("f.p"), F.col("f.q"))).select(key, "part", "ring", "i", "j").distinct()
 
 
 def must_contain(polygons: DataFrame, points: DataFrame, size: float, key: str = "idx") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.storage import stored
 
 BOX = ("minx", "miny", "maxx", "maxy")
 
@@ -36,10 +37,42 @@ def boxes_meet(left: tuple[str, ...], right: tuple[str, ...]) -> Column:
     )
 
 
+#: A box that touches more cells than this is wide: it is joined on a coarser grid.
+WIDE = 256
+
+
 def box_join(left: DataFrame, right: DataFrame, size: float, lbox: tuple[str, ...], rbox: tuple[str, ...]) -> DataFrame:
-    """Pairs whose boxes meet; columns of both sides must differ in name."""
-    first = (_cell(F.greatest(lbox[0], rbox[0]), size) == F.col("cx")) & (_cell(F.greatest(lbox[1], rbox[1]), size) == F.col("cy"))
-    return with_cells(left, size, lbox).join(with_cells(right, size, rbox), ["cx", "cy"]).where(boxes_meet(lbox, rbox) & first).drop("cx", "cy")
+    """Pairs whose boxes meet; columns of both sides must differ in name.
+
+    Boxes that touch at most ``WIDE`` cells meet on the grid of ``size``. Wide ones, of either
+    side, meet all of the other on a grid whose cells are a quarter of the widest box, so no box
+    is dealt to more than some twenty-five cells there. One aggregate for each side finds them.
+    """
+
+    def met(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+        first = (_cell(F.greatest(lbox[0], rbox[0]), cell) == F.col("cx")) & (_cell(F.greatest(lbox[1], rbox[1]), cell) == F.col("cy"))
+        return with_cells(a, cell, lbox).join(with_cells(b, cell, rbox), ["cx", "cy"]).where(boxes_meet(lbox, rbox) & first).drop("cx", "cy")
+
+    def wide(box: tuple[str, ...]) -> Column:
+        return F.coalesce(_across(box, 0, size) * _across(box, 1, size) > WIDE, F.lit(False))
+
+    widest = [
+        df.where(wide(box)).agg(F.max(F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])))).first()[0]
+        for df, box in ((left, lbox), (right, rbox))
+    ]
+    if all(w is None for w in widest):
+        return met(left, right, size)
+    out = met(left.where(~wide(lbox)), right.where(~wide(rbox)), size)
+    if widest[0] is not None:
+        out = out.unionByName(met(left.where(wide(lbox)), right, widest[0] / 4))
+    if widest[1] is not None:
+        out = out.unionByName(met(left.where(~wide(lbox)), right.where(wide(rbox)), widest[1] / 4))
+    return out
+
+
+def _across(box: tuple[str, ...], axis: int, size: float) -> Column:
+    """How many cells a box touches along an axis."""
+    return _cell(F.col(box[axis + 2]), size) - _cell(F.col(box[axis]), size) + 1
 
 
 def candidate_pairs(df: DataFrame, size: float, key: str = "idx") -> DataFrame:
@@ -52,18 +85,23 @@ def candidate_pairs(df: DataFrame, size: float, key: str = "idx") -> DataFrame:
 
 def contained(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Points with each polygon that holds them: half-open edges, holes excluded."""
-    at = points.withColumn("cx", _cell(F.col(x), size)).withColumn("cy", _cell(F.col(y), size))
-    inside = F.col(x).between(F.col("minx"), F.col("maxx")) & F.col(y).between(F.col("miny"), F.col("maxy"))
-    return at.join(with_cells(polygons, size), ["cx", "cy"]).where(inside & g.in_polygon(F.col(x), F.col(y), F.col("geom"))).drop("cx", "cy")
+    spots = points.withColumns({"__x0": F.col(x), "__y0": F.col(y), "__x1": F.col(x), "__y1": F.col(y)})
+    pairs = box_join(spots, polygons, size, ("__x0", "__y0", "__x1", "__y1"), BOX).drop("__x0", "__y0", "__x1", "__y1")
+    return pairs.where(g.in_polygon(F.col(x), F.col(y), F.col("geom")))
 
 
 def burn_in(polygons: DataFrame, texts: DataFrame, size: float, text: str, priority: str = "nearest", key: str = "idx") -> DataFrame:
     """Gives each polygon the text of a point inside it; polygons without one keep null.
 
     ``nearest`` to the middle of its box, ``largest`` text height (column ``height``),
-    ``first`` by row, or all, ``concatenate``d in order. Ties go by text.
+    ``first`` by row, or all, ``concatenate``d in order. Ties go by text. A point inside several
+    polygons is burnt into the first of them by ``key`` only.
     """
-    found = contained(texts.select(F.col(text).alias("burnt"), "x", "y", *[c for c in ("height", "row") if c in texts.columns]), polygons, size)
+    named = texts.select(F.col(text).alias("burnt"), "x", "y", *[c for c in ("height", "row") if c in texts.columns])
+    found = contained(named.withColumn("__point", F.xxhash64(*named.columns)), polygons, size)
+    # Equal points are burnt alike, so they may share their mark.
+    firsts = found.groupBy("__point").agg(F.min(key).alias(key))
+    found = found.join(firsts, ["__point", key], "left_semi")
     if priority == "concatenate":
         best = found.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("burnt")), ", ").alias("burnt"))
     else:
@@ -87,28 +125,50 @@ def within_distance(left: DataFrame, right: DataFrame, distance: float) -> DataF
     return a.join(b, ["cx", "cy"]).withColumn("distance", gap).where(F.col("distance") <= distance).drop("cx", "cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, start: float, rounds: int = 40) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, start: float) -> DataFrame:
     """For each left point the nearest right point, by distance then right key; exact.
 
-    Searches with a distance that doubles for the points that found none, so most points
-    look at few cells, and none is given up: the last round's reach covers both layers.
+    Searches with a distance that grows fourfold for the points that found none; none is given
+    up, since the last distance covers both layers. In a round a point looks first at the
+    boxes of the right points in cells of an eighth of the distance, some hundreds at most,
+    and then only at the points of boxes that can hold the nearest; right points at one place
+    count once. So crowded places and far points don't meet all of a layer. Each round's finds,
+    and the points that are left, are kept in the shared folder.
     """
-    spans = [
-        df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first() for df, a, b in ((left, "lx", "ly"), (right, "rx", "ry"))
-    ]
+    right = stored(right.groupBy("rx", "ry").agg(F.min_by(F.struct(*right.columns), "rkey").alias("r")).select("r.*"), "right")
+    spans = [df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first() for df, a, b in ((left, "lx", "ly"), (right, "rx", "ry"))]
     if any(s[0] is None for s in spans):
         return within_distance(left.limit(0), right.limit(0), start)
     reach = 2 * max(max(s[1], t[1]) - min(s[0], t[0]) + max(s[3], t[3]) - min(s[2], t[2]) for s in spans for t in spans)
-    out, rest, d = None, left, start
-    for _ in range(rounds):
-        pairs = within_distance(rest, right, d)
-        best = pairs.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("distance", "rkey"))).where("k = 1").drop("k")
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    out, rest, d = None, left.where(F.col("lx").isNotNull() & F.col("ly").isNotNull()), start
+    while True:
+        placed = right.withColumn("sx", _cell(F.col("rx"), d / 8)).withColumn("sy", _cell(F.col("ry"), d / 8))
+        boxes = placed.groupBy("sx", "sy").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("rx", "ry") for f in (F.min, F.max)])
+        boxes = boxes.withColumn("cx", F.floor(F.col("sx") / 8)).withColumn("cy", F.floor(F.col("sy") / 8))
+        spots = rest.select(F.col(key), "lx", "ly", F.explode(near).alias("n")).select(
+            key, "lx", "ly",
+            (F.floor(_cell(F.col("lx"), d / 8) / 8) + F.col("n.i")).alias("cx"), (F.floor(_cell(F.col("ly"), d / 8) / 8) + F.col("n.j")).alias("cy"),
+        )
+        off = {c: (F.greatest(F.col(f"min_r{c}") - F.col(f"l{c}"), F.col(f"l{c}") - F.col(f"max_r{c}"), F.lit(0.0))) for c in "xy"}
+        far = {c: F.greatest(F.abs(F.col(f"min_r{c}") - F.col(f"l{c}")), F.abs(F.col(f"max_r{c}") - F.col(f"l{c}"))) for c in "xy"}
+        seen = spots.join(boxes, ["cx", "cy"]).select(
+            key, "lx", "ly", "sx", "sy", F.hypot(off["x"], off["y"]).alias("least"), F.hypot(far["x"], far["y"]).alias("most")
+        )
+        # Some hundreds of boxes for a point: the nearest right point is no farther than the nearest far corner.
+        bound = F.min("most").over(Window.partitionBy(key))
+        open_ = seen.withColumn("bound", bound).where((F.col("least") <= F.col("bound") * (1 + 1e-12)) & (F.col("least") <= d)).select(key, "lx", "ly", "sx", "sy")
+        pairs = open_.join(placed.drop("lx", "ly"), ["sx", "sy"]).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")))
+        # A little less than d, so that no rounding puts a point of that distance into a cell farther off.
+        found = pairs.where(F.col("distance") <= d * (1 - 1e-9))
+        best = found.groupBy(key).agg(F.min(F.struct("distance", "rkey", *[c for c in right.columns if c != "rkey"])).alias("m")).select(key, "m.*")
+        best = stored(best, "nearest")
         out = best if out is None else out.unionByName(best)
-        rest = rest.join(best.select(key), key, "left_anti")
+        rest = stored(rest.join(best.select(key), key, "left_anti"), "left")
         if d > reach or not rest.take(1):
             break
         d *= 4
-    return out
+    return left.join(out, key)
 
 
 def overlapping(pairs: DataFrame) -> DataFrame:

@@ -43,17 +43,20 @@ def build_table(
     search: str | None = None,
     sort_by: str | None = None,
     descending: bool = False,
-    limit: int = 2000,
+    limit: int | None = 2000,
     row_id: str = "idx",
 ) -> DataFrame:
     """Filter, search, sort, limit, in this order. An expression that can't be read matches nothing.
 
     A sort with a limit is one ``TakeOrderedAndProject``: each task passes on ``limit`` rows.
+    Without a limit all rows stay, and without a sort as well nothing moves.
     """
     out = filtered(df, filter) if filter else df
     out = searched(out, search) if search else out
     keys = sort_keys(out, sort_by, descending) if sort_by else []
     ids = [F.col(row_id)] if row_id in df.columns else []
+    if limit is None:
+        return out.orderBy(*keys, *ids) if keys else out
     order = [*keys, *ids]
     return (out.orderBy(*order) if order else out).limit(limit)
 
@@ -180,11 +183,10 @@ def deduplicate_paths(df: DataFrame, path: str, row_id: str = "idx") -> DataFram
     return df.withColumn("unique_path", F.when(rank == 1, F.col(path)).otherwise(F.concat(path, F.lit("-"), rank)))
 
 
-def collapse_warnings(warnings: DataFrame) -> DataFrame:
-    """One row for each code and message; missing counts are 1."""
-    return warnings.groupBy("code", "message").agg(
-        F.sum(F.coalesce("count", F.lit(1))).alias("count"), F.min("severity").alias("severity")
-    )
+def collapse_warnings(warnings: DataFrame, order: str | None = None) -> DataFrame:
+    """One row for each code and message; missing counts are 1; the severity is that of the first by ``order`` (or the least)."""
+    severity = F.min_by("severity", order) if order else F.min("severity")
+    return warnings.groupBy("code", "message").agg(F.sum(F.coalesce("count", F.lit(1))).alias("count"), severity.alias("severity"))
 
 
 def combine_evidence(df: DataFrame, by: list[str], weight: str = "weight") -> DataFrame:

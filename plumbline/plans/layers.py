@@ -23,6 +23,16 @@ def parcels(spark: SparkSession, sf_dir: str, side: float = 10.0) -> DataFrame:
     )
 
 
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square of ten for each part without its north-west corner of n x n (n from 1 to 4), and with a hole of one by one."""
+    df = parcels(spark, sf_dir)
+    x, y, n = F.col("minx"), F.col("miny"), 1.0 + F.col("p_size") % 4
+    at = lambda dx, dy: g.position(x + dx, y + dy)
+    shell = F.array(at(0, 0), at(10, 0), at(10, 10), at(n, 10), at(n, 10 - n), at(0, 10 - n), at(0, 0))
+    hole = F.array(at(6, 3), at(6, 4), at(7, 4), at(7, 3), at(6, 3))
+    return df.withColumn("geom", g.polygon(shell, hole))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point for each event."""
     return table(spark, sf_dir, "events").select(
@@ -60,11 +70,15 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DEM_WIDTH = 64
+
+
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raster of 30 rows (days) and 24 columns (hours): mean event values."""
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy((F.dayofmonth("ts") - 1).alias("row"), F.hour("ts").alias("col"))
-        .agg(F.avg("value").alias("value"))
-        .withColumn("band", F.lit(1))
+    """A raster of 64 columns, and as many rows as it takes for one pixel for each event: its value."""
+    return table(spark, sf_dir, "events").select(
+        F.expr(f"event_id div {DEM_WIDTH}").cast("int").alias("row"), (F.col("event_id") % DEM_WIDTH).cast("int").alias("col"), "value", F.lit(1).alias("band")
     )
+
+
+def dem_rows(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] // DEM_WIDTH + 1

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +15,7 @@ from plumbline.operators import table as tab
 from plumbline.plans import layers
 from plumbline.plans.layers import table
 from plumbline.sources import binary_vector, detect, tables, text_vector
+from plumbline.storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +52,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice * (
        CAST(l_quantity AS BIGINT) || ' of ' || l_linenumber AS label
 FROM lineitem WHERE l_quantity % 7 = 3 OR l_shipdate IS NULL""")
 def table_calculate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = tab.build_table(table(spark, sf_dir, "lineitem"), "l_quantity % 7 = 3 or isnull(l_shipdate)", limit=2_000_000_000)
+    df = tab.build_table(table(spark, sf_dir, "lineitem"), "l_quantity % 7 = 3 or isnull(l_shipdate)", limit=None)
     df = tab.calculate(df, "net", "round(l_extendedprice * (1 - l_discount), 2)")
     df = tab.calculate(df, "state", "if(l_returnflag = 'R', 'back', 'kept')")
     df = tab.calculate(df, "label", "concat(l_quantity, ' of ', l_linenumber)")
@@ -171,14 +170,15 @@ def paths_made_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_type AS code, CAST(user_id % 3 AS VARCHAR) AS message, CAST(sum(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS count, 'info' AS severity
+SELECT event_type AS code, CAST(user_id % 3 AS VARCHAR) AS message, CAST(sum(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS count,
+  arg_min(CASE WHEN value > 50 THEN 'warning' ELSE 'info' END, event_id) AS severity
 FROM events GROUP BY 1, 2""")
 def warnings_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("code"), (F.col("user_id") % 3).cast("string").alias("message"), F.lit("info").alias("severity"),
-        F.when(F.col("event_id") % 2 == 0, 2).alias("count"),
+        F.col("event_type").alias("code"), (F.col("user_id") % 3).cast("string").alias("message"),
+        F.when(F.col("value") > 50, "warning").otherwise("info").alias("severity"), F.when(F.col("event_id") % 2 == 0, 2).alias("count"), "event_id",
     )
-    return tab.collapse_warnings(df)
+    return tab.collapse_warnings(df, "event_id")
 
 
 @query("""
@@ -214,10 +214,10 @@ def points_in_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM {_PARCEL} WHERE value >= minx AND value < minx + 10 AND user_id + 0.5 >= miny AND user_id + 0.5 < miny + 10)""")
+SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM {_PARCEL} WHERE value >= minx AND value < minx + 6 AND user_id + 0.5 >= miny AND user_id + 0.5 < miny + 6)""")
 def points_outside_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = layers.observations(spark, sf_dir).select(F.col("idx").alias("event_id"), "x", "y")
-    return spatial.orphans(obs, layers.parcels(spark, sf_dir), 50.0, "event_id").select("event_id")
+    return spatial.orphans(obs, layers.parcels(spark, sf_dir, 6.0), 50.0, "event_id").select("event_id")
 
 
 _INSIDE = f"{_PARCEL} LEFT JOIN events ON value >= minx AND value < minx + 10 AND user_id + 0.5 >= miny AND user_id + 0.5 < miny + 10"
@@ -367,6 +367,23 @@ def layer_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Geometry.
 
 
+#: Plots: squares without a corner of n x n, and with a hole of 1 x 1 (see ``layers.plots``).
+_PLOT = "(SELECT p_partkey AS idx, p_brand, p_size, 1.0 + p_size % 4 AS n, (p_partkey % 50) * 10.0 AS minx, floor(p_partkey / 50) * 10.0 AS miny FROM part) p"
+
+
+@query(f"""
+SELECT idx, 99 - n * n AS area, 44.0 AS perimeter, 12 AS vertices, round(4 * pi() * (99 - n * n) / (44 * 44), 9) AS thinness,
+  round(minx + (500 - n * n * n / 2 - 6.5) / (99 - n * n), 6) AS cx, round(miny + (500 - n * n * (10 - n / 2) - 3.5) / (99 - n * n), 6) AS cy
+FROM {_PLOT}""")
+def plot_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    geom = F.col("geom")
+    c = g.centroid(geom)
+    return layers.plots(spark, sf_dir).select(
+        "idx", g.area(geom).alias("area"), g.length(geom).alias("perimeter"), g.vertex_count(geom).alias("vertices"),
+        F.round(g.thinness(geom), 9).alias("thinness"), F.round(c[0], 6).alias("cx"), F.round(c[1], 6).alias("cy"),
+    )
+
+
 @query(f"""
 SELECT idx, 100.0 AS area, 40.0 AS perimeter, minx + 5 AS cx, miny + 5 AS cy, 5 AS vertices, round(pi() / 4, 9) AS thinness,
   'POLYGON ((' || CAST(minx AS BIGINT) || ' ' || CAST(miny AS BIGINT) || ', ' || CAST(minx + 10 AS BIGINT) || ' ' || CAST(miny AS BIGINT) || ', ' || CAST(minx + 10 AS BIGINT) || ' ' || CAST(miny + 10 AS BIGINT) || ', ' || CAST(minx AS BIGINT) || ' ' || CAST(miny + 10 AS BIGINT) || ', ' || CAST(minx AS BIGINT) || ' ' || CAST(miny AS BIGINT) || '))' AS wkt
@@ -442,15 +459,26 @@ def _places() -> tuple[Column, Column]:
 _PLACE = "(SELECT c_custkey, (c_custkey * 37 % 3600) / 10.0 - 180 AS lon, (c_custkey * 53 % 1600) / 10.0 - 80 AS lat FROM customer) c"
 
 
-@query(f"SELECT c_custkey, least(greatest(floor((lon + 180) / 6) + 1, 1), 60) AS zone, true AS returns FROM {_PLACE}".replace("least(greatest(floor((lon + 180) / 6) + 1, 1), 60)", "CAST(least(greatest(floor((lon + 180) / 6) + 1, 1), 60) AS INTEGER)"))
-def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+_TM = f"""(SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM (
+  SELECT *, sinh(atanh(sin(radians(lat))) - 2 * sqrt(n) / (1 + n) * atanh(2 * sqrt(n) / (1 + n) * sin(radians(lat)))) AS t, radians(lon - (zone * 6 - 183)) AS l
+  FROM (SELECT *, CAST(least(greatest(floor((lon + 180) / 6) + 1, 1), 60) AS INTEGER) AS zone, 1 / (2 * 298.257223563 - 1) AS n FROM {_PLACE})))"""
+_ALPHA = ("(n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16)", "(13 * n * n / 48 - 3 * n * n * n / 5)", "(61 * n * n * n / 240)")
+_EAST = "eta + " + " + ".join(f"{a} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))
+_NORTH = "xi + " + " + ".join(f"{a} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))
+_SCALED = "0.9996 * 6378137 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64)"
+
+
+@query(f"""
+SELECT c_custkey, zone, round({_SCALED} * ({_EAST}) + 500000, 3) AS east, round({_SCALED} * ({_NORTH}) + CASE WHEN lat < 0 THEN 1e7 ELSE 0 END, 3) AS north,
+  round(lon, 7) AS lon, round(lat, 7) AS lat FROM {_TM}""")
+def utm_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = _places()
     df = table(spark, sf_dir, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat"))
     df = df.withColumn("zone", crs.utm_zone(F.col("lon")))
     east, north = crs.to_utm(F.col("lon"), F.col("lat"), F.col("zone"))
-    df = df.withColumn("east", east).withColumn("north", north)
+    df = df.withColumns({"east": east, "north": north})
     lon2, lat2 = crs.from_utm(F.col("east"), F.col("north"), F.col("zone"), F.col("lat") < 0)
-    return df.select("c_custkey", "zone", ((F.abs(lon2 - F.col("lon")) < 1e-7) & (F.abs(lat2 - F.col("lat")) < 1e-7)).alias("returns"))
+    return df.select("c_custkey", "zone", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), (F.round(lon2, 7) + 0.0).alias("lon"), (F.round(lat2, 7) + 0.0).alias("lat"))
 
 
 @query(f"""
@@ -480,7 +508,7 @@ def datum_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Rasters.
 
-_DEM = "(SELECT extract(day FROM ts) - 1 AS row, extract(hour FROM ts) AS col, avg(value) AS value FROM events GROUP BY 1, 2) d"
+_DEM = "(SELECT event_id // 64 AS row, event_id % 64 AS col, value FROM events) d"
 
 
 @query(f"""
@@ -491,13 +519,16 @@ def raster_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(CASE WHEN (col >= 4 AND col < 12 AND row >= 10 AND row < 20) THEN value ELSE -9999 END, 6) AS value FROM {_DEM}""")
+SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(CASE WHEN s_suppkey IS NOT NULL THEN value ELSE -9999 END, 6) AS value
+FROM {_DEM} LEFT JOIN supplier ON s_suppkey = row AND col >= s_suppkey % 5 * 11 AND col < s_suppkey % 5 * 11 + 10""")
 def raster_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corners = [F.lit(float(v)) for v in (4, -20, 12, -10)]
-    shape = table(spark, sf_dir, "region").limit(1).select(
+    """Kept where a supplier's box is: ten columns and one row for each."""
+    x, y = (F.col("s_suppkey") % 5 * 11.0), -F.col("s_suppkey") * 1.0
+    corners = [x, y - 1, x + 10, y]
+    shapes = table(spark, sf_dir, "supplier").select(
         *[c.alias(k) for c, k in zip(corners, spatial.BOX, strict=True)], g.polygon(g.box(*corners)).alias("geom")
     )
-    out = raster.clip_raster(layers.dem(spark, sf_dir), shape, -9999.0)
+    out = raster.clip_raster(layers.dem(spark, sf_dir), shapes, -9999.0)
     return out.select("row", "col", F.round("value", 6).alias("value"))
 
 
@@ -505,7 +536,7 @@ def raster_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(row * 2 + i AS INTEGER) AS row, CAST(col * 2 + j AS INTEGER) AS col, round(value, 6) AS value FROM {_DEM}, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)""")
 def raster_warped(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda c: (F.col(c) + 0.5) / 2 - 0.5
-    out = raster.warp(layers.dem(spark, sf_dir), 48, 62, (at("col"), at("row")))
+    out = raster.warp(layers.dem(spark, sf_dir), 128, 2 * layers.dem_rows(spark, sf_dir), (at("col"), at("row")))
     return out.select("row", "col", F.round("value", 6).alias("value"))
 
 
@@ -514,7 +545,7 @@ WITH d AS (SELECT row, col, value FROM {_DEM})
 SELECT a.row AS row, a.col AS col, round(0.25 * (a.value + b.value + c.value + e.value), 10) AS value
 FROM d a JOIN d b ON b.row = a.row AND b.col = a.col + 1 JOIN d c ON c.row = a.row + 1 AND c.col = a.col JOIN d e ON e.row = a.row + 1 AND e.col = a.col + 1""".replace("SELECT a.row AS row, a.col AS col", "SELECT CAST(a.row AS INTEGER) AS row, CAST(a.col AS INTEGER) AS col"))
 def raster_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = raster.warp(layers.dem(spark, sf_dir), 24, 31, (F.col("col") + 0.5, F.col("row") + 0.5), "bilinear")
+    out = raster.warp(layers.dem(spark, sf_dir), 64, layers.dem_rows(spark, sf_dir), (F.col("col") + 0.5, F.col("row") + 0.5), "bilinear")
     return out.select("row", "col", F.round("value", 10).alias("value"))
 
 
@@ -569,9 +600,10 @@ def cloud_grid_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS voxels FROM (SELECT DISTINCT floor(l_quantity / 5), floor(l_discount * 100 / 5), floor(l_extendedprice / 5) FROM lineitem)""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
+  SELECT *, row_number() OVER (PARTITION BY floor(l_quantity / 500), floor(l_discount * 100 / 500), floor(l_extendedprice / 500) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) WHERE r = 1""")
 def cloud_voxel_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.thin(layers.cloud(spark, sf_dir), 5.0, three_d=True).agg(F.count(F.lit(1)).alias("voxels"))
+    return points.thin(layers.cloud(spark, sf_dir), 500.0, three_d=True).select("idx.*")
 
 
 @query("""
@@ -585,19 +617,19 @@ def cloud_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (SELECT event_type, median(value) AS md FROM events GROUP BY 1 HAVING count(*) >= 8),
 o AS (SELECT event_id, e.event_type, abs(value - md) AS d FROM events e JOIN m USING (event_type)),
 s AS (SELECT event_type, median(d) AS mad FROM o GROUP BY 1)
-SELECT event_id FROM o JOIN s USING (event_type) WHERE mad > 0 AND 0.6745 * d / mad > 3""")
+SELECT event_id FROM o JOIN s USING (event_type) WHERE mad > 0 AND 0.6745 * d / mad >= 1.5""")
 def cloud_z_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = layers.observations(spark, sf_dir).withColumnRenamed("value", "z")
-    return points.z_anomalies(obs, ["event_type"], 3.0).select(F.col("idx").alias("event_id"))
+    return points.z_anomalies(obs, ["event_type"], 1.5).select(F.col("idx").alias("event_id"))
 
 
 # Polygon algebra, rules and repairs.
 
 
 @query(f"""
-SELECT p_size, count(*) * 100.0 AS area FROM {_PARCEL} GROUP BY 1""")
+SELECT p_size, sum(99 - n * n) AS area FROM {_PLOT} GROUP BY 1""")
 def parcels_dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vector.dissolve(layers.parcels(spark, sf_dir), "p_size", 250.0)
+    out = vector.dissolve(layers.plots(spark, sf_dir), "p_size", 250.0)
     return out.select("p_size", F.round(g.area(F.col("geom")), 6).alias("area"))
 
 
@@ -613,30 +645,46 @@ def event_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT idx, 25.0 AS both, 175.0 AS either, 75.0 AS less, 150.0 AS one, round(100 + 40 + pi(), 0) AS grown FROM {_PARCEL} WHERE idx % 7 = 0""")
-def parcels_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = vector.spread(layers.parcels(spark, sf_dir).where("idx % 7 = 0"), "idx")
-    a = F.col("geom")
-    moved = g.translated(a, 5, 5)
+SELECT idx, w AS both, 199 - n * n - w AS either, 99 - n * n - w AS less, 199 - n * n - 2 * w AS one,
+  round(139 - n * n + 5 * pi() / 4, 1) AS grown
+FROM (SELECT *, 63 - greatest(n - 2, 0) * n AS w FROM {_PLOT})""")
+def plots_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each plot with a square that begins two further east and north; and grown by one."""
+    df = vector.spread(layers.plots(spark, sf_dir), "idx")
+    a, x, y = F.col("geom"), F.col("minx") + 2, F.col("miny") + 2
+    square = g.polygon(g.box(x, y, x + 10, y + 10))
     ops = {"both": "intersection", "either": "union", "less": "difference", "one": "symmetric-difference"}
-    made = [F.round(g.area(vector.overlay_columns(a, moved, op)), 6).alias(k) for k, op in ops.items()]
-    return df.select("idx", *made, F.round(g.area(vector.buffer_column(a, 1.0, 0.001)), 0).alias("grown"))
+    made = [F.round(g.area(vector.overlay_columns(a, square, op)), 6).alias(k) for k, op in ops.items()]
+    return df.select("idx", *made, F.round(g.area(vector.buffer_column(a, 1.0, 0.002)), 1).alias("grown"))
 
 
 @query(f"""
-SELECT p_size % 2 AS part, p_partkey AS idx FROM part WHERE p_size % 2 = 1 AND p_partkey % 50 = 0""".replace("p_size % 2 AS part, ", ""))
+SELECT idx, unnest(CASE p_size % 5 WHEN 0 THEN ['wrong orientation'] WHEN 1 THEN ['repeated vertices'] WHEN 2 THEN ['open ring']
+  WHEN 3 THEN ['hole outside shell'] ELSE ['self-intersection'] END) AS issue FROM {_PLOT}""")
 def topology_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turned = F.when((F.col("p_size") % 2 == 1) & (F.col("idx") % 50 == 0), g.map_rings(F.col("geom"), lambda r, _: F.reverse(r))).otherwise(F.col("geom"))
-    found = rules.topology_issues(layers.parcels(spark, sf_dir).withColumn("geom", turned))
-    return found.where("issue = 'wrong orientation'").select("idx")
+    """Every plot is spoilt in one of five ways, by its size."""
+    shell, hole, kind = F.get(F.get("geom.parts", 0), 0), F.get(F.get("geom.parts", 0), 1), F.col("p_size") % 5
+    n = F.size(shell)
+    # The third and the fifth vertex change places: two edges cross.
+    swapped = F.transform(shell, lambda p, i: F.when(i == 2, F.get(shell, 4)).when(i == 4, F.get(shell, 2)).otherwise(p))
+    outside = F.transform(hole, lambda p: F.array(p[0] + 100, p[1]))
+    spoilt = (
+        F.when(kind == 0, F.array(F.reverse(shell), hole))
+        .when(kind == 1, F.array(F.concat(F.slice(shell, 1, 2), F.slice(shell, 2, n)), hole))
+        .when(kind == 2, F.array(F.slice(shell, 1, n - 1), hole))
+        .when(kind == 3, F.array(shell, outside))
+        .otherwise(F.array(swapped))
+    )
+    df = layers.plots(spark, sf_dir).withColumn("geom", g.geometry("Polygon", F.array(spoilt)))
+    return rules.topology_issues(df)
 
 
 @query(f"""
-SELECT idx, 100.0 AS area, 5 AS vertices, true AS closed FROM {_PARCEL}""")
+SELECT idx, 100 - n * n AS area, 12 AS vertices, true AS closed FROM {_PLOT}""")
 def parcels_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = g.map_rings(F.col("geom"), lambda r, _: F.reverse(F.concat(F.slice(r, 1, 2), F.slice(r, 2, 3))))
+    broken = g.map_rings(F.col("geom"), lambda r, _: F.reverse(F.concat(F.slice(r, 1, 2), F.slice(r, 2, F.size(r) - 2))))
     geom = F.col("fixed")
-    df = layers.parcels(spark, sf_dir).withColumn("fixed", rules.repaired(broken))
+    df = layers.plots(spark, sf_dir).withColumn("fixed", rules.repaired(broken))
     ring = g.rings(geom)[0]
     return df.select("idx", g.signed_area(ring).alias("area"), g.vertex_count(geom).alias("vertices"), g.is_closed(ring).alias("closed"))
 
@@ -648,9 +696,11 @@ def rule_must_contain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'parcels must not overlap' AS rule, count(*) AS subjects, 0 AS violations, 'passed' AS verdict FROM part""")
+SELECT 'parcels must not overlap' AS rule, (SELECT count(*) FROM part) AS subjects, count(*) AS violations, CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END AS verdict
+FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND abs(a.p_partkey % 50 - b.p_partkey % 50) = 1 AND abs(a.p_partkey // 50 - b.p_partkey // 50) = 1""")
 def rule_must_not_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parcels = layers.parcels(spark, sf_dir)
+    """Parcels of 14 by 14 on a grid of 10: those that meet at a corner cross properly."""
+    parcels = layers.parcels(spark, sf_dir, 14.0)
     return rules.evaluated("parcels must not overlap", parcels, rules.must_not_overlap(parcels, 40.0))
 
 
@@ -675,8 +725,7 @@ def tracks_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-files-")
-    return f"{shared}/files-{uuid.uuid4().hex}"
+    return shared_path(spark, "files")
 
 
 @query("SELECT p_partkey AS idx, p_brand, (p_partkey % 50) * 10.0 + 5 AS cx FROM part")
@@ -706,9 +755,8 @@ def files_geoparquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     c = table(spark, sf_dir, "customer")
-    c.select(F.concat_ws(",", "c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment").alias("value")).unionAll(
-        spark.createDataFrame([("Pt,Easting,Northing,Code",)], "value string")
-    ).orderBy(F.col("value").startswith("Pt").desc()).write.text(path)
+    # Each part has the header; the reader drops it wherever it stands.
+    c.select(F.col("c_custkey").alias("Pt"), F.col("c_acctbal").alias("Easting"), F.col("c_nationkey").alias("Northing"), F.col("c_mktsegment").alias("Code")).write.option("header", True).csv(path)
     df, roles = tables.read_csv_table(spark, path)
     named = ",".join({"x": "easting", "y": "northing", "id": "id", "code": "code"}[r] for r in ("x", "y", "id", "code") if r in roles)
     return df.select(
@@ -733,7 +781,7 @@ def files_las(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(value, 6) AS value FROM {_DEM}")
 def files_ascii_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
-    tables.write_ascii_grid(layers.dem(spark, sf_dir), path, tables.Grid(24, 31, 1.0, 0.0, 0.0, -9999.0))
+    tables.write_ascii_grid(layers.dem(spark, sf_dir), path, tables.Grid(64, layers.dem_rows(spark, sf_dir), 1.0, 0.0, 0.0, -9999.0))
     back, _ = tables.read_ascii_grid(spark, path)
     return back.where("value <> -9999").select("row", F.col("col").cast("int").alias("col"), F.round("value", 6).alias("value"))
 
@@ -754,11 +802,13 @@ def raster_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT count(*) AS polygons, 1 AS groups, min(idx) AS component FROM {_PARCEL} WHERE idx % 50 < 25 AND minx >= 0""")
+SELECT min(idx) OVER (PARTITION BY idx % 50 // 10) AS component, idx FROM {_PARCEL}""")
 def adjacent_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    west = layers.parcels(spark, sf_dir).where("idx % 50 < 25")
-    groups = components.adjacent_groups(west, 40.0)
-    return groups.agg(F.count(F.lit(1)).alias("polygons"), F.count_distinct("component").cast("int").alias("groups"), F.min("component").alias("component"))
+    """Every tenth column is narrower, so blocks of ten columns share edges."""
+    df = layers.parcels(spark, sf_dir)
+    x1 = F.col("maxx") - F.when(F.col("idx") % 10 == 9, 1.0).otherwise(0.0)
+    df = df.withColumn("geom", g.polygon(g.box(F.col("minx"), F.col("miny"), x1, F.col("maxy"))))
+    return components.adjacent_groups(df, 40.0).select("idx", "component")
 
 
 @query("""
@@ -787,15 +837,27 @@ def sources_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.match_sources(docs.drop("doc_id"), supplied).select("path", "state")
 
 
-@query("""
-SELECT page_id AS id, 'geojson' AS format, round(1 - 0.4 * 0.15, 9) AS confidence, false AS needs_confirmation FROM pages WHERE page_id % 2 = 0
-UNION ALL SELECT page_id, 'csv', 0.6, true FROM pages WHERE page_id % 2 = 1""")
+_KIND = "['html', 'geojson', 'txt', 'kml', 'gpx', 'las'][1 + CAST(page_id % 6 AS INTEGER)]"
+
+
+@query(f"""
+SELECT id, format, round(confidence, 9) AS confidence, coalesce(confidence < 0.6, true) AS needs_confirmation FROM (
+  SELECT page_id AS id, CASE {_KIND} WHEN 'html' THEN NULL WHEN 'txt' THEN 'csv' ELSE {_KIND} END AS format,
+    CASE {_KIND} WHEN 'html' THEN NULL WHEN 'txt' THEN 0.35 WHEN 'las' THEN 1 - 0.65 * 0.5 WHEN 'geojson' THEN 1 - 0.65 * 0.15 ELSE 1 - 0.65 * 0.2 END AS confidence FROM pages)""")
 def formats_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = F.col("page_id") % 2 == 0
-    body = F.when(even, F.concat(F.lit('{"type": "FeatureCollection", "features": []}'), F.lit(" "))).otherwise(F.concat(F.lit("page "), "url"))
-    files = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("in/"), "page_id", F.when(even, ".geojson").otherwise(".txt")).alias("path"), body.cast("binary").alias("content")
+    """Every page's bytes, as they are or inside of another format, under a name of that format."""
+    k = F.col("page_id") % 6
+    html = F.col("html")
+    quoted = F.to_json(F.struct(html.alias("html")))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("html", "geojson", "txt", "kml", "gpx", "las")]), (k + 1).cast("int"))
+    body = (
+        F.when(k == 1, F.concat(F.lit('{"type": "FeatureCollection", "features": [], "page": '), quoted, F.lit("}")))
+        .when(k == 3, F.concat(F.lit('<kml xmlns="x"><!--'), F.replace(html, F.lit("-->"), F.lit("")), F.lit("--></kml>")))
+        .when(k == 4, F.concat(F.lit('<gpx version="1.1"><desc>'), F.replace(F.replace(html, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</desc></gpx>")))
+        .when(k == 5, F.concat(F.lit("LASF"), html))
+        .otherwise(html)
     )
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("in/"), "page_id", F.lit("."), name).alias("path"), body.cast("binary").alias("content"))
     out = detect.detected(files)
     return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("id"), "format", F.round("confidence", 9).alias("confidence"), "needs_confirmation")
 
@@ -803,19 +865,27 @@ def formats_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Surveying.
 
 
+#: The third flattening of WGS 84, and the length of the meridian from the equator to a latitude (in radians).
+_N = "(1 / (2 * 298.257223563 - 1))"
+_ARC = "(6378137.0 / (1 + n) * ((1 + n * n / 4 + n * n * n * n / 64) * p - 3.0 / 2 * (n - n * n * n / 8) * sin(2 * p) + 15.0 / 16 * (n * n - n * n * n * n / 4) * sin(4 * p) - 35.0 / 48 * n * n * n * sin(6 * p) + 315.0 / 512 * n * n * n * n * sin(8 * p)))"
+
+
 @query(f"""
-SELECT c_custkey, true AS near_sphere, true AS converged FROM {_PLACE} WHERE abs(lon - 20) < 100""")
+SELECT c_custkey, CASE WHEN abs(lon) < 179 THEN round(6378137 * abs(radians(lon)), 3) END AS on_equator,
+  round(abs({_ARC.replace("p)", "radians(lat))").replace("* p -", "* radians(lat) -")} - {_ARC.replace("p)", "radians(10))").replace("* p -", "* radians(10) -")}), 3) AS on_meridian
+FROM {_PLACE}, (SELECT {_N} AS n)""")
 def geodesic_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Along the equator, where the distance is the radius times the angle, and along a meridian, whose length has a series."""
     lon, lat = _places()
-    df = table(spark, sf_dir, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat")).where("abs(lon - 20) < 100")
-    df = df.withColumn("geo", survey.geodesic(F.col("lon"), F.col("lat"), F.lit(20.0), F.lit(10.0)))
-    ball = crs.great_circle(F.col("lon"), F.col("lat"), F.lit(20.0), F.lit(10.0))
-    return df.select("c_custkey", (F.abs(F.col("geo.distance") / ball - 1) < 0.007).alias("near_sphere"), F.col("geo.converged").alias("converged"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat"))
+    zero, ten = F.lit(0.0), F.lit(10.0)
+    df = df.withColumns({"e": survey.geodesic(F.col("lon"), zero, zero, zero), "m": survey.geodesic(F.col("lon"), F.col("lat"), F.col("lon"), ten)})
+    return df.select("c_custkey", F.when(F.abs("lon") < 179, F.round("e.distance", 3)).alias("on_equator"), F.round("m.distance", 3).alias("on_meridian"))
 
 
-@query(f"SELECT idx, minx + 5 AS x, miny + 5 AS y, 5.0 AS clearance, length(p_brand) * 0.6 <= 5 AS fits FROM {_PARCEL} WHERE idx % 5 = 0")
+@query(f"SELECT idx, minx + 5 AS x, miny + 5 AS y, 5.0 AS clearance, length(p_brand) * 0.6 <= 5 AS fits FROM {_PARCEL}")
 def parcel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = layers.parcels(spark, sf_dir).where("idx % 5 = 0").withColumn("at", survey.label_places(F.col("geom")))
+    df = vector.spread(layers.parcels(spark, sf_dir), "idx").withColumn("at", survey.label_places(F.col("geom")))
     return df.select("idx", *[F.round(f"at.{c}", 6).alias(c) for c in ("x", "y", "clearance")], survey.fits(F.col("p_brand"), 2.0, F.col("at.clearance")).alias("fits"))
 
 

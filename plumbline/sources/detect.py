@@ -25,9 +25,11 @@ TEXT = {
     "dxf": r"(?s)^\s*0\s*\r?\n\s*SECTION", "asciigrid": r"(?is)^\s*ncols\s+\d+", "wkt": r"(?i)^\s*(SRID=\d+;)?\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*Z?\s*\(",
     "pts": r"^\s*\d+\s*\r?\n\s*[-\d.]+\s+[-\d.]+\s+[-\d.]+",
 }
-WEIGHTS = {"extension": 0.6, "magic": 0.95, "text": 0.85}
-#: Under this confidence a person has to confirm.
-SURE = 0.7
+#: How much each kind of evidence weighs; under which confidence a person has to confirm.
+WEIGHTS = {"extension": 0.35, "magic": 0.5, "json": 0.85, "root": 0.8, "header": 0.85, "text": 0.55}
+#: Which kind of evidence a pattern is.
+KIND = {"geojson": "json", "topojson": "json", "dxf": "header", "asciigrid": "header", "wkt": "text", "pts": "text"}
+SURE = 0.6
 
 
 def evidence(files: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def evidence(files: DataFrame) -> DataFrame:
     text = F.decode(F.substring("content", 1, 65536), "ISO-8859-1")
     found = [F.struct(F.lit("extension").alias("kind"), by_ext.alias("format"))]
     found += [F.struct(F.lit("magic").alias("kind"), F.when(head.startswith(m), f).alias("format")) for m, f in MAGIC.items()]
-    found += [F.struct(F.lit("text").alias("kind"), F.when(text.rlike(p), f).alias("format")) for f, p in TEXT.items()]
+    found += [F.struct(F.lit(KIND.get(f, "root")).alias("kind"), F.when(text.rlike(p), f).alias("format")) for f, p in TEXT.items()]
     rows = files.select("path", F.inline(F.array(*found))).where(F.col("format").isNotNull())
     return rows.withColumn("weight", F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("kind")])
 

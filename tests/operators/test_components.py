@@ -61,3 +61,32 @@ def test_detection(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"\x00\x01")
     got = {r["path"][-5:]: (r["format"], r["needs_confirmation"]) for r in detect.detect_formats(spark, str(tmp_path)).collect()}
     assert got == {"a.las": ("las", False), "b.txt": ("kml", False), "c.bin": (None, True)}
+
+
+def test_contours_of_equal_bands_stay_apart(spark):
+    """A cone in two bands: each level is one closed line in each band."""
+    rows = [(b, r, c, 10.0 - ((r - 5) ** 2 + (c - 5) ** 2) ** 0.5) for b in (1, 2) for r in range(11) for c in range(11)]
+    pixels = spark.createDataFrame(rows, "band int, row int, col int, value double")
+    got = c.contour_lines(pixels, 2.0, 5.5).where("elevation < 10").collect()
+    assert sorted((r["band"], r["elevation"], r["closed"]) for r in got) == [(b, e, True) for b in (1, 2) for e in (5.5, 7.5, 9.5)]
+
+
+def test_long_chains_and_rings_are_ordered(spark):
+    """Shuffled pieces of one long line, of a ring, and of lines that meet at a junction of three."""
+    import random
+
+    rng = random.Random(4)
+    chain = [[float(i), float(i * i % 7)] for i in range(300)]
+    ring = [[1000.0 + x, y] for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0))]
+    star = [[[2000.0, 0.0], [2000.0 + x, y]] for x, y in ((1.0, 0.0), (-1.0, 0.0), (0.0, 1.0))]
+    pieces = [[p, q] for path in (chain, ring) for p, q in zip(path, path[1:])] + star
+    pieces = [p[::-1] if rng.random() < 0.5 else p for p in pieces]
+    rng.shuffle(pieces)
+    df = spark.createDataFrame(list(enumerate(pieces)), "idx long, path array<array<double>>")
+    got = [(r["merged"], [list(p) for p in r["path"]]) for r in c.merge_lines(df).collect()]
+    longest = max(got, key=lambda x: len(x[1]))
+    assert longest[0] == 299 and longest[1] in (chain, chain[::-1])
+    rings = [p for _, p in got if p[0] == p[-1]]
+    assert len(rings) == 1 and sorted(map(tuple, rings[0][:-1])) == sorted(map(tuple, ring[:-1]))
+    assert sorted(n for n, _ in got) == [1, 1, 1, 4, 299]
+    assert c.merge_lines(df.limit(0)).count() == 0
