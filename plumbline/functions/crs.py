@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.geometry import map_positions
+
 #: Ellipsoids as (semi-major axis in metres, inverse flattening).
 WGS84 = (6378137.0, 298.257223563)
 EVEREST_1830 = (6377276.345, 300.8017)
@@ -18,26 +22,158 @@ UTM_SCALE, UTM_EAST, UTM_NORTH = 0.9996, 500000.0, 10000000.0
 MEAN_RADIUS = 6371008.8
 
 
+class NoTransform(ValueError):
+    """A transform that would need what the user has not given, and why."""
+
+
 @dataclass(frozen=True)
 class Crs:
-    epsg: int
+    epsg: int | None
     name: str
     kind: str
+    datum: str = "WGS 84"
+    unit: str | None = None
+    utm: tuple[int, bool] | None = None
+    ellipsoid: tuple[float, float] = WGS84
+
+
+#: Geographic systems by code, with their datum and ellipsoid.
+GEOGRAPHIC = {
+    4326: ("WGS 84", "WGS 84", WGS84), 4979: ("WGS 84 3D", "WGS 84", WGS84), 4269: ("NAD83", "North American 1983", GRS80),
+    4240: ("Indian 1975", "Indian 1975", EVEREST_1830), 4145: ("Kalianpur 1962", "Kalianpur 1962", EVEREST_1830),
+}
 
 
 def crs_from_epsg(code: int) -> Crs | None:
-    """The built-in systems: geographic ones, Web Mercator, and UTM on WGS 84."""
-    named = {4326: "WGS 84", 4979: "WGS 84 3D", 4269: "NAD83", 4240: "Indian 1975", 4145: "Kalianpur 1962"}
-    if code in named:
-        return Crs(code, named[code], "geographic")
+    """The built-in systems: geographic ones, Web Mercator, and UTM on WGS 84 and Kalianpur 1975."""
+    if code in GEOGRAPHIC:
+        name, datum, ellipsoid = GEOGRAPHIC[code]
+        return Crs(code, name, "geographic", datum, "degree", None, ellipsoid)
     if code == 3857:
-        return Crs(code, "WGS 84 / Pseudo-Mercator", "projected")
-    for base, side in ((32600, "N"), (32700, "S")):
+        return Crs(code, "WGS 84 / Pseudo-Mercator", "projected", unit="metre")
+    for base, south in ((32600, False), (32700, True)):
         if base < code <= base + 60:
-            return Crs(code, f"WGS 84 / UTM zone {code - base}{side}", "projected")
+            return Crs(code, f"WGS 84 / UTM zone {code - base}{'NS'[south]}", "projected", unit="metre", utm=(code - base, south))
+    if code in (24378, 24379):
+        return Crs(code, f"Kalianpur 1975 / UTM zone {code - 24335}N", "projected", "Kalianpur 1975", "metre", (code - 24335, False), EVEREST_1830)
     return None
 
 
+def is_wgs84(crs: Crs | None) -> bool:
+    return crs is not None and re.search(r"wgs\s*(19)?84", re.sub(r"^D_", "", crs.datum).replace("_", " "), re.I) is not None
+
+
+def same_crs(a: Crs | None, b: Crs | None) -> bool:
+    """Equal codes where both have one; else equal zones on one datum; else equal names and datums."""
+    if a is None or b is None:
+        return False
+    if a.epsg and b.epsg:
+        return a.epsg == b.epsg
+    if a.utm and b.utm:
+        return a.utm == b.utm and a.datum == b.datum
+    return (a.name, a.datum, a.kind) == (b.name, b.datum, b.kind)
+
+
+def grid_unit(crs: Crs | None) -> str:
+    """What a system's axes are counted in: degree, metre, foot or unknown."""
+    if crs is None:
+        return "unknown"
+    unit = (crs.unit or "").lower()
+    if crs.kind == "geographic" or "degree" in unit:
+        return "degree"
+    if "foot" in unit or "feet" in unit or unit == "ft":
+        return "foot"
+    return "metre" if "met" in unit or crs.kind == "projected" else "unknown"
+
+
+#: A shift between datums as the user's authority publishes it: metres, seconds, parts per million.
+Shift = tuple[tuple[float, float, float], tuple[float, float, float], float]
+
+
+def plan_transform(source: Crs | None, target: Crs | None, shift: Shift | None = None) -> Callable[[Column, Column, Column], tuple[Column, Column]] | None:
+    """A function of x, y and height columns to x and y columns; None where nothing changes.
+
+    Unknown or equal systems change nothing. Between datums a shift must be given: none is
+    ever guessed. Heights take part in the shift only and are themselves left as they are.
+    """
+    if source is None or target is None or same_crs(source, target):
+        return None
+    crossing = not (is_wgs84(source) and is_wgs84(target))
+    if crossing and shift is None:
+        foreign = source if not is_wgs84(source) else target
+        raise NoTransform(f"{foreign.datum} is another datum than WGS 84; give the seven parameters of a shift")
+
+    def run(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+        lon, lat = to_geographic(x, y, source)
+        if crossing:
+            at = to_geocentric(lon, lat, F.coalesce(z, F.lit(0.0)), source.ellipsoid)
+            lon, lat, _ = from_geocentric(*helmert(*at, *shift), target.ellipsoid)
+        return from_geographic(lon, lat, target)
+
+    return run
+
+
+def to_geographic(x: Column, y: Column, crs: Crs) -> tuple[Column, Column]:
+    if crs.kind == "geographic":
+        return x, y
+    if crs.utm:
+        return inverse_transverse_mercator(x - UTM_EAST, y - (UTM_NORTH if crs.utm[1] else 0.0), F.lit(crs.utm[0] * 6 - 183), UTM_SCALE, crs.ellipsoid)
+    return from_web_mercator(x, y)
+
+
+def from_geographic(lon: Column, lat: Column, crs: Crs) -> tuple[Column, Column]:
+    if crs.kind == "geographic":
+        return lon, lat
+    if crs.utm:
+        east, north = transverse_mercator(lon, lat, F.lit(crs.utm[0] * 6 - 183), UTM_SCALE, crs.ellipsoid)
+        return east + UTM_EAST, north + (UTM_NORTH if crs.utm[1] else 0.0)
+    return to_web_mercator(lon, lat)
+
+
+def transformed(df: DataFrame, source: Crs | None, target: Crs | None, shift: Shift | None = None, geom: str = "geom") -> DataFrame:
+    """A layer with all positions in another system; height and measure pass as they are."""
+    plan = plan_transform(source, target, shift)
+    if plan is None:
+        return df
+
+    def moved(p: Column) -> Column:
+        x, y = plan(p[0], p[1], F.get(p, F.lit(2)))
+        return F.concat(F.array(x, y), F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(0))))
+
+    return df.withColumn(geom, map_positions(F.col(geom), moved))
+
+
+def suggested_crs(df: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:
+    """What system a layer's numbers look like: ``epsg, reading, ambiguous``; a suggestion, never a decision."""
+    b = df.groupBy(*(by or [])).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    within = lambda lim_x, lim_y: (F.abs(x0) <= lim_x) & (F.abs(x1) <= lim_x) & (F.abs(y0) <= lim_y) & (F.abs(y1) <= lim_y)
+    degrees = within(180, 90)
+    utm = (x0 >= 100000) & (x1 <= 900000) & (y0 >= 0) & (y1 <= 10000000)
+    web = (F.abs(x0) <= 20037509) & (F.abs(x1) <= 20037509) & (F.abs(y1) <= 20048967) & (F.abs(x1) > 900000)
+    none = x0.isNull() | y0.isNull()
+    reading = F.when(none, "none").when(degrees, "degrees").when(utm, "utm").when(web, "web mercator").otherwise("local grid")
+    return b.select(
+        *(by or []),
+        F.when(degrees, 4326).when(~utm & web, 3857).alias("epsg"),
+        reading.alias("reading"),
+        F.coalesce(~degrees | ((F.abs(x1) < 10) & (F.abs(y1) < 10)), F.lit(True)).alias("ambiguous"),
+    )
+
+
+def resolved_crs(user: Crs | None = None, declared: Crs | None = None, sidecar: Crs | None = None, assumed: Crs | None = None, inferred: Crs | None = None) -> tuple[Crs | None, str, Crs | None]:
+    """The system to read a layer in, where it is from, and what the file stated if the user's choice replaces it.
+
+    The user comes first, then what the file declares, its sidecar, what its format implies, and
+    an unambiguous inference; without any of these the layer is blocked.
+    """
+    for crs, origin in ((user, "user"), (declared, "declared"), (sidecar, "sidecar"), (assumed, "assumed"), (inferred, "inferred")):
+        if crs is not None:
+            stated = declared or sidecar
+            return crs, origin, stated if origin == "user" and stated is not None and not same_crs(stated, crs) else None
+    return None, "blocked", None
+
+
 def utm_zone(lon: Column) -> Column:
     """1 to 60, without the exceptions for Norway and Svalbard."""
     return F.least(F.greatest(F.floor((lon + 180) / 6) + 1, F.lit(1)), F.lit(60)).cast("int")
@@ -106,10 +242,8 @@ def from_web_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / WGS84[0]), F.degrees(2 * F.atan(F.exp(y / WGS84[0])) - math.pi / 2)
 
 
-def lambert_conic(
-    lon: Column, lat: Column, lon0: float, lat0: float, lat1: float, lat2: float, ellipsoid: tuple[float, float] = WGS84
-) -> tuple[Column, Column]:
-    """Conformal conic on two standard parallels, which may be equal."""
+def _conic(lon0: float, lat0: float, lat1: float, lat2: float, ellipsoid: tuple[float, float]) -> tuple[float, float, float, float]:
+    """The eccentricity, the cone's constant, the radius at t = 1, and the radius at the origin."""
     a, inverse = ellipsoid
     e = math.sqrt(2 / inverse - 1 / inverse**2)
 
@@ -121,12 +255,34 @@ def lambert_conic(
 
     p0, p1, p2 = (math.radians(x) for x in (lat0, lat1, lat2))
     n = math.sin(p1) if abs(p1 - p2) < 1e-12 else (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
-    scale = m(p1) / (n * t(p1) ** n)
+    scale = a * m(p1) / (n * t(p1) ** n)
+    return e, n, scale, scale * t(p0) ** n
+
+
+def lambert_conic(
+    lon: Column, lat: Column, lon0: float, lat0: float, lat1: float, lat2: float, ellipsoid: tuple[float, float] = WGS84, scale: float = 1.0
+) -> tuple[Column, Column]:
+    """Conformal conic on two standard parallels, which may be equal (then with a scale there)."""
+    e, n, radius, r0 = _conic(lon0, lat0, lat1, lat2, ellipsoid)
     phi = F.radians(lat)
     at = F.tan(math.pi / 4 - phi / 2) / F.pow((1 - e * F.sin(phi)) / (1 + e * F.sin(phi)), F.lit(e / 2))
-    r, r0 = a * scale * F.pow(at, F.lit(n)), a * scale * t(p0) ** n
+    r = scale * radius * F.pow(at, F.lit(n))
     theta = n * F.radians(lon - lon0)
-    return r * F.sin(theta), r0 - r * F.cos(theta)
+    return r * F.sin(theta), scale * r0 - r * F.cos(theta)
+
+
+def inverse_lambert_conic(
+    x: Column, y: Column, lon0: float, lat0: float, lat1: float, lat2: float, ellipsoid: tuple[float, float] = WGS84, scale: float = 1.0
+) -> tuple[Column, Column]:
+    """Longitude and latitude; eight steps towards the latitude."""
+    e, n, radius, r0 = _conic(lon0, lat0, lat1, lat2, ellipsoid)
+    sign = math.copysign(1.0, n)
+    r = sign * F.hypot(x, scale * r0 - y)
+    t = F.pow(r / (scale * radius), F.lit(1 / n))
+    theta = F.atan2(sign * x, sign * (scale * r0 - y))
+    step = lambda p, _: math.pi / 2 - 2 * F.atan(t * F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2)))
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(8)), math.pi / 2 - 2 * F.atan(t), step)
+    return F.degrees(theta / n) + lon0, F.degrees(phi)
 
 
 def to_geocentric(lon: Column, lat: Column, height: Column, ellipsoid: tuple[float, float] = WGS84) -> tuple[Column, Column, Column]:
@@ -176,3 +332,17 @@ METRES = {
 
 def convert_length(v: Column, of: str, to: str) -> Column:
     return v * (METRES[of] / METRES[to])
+
+
+#: Radians in a unit of angle, square metres in one of area, cubic metres in one of volume.
+RADIANS = {"radian": 1.0, "degree": math.pi / 180, "minute": math.pi / 10800, "second": math.pi / 648000, "gon": math.pi / 200}
+SQUARE_METRES = {"square_metre": 1.0, "hectare": 10_000.0, "square_kilometre": 1e6, "acre": 4046.8564224, "square_foot": 0.09290304}
+CUBIC_METRES = {"cubic_metre": 1.0, "litre": 0.001, "cubic_foot": 0.028316846592, "cubic_yard": 0.764554857984}
+
+
+def convert(v: Column, of: str, to: str) -> Column:
+    """Between units of one kind: length, angle, area or volume."""
+    for units in (METRES, RADIANS, SQUARE_METRES, CUBIC_METRES):
+        if of in units and to in units:
+            return v * (units[of] / units[to])
+    raise ValueError(f"{of} and {to} are not units of one kind")

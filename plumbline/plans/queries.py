@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +12,10 @@ from plumbline.operators import boreholes, components, edits, fidelity, points,
 from plumbline.operators import table as tab
 from plumbline.plans import layers
 from plumbline.plans.layers import table
+from plumbline.plans.registry import ORACLES, QUERIES, query
 from plumbline.sources import binary_vector, detect, tables, text_vector
 from plumbline.storage import shared_path
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function under its name, with its SQL twin."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Attribute tables and the field calculator.
 
 
@@ -915,3 +898,9 @@ def export_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("geom.type").alias("n_types"), F.lit(len(names)).alias("n_fields"), F.lit(max(map(len, names))).alias("longest_name")
     )
     return survey.predicted_losses(profile)
+
+
+# The queries of surveying register themselves, too.
+from plumbline.plans import land  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "land"]

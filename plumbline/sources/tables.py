@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as g
 from plumbline.operators.table import Refused
 
 #: Header names of each role, normalised.
@@ -105,6 +106,24 @@ def read_csv_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
     return typed, match_headers(columns)
 
 
+def table_to_points(df: DataFrame, roles: dict[str, str], lat_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Points of a coordinate table by its columns' roles (``x``, ``y``, ``z``, ``id``), and the rows that have none.
+
+    A row needs both coordinates; its height is kept where it has one. Coordinate columns
+    aren't repeated among the attributes; all others stay under their names. Latitude may
+    come first, where the roles say x for it.
+    """
+    if "x" not in roles or "y" not in roles:
+        raise Refused("the columns of easting and northing are not known")
+    number = lambda role: (F.col(f"`{roles[role]}`") if dict(df.dtypes)[roles[role]] == "double" else guarded_number(F.col(f"`{roles[role]}`").cast("string")))
+    x, y = (number("y"), number("x")) if lat_first else (number("x"), number("y"))
+    z = number("z") if "z" in roles else F.lit(None).cast("double")
+    ok = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    used = {roles[r] for r in ("x", "y", "z") if r in roles}
+    at = F.when(z.isNotNull(), g.point(x, y, z)).otherwise(g.point(x, y))
+    return df.where(ok).select(*[F.col(f"`{c}`") for c in df.columns if c not in used], at.alias("geom")), df.where(~F.coalesce(ok, F.lit(False)))
+
+
 def read_xyz(spark: SparkSession, path: str, skip_counts: bool = False) -> DataFrame:
     """Points of x y z and up to four more columns, by white space or commas; comments are skipped.
 
