@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, line_dedup, packing, quality, simhash
-from plumbline.llm.common import stored
+from plumbline.llm.common import kept_now, released, stored
 from plumbline.llm.queries import PACKED, table, tokenizer_file
 
 #: The rows of ``run`` can't be written in SQL: a classifier and a tokenizer are in it.
@@ -66,10 +66,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``; each result is written, and read by the next stage."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies all stages to ``documents``; each result is written, read by the next stage, and then deleted."""
+    docs, since = table(spark, sf_dir, "documents"), kept_now()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{k}")
+            # What the stage kept, and its input, are done with.
+            released(since, but=1)
     return docs
