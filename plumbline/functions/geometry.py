@@ -381,3 +381,57 @@ def from_geojson(text: Column) -> Column:
         .when(kind == "MultiPolygon", read(4))
     )
     return F.when(parts.isNotNull(), geometry(kind, parts))
+
+
+def bounds3(g: Column) -> Column:
+    """``struct<minz, maxz>`` of a geometry; null where no position has a height."""
+    heights = F.array_compact(ordinates(g, 2))
+    return F.struct(F.array_min(heights).alias("minz"), F.array_max(heights).alias("maxz"))
+
+
+def quadrant(degrees: Column) -> Column:
+    """A bearing from north or south towards east or west: N 30.5° E."""
+    b = F.pmod(degrees, F.lit(360.0))
+    part = F.floor(b / 90)
+    angle = F.when(part == 0, b).when(part == 1, 180 - b).when(part == 2, b - 180).otherwise(360 - b)
+    return F.concat(F.when(part.isin(0, 3), "N ").otherwise("S "), F.format_string("%.1f°", angle), F.when(part.isin(0, 1), " E").otherwise(" W"))
+
+
+def angle_between(a: Column, vertex: Column, b: Column) -> Column:
+    """The angle at a vertex between the ways to two positions, 0 to 180 degrees; null where one is the vertex."""
+    u, v = [a[i] - vertex[i] for i in (0, 1)], [b[i] - vertex[i] for i in (0, 1)]
+    angle = F.degrees(F.abs(F.atan2(u[0] * v[1] - u[1] * v[0], u[0] * v[0] + u[1] * v[1])))
+    return F.when((F.hypot(*u) > 0) & (F.hypot(*v) > 0), angle)
+
+
+def slope(a: Column, b: Column) -> Column:
+    """``struct<rise, run, percent, degrees>`` between two positions with heights; no percent where they are above each other."""
+    rise, run = b[2] - a[2], F.hypot(b[0] - a[0], b[1] - a[1])
+    return F.struct(rise.alias("rise"), run.alias("run"), F.try_divide(100 * rise, run).alias("percent"), F.degrees(F.atan2(rise, run)).alias("degrees"))
+
+
+def from_bearing_distance(p: Column, degrees: Column, distance: Column) -> Column:
+    """The position at a distance in a direction, clockwise from north, in a plane."""
+    return F.array(p[0] + distance * F.sin(F.radians(degrees)), p[1] + distance * F.cos(F.radians(degrees)))
+
+
+def vertex_moved(path: Column, at: int, dx: float, dy: float) -> Column:
+    """A path with one vertex (from 0) moved; the ends of a closed path move together."""
+    n = F.size(path)
+    twin = is_closed(path) & (F.lit(at).isin(0) | (n - 1 == at))
+    return F.transform(path, lambda p, i: F.when((i == at) | (twin & ((i == 0) | (i == n - 1))), F.concat(F.array(p[0] + dx, p[1] + dy), F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(0))))).otherwise(p))
+
+
+def vertex_inserted(path: Column, at: int, p: Column) -> Column:
+    """A path with a position before the vertex ``at``."""
+    return F.concat(F.slice(path, 1, at), F.array(p), F.slice(path, at + 1, F.size(path)))
+
+
+def vertex_deleted(path: Column, at: int) -> Column:
+    """A path without a vertex; a closed path stays closed, and none falls under two vertices, or four where it is closed."""
+    n, closed = F.size(path), is_closed(path)
+    rest = F.filter(path, lambda p, i: i != at)
+    ends = closed & ((F.lit(at) == 0) | (n - 1 == at))
+    inner = F.slice(path, 2, F.greatest(n - 2, F.lit(0)))
+    new = F.when(ends, F.concat(inner, F.slice(inner, 1, 1))).otherwise(rest)
+    return F.when(n > F.when(closed, 4).otherwise(2), new).otherwise(path)

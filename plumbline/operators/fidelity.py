@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as g
+
 
 def difference(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """Keys with ``added``, ``removed`` or ``changed``, and which fields differ; one full outer join."""
@@ -29,6 +31,14 @@ def overlay(before: DataFrame, after: DataFrame, key: list[str], tolerance: floa
     return b.join(a, key, "full").select(*key, state.alias("state"), moved.alias("moved_by"))
 
 
+def vertex_drift(before: DataFrame, after: DataFrame, key: list[str], geom: str = "geom") -> DataFrame:
+    """For each feature of both versions the farthest that a vertex is from the nearest one before: ``drift``."""
+    b = before.select(*key, g.positions(F.col(geom)).alias("b"))
+    a = after.select(*key, g.positions(F.col(geom)).alias("a"))
+    nearest = lambda p: F.array_min(F.transform("b", lambda q: F.hypot(p[0] - q[0], p[1] - q[1])))
+    return b.join(a, key).select(*key, F.array_max(F.transform("a", nearest)).alias("drift"))
+
+
 def field_changes(before: DataFrame, after: DataFrame) -> tuple[list[str], list[str]]:
     """Fields that were lost and that are new."""
     return [c for c in before.columns if c not in after.columns], [c for c in after.columns if c not in before.columns]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
-from plumbline.operators import components, georeference, rules
+from plumbline.operators import components, fidelity, georeference, rules, spatial, tiles, vector
 from plumbline.plans import layers
 from plumbline.plans.layers import table
 from plumbline.plans.registry import query
@@ -247,3 +247,80 @@ def raster_region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.region_polygons(df).select(
         F.col("value").cast("bigint").alias("value"), F.col("cells").cast("bigint").alias("cells"), F.round(g.area(F.col("geom")), 6).alias("area"), b["minx"].alias("minx"), b["maxy"].alias("maxy")
     )
+
+
+# Edits of vertices, measurements, tiles, masks.
+
+
+@query("SELECT p_partkey AS idx, 110.0 AS moved, 110.0 + 5 * (p_size % 4) AS inserted, 50.0 AS deleted, 0.5 * (1 + p_size % 3) AS drift FROM part")
+def vertices_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corner of every parcel moves out, a side gets a new vertex, a corner goes; and how far vertices drift when all is moved."""
+    ring, x, y, k = F.get(F.get("geom.parts", F.lit(0)), F.lit(0)), F.col("minx"), F.col("miny"), F.col("p_size")
+    df = layers.parcels(spark, sf_dir)
+    made = {
+        "moved": g.vertex_moved(ring, 2, 1.0, 1.0),
+        "inserted": g.vertex_inserted(ring, 2, F.array(x + 12 + k % 4, y + 5)),
+        "deleted": g.vertex_deleted(ring, 2),
+    }
+    shift = 0.1 * (1 + k % 3)
+    after = df.withColumn("geom", g.map_positions(F.col("geom"), lambda p: F.array(p[0] + 3 * shift, p[1] + 4 * shift)))
+    drift = fidelity.vertex_drift(df, after, ["idx"]).withColumn("drift", F.round("drift", 6))
+    return df.select("idx", *[F.round(g.signed_area(c), 6).alias(name) for name, c in made.items()]).join(drift, "idx")
+
+
+@query(f"""
+SELECT c_custkey, round(degrees(abs(atan2(lon, lat))), 6) AS angle, round(100 * h / sqrt(lon * lon + lat * lat), 6) AS percent,
+  round(lon + 100 * sin(radians(c_custkey % 360)), 6) + 0.0 AS x, round(lat + 100 * cos(radians(c_custkey % 360)), 6) + 0.0 AS y,
+  CASE WHEN c_custkey % 360 < 90 OR c_custkey % 360 >= 270 THEN 'N ' ELSE 'S ' END ||
+  CASE c_custkey % 360 // 90 WHEN 0 THEN c_custkey % 360 WHEN 1 THEN 180 - c_custkey % 360 WHEN 2 THEN c_custkey % 360 - 180 ELSE 360 - c_custkey % 360 END || '.0°' ||
+  CASE WHEN c_custkey % 360 < 180 THEN ' E' ELSE ' W' END AS quadrant FROM {_PLACE} WHERE lon <> 0 OR lat <> 0""")
+def places_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angle from north at the origin, slope from it, where a bearing leads, and that bearing's quadrant."""
+    zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    p, turn = F.array("lon", "lat", "h"), (F.col("c_custkey") % 360).cast("double")
+    to = g.from_bearing_distance(p, turn, F.lit(100.0))
+    return _places(spark, sf_dir).where("lon <> 0 or lat <> 0").select(
+        "c_custkey", F.round(g.angle_between(F.array(F.lit(0.0), F.lit(1.0)), zero, p), 6).alias("angle"), F.round(g.slope(zero, p)["percent"], 6).alias("percent"),
+        (F.round(to[0], 6) + 0.0).alias("x"), (F.round(to[1], 6) + 0.0).alias("y"), g.quadrant(turn).alias("quadrant"),
+    )
+
+
+_TILE_Y = "CAST(floor((1 - ln(tan(radians({0})) + 1 / cos(radians({0}))) / pi()) / 2 * {1}) AS INTEGER)"
+
+
+@query(f"""
+SELECT c_custkey, CAST(floor((lon + 180) / 360 * 1024) AS INTEGER) AS tile_x, {_TILE_Y.format("lat", 1024)} AS tile_y,
+  round(degrees(atan(sinh(pi() * (1 - 2 * {_TILE_Y.format("lat", 1024)} / 1024.0)))), 9) + 0.0 AS north, CAST(least(greatest(floor(log2(360 / (256 * (abs(lat) + 1) / 1000)) + 0.5), 0), 19) AS INTEGER) AS zoom,
+  c_custkey % 256 * 256.0 + c_custkey % 7 + (c_custkey % 11) / 256.0 - 32768 AS height FROM {_PLACE}""")
+def tiles_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = tiles.tile_of(F.col("lon"), F.col("lat"), 10)
+    k = F.col("c_custkey")
+    return _places(spark, sf_dir).select(
+        "c_custkey", x.alias("tile_x"), y.alias("tile_y"), (F.round(tiles.tile_corner(x, y, 10)[1], 9) + 0.0).alias("north"),
+        tiles.tile_zoom((F.abs("lat") + 1) / 1000, 19).alias("zoom"), tiles.terrain_height(k % 256, k % 7, k % 11).alias("height"),
+    )
+
+
+@query(f"""
+SELECT c_custkey, x AS tile_x, y AS tile_y FROM (
+  SELECT c_custkey, unnest(range(least(x0, 127), least(x1, 127) + 1)) AS x, y0, y1 FROM (
+    SELECT c_custkey, CAST(floor((lon + 180) / 360 * 128) AS BIGINT) AS x0, CAST(floor((lon + 185) / 360 * 128) AS BIGINT) AS x1,
+      {_TILE_Y.format("(lat + 3)", 128)} AS y0, {_TILE_Y.format("lat", 128)} AS y1 FROM {_PLACE})), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y)""")
+def tiles_covering_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _places(spark, sf_dir).select("c_custkey", F.col("lon").alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + 5).alias("maxx"), (F.col("lat") + 3).alias("maxy"))
+    return tiles.tiles_covering(boxes, 7).select("c_custkey", "tile_x", "tile_y")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS idx, 1.0 + p_size % 4 AS n FROM part),
+c AS (SELECT idx, n, CASE WHEN a.s_suppkey IS NULL THEN 0.0 ELSE 18.0 END + CASE WHEN b.s_suppkey IS NULL THEN 0.0 ELSE 18 - least(n, 3) * greatest(n - 2, 0) END AS cut
+  FROM p LEFT JOIN supplier a ON a.s_suppkey = idx LEFT JOIN supplier b ON b.s_suppkey = idx - 1 AND idx % 50 <> 0)
+SELECT idx, CASE WHEN cut > 0 THEN cut END AS clipped, 99 - n * n - cut AS erased FROM c""")
+def plots_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots cut to squares of six, one for each supplier, that lie over two plots; and what is left outside."""
+    x, y = F.col("s_suppkey") % 50 * 10.0 + 7, F.floor(F.col("s_suppkey") / 50) * 10.0 + 2
+    corners = dict(zip(spatial.BOX, (x, y, x + 6, y + 6), strict=True))
+    masks = table(spark, sf_dir, "supplier").select(*[c.alias(k) for k, c in corners.items()], g.polygon(g.box(*corners.values())).alias("geom"))
+    plots = layers.plots(spark, sf_dir)
+    clipped, erased = (vector.masked(plots, masks, 40.0, e).select("idx", F.round(g.area(F.col("geom")), 6).alias(name)) for e, name in ((False, "clipped"), (True, "erased")))
+    return erased.join(clipped, "idx", "left").select("idx", "clipped", "erased")
