@@ -22,7 +22,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
         lower = labels.join(near, "id", "left").select("id", "component", F.least("component", "least").alias("low"))
         # A node's old root learns its new label as well, then everyone takes its root's.
-        roots = lower.groupBy(F.col("component").alias("id")).agg(F.min("low").alias("root"))
+        # Kept before it is joined, so that the joins' sides are plain shuffles, which the adaptive planner
+        # splits where very many nodes have one root.
+        lower = stored(lower, "lower")
+        roots = stored(lower.groupBy(F.col("component").alias("id")).agg(F.min("low").alias("root")), "roots")
         step = lower.join(roots.withColumnsRenamed({"id": "low", "root": "jump"}), "low", "left").join(
             roots.withColumnsRenamed({"id": "component", "root": "own"}), "component", "left"
         )

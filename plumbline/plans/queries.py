@@ -464,6 +464,17 @@ def utm_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", "zone", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), (F.round(lon2, 7) + 0.0).alias("lon"), (F.round(lat2, 7) + 0.0).alias("lat"))
 
 
+@query(f"SELECT c_custkey, CAST(least(greatest(floor((lon + 180) / 6) + 1, 1), 60) AS INTEGER) AS zone, true AS returns FROM {_PLACE}")
+def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = _places()
+    df = table(spark, sf_dir, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat"))
+    df = df.withColumn("zone", crs.utm_zone(F.col("lon")))
+    east, north = crs.to_utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    df = df.withColumns({"east": east, "north": north})
+    lon2, lat2 = crs.from_utm(F.col("east"), F.col("north"), F.col("zone"), F.col("lat") < 0)
+    return df.select("c_custkey", "zone", ((F.abs(lon2 - F.col("lon")) < 1e-7) & (F.abs(lat2 - F.col("lat")) < 1e-7)).alias("returns"))
+
+
 @query(f"""
 SELECT c_custkey, round(6378137 * radians(lon), 3) AS x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS y,
   round(2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(10 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(20 - lon) / 2), 2)))), 2) AS distance
@@ -641,6 +652,17 @@ def plots_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("idx", *made, F.round(g.area(vector.buffer_column(a, 1.0, 0.002)), 1).alias("grown"))
 
 
+@query(f"""
+SELECT idx, 25.0 AS both, 175.0 AS either, 75.0 AS less, 150.0 AS one FROM {_PARCEL}""")
+def parcels_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each parcel with itself moved by half its side."""
+    df = vector.spread(layers.parcels(spark, sf_dir), "idx")
+    a = F.col("geom")
+    moved = g.translated(a, 5, 5)
+    ops = {"both": "intersection", "either": "union", "less": "difference", "one": "symmetric-difference"}
+    return df.select("idx", *[F.round(g.area(vector.overlay_columns(a, moved, op)), 6).alias(k) for k, op in ops.items()])
+
+
 @query(f"""
 SELECT idx, unnest(CASE p_size % 5 WHEN 0 THEN ['wrong orientation'] WHEN 1 THEN ['repeated vertices'] WHEN 2 THEN ['open ring']
   WHEN 3 THEN ['hole outside shell'] ELSE ['self-intersection'] END) AS issue FROM {_PLOT}""")
