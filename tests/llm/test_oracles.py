@@ -42,6 +42,16 @@ def test_lines_of_odd_texts(spark):
     assert "key" in out.columns and line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_very_long_and_repeated_texts(spark):
+    """A text of very many lines, most of them repeated in it, counts once for a key; equal rows are documents of their own."""
+    long = "\n".join(["again", "Again "] * 40_000 + [f"own {i}" for i in range(20_000)] + ["shared"])
+    rows = [(1, long)] + [(i, "shared\nonly") for i in range(2, 6)] * 2 + [(9, "again")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3)
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], len(r["kept_text"])) for r in out.collect())
+    # "again" is in two documents only, however often; "shared" and "only" are in eight and more.
+    assert got == [(1, 100_001, 1, len(long) - 7)] + [(i, 2, 2, 0) for i in range(2, 6) for _ in (0, 1)] + [(9, 1, 0, 5)]
+
+
 @pytest.mark.parametrize("batches", [1, 2, 7, 12])
 def test_runs_count_over_all_batches(spark, batches):
     texts = [(i, "\n".join(f"line {k}" for k in range(12) if i % (k + 1) == 0)) for i in range(60)]
