@@ -17,8 +17,9 @@ units, or whole documents, without reading the rest again. DataFrame functions o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DataType
 
 #: Longs of two lanes, and the lanes' bits; each lane has a guard bit above it.
@@ -30,7 +31,7 @@ WIDE = (1 << 32) - 1
 #: Units end after a line break, and after white space that follows a sentence end.
 UNIT_END = r"((?<=\n)|(?<=[.!?]\s))(?!\z)"
 #: Ranges of ids are cut for so many bytes of text each, and at most so many are made.
-RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
+RANGE_BYTES, MOST_RANGES = 2 << 20, 50_000
 #: The cuts are found from about so many sampled rows for each range.
 SAMPLED = 20
 
@@ -94,7 +95,12 @@ def likeness(a: Column, b: Column) -> Column:
     With units' signs summed in each lane, products of the lanes estimate products of the
     multisets: this is ``2 a.b / (a.a + b.b)``, where units that are repeated weigh more.
     """
+    # Bound to a name, so that neither is computed again for each lane.
+    both = F.array(F.struct(a.alias("a"), b.alias("b")))
+    return F.get(F.transform(both, lambda s: _likeness(s["a"], s["b"])), F.lit(0))
 
+
+def _likeness(a: Column, b: Column) -> Column:
     def lane(x: Column, n: Column, shift: int) -> Column:
         return (2 * F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(LANE)) - n).cast("double")
 
@@ -192,8 +198,8 @@ def half_edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     )
 
 
-def _range_cuts(keyed: DataFrame) -> list[Row]:
-    """Keys, in order, that cut all rows into ranges of about equal bytes of text."""
+def _range_cuts(keyed: DataFrame) -> list[str]:
+    """Keys, in order and as JSON, that cut all rows into ranges of about equal bytes of text."""
     n, size = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
     ranges = min(MOST_RANGES, -(-size // RANGE_BYTES))
     if ranges < 2:
@@ -201,25 +207,25 @@ def _range_cuts(keyed: DataFrame) -> list[Row]:
     share = min(1.0, SAMPLED * ranges / n)
     place = F.pmod(F.xxhash64(F.lit("range"), "__key.id", "__key.h"), F.lit(1_000_003)) / 1_000_003
     # At most about SAMPLED * MOST_RANGES keys.
-    sample = keyed.where(place <= share).select("__key", F.octet_length("__text").alias("b")).orderBy("__key").collect()
+    sample = keyed.where(place <= share).orderBy("__key").select(F.to_json("__key").alias("k"), F.octet_length("__text").alias("b")).collect()
     total, seen, cuts = sum(r["b"] for r in sample), 0, []
     for before, r in zip(sample, sample[1:], strict=False):
         seen += before["b"]
-        if seen * ranges >= total * (len(cuts) + 1) and (not cuts or cuts[-1] != r["__key"]):
-            cuts.append(r["__key"])
+        if seen * ranges >= total * (len(cuts) + 1) and (not cuts or cuts[-1] != r["k"]):
+            cuts.append(r["k"])
     return cuts
 
 
-def _cuts_below(key: Column, cuts: list[Row], kind: DataType) -> Column:
+def _cuts_below(key: Column, cuts: list[str], kind: DataType) -> Column:
     """How many of the sorted cuts are at most the key, by two steps of about sqrt(cuts) comparisons."""
     if not cuts:
         return F.lit(0)
-
-    def listed(some: list[Row]) -> Column:
-        return F.array(*[F.struct(F.lit(c["id"]).cast(kind).alias("id"), F.lit(c["h"]).cast("long").alias("h")) for c in some])
-
+    of = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType())])
     step = max(1, int(len(cuts) ** 0.5))
-    blocks = F.array(*[listed(cuts[i : i + step]) for i in range(0, len(cuts), step)])
-    full = F.size(F.filter(listed(cuts[step - 1 :: step]), lambda c: c <= key))
+    # Constants of the plan; JSON keeps them one value each, however many cuts there are.
+    firsts = F.from_json(F.lit(f"[{','.join(cuts[step - 1 :: step])}]"), T.ArrayType(of))
+    rows = [f"[{','.join(cuts[i : i + step])}]" for i in range(0, len(cuts), step)]
+    blocks = F.from_json(F.lit(f"[{','.join(rows)}]"), T.ArrayType(T.ArrayType(of)))
+    full = F.size(F.filter(firsts, lambda c: c <= key))
     rest = F.coalesce(F.size(F.filter(F.get(blocks, full), lambda c: c <= key)), F.lit(0))
     return full * step + rest
