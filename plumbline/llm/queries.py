@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, quality, sharding, simhash
+from plumbline.llm import collocations, decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,6 +141,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -152,6 +156,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
     "pipeline": pipeline,
 }
 
@@ -232,4 +237,26 @@ common AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common c USING (key) GROUP BY doc_id""",
+    "op11_collocations": f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+gram AS (
+  SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS p
+  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM piece, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE len(w) >= s)),
+total AS (SELECT lang, count(*) AS n FROM gram WHERE s = 1 GROUP BY lang),
+often AS (SELECT lang, s, p, count(*) AS a FROM gram GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT *, string_split(p, ' ') AS w FROM often WHERE s > 1),
+cut AS (
+  SELECT c.lang, c.s, c.p, c.a, k, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM cand) c
+  JOIN often x ON x.lang = c.lang AND x.s = k AND x.p = array_to_string(c.w[1:k], ' ')
+  JOIN often y ON y.lang = c.lang AND y.s = c.s - k AND y.p = array_to_string(c.w[k + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+part AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS p, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, s - m + 2)) AS i FROM cand, (SELECT unnest([2, 3]) AS m) WHERE m < s) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN part USING (lang, p) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""",
 }
