@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import collocations, decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, quality, sharding, simhash
+from plumbline.llm import collocations, decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, quality, sharding, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +145,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top_phrases(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -157,6 +162,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
     "op11_collocations": op11_collocations,
+    "op12_substring_dedup": op12_substring_dedup,
     "pipeline": pipeline,
 }
 
@@ -259,4 +265,24 @@ part AS (
 kept AS (SELECT low.* FROM low LEFT JOIN part USING (lang, p) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""",
+    # Two hexadecimal digits a byte: a string of 50 bytes has 100 of them.
+    "op12_substring_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)),
+least AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p FROM win JOIN least USING (s) WHERE doc_id > first),
+run AS (
+  SELECT doc_id, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hit)),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, k),
+gap AS (
+  SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM span
+  UNION ALL SELECT doc_id, 0, min(a) FROM span GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substring(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (coalesce(b, len(h) // 2) - a) AS BIGINT)), '' ORDER BY a) AS h
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
