@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import stored
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """Byte-level BPE files write bytes as printable characters; this is the way back."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
@@ -67,7 +67,7 @@ def same_by_rank(path: str) -> bool:
     vocab, special = model["vocab"], {x["content"] for x in added}
     made = ["".join(m) for m in _merges(model)]
     ids = [vocab.get(x, -1) for x in made]
-    if set(_byte_of_char()) - set(vocab) or len(set(made)) < len(made) or any(b <= a for a, b in zip([255, *ids], ids, strict=False)):
+    if set(byte_of_char()) - set(vocab) or len(set(made)) < len(made) or any(b <= a for a, b in zip([255, *ids], ids, strict=False)):
         return False
     tokens = [x for x in vocab if x not in special]
     if {x for x in tokens if len(x) > 1} != set(made):
@@ -90,7 +90,7 @@ class Tokens:
         if by_rank:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
-            back = _byte_of_char()
+            back = byte_of_char()
             special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
             ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
             # Fixed value: how the byte-level pre-tokenizer splits texts.

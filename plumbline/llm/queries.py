@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import collocations, decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, quality, sharding, simhash, substring_dedup
+from plumbline.llm import alignment, collocations, decontaminate, fingerprint, langid, licenses, line_dedup, packing, pii, quality, sharding, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,6 +150,13 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokens(docs, tokenizer_file(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -163,6 +170,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_collocations": op11_collocations,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 
