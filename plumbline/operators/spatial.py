@@ -8,6 +8,8 @@ distinct is needed, and the adaptive planner can split a crowded cell.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,42 +39,53 @@ def boxes_meet(left: tuple[str, ...], right: tuple[str, ...]) -> Column:
     )
 
 
-#: A box that touches more cells than this is wide: it is joined on a coarser grid.
-WIDE = 256
+#: Cells of a level are so many times as wide as those of the level below.
+STEP = 4
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float, lbox: tuple[str, ...], rbox: tuple[str, ...]) -> DataFrame:
-    """Pairs whose boxes meet; columns of both sides must differ in name.
+def level_of(box: tuple[str, ...], size: float) -> Column:
+    """The lowest level whose cells are at least as wide as a box, which touches four of them at most."""
+    across = F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])) / size
+    level = F.greatest(F.ceil(F.log(across) / math.log(STEP)), F.lit(0))
+    return F.when(across <= 1, 0).otherwise(F.when(across <= F.pow(F.lit(float(STEP)), level), level).otherwise(level + 1)).cast("int")
 
-    Boxes that touch at most ``WIDE`` cells meet on the grid of ``size``. Wide ones, of either
-    side, meet all of the other on a grid whose cells are a quarter of the widest box, so no box
-    is dealt to more than some twenty-five cells there. One aggregate for each side finds them.
-    """
 
-    def met(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-        first = (_cell(F.greatest(lbox[0], rbox[0]), cell) == F.col("cx")) & (_cell(F.greatest(lbox[1], rbox[1]), cell) == F.col("cy"))
-        return with_cells(a, cell, lbox).join(with_cells(b, cell, rbox), ["cx", "cy"]).where(boxes_meet(lbox, rbox) & first).drop("cx", "cy")
+def _used(df: DataFrame, box: tuple[str, ...], size: float) -> Column:
+    """The levels that a side's boxes are on, as a scalar subquery: it is part of the plan, not a job of its own."""
+    return df.select(level_of(box, size).alias("level")).agg(F.array_sort(F.collect_set("level"))).scalar()
 
-    def wide(box: tuple[str, ...]) -> Column:
-        return F.coalesce(_across(box, 0, size) * _across(box, 1, size) > WIDE, F.lit(False))
 
-    widest = [
-        df.where(wide(box)).agg(F.max(F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])))).first()[0]
-        for df, box in ((left, lbox), (right, rbox))
-    ]
-    if all(w is None for w in widest):
-        return met(left, right, size)
-    out = met(left.where(~wide(lbox)), right.where(~wide(rbox)), size)
-    if widest[0] is not None:
-        out = out.unionByName(met(left.where(wide(lbox)), right, widest[0] / 4))
-    if widest[1] is not None:
-        out = out.unionByName(met(left.where(~wide(lbox)), right.where(wide(rbox)), widest[1] / 4))
-    return out
+def _dealt(df: DataFrame, box: tuple[str, ...], size: float, others: Column, own_role: int, up_role: int) -> DataFrame:
+    """Rows for the cells of a box: on its own level and, to meet larger boxes, on those of the other side above."""
+    made = df.withColumns({"__level": level_of(box, size), "__others": others})
+    level = F.col("__level")
+    place = lambda at, role: F.struct(at.cast("int").alias("level"), F.lit(role).alias("role"))
+    same = F.transform(F.filter("__others", lambda o: o == level), lambda o: place(o, 0))
+    above = F.transform(F.filter("__others", lambda o: o > level), lambda o: place(o, up_role))
+    below = F.when(F.exists("__others", lambda o: o < level), F.array(place(level, own_role))).otherwise(F.array().cast("array<struct<level:int,role:int>>"))
+    made = made.withColumn("__at", F.explode(F.concat(same, above, below))).drop("__others", "__level")
+    cell = F.lit(float(size)) * F.pow(F.lit(float(STEP)), F.col("__at.level"))
+    made = made.withColumns({"__cell": cell, "__lv": F.col("__at.level"), "__role": F.col("__at.role")}).drop("__at")
+    across = [F.sequence(F.floor(F.col(box[k]) / F.col("__cell")), F.floor(F.col(box[k + 2]) / F.col("__cell"))) for k in (0, 1)]
+    return made.withColumn("cx", F.explode(across[0])).withColumn("cy", F.explode(across[1]))
 
 
-def _across(box: tuple[str, ...], axis: int, size: float) -> Column:
-    """How many cells a box touches along an axis."""
-    return _cell(F.col(box[axis + 2]), size) - _cell(F.col(box[axis]), size) + 1
+def box_join(left: DataFrame, right: DataFrame, size: float, lbox: tuple[str, ...], rbox: tuple[str, ...], points: bool = False) -> DataFrame:
+    """Pairs whose boxes meet; columns of both sides must differ in name.
+
+    Grids of several levels, each of cells ``STEP`` times as wide as the one below. A box is entered on the
+    level of its own size, where it touches four cells at most, and once more for each higher level
+    that the other side uses. Two boxes meet on the level of the larger one only: of
+    two that are both small, neither is compared on a level that only large ones need. Which
+    levels are used is found by the plan itself. ``points``: left boxes are points, so that the left side isn't
+    asked, and may be a stream.
+    """
+    left_levels = F.array(F.lit(0)) if points else _used(left, lbox, size)
+    a = _dealt(left, lbox, size, _used(right, rbox, size), 1, 2)
+    b = _dealt(right, rbox, size, left_levels, 2, 1).drop("__cell")
+    first = [F.floor(F.greatest(lbox[k], rbox[k]) / F.col("__cell")) == F.col(c) for k, c in enumerate(("cx", "cy"))]
+    pairs = a.join(b, ["__lv", "__role", "cx", "cy"]).where(boxes_meet(lbox, rbox) & first[0] & first[1])
+    return pairs.drop("__lv", "__role", "__cell", "cx", "cy")
 
 
 def candidate_pairs(df: DataFrame, size: float, key: str = "idx") -> DataFrame:
@@ -86,7 +99,7 @@ def candidate_pairs(df: DataFrame, size: float, key: str = "idx") -> DataFrame:
 def contained(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Points with each polygon that holds them: half-open edges, holes excluded."""
     spots = points.withColumns({"__x0": F.col(x), "__y0": F.col(y), "__x1": F.col(x), "__y1": F.col(y)})
-    pairs = box_join(spots, polygons, size, ("__x0", "__y0", "__x1", "__y1"), BOX).drop("__x0", "__y0", "__x1", "__y1")
+    pairs = box_join(spots, polygons, size, ("__x0", "__y0", "__x1", "__y1"), BOX, points=True).drop("__x0", "__y0", "__x1", "__y1")
     return pairs.where(g.in_polygon(F.col(x), F.col(y), F.col("geom")))
 
 

@@ -64,11 +64,11 @@ def test_detection(spark, tmp_path):
 
 
 def test_contours_of_equal_bands_stay_apart(spark):
-    """A cone in two bands: each level is one closed line in each band."""
+    """A cone in two bands: each level is one closed line in each band; the lowest leaves the raster at its corners."""
     rows = [(b, r, c, 10.0 - ((r - 5) ** 2 + (c - 5) ** 2) ** 0.5) for b in (1, 2) for r in range(11) for c in range(11)]
     pixels = spark.createDataFrame(rows, "band int, row int, col int, value double")
     got = c.contour_lines(pixels, 2.0, 5.5).where("elevation < 10").collect()
-    assert sorted((r["band"], r["elevation"], r["closed"]) for r in got) == [(b, e, True) for b in (1, 2) for e in (5.5, 7.5, 9.5)]
+    assert sorted((r["band"], r["elevation"], r["closed"]) for r in got) == [x for b in (1, 2) for x in [(b, 3.5, False)] * 4 + [(b, e, True) for e in (5.5, 7.5, 9.5)]]
 
 
 def test_long_chains_and_rings_are_ordered(spark):
