@@ -41,7 +41,9 @@ RUN = 64
 #: Rows of a block, as a power of two.
 ROWS = 11
 #: Bytes that are hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
+#: Windows that are put into order at once.
+WINDOWS = 1 << 20
 #: A range has the segments of about so many bytes of text.
 RANGE_BYTES = 8 << 20
 #: So many different segments of one hash have their windows dealt by their bytes.
@@ -292,14 +294,23 @@ def _compared(length: int):
         n = n.astype(np.int64)
         size = n + length - 1
         begins = np.cumsum(size) - size
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        of = np.repeat(np.arange(len(n)), n)
-        order, new = sorted_suffixes(data, begins[of] + step, length)
-        docs = doc[of][order]
-        first = np.flatnonzero(new)
-        later = docs > np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(docs))))
-        hit = order[later]
-        of, marks = of[hit], U(1) << (step[hit] + offset[of[hit]]).astype(U)
+        found = [np.zeros((0, 2), np.int64)]
+        # Windows that begin alike are compared together, and others not: a share of them at a time.
+        first = TABLE[data[: len(data) - 8]] * U(3) + TABLE[data[3 : len(data) - 5]] * U(5) + TABLE[data[7 : len(data) - 1]]
+        shares = -(-int(n.sum()) // WINDOWS)
+        share = (_mixed(first) >> U(40)) % U(max(shares, 1)) if shares > 1 else None
+        del first
+        of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        at = begins[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for k in range(shares):
+            some = np.flatnonzero(share[at] == k) if share is not None else np.arange(len(at))
+            order, new = sorted_suffixes(data, at[some], length)
+            docs, lead = doc[of[some]][order], np.flatnonzero(new)
+            later = docs > np.repeat(np.minimum.reduceat(docs, lead), np.diff(np.append(lead, len(docs)))) if len(docs) else np.zeros(0, bool)
+            hit = some[order[later]]
+            found.append(np.column_stack([of[hit], at[hit] - begins[of[hit]]]))
+        hits = np.concatenate(found)
+        of, marks = hits[:, 0], U(1) << (hits[:, 1] + offset[hits[:, 0]]).astype(U)
         by = np.lexsort((entry[of], block[of]))
         of, marks = of[by], marks[by]
         rows = []
@@ -378,8 +389,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} must be of an integral type")
-    if length < 1:
-        raise ValueError("length must be at least 1")
+    if length < 8:
+        raise ValueError("length must be at least 8")
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in NEW]
     kept = [docs.schema[c] for c in names]

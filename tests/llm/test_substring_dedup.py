@@ -58,6 +58,7 @@ def texts(seed):
 def test_removed_bytes_are_those_of_a_plain_search(spark, monkeypatch, length, hot, rows_of_block):
     monkeypatch.setattr(substring_dedup, "ROWS", rows_of_block)
     monkeypatch.setattr(substring_dedup, "SLICE", 97)
+    monkeypatch.setattr(substring_dedup, "WINDOWS", 500)
     rows = texts(length + hot)
     docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, n_bytes int, __block string").repartition(3)
     out = remove_repeats(docs, length=length, hot=hot)
