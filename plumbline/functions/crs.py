@@ -35,6 +35,8 @@ class Crs:
     unit: str | None = None
     utm: tuple[int, bool] | None = None
     ellipsoid: tuple[float, float] = WGS84
+    #: Of a conformal cone: central meridian, latitude of origin, both parallels, scale, false easting and northing.
+    cone: tuple[float, float, float, float, float, float, float] | None = None
 
 
 #: Geographic systems by code, with their datum and ellipsoid.
@@ -94,11 +96,14 @@ def plan_transform(source: Crs | None, target: Crs | None, shift: Shift | None =
     """A function of x, y and height columns to x and y columns; None where nothing changes.
 
     Unknown or equal systems change nothing. Between datums a shift must be given: none is
-    ever guessed. Heights take part in the shift only and are themselves left as they are.
+    ever guessed. A projection that isn't known is refused. Heights take part in the shift only and are themselves left as they are.
     """
     if source is None or target is None or same_crs(source, target):
         return None
     crossing = not (is_wgs84(source) and is_wgs84(target))
+    for crs in (source, target):
+        if not (crs.kind == "geographic" or crs.epsg == 3857 or crs.utm or crs.cone):
+            raise NoTransform(f"{crs.name} is of a projection that can't be computed here")
     if crossing and shift is None:
         foreign = source if not is_wgs84(source) else target
         raise NoTransform(f"{foreign.datum} is another datum than WGS 84; give the seven parameters of a shift")
@@ -118,6 +123,9 @@ def to_geographic(x: Column, y: Column, crs: Crs) -> tuple[Column, Column]:
         return x, y
     if crs.utm:
         return inverse_transverse_mercator(x - UTM_EAST, y - (UTM_NORTH if crs.utm[1] else 0.0), F.lit(crs.utm[0] * 6 - 183), UTM_SCALE, crs.ellipsoid)
+    if crs.cone:
+        *at, scale, east, north = crs.cone
+        return inverse_lambert_conic(x - east, y - north, *at, crs.ellipsoid, scale)
     return from_web_mercator(x, y)
 
 
@@ -127,6 +135,10 @@ def from_geographic(lon: Column, lat: Column, crs: Crs) -> tuple[Column, Column]
     if crs.utm:
         east, north = transverse_mercator(lon, lat, F.lit(crs.utm[0] * 6 - 183), UTM_SCALE, crs.ellipsoid)
         return east + UTM_EAST, north + (UTM_NORTH if crs.utm[1] else 0.0)
+    if crs.cone:
+        *at, scale, east, north = crs.cone
+        x, y = lambert_conic(lon, lat, *at, crs.ellipsoid, scale)
+        return x + east, y + north
     return to_web_mercator(lon, lat)
 
 

@@ -58,13 +58,13 @@ def raster_regions(pixels: DataFrame) -> DataFrame:
 
 def region_polygons(pixels: DataFrame) -> DataFrame:
     """Each region as a multi polygon with its cell count: the union of its runs' rectangles."""
-    from plumbline.operators.vector import dissolve
+    from plumbline.operators.planar import dissolve
 
     runs = stored(_labelled_runs(pixels))
     x0, x1, y0, y1 = F.col("c0").cast("double"), F.col("c1") + 1.0, F.col("row").cast("double"), F.col("row") + 1.0
     shapes = runs.select("component", x0.alias("minx"), y0.alias("miny"), g.polygon(g.box(x0, y0, x1, y1)).alias("geom"))
     facts = runs.groupBy("component").agg(F.first("value").alias("value"), F.sum(F.col("c1") - F.col("c0") + 1).alias("cells"))
-    return dissolve(shapes, "component", 64.0).join(facts, "component")
+    return dissolve(shapes, "component", 8.0).join(facts, "component")
 
 
 def adjacent_groups(polygons: DataFrame, size: float, key: str = "idx") -> DataFrame:
@@ -79,6 +79,16 @@ def adjacent_groups(polygons: DataFrame, size: float, key: str = "idx") -> DataF
     return components(polygons.select(F.col(key).alias("id")), links).withColumnRenamed("id", key)
 
 
+def merge_adjacent(polygons: DataFrame, size: float, key: str = "idx") -> DataFrame:
+    """Polygons that share edges in whole, directly or by others, as one: the least ``key``, ``merged`` (how many) and ``geom``."""
+    from plumbline.operators.planar import dissolve
+
+    groups = stored(adjacent_groups(polygons, size, key), "adjacent")
+    counts = groups.groupBy(F.col("component").alias(key)).agg(F.count(F.lit(1)).alias("merged"))
+    whole = dissolve(polygons.join(groups, key), "component", size).withColumnRenamed("component", key)
+    return counts.join(whole, key)
+
+
 def merge_lines(lines: DataFrame, key: str = "idx", path: str = "path", within: tuple[str, ...] = ()) -> DataFrame:
     """Lines joined end to end where exactly two ends meet; junctions of three or more stay.
 
@@ -140,15 +150,6 @@ def near_duplicates(polygons: DataFrame, size: float, tolerance: float) -> DataF
     return pairs.where((F.col("a_geom.type") == F.col("b_geom.type")) & (F.size(a) == F.size(b)) & close).select("a", "b")
 
 
-def coverage_gaps(polygons: DataFrame, cell: float, least_area: float = 1.0) -> DataFrame:
-    """Holes of the union of a whole layer that are at least so large."""
-    from plumbline.operators.vector import dissolve
-
-    whole = dissolve(polygons.withColumn("__all", F.lit(1)), "__all", cell)
-    holes = whole.select(F.explode(F.flatten(F.transform(F.col("geom.parts"), lambda rs: F.slice(rs, 2, F.size(rs))))).alias("ring"))
-    return holes.withColumn("area", F.abs(g.signed_area(F.col("ring")))).where(F.col("area") >= least_area)
-
-
 def contour_lines(pixels: DataFrame, interval: float, base: float = 0.0, no_data: float | None = None, index_every: int = 5) -> DataFrame:
     """Contours as lines in pixel coordinates: ``band, elevation, is_index, length, closed, path``.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.operators import spatial
+from plumbline.storage import stored
 
 
 def difference(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -31,12 +33,36 @@ def overlay(before: DataFrame, after: DataFrame, key: list[str], tolerance: floa
     return b.join(a, key, "full").select(*key, state.alias("state"), moved.alias("moved_by"))
 
 
+def _vertices(df: DataFrame, keys: list[str], geom: str) -> DataFrame:
+    return df.select(*keys, F.explode(g.positions(F.col(geom))).alias("p")).select(*keys, F.col("p")[0].alias("x"), F.col("p")[1].alias("y")).distinct()
+
+
+def layer_drift(before: DataFrame, after: DataFrame, start: float, geom: str = "geom") -> DataFrame:
+    """One row, ``drift``: of all vertices of a layer the farthest from the nearest one before, on its larger axis.
+
+    Vertices that stayed are matched by an equi-join; the others look for the nearest one in growing cells from ``start`` on.
+    """
+    a, b = _vertices(after, [], geom), _vertices(before, [], geom)
+    moved = stored(a.join(b, ["x", "y"], "left_anti").select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.xxhash64("x", "y").alias("lkey")), "moved")
+    found = spatial.nearest(moved, b.select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.xxhash64("x", "y").alias("rkey")), "lkey", start, by_axis=True)
+    rows = [found.select("distance", F.lit(0).alias("n"), F.lit(0).alias("m"))]
+    rows += [df.limit(1).select(F.lit(0.0).alias("distance"), F.lit(n).alias("n"), F.lit(1 - n).alias("m")) for df, n in ((a, 1), (b, 0))]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(*[F.max(c).alias(c) for c in ("distance", "n", "m")])
+    return both.select(F.when((F.col("n") > 0) & (F.col("m") > 0), F.col("distance")).alias("drift"))
+
+
 def vertex_drift(before: DataFrame, after: DataFrame, key: list[str], geom: str = "geom") -> DataFrame:
-    """For each feature of both versions the farthest that a vertex is from the nearest one before: ``drift``."""
-    b = before.select(*key, g.positions(F.col(geom)).alias("b"))
-    a = after.select(*key, g.positions(F.col(geom)).alias("a"))
-    nearest = lambda p: F.array_min(F.transform("b", lambda q: F.hypot(p[0] - q[0], p[1] - q[1])))
-    return b.join(a, key).select(*key, F.array_max(F.transform("a", nearest)).alias("drift"))
+    """For each feature of both versions the farthest that a vertex is from the nearest one before, on its larger axis: ``drift``.
+
+    Vertices that stayed are matched by an equi-join; only others are compared with those of their feature.
+    """
+    a, b = _vertices(after, key, geom), _vertices(before, key, geom)
+    moved = a.join(b, [*key, "x", "y"], "left_anti")
+    off = F.greatest(F.abs(F.col("x") - F.col("bx")), F.abs(F.col("y") - F.col("by")))
+    pairs = moved.join(b.withColumnsRenamed({"x": "bx", "y": "by"}), key)
+    worst = pairs.groupBy(*key, "x", "y").agg(F.min(off).alias("d")).groupBy(*key).agg(F.max("d").alias("drift"))
+    both = before.select(*key).join(after.select(*key), key).distinct()
+    return both.join(worst, key, "left").withColumn("drift", F.coalesce("drift", F.lit(0.0)))
 
 
 def field_changes(before: DataFrame, after: DataFrame) -> tuple[list[str], list[str]]:

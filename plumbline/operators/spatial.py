@@ -70,7 +70,7 @@ def _dealt(df: DataFrame, box: tuple[str, ...], size: float, others: Column, own
     return made.withColumn("cx", F.explode(across[0])).withColumn("cy", F.explode(across[1]))
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float, lbox: tuple[str, ...], rbox: tuple[str, ...], points: bool = False) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, size: float, lbox: tuple[str, ...], rbox: tuple[str, ...], points: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs whose boxes meet; columns of both sides must differ in name.
 
     Grids of several levels, each of cells ``STEP`` times as wide as the one below. A box is entered on the
@@ -78,13 +78,13 @@ def box_join(left: DataFrame, right: DataFrame, size: float, lbox: tuple[str, ..
     that the other side uses. Two boxes meet on the level of the larger one only: of
     two that are both small, neither is compared on a level that only large ones need. Which
     levels are used is found by the plan itself. ``points``: left boxes are points, so that the left side isn't
-    asked, and may be a stream.
+    asked, and may be a stream. ``on``: columns of both sides that are equal as well.
     """
     left_levels = F.array(F.lit(0)) if points else _used(left, lbox, size)
     a = _dealt(left, lbox, size, _used(right, rbox, size), 1, 2)
     b = _dealt(right, rbox, size, left_levels, 2, 1).drop("__cell")
     first = [F.floor(F.greatest(lbox[k], rbox[k]) / F.col("__cell")) == F.col(c) for k, c in enumerate(("cx", "cy"))]
-    pairs = a.join(b, ["__lv", "__role", "cx", "cy"]).where(boxes_meet(lbox, rbox) & first[0] & first[1])
+    pairs = a.join(b, [*on, "__lv", "__role", "cx", "cy"]).where(boxes_meet(lbox, rbox) & first[0] & first[1])
     return pairs.drop("__lv", "__role", "__cell", "cx", "cy")
 
 
@@ -96,29 +96,33 @@ def candidate_pairs(df: DataFrame, size: float, key: str = "idx") -> DataFrame:
     return pairs.where(F.col("a") < F.col("b"))
 
 
-def contained(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Points with each polygon that holds them: half-open edges, holes excluded."""
+def contained(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y", on: tuple[str, ...] = ()) -> DataFrame:
+    """Points with each polygon that holds them: half-open edges, holes excluded; ``on``: columns that are equal as well."""
     spots = points.withColumns({"__x0": F.col(x), "__y0": F.col(y), "__x1": F.col(x), "__y1": F.col(y)})
-    pairs = box_join(spots, polygons, size, ("__x0", "__y0", "__x1", "__y1"), BOX, points=True).drop("__x0", "__y0", "__x1", "__y1")
+    pairs = box_join(spots, polygons, size, ("__x0", "__y0", "__x1", "__y1"), BOX, points=True, on=on).drop("__x0", "__y0", "__x1", "__y1")
     return pairs.where(g.in_polygon(F.col(x), F.col(y), F.col("geom")))
 
 
-def burn_in(polygons: DataFrame, texts: DataFrame, size: float, text: str, priority: str = "nearest", key: str = "idx") -> DataFrame:
+def burn_in(polygons: DataFrame, texts: DataFrame, size: float, text: str, priority: str = "nearest", key: str = "idx", separator: str = " / ", field: str | None = None) -> DataFrame:
     """Gives each polygon the text of a point inside it; polygons without one keep null.
 
     ``nearest`` to the middle of its box, ``largest`` text height (column ``height``),
-    ``first`` by row, or all, ``concatenate``d in order. Ties go by text. A point inside several
+    ``first`` by row, ``field``: the greatest value of a column of ``texts``, or all, ``concatenate``d in
+    order. Ties go by text. A point inside several
     polygons is burnt into the first of them by ``key`` only.
     """
-    named = texts.select(F.col(text).alias("burnt"), "x", "y", *[c for c in ("height", "row") if c in texts.columns])
+    named = texts.select(F.col(text).alias("burnt"), "x", "y", *[c for c in dict.fromkeys(("height", "row", field)) if c in texts.columns])
     found = contained(named.withColumn("__point", F.xxhash64(*named.columns)), polygons, size)
     # Equal points are burnt alike, so they may share their mark.
     firsts = found.groupBy("__point").agg(F.min(key).alias(key))
     found = found.join(firsts, ["__point", key], "left_semi")
     if priority == "concatenate":
-        best = found.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("burnt")), ", ").alias("burnt"))
+        best = found.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("burnt")), separator).alias("burnt"))
     else:
         far = F.hypot(F.col("x") - (F.col("minx") + F.col("maxx")) / 2, F.col("y") - (F.col("miny") + F.col("maxy")) / 2)
+        if priority == "field":
+            best = found.groupBy(key, field).agg(F.min("burnt").alias("burnt")).groupBy(key).agg(F.max_by("burnt", field).alias("burnt"))
+            return polygons.join(best, key, "left")
         rank = {"nearest": far, "largest": -F.col("height") if priority == "largest" else None, "first": F.col("row") if priority == "first" else None}[priority]
         best = found.groupBy(key).agg(F.min(F.struct(rank.alias("r"), "burnt")).alias("m")).select(key, F.col("m.burnt").alias("burnt"))
     return polygons.join(best, key, "left")
@@ -138,9 +142,11 @@ def within_distance(left: DataFrame, right: DataFrame, distance: float) -> DataF
     return a.join(b, ["cx", "cy"]).withColumn("distance", gap).where(F.col("distance") <= distance).drop("cx", "cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, start: float) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, start: float, by_axis: bool = False) -> DataFrame:
     """For each left point the nearest right point, by distance then right key; exact.
 
+    ``by_axis``: the distance is the larger one of both axes.
+
     Searches with a distance that grows fourfold for the points that found none; none is given
     up, since the last distance covers both layers. In a round a point looks first at the
     boxes of the right points in cells of an eighth of the distance, some hundreds at most,
@@ -148,6 +154,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, start: float) -> DataFr
     count once. So crowded places and far points don't meet all of a layer. Each round's finds,
     and the points that are left, are kept in the shared folder.
     """
+    away = F.greatest if by_axis else F.hypot
     right = stored(right.groupBy("rx", "ry").agg(F.min_by(F.struct(*right.columns), "rkey").alias("r")).select("r.*"), "right")
     spans = [df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first() for df, a, b in ((left, "lx", "ly"), (right, "rx", "ry"))]
     if any(s[0] is None for s in spans):
@@ -166,12 +173,12 @@ def nearest(left: DataFrame, right: DataFrame, key: str, start: float) -> DataFr
         off = {c: (F.greatest(F.col(f"min_r{c}") - F.col(f"l{c}"), F.col(f"l{c}") - F.col(f"max_r{c}"), F.lit(0.0))) for c in "xy"}
         far = {c: F.greatest(F.abs(F.col(f"min_r{c}") - F.col(f"l{c}")), F.abs(F.col(f"max_r{c}") - F.col(f"l{c}"))) for c in "xy"}
         seen = spots.join(boxes, ["cx", "cy"]).select(
-            key, "lx", "ly", "sx", "sy", F.hypot(off["x"], off["y"]).alias("least"), F.hypot(far["x"], far["y"]).alias("most")
+            key, "lx", "ly", "sx", "sy", away(off["x"], off["y"]).alias("least"), away(far["x"], far["y"]).alias("most")
         )
         # Some hundreds of boxes for a point: the nearest right point is no farther than the nearest far corner.
         bound = F.min("most").over(Window.partitionBy(key))
         open_ = seen.withColumn("bound", bound).where((F.col("least") <= F.col("bound") * (1 + 1e-12)) & (F.col("least") <= d)).select(key, "lx", "ly", "sx", "sy")
-        pairs = open_.join(placed.drop("lx", "ly"), ["sx", "sy"]).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")))
+        pairs = open_.join(placed.drop("lx", "ly"), ["sx", "sy"]).withColumn("distance", away(F.abs(F.col("lx") - F.col("rx")), F.abs(F.col("ly") - F.col("ry"))))
         # A little less than d, so that no rounding puts a point of that distance into a cell farther off.
         found = pairs.where(F.col("distance") <= d * (1 - 1e-9))
         best = found.groupBy(key).agg(F.min(F.struct("distance", "rkey", *[c for c in right.columns if c != "rkey"])).alias("m")).select(key, "m.*")

@@ -79,7 +79,9 @@ def lambert_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = (80.0, 24.0, 12.472955, 35.172805)
     x, y = crs.lambert_conic(F.col("lon"), F.col("lat"), *given)
     df = _places(spark, sf_dir).withColumns({"x": x, "y": y})
-    lon, lat = crs.inverse_lambert_conic(F.col("x"), F.col("y"), *given)
+    # The way back is planned, as for any pair of systems.
+    cone = crs.Crs(None, "cone of two parallels", "projected", cone=(*given, 1.0, 0.0, 0.0))
+    lon, lat = crs.plan_transform(cone, crs.crs_from_epsg(4326))(F.col("x"), F.col("y"), F.lit(0.0))
     return df.select("c_custkey", (F.round("x", 3) + 0.0).alias("x"), F.round("y", 3).alias("y"), (F.round(lon, 7) + 0.0).alias("lon"), (F.round(lat, 7) + 0.0).alias("lat"))
 
 
@@ -252,22 +254,32 @@ def raster_region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Edits of vertices, measurements, tiles, masks.
 
 
-@query("SELECT p_partkey AS idx, 110.0 AS moved, 110.0 + 5 * (p_size % 4) AS inserted, 50.0 AS deleted, 0.5 * (1 + p_size % 3) AS drift FROM part")
+@query("""
+SELECT p_partkey AS idx, 10.0 * w + (2 * w + 10 * (1 + p_size % 3)) / 2.0 AS moved, 10.0 * w + 5 * (2 + p_size % 5) AS inserted, 5.0 * w AS deleted, round(0.4 * (1 + p_size % 3), 6) AS drift
+FROM (SELECT *, 10.0 + p_size % 4 AS w FROM part)""")
 def vertices_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corner of every parcel moves out, a side gets a new vertex, a corner goes; and how far vertices drift when all is moved."""
-    ring, x, y, k = F.get(F.get("geom.parts", F.lit(0)), F.lit(0)), F.col("minx"), F.col("miny"), F.col("p_size")
-    df = layers.parcels(spark, sf_dir)
-    made = {
-        "moved": g.vertex_moved(ring, 2, 1.0, 1.0),
-        "inserted": g.vertex_inserted(ring, 2, F.array(x + 12 + k % 4, y + 5)),
-        "deleted": g.vertex_deleted(ring, 2),
-    }
+    """A corner of rectangles moves out, a side gets a new vertex, a corner goes; and how far vertices drift when all is moved."""
+    x, y, k = F.col("minx"), F.col("miny"), F.col("p_size")
+    w = 10.0 + k % 4
+    df = layers.parcels(spark, sf_dir).withColumn("geom", g.polygon(g.box(x, y, x + w, y + 10)))
+    ring = F.get(F.get("geom.parts", F.lit(0)), F.lit(0))
+    made = {"moved": g.vertex_moved(ring, 2, 1.0 + k % 3, 2.0), "inserted": g.vertex_inserted(ring, 2, F.array(x + w + 2 + k % 5, y + 5)), "deleted": g.vertex_deleted(ring, 2)}
     shift = 0.1 * (1 + k % 3)
     after = df.withColumn("geom", g.map_positions(F.col("geom"), lambda p: F.array(p[0] + 3 * shift, p[1] + 4 * shift)))
     drift = fidelity.vertex_drift(df, after, ["idx"]).withColumn("drift", F.round("drift", 6))
     return df.select("idx", *[F.round(g.signed_area(c), 6).alias(name) for name, c in made.items()]).join(drift, "idx")
 
 
+@query("""
+WITH p AS (SELECT event_id, value AS x, user_id + 0.5 AS y FROM events), q AS (SELECT x + 0.5 + event_id % 3 AS x, y + 0.25 AS y FROM p WHERE event_id % 5 = 0)
+SELECT round(max(d), 6) AS drift FROM (SELECT q.x, q.y, min(greatest(abs(q.x - p.x), abs(q.y - p.y))) AS d FROM q, p WHERE abs(q.x - p.x) <= 20 AND abs(q.y - p.y) <= 20 GROUP BY ALL)""")
+def layer_drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a layer of moved observations is from the layer of all of them, whatever belongs to what."""
+    obs = layers.observations(spark, sf_dir).select("idx", g.point(F.col("x"), F.col("y")).alias("geom"))
+    moved = obs.where("idx % 5 = 0").withColumn("geom", g.map_positions(F.col("geom"), lambda p: F.array(p[0] + 0.5 + F.col("idx") % 3, p[1] + 0.25)))
+    return fidelity.layer_drift(obs, moved, 0.5).select(F.round("drift", 6).alias("drift"))
+
+
 @query(f"""
 SELECT c_custkey, round(degrees(abs(atan2(lon, lat))), 6) AS angle, round(100 * h / sqrt(lon * lon + lat * lat), 6) AS percent,
   round(lon + 100 * sin(radians(c_custkey % 360)), 6) + 0.0 AS x, round(lat + 100 * cos(radians(c_custkey % 360)), 6) + 0.0 AS y,
@@ -302,13 +314,13 @@ def tiles_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT c_custkey, x AS tile_x, y AS tile_y FROM (
-  SELECT c_custkey, unnest(range(least(x0, 127), least(x1, 127) + 1)) AS x, y0, y1 FROM (
+SELECT c_custkey, CAST(x % 128 AS INTEGER) AS tile_x, y AS tile_y FROM (
+  SELECT c_custkey, unnest(range(x0, x1 + 1)) AS x, y0, y1 FROM (
     SELECT c_custkey, CAST(floor((lon + 180) / 360 * 128) AS BIGINT) AS x0, CAST(floor((lon + 185) / 360 * 128) AS BIGINT) AS x1,
-      {_TILE_Y.format("(lat + 3)", 128)} AS y0, {_TILE_Y.format("lat", 128)} AS y1 FROM {_PLACE})), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y)""")
+      {_TILE_Y.format("(lat + 3)", 128)} AS y0, {_TILE_Y.format("lat", 128)} AS y1 FROM {_PLACE}) WHERE (x1 - x0 + 1) * (y1 - y0 + 1) <= 5), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y)""")
 def tiles_covering_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _places(spark, sf_dir).select("c_custkey", F.col("lon").alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + 5).alias("maxx"), (F.col("lat") + 3).alias("maxy"))
-    return tiles.tiles_covering(boxes, 7).select("c_custkey", "tile_x", "tile_y")
+    return tiles.tiles_covering(boxes, 7, 5).select("c_custkey", "tile_x", "tile_y")
 
 
 @query("""

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
 from plumbline.functions.expression import compile_expression
-from plumbline.operators import boreholes, components, edits, fidelity, points, raster, rules, spatial, survey, vector
+from plumbline.operators import boreholes, components, edits, fidelity, planar, points, raster, rules, spatial, survey, vector
 from plumbline.operators import table as tab
 from plumbline.plans import layers
 from plumbline.plans.layers import table
 from plumbline.plans.registry import ORACLES, QUERIES, query
-from plumbline.sources import binary_vector, detect, tables, text_vector
+from plumbline.sources import binary_vector, detect, splittable, tables, text_vector
 from plumbline.storage import shared_path
 
 # Attribute tables and the field calculator.
@@ -207,7 +207,7 @@ _INSIDE = f"{_PARCEL} LEFT JOIN events ON value >= minx AND value < minx + 10 AN
 
 
 @query(f"""
-SELECT idx, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS burnt FROM {_INSIDE} GROUP BY idx""")
+SELECT idx, string_agg(DISTINCT event_type, ' / ' ORDER BY event_type) AS burnt FROM {_INSIDE} GROUP BY idx""")
 def burn_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.burn_in(layers.parcels(spark, sf_dir), layers.observations(spark, sf_dir), 50.0, "event_type", "concatenate").select("idx", "burnt")
 
@@ -623,10 +623,55 @@ def cloud_z_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT p_size, sum(99 - n * n) AS area FROM {_PLOT} GROUP BY 1""")
 def parcels_dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vector.dissolve(layers.plots(spark, sf_dir), "p_size", 250.0)
+    out = planar.dissolve(layers.plots(spark, sf_dir), "p_size", 10.0)
     return out.select("p_size", F.round(g.area(F.col("geom")), 6).alias("area"))
 
 
+@query(f"""
+SELECT p.minx AS x, p.miny + 10 - p.n AS y, p.n * p.n AS area FROM {_PLOT} JOIN part l ON l.p_partkey = p.idx - 1 AND p.minx > 0 JOIN part t ON t.p_partkey = p.idx + 50
+UNION ALL SELECT minx + 6, miny + 3, 1.0 FROM {_PLOT}""")
+def plot_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the whole layer of plots leaves open inside: cut corners between neighbours, and holes."""
+    at = lambda k: F.array_min(F.transform("ring", lambda p: p[k]))
+    found = planar.coverage_gaps(layers.plots(spark, sf_dir), 10.0, 0.5)
+    return found.select(at(0).alias("x"), at(1).alias("y"), F.round("area", 6).alias("area"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS idx, p_partkey // 3 AS grp, (p_partkey % 50) * 10 AS x, p_partkey // 50 * 10 AS y, 10 + p_size % 5 * 2 AS s FROM part),
+pix AS (SELECT grp, idx, px, py FROM (SELECT *, unnest(range(x, x + s, 2)) AS px FROM p), LATERAL (SELECT unnest(range(y, y + s, 2)) AS py)),
+n AS (SELECT grp, count(*) AS n, min(idx) AS lead FROM p GROUP BY 1),
+cover AS (SELECT grp, px, py, count(*) AS k, bool_or(idx = lead) AS own FROM pix JOIN n USING (grp) GROUP BY ALL)
+SELECT grp, 4.0 * count(*) AS either, 4.0 * count(*) FILTER (WHERE k = n) AS every, 4.0 * count(*) FILTER (WHERE own AND k = 1) AS lead_only, 4.0 * count(*) FILTER (WHERE k % 2 = 1) AS odd
+FROM cover JOIN n USING (grp) GROUP BY grp""")
+def parcels_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of ten to eighteen, three neighbours to a group, folded by each self-boolean."""
+    df = layers.parcels(spark, sf_dir)
+    side = 10.0 + F.col("p_size") % 5 * 2
+    x, y = F.col("minx"), F.col("miny")
+    df = df.select("idx", F.expr("idx div 3").alias("grp"), g.polygon(g.box(x, y, x + side, y + side)).alias("geom"))
+    names = {"union": "either", "intersection": "every", "difference": "lead_only", "symmetric-difference": "odd"}
+    out = df.select("grp").distinct()
+    for op, name in names.items():
+        made = planar.self_boolean(df, op, 12.0, ["grp"]).groupBy("grp").agg(F.round(F.sum(g.area(F.col("geom"))), 6).alias(name))
+        out = out.join(made, "grp", "left")
+    return out.fillna(0.0)
+
+
+@query(f"""
+WITH c AS (SELECT *, 1.5 + floor(miny / 10) % 7 AS c FROM {_PLOT}),
+b AS (SELECT idx, 99 - n * n AS whole, 10 * c - n * greatest(c + n - 10, 0) - greatest(least(c, 4) - 3, 0) AS below FROM c)
+SELECT idx, 0 AS part, greatest(below, whole - below) AS area FROM b UNION ALL SELECT idx, 1, least(below, whole - below) FROM b""")
+def plots_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots cut by a level line through each row of them, some of which run through the holes."""
+    df = layers.plots(spark, sf_dir)
+    row = F.floor(F.col("miny") / 10)
+    y = F.col("miny") + 1.5 + row % 7
+    lines = df.select(y.alias("y")).distinct().select(F.array(F.array(F.lit(-1.0), F.col("y")), F.array(F.lit(501.0), F.col("y"))).alias("path"))
+    out = planar.split_by_lines(df, lines, 10.0)
+    return out.select("idx", F.col("part").cast("int").alias("part"), F.round(g.area(F.col("geom")), 6).alias("area"))
+
+
 @query("""
 SELECT event_type, count(*) AS points_inside FROM events GROUP BY 1""")
 def event_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -644,12 +689,15 @@ SELECT idx, w AS both, 199 - n * n - w AS either, 99 - n * n - w AS less, 199 -
 FROM (SELECT *, 63 - greatest(n - 2, 0) * n AS w FROM {_PLOT})""")
 def plots_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each plot with a square that begins two further east and north; and grown by one."""
-    df = vector.spread(layers.plots(spark, sf_dir), "idx")
-    a, x, y = F.col("geom"), F.col("minx") + 2, F.col("miny") + 2
-    square = g.polygon(g.box(x, y, x + 10, y + 10))
-    ops = {"both": "intersection", "either": "union", "less": "difference", "one": "symmetric-difference"}
-    made = [F.round(g.area(vector.overlay_columns(a, square, op)), 6).alias(k) for k, op in ops.items()]
-    return df.select("idx", *made, F.round(g.area(vector.buffer_column(a, 1.0, 0.002)), 1).alias("grown"))
+    df = layers.plots(spark, sf_dir)
+    x, y = F.col("minx") + 2, F.col("miny") + 2
+    other = df.select("idx", g.polygon(g.box(x, y, x + 10, y + 10)).alias("geom"))
+    names = {"intersection": "both", "union": "either", "difference": "less", "symmetric-difference": "one"}
+    made = planar.overlaid(df, other, "idx", list(names), 10.0)
+    area = F.round(g.area(F.col("geom")), 6)
+    wide = made.groupBy("idx").agg(*[F.max(F.when(F.col("operation") == op, area)).alias(k) for op, k in names.items()])
+    grown = vector.spread(df, "idx").select("idx", F.round(g.area(vector.buffer_column(F.col("geom"), 1.0, 0.002)), 1).alias("grown"))
+    return wide.join(grown, "idx")
 
 
 @query(f"""
@@ -778,8 +826,10 @@ def files_xyz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(l_linenumber AS INTEGER) AS classification, count(*) AS points, sum(CAST(l_partkey % 65536 AS BIGINT)) AS intensity, round(sum(l_quantity), 1) AS x FROM lineitem GROUP BY 1".replace("sum(CAST(l_partkey % 65536 AS BIGINT))", "CAST(sum(l_partkey % 65536) AS BIGINT)"))
 def files_las(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = tables.write_las(layers.cloud(spark, sf_dir), _folder(spark))
-    back = made.select(F.col("part").cast("string").alias("path"), "content").mapInArrow(tables.las_rows, tables.LAS_SCHEMA)
+    path = _folder(spark)
+    splittable.write_las(layers.cloud(spark, sf_dir), path, 100_000)
+    # A file of a hundred thousand points is read by several tasks; the filter reaches the files' headers.
+    back = splittable.read_las(spark, path, 30_000).where("z >= 0")
     return back.groupBy("classification").agg(F.count(F.lit(1)).alias("points"), F.sum("intensity").alias("intensity"), F.round(F.sum("x"), 1).alias("x"))
 
 
@@ -791,6 +841,17 @@ def files_ascii_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("value <> -9999").select("row", F.col("col").cast("int").alias("col"), F.round("value", 6).alias("value"))
 
 
+@query(f"SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, value FROM {_DEM} WHERE row >= 5")
+def files_geotiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster as a mosaic of files of twenty rows, read back strip by strip below its fifth row."""
+    path = _folder(spark)
+    splittable.write_geotiff(layers.dem(spark, sf_dir), path, 64, layers.dem_rows(spark, sf_dir), (0.0, 1.0, 0.0, 0.0, 0.0, -1.0), 20)
+    back = splittable.read_geotiff(spark, path, 64 * 20)
+    # Each file begins at the row that its name says.
+    top = F.regexp_extract("path", r"rows-(\d+)-", 1).cast("int")
+    return back.withColumn("row", top + F.col("row")).where("row >= 5 and value <> -9999").select("row", "col", "value")
+
+
 # Components, programs and detection.
 
 

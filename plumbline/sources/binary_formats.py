@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -186,59 +186,69 @@ def _packbits(raw: bytes) -> bytes:
 _SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 
 
-def _tags(raw: bytes) -> tuple[str, dict[int, list]]:
-    e = "<" if raw[:2] == b"II" else ">"
-    if raw[:2] not in (b"II", b"MM") or struct.unpack_from(f"{e}H", raw, 2)[0] != 42:
+def _tags(get: Callable[[int, int], bytes]) -> tuple[str, dict[int, list]]:
+    """Byte order and tags of the first image; ``get`` gives bytes of the file from a place on."""
+    head = get(0, 8)
+    e = "<" if head[:2] == b"II" else ">"
+    if head[:2] not in (b"II", b"MM") or struct.unpack_from(f"{e}H", head, 2)[0] != 42:
         raise Refused("this is no classic TIFF file")
-    (at,) = struct.unpack_from(f"{e}I", raw, 4)
-    (n,) = struct.unpack_from(f"{e}H", raw, at)
+    (at,) = struct.unpack_from(f"{e}I", head, 4)
+    (n,) = struct.unpack(f"{e}H", get(at, 2))
+    entries = get(at + 2, 12 * n)
     tags = {}
     for k in range(n):
-        tag, kind, count = struct.unpack_from(f"{e}HHI", raw, at + 2 + 12 * k)
+        tag, kind, count = struct.unpack_from(f"{e}HHI", entries, 12 * k)
         if kind not in _SIZES:
             continue
         size = struct.calcsize(f"{e}{_SIZES[kind]}") * count
-        place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{e}I", raw, at + 10 + 12 * k)[0]
-        tags[tag] = [raw[place : place + count]] if kind == 2 else list(struct.unpack_from(f"{e}{count * len(_SIZES[kind])}{_SIZES[kind][0]}", raw, place))
+        body = entries[12 * k + 8 : 12 * k + 12] if size <= 4 else get(struct.unpack_from(f"{e}I", entries, 12 * k + 8)[0], size)
+        tags[tag] = [body[:count]] if kind == 2 else list(struct.unpack_from(f"{e}{count * len(_SIZES[kind])}{_SIZES[kind][0]}", body))
     return e, tags
 
 
-def tiff_blocks(raw: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """``(band, first row, first column, values)`` of each strip or tile."""
-    e, t = _tags(raw)
-    width, height = t[256][0], t[257][0]
-    samples, packed, planar = t.get(277, [1])[0], t.get(259, [1])[0], t.get(284, [1])[0]
-    bits, kind, predictor = t.get(258, [1])[0], t.get(339, [1])[0], t.get(317, [1])[0]
-    if bits not in (8, 16, 32, 64) or packed not in (1, 5, 8, 32773, 32946) or predictor not in (1, 2, 3):
-        raise Refused(f"TIFF with {bits} bits, compression {packed}, predictor {predictor} isn't read")
-    dtype = np.dtype(f"{e}{'uif'[kind - 1]}{bits // 8}")
-    tiled = 322 in t
-    bw, bh = (t[322][0], t[323][0]) if tiled else (width, min(t.get(278, [height])[0], height))
-    offsets, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
-    across, down = -(-width // bw), -(-height // bh)
-    for k, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
-        plane, place = divmod(k, across * down)
-        row, col = place // across * bh, place % across * bw
-        rows = bh if tiled else min(bh, height - row)
-        n = samples if planar == 1 else 1
-        body = raw[at : at + size]
-        body = {1: lambda b: b, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}[packed](body)
-        if predictor == 3:
+class TiffLayout:
+    """Where the strips or tiles of a TIFF's first image are, from its tags alone, and how to read one."""
+
+    def __init__(self, get: Callable[[int, int], bytes]):
+        e, t = _tags(get)
+        self.width, self.height = t[256][0], t[257][0]
+        self.samples, self.packed, self.planar = t.get(277, [1])[0], t.get(259, [1])[0], t.get(284, [1])[0]
+        bits, kind, self.predictor = t.get(258, [1])[0], t.get(339, [1])[0], t.get(317, [1])[0]
+        if bits not in (8, 16, 32, 64) or self.packed not in (1, 5, 8, 32773, 32946) or self.predictor not in (1, 2, 3):
+            raise Refused(f"TIFF with {bits} bits, compression {self.packed}, predictor {self.predictor} isn't read")
+        self.dtype = np.dtype(f"{e}{'uif'[kind - 1]}{bits // 8}")
+        self.tiled = 322 in t
+        self.block_width, self.block_height = (t[322][0], t[323][0]) if self.tiled else (self.width, min(t.get(278, [self.height])[0], self.height))
+        self.offsets, self.sizes = (t[324], t[325]) if self.tiled else (t[273], t[279])
+
+    def place(self, k: int) -> tuple[int, int, int]:
+        """Plane, first row and first column of a block."""
+        across, down = -(-self.width // self.block_width), -(-self.height // self.block_height)
+        plane, at = divmod(k, across * down)
+        return plane, at // across * self.block_height, at % across * self.block_width
+
+    def block(self, k: int, body: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """``(band, first row, first column, values)`` of what one block holds."""
+        plane, row, col = self.place(k)
+        rows = self.block_height if self.tiled else min(self.block_height, self.height - row)
+        n, bw, dtype = self.samples if self.planar == 1 else 1, self.block_width, self.dtype
+        body = {1: lambda b: b, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}[self.packed](body)
+        if self.predictor == 3:
             b = np.frombuffer(body, np.uint8, rows * bw * n * dtype.itemsize).reshape(rows, -1, n)
             b = np.cumsum(b, axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, bw * n)
             px = np.ascontiguousarray(b.transpose(0, 2, 1)).view(np.dtype(f">f{dtype.itemsize}")).reshape(rows, bw, n)
         else:
             px = np.frombuffer(body, dtype, rows * bw * n).reshape(rows, bw, n)
-            if predictor == 2:
+            if self.predictor == 2:
                 px = np.cumsum(px, axis=1, dtype=dtype)
-        px = px[: height - row, : width - col]
+        px = px[: self.height - row, : self.width - col]
         for s in range(n):
-            yield plane + s if planar == 2 else s, row, col, px[:, :, s]
+            yield plane + s if self.planar == 2 else s, row, col, px[:, :, s]
 
 
 def geotransform(raw: bytes) -> tuple[float, ...] | None:
     """From a scale and tie point or a matrix; None where the file isn't placed."""
-    _, t = _tags(raw)
+    _, t = _tags(lambda at, n: raw[at : at + n])
     if 34264 in t:
         m = t[34264]
         return (m[3], m[0], m[1], m[7], m[4], m[5])
@@ -248,23 +258,6 @@ def geotransform(raw: bytes) -> tuple[float, ...] | None:
     return None
 
 
-def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels ``path, band, row, col, value`` (bands from 1), block by block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for band, r0, c0, px in tiff_blocks(raw):
-                    r, c = np.indices(px.shape, dtype=np.int32)
-                    values = px.astype(np.float64).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * values.size), pa.array(np.full(values.size, band + 1, np.int32)), pa.array((r + r0).ravel().astype(np.int32)), pa.array((c + c0).ravel().astype(np.int32)), pa.array(values)],
-                        names=["path", "band", "row", "col", "value"],
-                    )
-
-    return _files(spark, path).mapInArrow(run, "path string, band int, row int, col int, value double")
-
-
 def geotiff_bytes(values: np.ndarray, transform: tuple[float, ...], deflate: bool = True) -> bytes:
     """A one-band file of one strip for each 64 rows; the narrowest type that holds all values."""
     whole = np.all(values == np.floor(values))

@@ -195,88 +195,6 @@ def write_ascii_grid(pixels: DataFrame, path: str, grid: Grid) -> None:
     top.unionByName(body).repartitionByRange(1, "row").sortWithinPartitions("row").select("value").write.text(path)
 
 
-#: Bytes of a LAS record before its colours or time, by point format.
-_LAS_COLOUR = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
-
-
-def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Points of LAS files 1.0 to 1.4, formats 0 to 10. A file is one task's; compressed ones are refused."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(las_rows, LAS_SCHEMA)
-
-
-LAS_SCHEMA = "path string, idx long, x double, y double, z double, intensity int, classification int, red int, green int, blue int"
-
-
-def las_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From ``(path, content)`` to points; for ``mapInArrow``."""
-    for b in batches:
-        for name, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-            yield from _las_points(name, raw.as_buffer())
-
-
-def _las_points(name: str, raw: pa.Buffer):  # noqa: ANN202
-    head = np.frombuffer(raw, np.uint8, 227)
-    if bytes(head[:4]) != b"LASF":
-        raise Refused(f"{name} is no LAS file")
-    kind = int(head[104])
-    if kind & 0xC0:
-        raise Refused(f"{name} is compressed (LAZ)")
-    start, size = int(head[96:100].view("<u4")[0]), int(head[105:107].view("<u2")[0])
-    n = int(head[107:111].view("<u4")[0])
-    if n == 0 and int(head[25]) >= 4:
-        n = int(np.frombuffer(raw, "<u8", 1, 247)[0])
-    scale, offset = head[131:155].view("<f8"), head[155:179].view("<f8")
-    for at in range(0, n, 1 << 18):
-        m = min(1 << 18, n - at)
-        rows = np.frombuffer(raw, np.uint8, m * size, start + at * size).reshape(m, size)
-        field = lambda a, b, t: rows[:, a:b].copy().view(t)[:, 0]
-        xyz = [field(4 * k, 4 * k + 4, "<i4") * scale[k] + offset[k] for k in range(3)]
-        cls = rows[:, 16] if kind >= 6 else rows[:, 15] & 31
-        c = _LAS_COLOUR.get(kind)
-        rgb = [pa.array(field(c + 2 * k, c + 2 * k + 2, "<u2").astype(np.int32)) if c else pa.nulls(m, pa.int32()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * m), pa.array(np.arange(at, at + m, dtype=np.int64)), *map(pa.array, xyz), pa.array(field(12, 14, "<u2").astype(np.int32)), pa.array(cls.astype(np.int32)), *rgb],
-            names=["path", "idx", "x", "y", "z", "intensity", "classification", "red", "green", "blue"],
-        )
-
-
-def las_bytes(points: np.ndarray, intensity: np.ndarray, classification: np.ndarray, scale: float = 0.001) -> bytes:
-    """A LAS 1.2 file of format 0 from ``n x 3`` coordinates."""
-    n, offset = len(points), np.floor(points.min(axis=0)) if len(points) else np.zeros(3)
-    record = np.zeros(n, np.dtype([("xyz", "<i4", 3), ("i", "<u2"), ("f", "u1"), ("c", "u1"), ("a", "i1"), ("u", "u1"), ("s", "<u2")]))
-    record["xyz"] = np.round((points - offset) / scale)
-    record["i"], record["c"], record["f"] = intensity, classification, 9
-    head = np.zeros(227, np.uint8)
-    head[:4] = np.frombuffer(b"LASF", np.uint8)
-    head[24:26] = 1, 2
-    head[94:96], head[96:100] = np.array([227], "<u2").view(np.uint8), np.array([227], "<u4").view(np.uint8)
-    head[105:107], head[107:111] = np.array([20], "<u2").view(np.uint8), np.array([n], "<u4").view(np.uint8)
-    head[131:155], head[155:179] = np.array([scale] * 3, "<f8").view(np.uint8), offset.astype("<f8").view(np.uint8)
-    if n:
-        span = np.column_stack([points.max(axis=0), points.min(axis=0)]).astype("<f8").ravel()
-        head[179:227] = span.view(np.uint8)
-    return head.tobytes() + record.tobytes()
-
-
-def write_las(points: DataFrame, path: str) -> DataFrame:
-    """A file's bytes for each task as ``(part, content)``, which any sink of binary rows can store."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        from pyspark import TaskContext
-
-        rows = [b for b in batches if b.num_rows]
-        if rows:
-            t = pa.Table.from_batches(rows)
-            col = lambda c: t.column(c).to_numpy()
-            made = las_bytes(np.column_stack([col("x"), col("y"), col("z")]), col("intensity"), col("classification"))
-            part = pa.array([TaskContext.get().partitionId()], pa.int32())
-            yield pa.RecordBatch.from_arrays([part, pa.array([made], pa.binary())], names=["part", "content"])
-
-    out = points.select("x", "y", "z", "intensity", "classification").mapInArrow(run, "part int, content binary")
-    out.write.parquet(path)
-    return points.sparkSession.read.parquet(path)
-
-
 def read_gcps(spark: SparkSession, path: str) -> DataFrame:
     """Ground control points: map and source positions, enabled ones."""
     rows = spark.read.option("comment", "#").csv(path, header=True, inferSchema=False)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.operators import components as c
-from plumbline.operators import edits
+from plumbline.operators import edits, planar
 from plumbline.operators.table import Refused
 from plumbline.sources import detect
 
@@ -37,7 +37,7 @@ def test_gaps_and_duplicates(spark):
     df = spark.createDataFrame([(k, *p) for k, p in enumerate([*at, (0.001, 0.0)])], "idx long, x double, y double")
     df = df.select("idx", x.alias("minx"), y.alias("miny"), (x + 10).alias("maxx"), (y + 10).alias("maxy"), g.polygon(g.box(x, y, x + 10, y + 10)).alias("geom"))
     assert [tuple(r) for r in c.near_duplicates(df, 40.0, 0.01).collect()] == [(0, len(at))]
-    assert [round(r["area"], 6) for r in c.coverage_gaps(df.where(f"idx < {len(at)}"), 100.0).collect()] == [100.0]
+    assert [round(r["area"], 6) for r in planar.coverage_gaps(df.where(f"idx < {len(at)}"), 100.0).collect()] == [100.0]
 
 
 def test_replay_and_workflow(spark):

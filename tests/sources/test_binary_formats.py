@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.sources import binary_formats as bf
+from plumbline.sources import splittable
 from plumbline.sources import text_vector as tv
 
 
@@ -28,7 +29,7 @@ def test_geotiff(spark, tmp_path):
             raw = bf.geotiff_bytes(values.astype(float), t, deflate)
             assert bf.geotransform(raw) == t
             (tmp_path / f"{k}{deflate}.tif").write_bytes(raw)
-            rows = bf.read_geotiff(spark, str(tmp_path / f"{k}{deflate}.tif")).orderBy("row", "col").collect()
+            rows = splittable.read_geotiff(spark, str(tmp_path / f"{k}{deflate}.tif")).orderBy("row", "col").collect()
             assert np.array_equal([r["value"] for r in rows], values.ravel()) and {r["band"] for r in rows} == {1}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as g
 from plumbline.operators.table import Refused
 from plumbline.sources import binary_vector as bv
-from plumbline.sources import tables
+from plumbline.sources import splittable, tables
 from plumbline.sources import text_vector as tv
 
 WKT = [
@@ -96,15 +96,15 @@ def test_clouds(spark, tmp_path):
     rows = tables.read_xyz(spark, str(tmp_path / "a.xyz")).orderBy("x").collect()
     assert [tuple(r) for r in rows] == [(1, 2, 3, None, 10, 20, 30), (4, 5, 6, 7, None, None, None)]
     pts = np.array([[1.5, 2.25, 3.125], [10.001, -5.5, 100.0]])
-    (tmp_path / "a.las").write_bytes(tables.las_bytes(pts, np.array([5, 60000]), np.array([2, 6])))
-    got = tables.read_las(spark, str(tmp_path / "a.las")).orderBy("idx").collect()
+    (tmp_path / "a.las").write_bytes(splittable.las_bytes(pts, np.array([5, 60000]), np.array([2, 6])))
+    got = splittable.read_las(spark, str(tmp_path / "a.las")).orderBy("idx").collect()
     assert np.allclose([[r["x"], r["y"], r["z"]] for r in got], pts, atol=0.0006)
     assert [(r["intensity"], r["classification"], r["red"]) for r in got] == [(5, 2, None), (60000, 6, None)]
-    raw = bytearray(tables.las_bytes(pts, np.array([5, 6]), np.array([2, 6])))
+    raw = bytearray(splittable.las_bytes(pts, np.array([5, 6]), np.array([2, 6])))
     raw[104] |= 0x80
     (tmp_path / "b.las").write_bytes(raw)
     with pytest.raises(Exception, match="LAZ"):
-        tables.read_las(spark, str(tmp_path / "b.las")).count()
+        splittable.read_las(spark, str(tmp_path / "b.las")).count()
 
 
 def test_ascii_grid(spark, tmp_path):
