@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import DataType
 
+from plumbline.llm.common import stored
+
 #: Longs of two lanes, and the lanes' bits; each lane has a guard bit above it.
 PACKED = 31
 LANE = (1 << 30) - 1
@@ -165,15 +167,13 @@ def half_edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         F.lit(0).alias("__guest"),
         F.length("__text").cast("long").alias("n_chars"),
     )
-    head = rows.groupBy("__range").agg(F.max_by(F.struct("__key", "__text", "n_chars"), "__key").alias("x"))
-    # The first row of each range is a guest at the end of the range before it. These
-    # windows are over one row for each range.
+    head = stored(rows.groupBy("__range").agg(F.max_by(F.struct("__key", "__text", "n_chars"), "__key").alias("x")), "range-heads")
+    # The first row of each range is a guest at the end of the range before it. Only the numbers of ranges
+    # are put into one order; the rows follow by a join on them.
     by_range = Window.orderBy("__range")
-    guests = head.select(
-        "x.*",
-        F.coalesce(F.lag("__range").over(by_range), F.max("__range").over(Window.partitionBy(F.lit(0)))).alias("__range"),
-        F.lit(1).alias("__guest"),
-    )
+    before = F.coalesce(F.lag("__range").over(by_range), F.max("__range").over(Window.partitionBy(F.lit(0))))
+    hosts = head.select("__range").withColumn("__host", before)
+    guests = head.join(hosts, "__range").select("x.*", F.col("__host").alias("__range"), F.lit(1).alias("__guest"))
     hashed = rows.unionByName(guests).withColumn("__print", multiset_hash(F.col("__text")))
     within = Window.partitionBy("__range").orderBy("__guest", F.col("__key").desc())
     half = F.floor(F.col("n_chars") / 2).cast("int")

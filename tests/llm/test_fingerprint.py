@@ -108,3 +108,11 @@ def test_lanes_do_not_wrap(spark):
     df = spark.createDataFrame([("a\n" * 600_000, "a\n" * 600_000 + "b\n" * 600_000)], "x string, y string")
     got = df.select(fp.likeness(fp.multiset_hash(F.col("x")), fp.multiset_hash(F.col("y"))).alias("n")).first()["n"]
     assert abs(got - 2 / 3) < 0.15
+
+
+def test_no_text_goes_through_a_single_partition(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_BYTES", 500)
+    df = spark.range(300).selectExpr("id as doc_id", "concat('text ', id) as text")
+    plan = fp.half_edited(df)._jdf.queryExecution().executedPlan().toString()
+    alone = [plan[: m.start()].rsplit("\n", 1)[1] + plan[m.start() :].split("\n", 2)[1] for m in re.finditer("Exchange SinglePartition", plan)]
+    assert alone and all("__text" not in x for x in alone)
