@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
-from plumbline.operators import components, fidelity, georeference, rules, spatial, tiles, vector
+from plumbline.operators import components, fidelity, georeference, rules, shared, spatial, tiles, vector
 from plumbline.plans import layers
 from plumbline.plans.layers import table
 from plumbline.plans.registry import query
@@ -336,3 +336,60 @@ def plots_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     plots = layers.plots(spark, sf_dir)
     clipped, erased = (vector.masked(plots, masks, 40.0, e).select("idx", F.round(g.area(F.col("geom")), 6).alias(name)) for e, name in ((False, "clipped"), (True, "erased")))
     return erased.join(clipped, "idx", "left").select("idx", "clipped", "erased")
+
+
+# Shared borders.
+
+
+def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels whose right side is short of the neighbour's left side by one to three hundredths."""
+    df = layers.parcels(spark, sf_dir)
+    x, y = F.col("minx"), F.col("miny")
+    return df.withColumn("right", F.round(x + 10 - 0.01 * (1 + F.col("p_size") % 3), 9)).withColumn("geom", g.polygon(g.box(x, y, F.col("right"), y + 10)))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS idx, p_partkey % 50 AS gx, p_partkey // 50 AS gy, 0.01 * (1 + p_size % 3) AS e FROM part),
+c AS (SELECT idx, gx + i AS nx, gy + j AS ny, i, (gx + i) * 10.0 - CASE WHEN i = 1 THEN e ELSE 0 END AS x FROM p, (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) v(i, j)),
+m AS (SELECT nx, ny, avg(x) AS tx FROM c GROUP BY 1, 2),
+s AS (SELECT idx, i, x, tx FROM c JOIN m USING (nx, ny))
+SELECT idx, round(sum(CASE WHEN i = 1 THEN tx ELSE -tx END) * 5, 6) AS area, count(*) FILTER (WHERE abs(tx - x) > 1e-9) AS moved, round(max(abs(tx - x)), 6) + 0.0 AS moved_by FROM s GROUP BY idx""")
+def parcels_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels with gaps between them after their corners moved to common nodes."""
+    out = shared.snap_shared_edges(_gapped(spark, sf_dir), 0.05)
+    return out.select("idx", F.round(g.area(F.col("geom")), 6).alias("area"), "moved", (F.round("moved_by", 6) + 0.0).alias("moved_by"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS idx, p_partkey % 50 AS gx FROM part)
+SELECT p.idx, half, CASE WHEN p.idx % 3 = 0 THEN 0 ELSE CASE WHEN l.idx % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN r.idx % 3 = 0 THEN 1 ELSE 0 END END AS inserted
+FROM p LEFT JOIN p l ON l.idx = p.idx - 1 AND p.gx > 0 LEFT JOIN p r ON r.idx = p.idx + 1 AND p.gx < 49, LATERAL (SELECT unnest(CASE WHEN p.idx % 3 = 0 THEN [0, 1] ELSE [0] END) AS half)""")
+def parcels_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third parcel with a gap is two halves: the corners between them go into the neighbours' sides."""
+    df = _gapped(spark, sf_dir).withColumn("half", F.explode(F.when(F.col("idx") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    y = F.col("miny") + 5.0 * F.col("half")
+    high = F.when(F.col("idx") % 3 == 0, 5.0).otherwise(10.0)
+    df = df.withColumn("geom", g.polygon(g.box(F.col("minx"), y, F.col("right"), y + high))).withColumn("key", F.col("idx") * 2 + F.col("half"))
+    return shared.rebuild_topology(df, 0.05, 10.0, "key").select("idx", "half", "inserted")
+
+
+@query("""
+WITH ring AS (SELECT p_partkey AS idx, (p_partkey % 50) * 10.0 AS x, p_partkey // 50 * 10.0 AS y, 1.0 + p_size % 4 AS n FROM part),
+edge AS (
+  SELECT idx, x, y, x + e.x1 + e.n1 * n AS ax, y + e.y1 + e.m1 * n AS ay, x + e.x2 + e.n2 * n AS bx, y + e.y2 + e.m2 * n AS b_y
+  FROM ring, (VALUES (0, 0, 0, 0, 10, 0, 0, 0), (10, 0, 0, 0, 10, 10, 0, 0), (10, 10, 0, 0, 0, 10, 1, 0), (0, 10, 1, 0, 0, 10, 1, -1), (0, 10, 1, -1, 0, 10, 0, -1), (0, 10, 0, -1, 0, 0, 0, 0),
+    (6, 3, 0, 0, 6, 4, 0, 0), (6, 4, 0, 0, 7, 4, 0, 0), (7, 4, 0, 0, 7, 3, 0, 0), (7, 3, 0, 0, 6, 3, 0, 0)) e(x1, y1, n1, m1, x2, y2, n2, m2)),
+pt AS (SELECT event_id, value AS px, user_id + 0.5 AS py FROM events),
+near AS (
+  SELECT event_id, px, py, e.*, least(greatest(((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)), 0), 1) AS t
+  FROM pt JOIN edge e ON px >= x - 0.8 AND px <= x + 10.8 AND py >= y - 0.8 AND py <= y + 10.8),
+far AS (
+  SELECT event_id, unnest([0, 0, 1, 2]) AS rank, unnest([sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay)), sqrt((px - bx) * (px - bx) + (py - b_y) * (py - b_y)),
+    sqrt((px - (ax + bx) / 2) * (px - (ax + bx) / 2) + (py - (ay + b_y) / 2) * (py - (ay + b_y) / 2)), sqrt((px - ax - t * (bx - ax)) * (px - ax - t * (bx - ax)) + (py - ay - t * (b_y - ay)) * (py - ay - t * (b_y - ay)))]) AS d FROM near)
+SELECT event_id, ['vertex', 'midpoint', 'segment'][rank + 1] AS kind, round(d, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY rank, d) AS r FROM far WHERE d <= 0.8) WHERE r = 1""")
+def observations_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each observation would snap to on the borders of plots: a corner before the middle of a side before a side."""
+    obs = layers.observations(spark, sf_dir).select(F.col("idx").alias("event_id"), "x", "y")
+    out = shared.snap_targets(obs, layers.plots(spark, sf_dir), 0.8, 5.0, point_key="event_id")
+    return out.select("event_id", "kind", F.round("distance", 6).alias("distance"))
