@@ -435,3 +435,23 @@ def vertex_deleted(path: Column, at: int) -> Column:
     inner = F.slice(path, 2, F.greatest(n - 2, F.lit(0)))
     new = F.when(ends, F.concat(inner, F.slice(inner, 1, 1))).otherwise(rest)
     return F.when(n > F.when(closed, 4).otherwise(2), new).otherwise(path)
+
+
+def representative_point(geom: Column) -> Column:
+    """``[x, y]`` inside of a polygon, whatever its shape: the middle of the widest stretch on a level line.
+
+    The line is half way between two neighbouring heights of vertices, those farthest apart, so it meets no vertex. Null
+    where there is no area.
+    """
+    ys = F.array_sort(F.array_distinct(ordinates(geom, 1)))
+    n = F.greatest(F.size(ys) - 1, F.lit(0))
+    gaps = F.zip_with(F.slice(ys, 1, n), F.slice(ys, 2, n), lambda a, b: F.struct((b - a).alias("gap"), ((a + b) / 2).alias("y")))
+    level = F.array_max(gaps)["y"]
+
+    def crossings(ring: Column) -> Column:
+        return F.array_compact(_edges(ring, lambda p, q: F.when((p[1] > level) != (q[1] > level), p[0] + (level - p[1]) / (q[1] - p[1]) * (q[0] - p[0]))))
+
+    xs = F.array_sort(F.flatten(F.transform(rings(geom), crossings)))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("wide"), ((F.get(xs, 2 * k) + F.get(xs, 2 * k + 1)) / 2).alias("x")))
+    x = F.array_max(F.filter(pairs, lambda s: s["wide"] > 0))["x"]
+    return F.when(geom["type"].endswith("Polygon") & x.isNotNull(), F.array(x, level))

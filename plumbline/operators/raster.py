@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.functions.crs import Crs, Shift, plan_transform
 from plumbline.operators.table import Refused
 
 NORTH = (0.0, 1.0, 0.0, 0.0, 0.0, -1.0)
@@ -163,3 +167,51 @@ def world_file(t: tuple[float, ...]) -> list[float]:
 def from_world_file(lines: list[float]) -> tuple[float, ...]:
     a, d, b, e, c, f = lines
     return (c - a / 2 - b / 2, a, b, f - d / 2 - e / 2, d, e)
+
+
+def plan_warp(spark: SparkSession, width: int, height: int, t: tuple[float, ...], to_target: Callable[[Column, Column, Column], tuple[Column, Column]], samples: int = 16) -> tuple[int, int, tuple[float, ...]] | None:
+    """Width, height and geotransform of a north-up grid that holds a raster in another system with about as many square pixels.
+
+    Bounds come from points along all four edges, since straight edges bend; points that have no place in the
+    target are left out, and None is for a raster of which none has one.
+    """
+    share = [k / samples for k in range(samples + 1)]
+    edge = [(c, r) for s in share for c, r in ((s * width, 0.0), (s * width, float(height)), (0.0, s * height), (float(width), s * height))]
+    c, r = F.col("c"), F.col("r")
+    x, y = to_target(t[0] + c * t[1] + r * t[2], t[3] + c * t[4] + r * t[5], F.lit(None).cast("double"))
+    finite = lambda v: ~(F.isnan(v) | v.isNull() | (F.abs(v) == float("inf")))
+    at = spark.createDataFrame(edge, "c double, r double").select(x.alias("x"), y.alias("y")).where(finite(F.col("x")) & finite(F.col("y")))
+    x0, x1, y0, y1 = at.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if x0 is None or x1 <= x0 or y1 <= y0:
+        return None
+    size = math.sqrt((x1 - x0) * (y1 - y0) / (width * height))
+    return max(1, math.ceil((x1 - x0) / size)), max(1, math.ceil((y1 - y0) / size)), (x0, size, 0.0, y1, 0.0, -size)
+
+
+def reproject(pixels: DataFrame, width: int, height: int, t: tuple[float, ...], source: Crs, target: Crs, method: str = "nearest", no_data: float | None = None, shift: Shift | None = None) -> tuple[DataFrame, int, int, tuple[float, ...]]:
+    """A raster in another system: pixels, width, height and geotransform.
+
+    Pixels that look outside of the source, or at a blank one, are left out, or are ``no_data`` where one is given.
+    """
+    spark = pixels.sparkSession
+    # Back by the negated parameters, as is usual for small ones.
+    negated = (tuple(-v for v in shift[0]), tuple(-v for v in shift[1]), -shift[2]) if shift else None
+    forth, back = plan_transform(source, target, shift), plan_transform(target, source, negated)
+    if forth is None or back is None:
+        return pixels, width, height, t
+    plan = plan_warp(spark, width, height, t, forth)
+    if plan is None:
+        raise Refused("the raster has no place in the target system")
+    w, h, to = plan
+    x, y = back(to[0] + (F.col("col") + 0.5) * to[1], to[3] + (F.col("row") + 0.5) * to[5], F.lit(None).cast("double"))
+    # From the ground to source pixels, of which middles are at halves.
+    det = t[1] * t[5] - t[2] * t[4]
+    dx, dy = x - t[0], y - t[3]
+    aimed = ((dx * t[5] - dy * t[2]) / det - 0.5, (dy * t[1] - dx * t[4]) / det - 0.5)
+    out = warp(pixels, w, h, aimed, method)
+    if no_data is not None:
+        # A row for each pixel of each band: as many as the result has.
+        bands = pixels.select("band").distinct().select("band", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("row"))
+        blank = bands.repartition("row").withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+        out = blank.join(out, ["band", "row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(no_data)))
+    return out, w, h, to

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
-from plumbline.operators import components, fidelity, georeference, rules, shared, spatial, tiles, vector
+from plumbline.operators import components, fidelity, georeference, labels, raster, rules, shared, spatial, tiles, vector
 from plumbline.plans import layers
 from plumbline.plans.layers import table
 from plumbline.plans.registry import query
@@ -393,3 +393,65 @@ def observations_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = layers.observations(spark, sf_dir).select(F.col("idx").alias("event_id"), "x", "y")
     out = shared.snap_targets(obs, layers.plots(spark, sf_dir), 0.8, 5.0, point_key="event_id")
     return out.select("event_id", "kind", F.round("distance", 6).alias("distance"))
+
+
+# Labels, reprojected rasters, squared shapes.
+
+
+_LABEL = """(SELECT p_partkey AS idx, 'plot ' || p_name AS t, p_partkey % 50 * 10.0 + p_size % 7 AS x, p_partkey // 50 * 3.0 + p_size % 5 * 0.5 AS y, p_size // 5 * 1.0 AS c FROM part)"""
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT *, length(t) * 0.3 AS w, row_number() OVER (ORDER BY c DESC, idx) AS k FROM {_LABEL}),
+n AS (SELECT a.k, list(b.k) FILTER (WHERE b.k IS NOT NULL) AS near FROM l a LEFT JOIN l b ON b.k < a.k AND abs(a.x - b.x) < a.w + b.w AND abs(a.y - b.y) < 1 GROUP BY a.k),
+r(k, placed) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT n.k, CASE WHEN list_has_any(placed, coalesce(near, [])) THEN placed ELSE list_append(placed, n.k) END FROM r JOIN n ON n.k = r.k + 1),
+p AS (SELECT unnest(placed) AS k FROM (SELECT placed FROM r ORDER BY k DESC LIMIT 1))
+SELECT idx, k NOT IN (SELECT k FROM p) AS suppressed FROM l""")
+def labels_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with the parts' names: which of them would overlap one that has more room."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    made = table(spark, sf_dir, "part").select(
+        k.alias("idx"), F.concat(F.lit("plot "), "p_name").alias("text"), (k % 50 * 10.0 + size % 7).alias("x"),
+        (F.expr("p_partkey div 50") * 3.0 + size % 5 * 0.5).alias("y"), (F.expr("p_size div 5") * 1.0).alias("clearance"),
+    )
+    return labels.resolve_collisions(made, 1.0, 16.0).select("idx", "suppressed")
+
+
+@query(f"""
+WITH h AS (SELECT max(event_id) // 64 + 1 AS h FROM events),
+b AS (SELECT h, 6378137.0 * radians(77.0) AS x0, 6378137.0 * radians(77.64) AS x1, 6378137.0 * ln(tan(pi() / 4 + radians(28.0 - 0.01 * h) / 2)) AS y0, 6378137.0 * ln(tan(pi() / 4 + radians(28.0) / 2)) AS y1 FROM h),
+s AS (SELECT *, sqrt((x1 - x0) * (y1 - y0) / (64 * h)) AS s FROM b),
+g AS (SELECT *, CAST(greatest(1, ceil((x1 - x0) / s)) AS BIGINT) AS gw, CAST(greatest(1, ceil((y1 - y0) / s)) AS BIGINT) AS gh FROM s),
+px AS (SELECT gw, x0, y1, s, row, unnest(range(0, gw)) AS col FROM (SELECT *, unnest(range(0, gh)) AS row FROM g)),
+aim AS (SELECT row, col, CAST(floor((degrees((x0 + (col + 0.5) * s) / 6378137.0) - 77.0) / 0.01) AS BIGINT) AS c, CAST(floor((28.0 - degrees(2 * atan(exp((y1 - (row + 0.5) * s) / 6378137.0)) - pi() / 2)) / 0.01) AS BIGINT) AS r FROM px)
+SELECT CAST(aim.row AS INTEGER) AS row, CAST(aim.col AS INTEGER) AS col, coalesce(value, -9999) AS value FROM aim LEFT JOIN (SELECT event_id // 64 AS r, event_id % 64 AS c, value FROM events) d USING (r, c)""")
+def dem_reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster, placed in degrees, on a grid of Web Mercator that is planned from its edges; blank outside."""
+    rows = layers.dem_rows(spark, sf_dir)
+    out, *_ = raster.reproject(layers.dem(spark, sf_dir), 64, rows, (77.0, 0.01, 0.0, 28.0, 0.0, -0.01), crs.crs_from_epsg(4326), crs.crs_from_epsg(3857), no_data=-9999.0)
+    return out.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value")
+
+
+@query("""
+SELECT p_partkey AS idx, round((p_partkey % 50) * 20.0 + s / 2, 6) AS minx, round((p_partkey % 50) * 20.0 + 12 + s / 2, 6) AS maxx, 60.0 + 12 * (p_size % 3) AS area, round(s / 2, 6) AS moved_by
+FROM (SELECT *, (5 + p_size % 3) * 0.03 * (1 + p_size % 4) AS s FROM part)""")
+def slanted_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slanted plots of twelve by five to seven come square in the frame of their long side."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    h, x, y = 5.0 + size % 3, k % 50 * 20.0, F.floor(k / 50) * 20.0
+    s = h * 0.03 * (1 + size % 4)
+    ring = F.array(*[g.position(*p) for p in ((x, y), (x + 12, y), (x + 12 + s, y + h), (x + s, y + h), (x, y))])
+    df = table(spark, sf_dir, "part").select(k.alias("idx"), g.polygon(ring).alias("geom"))
+    out, b = vector.regularise(df), g.bounds(F.col("geom"))
+    return out.select("idx", F.round(b["minx"], 6).alias("minx"), F.round(b["maxx"], 6).alias("maxx"), F.round(g.area(F.col("geom")), 6).alias("area"), F.round("moved_by", 6).alias("moved_by"))
+
+
+@query("""
+SELECT idx, minx + CASE n WHEN 3 THEN 6.5 WHEN 4 THEN 7 ELSE 5 END AS x, miny + CASE n WHEN 1 THEN 6.5 WHEN 2 THEN 6 WHEN 3 THEN 8.5 ELSE 8 END AS y
+FROM (SELECT p_partkey AS idx, 1 + p_size % 4 AS n, (p_partkey % 50) * 10.0 AS minx, p_partkey // 50 * 10.0 AS miny FROM part)""")
+def plots_represented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point inside of every plot, clear of its hole and its cut corner."""
+    p = g.representative_point(F.col("geom"))
+    return layers.plots(spark, sf_dir).select("idx", F.round(p[0], 6).alias("x"), F.round(p[1], 6).alias("y"))
