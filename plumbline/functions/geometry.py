@@ -455,3 +455,30 @@ def representative_point(geom: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("wide"), ((F.get(xs, 2 * k) + F.get(xs, 2 * k + 1)) / 2).alias("x")))
     x = F.array_max(F.filter(pairs, lambda s: s["wide"] > 0))["x"]
     return F.when(geom["type"].endswith("Polygon") & x.isNotNull(), F.array(x, level))
+
+
+def offset_path(path: Column, distance: Column | float, miter_limit: float = 4.0) -> Column:
+    """A path that runs parallel, to the left for positive distances, open as the source is taken.
+
+    Corners are where the parallels meet; one that would be farther than ``miter_limit`` distances is cut off. Where the
+    source turns more tightly than the distance, the parallel crosses itself, and that is left.
+    """
+    d = distance if isinstance(distance, Column) else F.lit(float(distance))
+    real = without_repeats(path, 0.0)
+    n = F.size(real)
+
+    def normal(p: Column, q: Column) -> Column:
+        size = F.hypot(q[0] - p[0], q[1] - p[1])
+        return F.struct((-(q[1] - p[1]) / size).alias("x"), ((q[0] - p[0]) / size).alias("y"))
+
+    normals = _edges(real, normal)
+    moved = lambda p, v, k: F.array(p[0] + d * v["x"] / k, p[1] + d * v["y"] / k)
+
+    def corner(p: Column, i: Column) -> Column:
+        a, b = F.get(normals, F.greatest(i - 1, F.lit(0))), F.get(normals, F.least(i, n - 2))
+        both = F.struct((a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y"))
+        cosine = 1 + a["x"] * b["x"] + a["y"] * b["y"]
+        sharp = cosine < 2 / miter_limit**2
+        return F.when(sharp, F.array(moved(p, a, F.lit(1.0)), moved(p, b, F.lit(1.0)))).otherwise(F.array(moved(p, both, cosine)))
+
+    return F.when(n > 1, F.flatten(F.transform(real, corner))).otherwise(path)
