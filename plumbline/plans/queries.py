@@ -983,7 +983,7 @@ def export_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.predicted_losses(profile)
 
 
-# The queries of surveying register themselves, too.
-from plumbline.plans import land  # noqa: E402
+# The queries of surveying and of exchange formats register themselves, too.
+from plumbline.plans import exchange, land  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "land"]
+__all__ = ["ORACLES", "QUERIES", "exchange", "land"]

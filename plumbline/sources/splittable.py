@@ -12,7 +12,9 @@ Paths are local, or URIs that Arrow's file systems know.
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -395,8 +397,58 @@ class TiffSource(DataSource):
         return TiffWriter(dict(self.options), overwrite)
 
 
+# Archives.
+
+
+class ArchiveWriter(StagedWriter):
+    """ZIP archives with one text each: a head, at most ``rows`` lines, and a foot."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        super().__init__(options, overwrite)
+        self.ending = options["ending"]
+
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int]]:
+        most, held, k = int(self.options["rows"]), [], 0
+
+        def made() -> tuple[str, bytes, int]:
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(self.options["member"], "\n".join([self.options["head"], *held, self.options["foot"]]))
+            return f"archive-{k:05d}", raw.getvalue(), len(held)
+
+        for b in batches:
+            for v in b.column("value").to_pylist():
+                held.append(v)
+                if len(held) == most:
+                    yield made()
+                    held, k = [], k + 1
+        if held:
+            yield made()
+
+
+class ArchiveSource(DataSource):
+    """``df.write.format("textarchive")``: lines of ``value`` as text in archives; only written."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "textarchive"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
+        return ArchiveWriter(dict(self.options), overwrite)
+
+
+def write_archives(lines: DataFrame, path: str, member: str, head: str, foot: str, rows: int, ending: str = ".zip", mode: str = "append") -> None:
+    """Lines of ``value`` as archives of at most ``rows`` lines each between head and foot, which are there all or not at all."""
+    registered(lines.sparkSession)
+    options = {"member": member, "head": head, "foot": foot, "rows": rows, "ending": ending}
+    lines.select("value").write.format("textarchive").options(**options).mode(mode).save(path)
+
+
 def registered(spark: SparkSession) -> SparkSession:
-    for source in (LasSource, TiffSource):
+    for source in (LasSource, TiffSource, ArchiveSource):
         spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark

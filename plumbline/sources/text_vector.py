@@ -1,4 +1,4 @@
-"""Vector formats that are text: GeoJSON, GeoJSON sequences, WKT, KML, GPX and Surpac strings."""
+"""Vector formats that are text: GeoJSON, GeoJSON sequences, WKT, Surpac strings and OSM."""
 
 from __future__ import annotations
 
@@ -92,41 +92,6 @@ def write_wkt(df: DataFrame, path: str, geom: str = "geom", srid: int | None = N
     df.select(F.concat(prefix, g.to_wkt(F.col(geom))).alias("value")).write.text(path)
 
 
-def _kml_path(text: Column) -> Column:
-    tuples = F.filter(F.split(F.trim(text), r"\s+"), lambda t: F.length(t) > 0)
-    return F.transform(tuples, lambda t: F.transform(F.split(t, ","), lambda v: v.try_cast("double")))
-
-
-def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """Placemarks: points, lines and polygons with their extended data; longitude first."""
-    ring = "struct<LinearRing:struct<coordinates:string>>"
-    schema = (
-        "name string, description string, Point struct<coordinates:string>, LineString struct<coordinates:string>, "
-        f"Polygon struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>, "
-        "ExtendedData struct<Data:array<struct<_name:string,value:string>>>"
-    )
-    rows = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
-    holes = F.transform(F.coalesce("Polygon.innerBoundaryIs", F.array().cast(f"array<{ring}>")), lambda b: _kml_path(b["LinearRing"]["coordinates"]))
-    geom = (
-        F.when(F.col("Point").isNotNull(), g.geometry("Point", F.array(F.array(_kml_path(F.col("Point.coordinates"))))))
-        .when(F.col("LineString").isNotNull(), g.line(_kml_path(F.col("LineString.coordinates"))))
-        .when(F.col("Polygon").isNotNull(), g.geometry("Polygon", F.array(F.concat(F.array(_kml_path(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates"))), holes))))
-    )
-    data = F.coalesce("ExtendedData.Data", F.array().cast("array<struct<_name:string,value:string>>"))
-    return rows.select("name", "description", geom.alias("geom"), F.map_from_entries(F.transform(data, lambda d: F.struct(d["_name"], d["value"]))).alias("properties"))
-
-
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """Waypoints as points and tracks as multi lines."""
-    at = "_lat double, _lon double, ele double"
-    points = spark.read.format("xml").option("rowTag", "wpt").schema(f"{at}, name string").load(path)
-    pos = lambda p: F.array_compact(F.array(p["_lon"], p["_lat"], p["ele"]))
-    wpt = points.select("name", g.geometry("Point", F.array(F.array(F.array(F.array_compact(F.array("_lon", "_lat", "ele")))))).alias("geom"))
-    trk = spark.read.format("xml").option("rowTag", "trk").schema(f"name string, trkseg array<struct<trkpt:array<struct<{at.replace(' ', ':').replace(',:', ',')}>>>>").load(path)
-    segs = F.transform("trkseg", lambda s: F.array(F.transform(s["trkpt"], pos)))
-    return wpt.unionByName(trk.select("name", g.geometry("MultiLineString", segs).alias("geom")))
-
-
 def read_surpac(spark: SparkSession, path: str) -> DataFrame:
     """String files: ``number, northing, easting, elevation, descriptions``; a record of number 0 ends a string.
 

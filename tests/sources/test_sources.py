@@ -10,6 +10,7 @@ from plumbline.operators.table import Refused
 from plumbline.sources import binary_vector as bv
 from plumbline.sources import splittable, tables
 from plumbline.sources import text_vector as tv
+from plumbline.sources import xml_vector as xv
 
 WKT = [
     "POINT (1 2)",
@@ -66,13 +67,13 @@ def test_kml_and_gpx(spark, tmp_path):
         "<Placemark><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 4,0 4,4 0,0</coordinates></LinearRing></outerBoundaryIs>"
         "<innerBoundaryIs><LinearRing><coordinates>1,.5 2,.5 2,1 1,.5</coordinates></LinearRing></innerBoundaryIs></Polygon></Placemark></Folder></Document></kml>"
     )
-    rows = tv.read_kml(spark, str(tmp_path / "a.kml")).select("name", g.to_wkt(F.col("geom")).alias("w"), "properties").collect()
+    rows = xv.read_kml(spark, str(tmp_path / "a.kml")).select("name", g.to_wkt(F.col("geom")).alias("w"), "properties").collect()
     assert {r["w"] for r in rows} == {"POINT Z (77.5 12.9 5)", "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 0.5, 2 0.5, 2 1, 1 0.5))"}
     assert rows[0]["properties"] == {"k": "v"}
     (tmp_path / "a.gpx").write_text(
         "<gpx><wpt lat='1' lon='2'><name>w</name></wpt><trk><name>t</name><trkseg><trkpt lat='1' lon='2'><ele>3</ele></trkpt><trkpt lat='4' lon='5'/></trkseg></trk></gpx>"
     )
-    assert {r[0] for r in tv.read_gpx(spark, str(tmp_path / "a.gpx")).select(F.col("geom.type")).collect()} == {"Point", "MultiLineString"}
+    assert {r[0] for r in xv.read_gpx(spark, str(tmp_path / "a.gpx")).select(F.col("geom.type")).collect()} == {"Point", "MultiLineString"}
 
 
 def test_surpac(spark, tmp_path):
