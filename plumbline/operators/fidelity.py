@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
@@ -24,6 +24,32 @@ def difference(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame
     return both.select(*key, change.alias("change"), F.array_join(F.coalesce(changed, F.array().cast("array<string>")), ",").alias("fields")).where("change is not null")
 
 
+def paired_layers(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Which layer of two versions is which: ``before``, ``after`` and ``paired_by`` (``name``, ``position`` or null).
+
+    Both have a row for each layer with ``layer`` and ``position``, different for each. Layers of one name are the same: of several the first
+    one before and the last one after. The rest is paired in order of position, but only if as many are left on either
+    side; else each stays by itself. Layers are numbered by one task; their features take no part.
+    """
+    def sides(df: DataFrame, side: str, last: bool) -> tuple[DataFrame, DataFrame]:
+        own = df.select(F.col("layer").alias(side), F.col("position").alias(f"{side}_at"))
+        order = F.desc(f"{side}_at") if last else F.asc(f"{side}_at")
+        return own, own.withColumn("__k", F.row_number().over(Window.partitionBy(side).orderBy(order))).where("__k = 1").drop("__k")
+
+    (b, b1), (a, a1) = sides(before, "before", False), sides(after, "after", True)
+    named = b1.join(a1, F.col("before") == F.col("after")).withColumn("paired_by", F.lit("name"))
+
+    def left(df: DataFrame, side: str) -> DataFrame:
+        rest = df.join(named.select(f"{side}_at"), f"{side}_at", "left_anti")
+        every = Window.partitionBy(F.lit(0))
+        return rest.select(side, F.row_number().over(every.orderBy(f"{side}_at")).alias("__k"), F.count(F.lit(1)).over(every).alias("__n"))
+
+    # Numbers only meet where as many are left on either side.
+    rest = left(b, "before").join(left(a, "after"), ["__k", "__n"], "full")
+    by = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), "position")
+    return named.select("before", "after", "paired_by").unionByName(rest.select("before", "after", by.alias("paired_by")))
+
+
 def overlay(before: DataFrame, after: DataFrame, key: list[str], tolerance: float = 0.0) -> DataFrame:
     """Points of two versions: ``added``, ``removed``, ``moved`` beyond the tolerance, or ``unchanged``."""
     b = before.select(*key, F.col("x").alias("bx"), F.col("y").alias("by"))

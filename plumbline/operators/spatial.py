@@ -103,6 +103,26 @@ def contained(points: DataFrame, polygons: DataFrame, size: float, x: str = "x",
     return pairs.where(g.in_polygon(F.col(x), F.col(y), F.col("geom")))
 
 
+def point_layers(features: DataFrame, layer: str = "layer", geom: str = "geom") -> DataFrame:
+    """The features of layers that have a point at all: those that a border is drawn from."""
+    having = features.where(F.col(f"{geom}.type").isin("Point", "MultiPoint")).select(layer).distinct()
+    return features.join(having, layer, "left_semi")
+
+
+def enclosed(borders: DataFrame, points: DataFrame, size: float, key: str = "idx") -> DataFrame:
+    """For each border, ``key`` and ``enclosed``: how many points its outer ring holds that aren't vertices of it.
+
+    A point that was passed over is usually a corner that was missed. Borders have ``minx, miny, maxx, maxy, geom``, points
+    ``x, y``; those at one place count each.
+    """
+    outer = F.transform(F.col("geom.parts"), lambda rs: F.slice(rs, 1, 1))
+    shells = borders.select(key, *BOX, g.geometry(F.col("geom.type"), outer).alias("geom"))
+    used = borders.select(F.col(key), F.explode(g.positions(F.col("geom"))).alias("__p")).select(key, F.col("__p")[0].alias("x"), F.col("__p")[1].alias("y")).distinct()
+    held = contained(points.select("x", "y"), shells, size).join(used, [key, "x", "y"], "left_anti")
+    counts = held.groupBy(key).agg(F.count(F.lit(1)).alias("enclosed"))
+    return borders.select(key).join(counts, key, "left").select(key, F.coalesce("enclosed", F.lit(0)).alias("enclosed"))
+
+
 def burn_in(polygons: DataFrame, texts: DataFrame, size: float, text: str, priority: str = "nearest", key: str = "idx", separator: str = " / ", field: str | None = None) -> DataFrame:
     """Gives each polygon the text of a point inside it; polygons without one keep null.
 

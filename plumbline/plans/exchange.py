@@ -1,4 +1,4 @@
-"""Registered queries of exchange formats: XML documents written by Spark to the shared folder, and read again."""
+"""Registered queries of exchange: files written by Spark to the shared folder and read again, layers paired, borders checked."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.operators import fidelity, spatial
 from plumbline.plans import layers
 from plumbline.plans.layers import table
 from plumbline.plans.registry import query
-from plumbline.sources import xml_vector
+from plumbline.sources import tables, xml_vector
 from plumbline.storage import shared_path
 
 _PLACE = "(SELECT c_custkey, c_mktsegment, (c_custkey * 37 % 3600) / 10.0 - 180 AS lon, (c_custkey * 53 % 1600) / 10.0 - 80 AS lat, c_acctbal AS h FROM customer) c"
@@ -73,3 +74,59 @@ def files_landxml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml_vector.read_landxml(spark, path).select(
         "layer", F.col("name").cast("bigint").alias("idx"), F.col("properties")["code"].alias("code"), g.area(geom).alias("area"), line.alias("length"), g.bounds(geom)["minx"].alias("minx"),
     )
+
+
+# Coordinate tables without headers, layers of two versions, borders drawn from points.
+
+
+@query(f"""
+SELECT CAST(c_custkey AS VARCHAR) AS id, round(lon * 1000, 2) + 500000 AS easting, round(lat * 1000, 2) + 2000000 AS northing, h AS height, c_mktsegment AS code, 'pnezd' AS layout FROM {_PLACE}""")
+def files_positional_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of point numbers, northings, eastings, heights and codes that has no header."""
+    path, p = shared_path(spark, "files"), g.positions(F.col("geom"))[0]
+    q = g.positions(F.col("geom"))[0]
+    east, north = F.round(q[0] * 1000, 2) + 500000, F.round(q[1] * 1000, 2) + 2000000
+    _places(spark, sf_dir).select("c_custkey", north, east, q[2], "c_mktsegment").write.csv(path)
+    found = tables.detect_schema(tables.read_csv_table(spark, path)[0])
+    df, _ = tables.read_coordinates(spark, path, confirmed=True)
+    return df.select(
+        F.col(found.roles["id"]).cast("bigint").cast("string").alias("id"), p[0].alias("easting"), p[1].alias("northing"), p[2].alias("height"),
+        F.col(found.roles["code"]).alias("code"), F.lit(found.name).alias("layout"),
+    )
+
+
+@query(f"""
+SELECT CAST(c_custkey AS BIGINT) AS id, lon, lat, 'header-geographic' AS layout FROM {_PLACE}""")
+def files_degrees_named_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose x and y are degrees."""
+    path, p = shared_path(spark, "files"), g.positions(F.col("geom"))[0]
+    _places(spark, sf_dir).select(F.col("c_custkey").alias("Pt"), p[0].alias("X"), p[1].alias("Y")).write.option("header", True).csv(path)
+    df, _ = tables.read_csv_table(spark, path)
+    found = tables.detect_schema(df)
+    points, _ = tables.table_to_points(df, found.at)
+    return points.select(F.col(found.roles["id"]).cast("bigint").alias("id"), p[0].alias("lon"), p[1].alias("lat"), F.lit(found.name).alias("layout"))
+
+
+@query("""
+WITH l AS (SELECT c_nationkey AS n, c_mktsegment || ' ' || c_nationkey AS name, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY 1, 2),
+b AS (SELECT name, row_number() OVER (ORDER BY first) AS k FROM l WHERE n % 7 = 0), a AS (SELECT name, row_number() OVER (ORDER BY last) AS k FROM l WHERE n % 7 = 0)
+SELECT name AS before, name AS after, 'name' AS paired_by FROM l WHERE n % 7 <> 0
+UNION ALL SELECT b.name, 'was ' || a.name, 'position' FROM b JOIN a USING (k)""")
+def layers_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer for each market segment of a nation, in order of first customers, and then of last ones with some renamed."""
+    name = F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    each = table(spark, sf_dir, "customer").groupBy("c_nationkey", name.alias("name")).agg(F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"))
+    renamed = F.when(F.col("c_nationkey") % 7 == 0, F.concat(F.lit("was "), "name")).otherwise(F.col("name"))
+    return fidelity.paired_layers(each.select(F.col("name").alias("layer"), F.col("first").alias("position")), each.select(renamed.alias("layer"), F.col("last").alias("position")))
+
+
+@query("""
+WITH p AS (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 0.05 + l_quantity * 0.18 END AS dx, CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_linenumber + 0.5 + l_suppkey % 3 END AS dy FROM lineitem)
+SELECT p_partkey AS idx, count(dx) AS enclosed FROM part LEFT JOIN p ON l_partkey = p_partkey AND dx > 0 AND dx < 10 AND dy < 10 AND NOT (dx < 1 + p_size % 4 AND dy > 10 - (1 + p_size % 4)) GROUP BY 1""")
+def plots_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of order lines in the outlines of plots; those of returned ones stand on a corner."""
+    key, corner = F.col("l_partkey"), F.col("l_returnflag") == "R"
+    dx = F.when(corner, 0.0).otherwise(0.05 + F.col("l_quantity") * 0.18)
+    dy = F.when(corner, 0.0).otherwise(F.col("l_linenumber") + 0.5 + F.col("l_suppkey") % 3)
+    points = table(spark, sf_dir, "lineitem").select(((key % 50) * 10.0 + dx).alias("x"), (F.floor(key / 50) * 10.0 + dy).alias("y"))
+    return spatial.enclosed(layers.plots(spark, sf_dir), points, 10.0)

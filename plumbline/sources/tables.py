@@ -106,6 +106,75 @@ def read_csv_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
     return typed, match_headers(columns)
 
 
+#: Layouts of tables without headers, the likelier ones first, as roles of their columns.
+SCHEMAS = {
+    "pnezd": ("id", "y", "x", "z", "code"), "penzd": ("id", "x", "y", "z", "code"), "nez": ("y", "x", "z"), "enz": ("x", "y", "z"), "xyz": ("x", "y", "z"),
+    "id-xyz": ("id", "x", "y", "z"), "id-yxz": ("id", "y", "x", "z"), "lonlatz": ("lon", "lat", "z"), "latlonz": ("lat", "lon", "z"),
+}
+
+
+@dataclass(frozen=True)
+class Schema:
+    """What the columns of a coordinate table are: ``roles`` (role -> column), and whether a person has to confirm it."""
+
+    name: str | None
+    roles: dict[str, str]
+    confirm: bool
+
+    @property
+    def at(self) -> dict[str, str]:
+        """The roles with longitude and latitude for x and y, as ``table_to_points`` takes them."""
+        geographic = "lon" in self.roles and "lat" in self.roles
+        own = {r: c for r, c in self.roles.items() if r not in (("x", "y") if geographic else ()) + ("lon", "lat")}
+        return own | ({"x": self.roles["lon"], "y": self.roles["lat"]} if geographic else {})
+
+
+def detect_schema(df: DataFrame, chosen: str | None = None) -> Schema:
+    """The layout of a table that ``read_csv_table`` read: by its headers, or else by the number of its columns.
+
+    Columns named x and y of which every row that has both lies within 180 and 90 are longitude and latitude, which
+    one aggregate over all rows decides. That, and every layout without headers, has to be confirmed: the first one
+    of as many columns is offered, else the first one of fewer. ``chosen`` names a layout, and isn't asked about.
+    """
+    columns = df.columns
+
+    def positional(name: str, confirm: bool) -> Schema:
+        return Schema(name, dict(zip(SCHEMAS[name], columns, strict=False)), confirm)
+
+    if chosen is not None:
+        if chosen not in SCHEMAS:
+            raise Refused(f"no layout is called {chosen!r}")
+        if len(SCHEMAS[chosen]) > len(columns):
+            raise Refused(f"{chosen} needs {len(SCHEMAS[chosen])} columns, and there are {len(columns)}")
+        return positional(chosen, False)
+    named = not all(re.fullmatch(r"column_\d+", c) for c in columns)
+    roles = match_headers(columns) if named else {}
+    plane, geographic = "x" in roles and "y" in roles, "lon" in roles and "lat" in roles
+    if plane and not geographic:
+        x, y = (F.col(f"`{roles[r]}`").cast("string").try_cast("double") for r in ("x", "y"))
+        both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+        beyond = (F.abs(x) > 180) | (F.abs(y) > 90)
+        seen = df.agg(F.count_if(both).alias("n"), F.count_if(both & beyond).alias("far")).first()
+        if seen["n"] and not seen["far"]:
+            kept = {r: c for r, c in roles.items() if r not in ("x", "y", "lon", "lat")}
+            return Schema("header-geographic", kept | {"lon": roles["x"], "lat": roles["y"]}, True)
+    if plane or geographic:
+        return Schema("header-named", roles, False)
+    fits = [n for n, order in SCHEMAS.items() if len(order) == len(columns)] or [n for n, order in SCHEMAS.items() if len(order) <= len(columns)]
+    return positional(fits[0], True) if fits else Schema(None, {}, True)
+
+
+def read_coordinates(spark: SparkSession, path: str, layout: str | None = None, confirmed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Points of a coordinate table, and rows without any; refused while its layout is only a guess that nobody confirmed."""
+    df, _ = read_csv_table(spark, path)
+    schema = detect_schema(df, layout)
+    if schema.name is None:
+        raise Refused(f"no layout has {len(df.columns)} columns without coordinates in their names")
+    if schema.confirm and not confirmed:
+        raise Refused(f"the table looks like {schema.name}; confirm it or name its layout, as a wrong one swaps the axes")
+    return table_to_points(df, schema.at)
+
+
 def table_to_points(df: DataFrame, roles: dict[str, str], lat_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """Points of a coordinate table by its columns' roles (``x``, ``y``, ``z``, ``id``), and the rows that have none.
 
