@@ -9,8 +9,9 @@ K^(-1/2), and one ridge regression per language (that language against the rest)
 them. Batches of texts are scored by one matrix product.
 
 Every language of the labelled rows is learned. The fit takes a bounded sample of them: at
-most ``SAMPLE`` texts of a language and ``ALL_SAMPLE`` in all (but one for each language at
-least), the lowest hashes of their text. Every text is read whole when it is scored.
+most ``SAMPLE`` texts of a language, ``ALL_SAMPLE`` in all and ``ALL_CHARS`` code points in all
+(but one text for each language at least), the lowest hashes of their text. Every text is read
+whole when it is scored.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import with_columns
 
-#: Bounds of the fit: texts for each language, texts in all, code points of a text in the sample.
-SAMPLE, ALL_SAMPLE, SAMPLE_CHARS = 150, 15_000, 200_000
+#: Bounds of the fit: texts for each language, texts in all, code points of a text in the sample, and of the sample.
+SAMPLE, ALL_SAMPLE, SAMPLE_CHARS, ALL_CHARS = 150, 15_000, 200_000, 40_000_000
+#: Code points whose n-grams are held at a time.
+BLOCK = 1 << 18
 #: Landmarks for each language and in all; of a language's sample, the texts nearest to this length.
 LANDMARKS, ALL_LANDMARKS, LANDMARK_CHARS = 24, 512, 3_000
 GRAMS = (1, 2, 3, 4)
@@ -44,18 +47,21 @@ def letters_of(text: str | None) -> str:
 
 
 def presence(text: str) -> np.ndarray:
-    """The different n-grams of a prepared text as sorted numbers of 64 bits."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    rolled = np.zeros(len(codes), np.uint64)
-    found = []
-    for n in range(1, max(GRAMS) + 1):
-        if len(codes) < n:
-            break
-        # The n-gram that ends at each character, as a number; then its upper bits mixed.
-        rolled = rolled[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
-        if n in GRAMS:
-            found.append(rolled * np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    """The different n-grams of a prepared text as sorted numbers of 64 bits; what is held is a block and the result."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros(0, np.uint64)
+    # Blocks share the characters of n-grams that begin in one and end in the next.
+    for b in range(0, len(codes), BLOCK):
+        block = codes[b : b + BLOCK + max(GRAMS) - 1].astype(np.uint64)
+        rolled = np.zeros(len(block), np.uint64)
+        found = [out]
+        for n in range(1, min(max(GRAMS), len(block)) + 1):
+            # The n-gram from each character on, as a number; then its upper bits mixed.
+            rolled = rolled[: len(block) - n + 1] * np.uint64(0x100000001B3) + block[n - 1 :] + np.uint64(n)
+            if n in GRAMS:
+                found.append(rolled * np.uint64(0x9E3779B97F4A7C15))
+        out = np.unique(np.concatenate(found))
+    return out
 
 
 class Landmarks:
@@ -141,33 +147,38 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang") -> KernelModel | None:
     """Fits on a sample of the texts of every language; None where there is nothing to learn from.
 
-    Rows with a null language, or a text without letters or over ``SAMPLE_CHARS``, aren't used.
-    The sample of a language is its different texts of lowest hash, so it depends on the rows
-    only, not on their order or on how often a text is repeated. A text of two languages is in
-    the sample of both. How many languages there are is taken to be what a driver can hold.
+    Rows with a null language, or a text without letters, aren't used. Texts over ``SAMPLE_CHARS``
+    are used only where a language has no other: then its shortest one is. Otherwise the sample of a
+    language is its different texts of lowest hash, until they are ``SAMPLE`` or its share of
+    ``ALL_CHARS`` is spent, so it depends on the rows only, not on their order or on how often a text
+    is repeated. A text of two languages is in the sample of both. How many languages there are is
+    taken to be what a driver can hold.
     """
-    known = labelled.where(
-        F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= SAMPLE_CHARS)
-    ).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), F.col(text)).alias("place"))
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.length(text).alias("chars"), F.xxhash64(F.lit("sample"), F.col(text)).alias("place")
+    )
+    short = F.col("chars") <= SAMPLE_CHARS
     # Copies of a text have one place, so the share that is taken goes by different places, not by rows.
-    sizes = {r[0]: max(r[1], 1) for r in known.groupBy("lang").agg(F.approx_count_distinct("place", 0.03)).collect()}
+    sizes = known.groupBy("lang").agg(
+        F.approx_count_distinct(F.when(short, F.col("place")), 0.03).alias("n"), F.min(F.struct("chars", "place"))["place"].alias("shortest")
+    ).collect()
     if not sizes:
         return None
-    each = max(1, min(SAMPLE, ALL_SAMPLE // len(sizes)))
+    each, chars = max(1, min(SAMPLE, ALL_SAMPLE // len(sizes))), ALL_CHARS // len(sizes)
     # First those of low hash, by a share that leaves enough of each language (twice as many texts as
     # are needed; the counts are off by some hundredths), then the lowest.
     shares = labelled.sparkSession.createDataFrame(
-        [(k, min(1.0, 2 * each / v + 20 / v)) for k, v in sizes.items()], "lang string, share double"
+        [(r["lang"], min(1.0, (2 * each + 20) / r["n"]) if r["n"] else None, None if r["n"] else r["shortest"]) for r in sizes],
+        "lang string, share double, shortest long",
     )
-    low = known.join(F.broadcast(shares), "lang").where(F.pmod("place", F.lit(1_000_003)) / 1_000_003 <= F.col("share"))
-    found = low.groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
-    taken: dict[str, int] = {}
-    pairs = []
-    for r in sorted(found, key=lambda r: (r["lang"], r["place"])):
-        if taken.setdefault(r["lang"], 0) < each:
-            taken[r["lang"]] += 1
-            pairs.append((r["text"], r["lang"]))
-    return fit([t for t, _ in pairs], [x for _, x in pairs]) if pairs else None
+    wanted = (short & (F.pmod("place", F.lit(1_000_003)) / 1_000_003 <= F.col("share"))) | (F.col("place") == F.col("shortest"))
+    low = known.join(F.broadcast(shares), "lang").where(wanted).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    by_place = Window.partitionBy("lang").orderBy("place")
+    # Of each language some hundreds are left, so they are put in order by one task, and what the driver gets is bounded.
+    spent = F.sum(F.length("text")).over(by_place) - F.length("text")
+    taken = low.select("*", F.row_number().over(by_place).alias("k"), spent.alias("spent")).where((F.col("k") <= each) & (F.col("spent") < chars) | (F.col("k") == 1))
+    found = sorted(taken.select("lang", "place", "text").collect(), key=lambda r: (r["lang"], r["place"]))
+    return fit([r["text"] for r in found], [r["lang"] for r in found])
 
 
 PREDICTED = T.StructType(

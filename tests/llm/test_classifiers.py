@@ -212,3 +212,32 @@ def test_long_and_repeated_rows_of_quality(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
     rows = quality.judge_quality(docs, quality.fit_quality(docs, labels)).collect()
     assert len(rows) == 60 and all(0 <= r["p_quality"] <= 1 and r["p_toxic"] == 0 for r in rows)
+
+
+def test_blocks_of_a_text_have_the_n_grams_of_the_whole(monkeypatch):
+    text = langid.letters_of("Alpha beta, gamma \u0434\u043e\u043c delta alphabet " * 9)
+    whole = langid.presence(text)
+    for size in (1, 2, 5, len(text) - 1, len(text)):
+        monkeypatch.setattr(langid, "BLOCK", size)
+        assert np.array_equal(langid.presence(text), whole)
+    assert len(langid.presence("")) == 0
+
+
+def test_a_language_of_long_texts_is_learned_from_its_shortest(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: fitted.append(list(zip(langs, texts, strict=True))))
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 20)
+    rows = [("a", "short one"), ("a", "short two"), ("a", "long " * 9), ("b", "very long " * 9), ("b", "long " * 8), ("b", "long " * 8), ("c", "12345"), (None, "text"), ("d", None)]
+    langid.fit_languages(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    assert sorted(fitted[0]) == [("a", "short one"), ("a", "short two"), ("b", "long " * 8)]
+
+
+def test_the_sample_is_bounded_in_code_points(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: fitted.append(list(zip(langs, texts, strict=True))))
+    monkeypatch.setattr(langid, "ALL_CHARS", 200)
+    rows = [("a", f"word{i} " + "x" * 33) for i in range(60)] + [("b", "y" * 1000)]
+    langid.fit_languages(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    langs = [lang for lang, _ in fitted[0]]
+    # A hundred code points each, and the one that passes the limit is whole.
+    assert (langs.count("a"), langs.count("b")) == (3, 1)
