@@ -1,11 +1,15 @@
-"""Layouts of coordinate tables and the one door to readers."""
+"""Layouts of coordinate tables, evidence of formats and the one door to readers."""
+
+import io
+import math
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.operators.table import Refused
-from plumbline.sources import dispatch, tables
+from plumbline.sources import detect, dispatch, tables
 from plumbline.sources import text_vector as tv
 from plumbline.sources import xml_vector as xv
 
@@ -75,3 +79,37 @@ def test_one_door_to_readers(spark, tmp_path):
         dispatch.read_source(spark, str(tmp_path / "*.*"))
     with pytest.raises(Refused, match="no reader"):
         dispatch.read_source(spark, str(tmp_path), "mystery")
+
+
+def test_evidence_in_headers_and_beside_files(spark):
+    def archive(*names):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for n in names:
+                z.writestr(n, "x")
+        return raw.getvalue()
+
+    def las(point_format, size=227, major=1):
+        raw = bytearray(227)
+        raw[:4], raw[24], raw[25], raw[94:96], raw[104] = b"LASF", major, 2, size.to_bytes(2, "little"), point_format
+        return bytes(raw)
+
+    def shp(length):
+        return (9994).to_bytes(4, "big") + bytes(20) + (length // 2).to_bytes(4, "big") + bytes(72)
+
+    files = {
+        "a/book.zip": archive("[Content_Types].xml"), "a/k.zip": archive("doc.kml"), "a/z.zip": archive("other"),
+        "a/c.las": las(0), "a/d.las": las(3 | 128), "a/e.las": las(0, 9), "a/f.las": las(65, 227, 7),
+        "a/g.shp": shp(100), "a/h.shp": shp(90), "b/G.dbf": b"x", "a/G.dbf": b"x", "a/i.tif": b"II*\0" + bytes(9), "a/i.tfw": b"1",
+        "a/j.json": b'{"type": "FeatureCollection", "features": []}', "a/l.json": b'{"rows": [1]}', "a/m.json": b'{"rows": [1', "a/empty.json": b"",
+    }
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
+    got = {r["path"]: (r["format"], r["confidence"] and round(r["confidence"], 6)) for r in detect.detected(df).collect()}
+    all_of = lambda *w: round(1 - math.prod(1 - x for x in w), 6)
+    assert {p: v for p, v in got.items() if not p.endswith((".dbf", ".tfw"))} == {
+        "a/book.zip": ("xlsx", 0.85), "a/k.zip": ("kmz", 0.85), "a/z.zip": ("zip", all_of(0.35, 0.5)),
+        "a/c.las": ("las", all_of(0.35, 0.5, 0.85)), "a/d.las": ("laz", 0.85), "a/e.las": ("las", all_of(0.35, 0.5)), "a/f.las": ("las", all_of(0.35, 0.5)),
+        "a/g.shp": ("shapefile", all_of(0.35, 0.5, 0.85, 0.25)), "a/h.shp": ("shapefile", all_of(0.35, 0.5)),
+        "a/i.tif": ("geotiff", all_of(0.35, 0.5, 0.85, 0.25)),
+        "a/j.json": ("geojson", all_of(0.35, 0.85)), "a/l.json": (None, None), "a/m.json": ("geojson", 0.35), "a/empty.json": ("geojson", 0.35),
+    }
