@@ -141,8 +141,8 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 def read_kml_folders(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
     """Placemarks in folders, with ``layer``: the folders' names from the outermost on, joined by " / ".
 
-    An outermost folder is a row, so what one holds must fit a task. Folders in more than ``depth`` levels are refused by
-    the schema and not read; placemarks outside of folders have no layer and come from ``read_kml``.
+    An outermost folder is a row, so what one holds must fit a task. Folders deeper than ``depth`` levels are not
+    read; placemarks outside of folders have no layer and come from ``read_kml``.
     """
     inner = f"name string, Placemark array<{_PLACEMARK}>"
     schema = inner
