@@ -27,17 +27,19 @@ def tile_corner(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
     return x / n * 360 - 180, F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / n))))
 
 
-def tiles_covering(boxes: DataFrame, zoom: int, most: int = 64) -> DataFrame:
+def tiles_covering(boxes: DataFrame, zoom: int, most: int | None = None) -> DataFrame:
     """A row for each tile (``tile_x``, ``tile_y``) that a box in degrees touches.
 
-    Longitude wraps around, latitude ends at the map's edge. A box of more than ``most`` tiles has none: a part
-    of a cover would look like missing data, and a lower zoom is the answer.
+    Longitude wraps around, latitude ends at the map's edge. Where ``most`` is given, for maps that draw what they
+    get, a box of more tiles has none: a part of a cover would look like missing data, and a lower zoom is the answer.
     """
     n = 1 << zoom
     column = lambda lon: F.floor((F.col(lon) + 180) / 360 * n)
     x0, x1 = column("minx"), column("maxx")
     y0, y1 = tile_of(F.col("minx"), F.col("maxy"), zoom)[1], tile_of(F.col("maxx"), F.col("miny"), zoom)[1]
-    fits = (x1 >= x0) & (y1 >= y0) & ((x1 - x0 + 1) * (y1 - y0 + 1) <= most)
+    fits = (x1 >= x0) & (y1 >= y0)
+    if most is not None:
+        fits &= (x1 - x0 + 1) * (y1 - y0 + 1) <= most
     within = boxes.where(fits)
     return within.withColumn("tile_x", F.explode(F.transform(F.sequence(x0, x1), lambda x: F.pmod(x, F.lit(n)).cast("int")))).withColumn("tile_y", F.explode(F.sequence(y0, y1)))
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
-from plumbline.operators import georeference, points, rules, spatial
+from plumbline.operators import georeference, points, rules, spatial, tiles
 from plumbline.operators.table import Refused
+from plumbline.plans import land
 
 
 def one(spark, *columns):
@@ -115,3 +116,14 @@ def test_anomalies_default(spark):
     z = [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 100.0]
     df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(z)], "idx long, kind string, z double")
     assert [r["idx"] for r in points.z_anomalies(df, ["kind"]).collect()] == [9]
+
+
+def test_every_box_has_all_its_tiles(spark):
+    # Boxes near the poles have many tiles.
+    path = "/root/testdata/sf0.001"
+    each = land.tiles_covering_boxes(spark, path).groupBy("c_custkey").agg(F.count("*").alias("n"), F.count_distinct("tile_x").alias("w"), F.count_distinct("tile_y").alias("h")).collect()
+    assert len(each) == spark.read.parquet(f"{path}/customer.parquet").count()
+    assert all(r.n == r.w * r.h for r in each) and max(r.n for r in each) > 5
+    world = spark.createDataFrame([(-180.0, -80.0, 179.0, 80.0)], "minx double, miny double, maxx double, maxy double")
+    assert tiles.tiles_covering(world, 5).select("tile_x", "tile_y").distinct().count() == 32 * 26
+    assert tiles.tiles_covering(world, 5, 64).count() == 0
