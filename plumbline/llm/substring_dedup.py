@@ -136,7 +136,8 @@ def segments(data: np.ndarray, edges: np.ndarray, ids: np.ndarray, length: int)
         start = np.repeat(begins, pieces) + k * RUN
         size = np.minimum(np.repeat(ends, pieces) - start, RUN)
         whole = _mixed((sums[start + size + length - 1] - sums[start]) * down[start] + size.astype(U))
-        found.append((m[start], whole, start + a, size))
+        # Least hashes are small numbers: mixed again, they fill all ranges alike.
+        found.append((_mixed(m[start]), whole, start + a, size))
     if not found:
         zero = np.zeros(0, np.int64)
         return Segments(zero.astype(U), zero.astype(U), zero, zero, zero, zero, zero)

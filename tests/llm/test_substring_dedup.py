@@ -75,3 +75,11 @@ def test_odd_tables_and_long_texts(spark):
     docs = spark.createDataFrame([(2, "x" + long[100:2_500_000]), (1, long), (3, long[-80:-20])], "doc_id int, text string")
     got = {r["doc_id"]: (bytes(r["kept_bytes"]), r["n_removed"], r["n_spans"]) for r in remove_repeats(docs).collect()}
     assert got == {1: (long.encode(), 0, 0), 2: (b"x", 2_499_900, 1), 3: (b"", 60, 1)}
+
+
+def test_ranges_are_alike_in_size():
+    # Least hashes of grams are small numbers; a range must not have more than its share of them.
+    data = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    s = substring_dedup.segments(data, np.arange(0, 400_001, 2000), np.arange(200), 50)
+    sizes = [b - a for _, a, b in substring_dedup._cut(s.hash[s.first], 64)]
+    assert len(sizes) == 64 and max(sizes) < 1.5 * sum(sizes) / 64
