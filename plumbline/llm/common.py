@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.storage import kept_now, released, shared_path, stored
 
-__all__ = ["ascii_lower", "kept_now", "released", "shared_path", "stored", "with_columns", "words_of"]
+__all__ = ["ascii_lower", "kept_now", "released", "shared_path", "stored", "texts_of", "with_columns", "words_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -32,6 +33,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+def texts_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of texts, and where each row begins and ends; null is empty."""
+    joined = column.cast(pa.large_string()).fill_null("").combine_chunks()
+    if isinstance(joined, pa.ChunkedArray):
+        joined = pa.concat_arrays(joined.chunks) if joined.num_chunks else pa.array([], pa.large_string())
+    edges = np.frombuffer(joined.buffers()[1] or b"\0" * 8, np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)
+    return data[edges[0] : edges[-1]], edges - edges[0]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` is the quick way where a text is all ASCII."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

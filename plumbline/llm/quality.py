@@ -22,16 +22,17 @@ features and the summed vectors reach the driver.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import WORD_BYTES, with_columns
+from plumbline.llm.common import WORD_BYTES, texts_of, with_columns
 
 #: Bound of the fit: labelled rows for each combination of labels.
 LABELLED = 1500
@@ -63,7 +64,9 @@ _CLASSES = {
     "space": b" \t\r\n",
 }
 
+_IN_CLASS = np.array([[b in chars for chars in _CLASSES.values()] for b in range(256)], np.int64)
 SHARES = len(_CLASSES) * 32 * COPIES
+WORD_PLACES = CONTENT_PLACES - SHARES
 
 
 def _level(share: float) -> int:
@@ -71,33 +74,85 @@ def _level(share: float) -> int:
     return int(np.log2(max(share, 1e-4) * 1e4) * 2)
 
 
-#: The places of words seen before, in each worker; emptied when it has so many.
-_places: dict[bytes, tuple[int, ...]] = {}
-MOST_WORDS = 300_000
+#: Texts of about so many bytes, and at most so many, have their words found at once.
+PIECE, PIECE_TEXTS = 1 << 20, 1 << 13
 
 
-def _places_of(word: bytes) -> tuple[int, ...]:
-    if len(_places) >= MOST_WORDS:
-        _places.clear()
-    named = [word, *(word[:k] + b"-" for k in BEGINNINGS if len(word) > k)]
-    _places[word] = found = tuple(zlib.crc32(w) % (CONTENT_PLACES - SHARES) for w in named)
-    return found
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = (c >> 1) ^ np.where(c & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return c
+
+
+_CRC = _crc_table()
+
+
+def _word_places(words: pa.LargeStringArray) -> np.ndarray:
+    """Hashed places of each word and of its beginnings; where it is no longer than one, its own place again."""
+    n = len(words)
+    spaced = pc.binary_join(pa.ListArray.from_arrays([0, n], words), pa.scalar(" ", pa.large_string()))[0].as_buffer().to_pybytes()
+    out = np.zeros((n, 1 + len(BEGINNINGS)), np.int64)
+    out[:] = (np.fromiter(map(zlib.crc32, spaced.split(b" ")[:n]), np.int64, n) % WORD_PLACES)[:, None]
+    length = pc.binary_length(words).to_numpy()
+    start, data = np.cumsum(length + 1) - length - 1, np.frombuffer(spaced + bytes(max(BEGINNINGS)), np.uint8)
+    step = lambda c, x: _CRC[(c ^ x) & 255] ^ (c >> 8)
+    c = np.full(n, 0xFFFFFFFF, np.uint32)
+    for k in range(max(BEGINNINGS)):
+        c = step(c, data[start + k])
+        if k + 1 in BEGINNINGS:
+            beginning = (~step(c, np.uint8(ord("-")))).astype(np.int64) % WORD_PLACES
+            column = out[:, 1 + BEGINNINGS.index(k + 1)]
+            column[:] = np.where(length > k + 1, beginning, column)
+    return out
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """The different numbers in order."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _piece_places(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(edges) - 1
+    spaced = pa.LargeStringArray.from_buffers(n, pa.py_buffer(edges), pa.py_buffer(data.tobytes().translate(WORD_BYTES)))
+    split = pc.ascii_split_whitespace(spaced)
+    coded = split.flatten().dictionary_encode()
+    codes, count = coded.indices.to_numpy(), len(coded.dictionary)
+    doc = np.repeat(np.arange(n), split.value_lengths().to_numpy())
+    if (empty := coded.dictionary.index("").as_py()) >= 0:  # before a first space, or after a last one
+        doc, codes = doc[codes != empty], codes[codes != empty]
+    doc, word = np.divmod(_once(doc * count + codes), max(count, 1))
+    table = _word_places(coded.dictionary)
+    counts = np.array([np.bincount(data[a:b], minlength=256) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)])
+    size = np.diff(edges)
+    least = np.maximum(size, 1)[:, None]
+    share = (least - size[:, None] + counts @ _IN_CLASS) / least
+    level = np.minimum(np.log2(np.maximum(share, 1e-4) * 1e4) * 2, 31).astype(np.int64)
+    # Shares have several places each, so that many words don't drown them.
+    first = WORD_PLACES + (32 * np.arange(len(_CLASSES)) + level) * COPIES
+    shares = (np.arange(n)[:, None] * CONTENT_PLACES + first)[:, :, None] + np.arange(COPIES)
+    both = _once(np.concatenate([(doc[:, None] * CONTENT_PLACES + table[word]).ravel(), shares.ravel()]).astype(np.int32))
+    return both % CONTENT_PLACES, np.bincount(both // CONTENT_PLACES, minlength=n)
+
+
+def content_places(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed places of the words that texts have, and of their shares of character classes: in order for
+    each text, one text after the other; and how many each has."""
+    data, edges = texts_of(texts)
+    made, start = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], 0
+    while start < len(edges) - 1:
+        full = int(np.searchsorted(edges, edges[start] + PIECE, side="right")) - 1
+        stop = min(max(full, start + 1), start + PIECE_TEXTS)
+        made.append(_piece_places(data[edges[start] : edges[stop]], edges[start : stop + 1] - edges[start]))
+        start = stop
+    places, n = (np.concatenate(x) for x in zip(*made, strict=True))
+    return places, n
 
 
 def content_features(text: str | None) -> list[int]:
-    """Hashed places of the words a text has, and of its shares of character classes."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    places: set[int] = set()
-    known = _places.get
-    for w in set(raw.translate(WORD_BYTES).split()):
-        places.update(known(w) or _places_of(w))
-    n = max(len(raw), 1)
-    for k, (_, chars) in enumerate(_CLASSES.items()):
-        share = (n - len(raw.translate(None, chars))) / n
-        # Shares have several places each, so that many words don't drown them.
-        level = min(_level(share), 31)
-        places.update(range(first := CONTENT_PLACES - SHARES + (32 * k + level) * COPIES, first + COPIES))
-    return sorted(places)
+    """``content_places`` of one text."""
+    return content_places(pa.chunked_array([pa.array([text], pa.large_string())]))[0].tolist()
 
 
 def metadata_features(text: str | None, source: str | None, lang: str | None) -> list[int]:
@@ -120,9 +175,18 @@ class Rows:
     """Sparse rows of 0 and 1, each divided by the root of its number of ones."""
 
     def __init__(self, places: list, width: int):
-        self.width, self.n = width, len(places)
-        self.length = np.array([len(p) for p in places], np.int32)
-        self.places = np.concatenate([np.zeros(0, np.int32), *(np.asarray(p, np.int32) for p in places)])
+        self._set(np.concatenate([np.zeros(0, np.int32), *(np.asarray(p, np.int32) for p in places)]), np.array([len(p) for p in places], np.int32), width)
+
+    @classmethod
+    def laid(cls, places: np.ndarray, length: np.ndarray, width: int) -> Rows:
+        """Of rows that lie one after the other."""
+        out = cls.__new__(cls)
+        out._set(places, length.astype(np.int32), width)
+        return out
+
+    def _set(self, places: np.ndarray, length: np.ndarray, width: int) -> None:
+        self.width, self.n = width, len(length)
+        self.length, self.places = length, places
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), self.length)
         self.value = (1 / np.sqrt(np.maximum(self.length, 1))).astype(np.float32)[self.row]
 
@@ -229,7 +293,7 @@ class CoTraining:
         return CoTrained(*self.betas, calibration, _platt(logits, self.y_held, self.w_held))
 
 
-def tell(betas: list[np.ndarray], views: list[Rows], told: list[Told]) -> None:
+def tell(betas: list[np.ndarray], views: Sequence[Rows], told: list[Told]) -> None:
     """Adds what each view is sure of to what the other one is told."""
     for i, (beta, view) in enumerate(zip(betas, views, strict=True)):
         p = _sigmoid(view.dot(beta[:-1]) + beta[-1])
@@ -257,10 +321,21 @@ JUDGED = T.StructType(
 )
 
 
-def _views(batch: pa.RecordBatch, text: str, source: str, lang: str) -> tuple[list, list]:
+def _views(batch: pa.RecordBatch, text: str, source: str, lang: str) -> tuple[tuple[np.ndarray, np.ndarray], list]:
     none = [None] * batch.num_rows
     t, s, g = (batch.column(c).to_pylist() if c in batch.schema.names else none for c in (text, source, lang))
-    return [content_features(x) for x in t], [metadata_features(*x) for x in zip(t, s, g, strict=True)]
+    texts = batch.column(text) if text in batch.schema.names else pa.array(none, pa.large_string())
+    return content_places(pa.chunked_array([texts])), [metadata_features(*x) for x in zip(t, s, g, strict=True)]
+
+
+def _rows(batch: pa.RecordBatch, text: str, source: str, lang: str) -> tuple[Rows, Rows]:
+    content, metadata = _views(batch, text, source, lang)
+    return Rows.laid(*content, CONTENT_PLACES), Rows(metadata, METADATA_PLACES)
+
+
+def _featured(batch: pa.RecordBatch, text: str, source: str, lang: str) -> list:
+    (places, n), metadata = _views(batch, text, source, lang)
+    return [np.split(places, np.cumsum(n)[:-1]), metadata]
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -293,8 +368,7 @@ def told_by_all(docs: DataFrame, betas: dict[str, list[np.ndarray]], labelled: s
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 mask = [i not in labelled for i in batch.column(id_col).to_pylist()]
-                lists = _views(batch.filter(pa.array(mask, pa.bool_())), text, source, lang)
-                views = [Rows(x, n) for x, n in zip(lists, WIDTHS, strict=True)]
+                views = _rows(batch.filter(pa.array(mask, pa.bool_())), text, source, lang)
                 for t in targets:
                     tell(betas[t], views, told[t])
         for k, t in enumerate(targets):
@@ -355,7 +429,7 @@ def fit_quality(
     picked = spark.createDataFrame([(i,) for i in chosen], f"id {docs.schema[id_col].dataType.simpleString()}")
     inputs = [c for c in dict.fromkeys((text, source, lang)) if c in docs.columns]
     sample = docs.select(F.col(id_col).alias("id"), *inputs).join(F.broadcast(picked), "id")
-    featured = with_columns(sample, FEATURES, lambda b: list(_views(b, text, source, lang)))
+    featured = with_columns(sample, FEATURES, lambda b: _featured(b, text, source, lang))
     # Bounded by the picked ids, also where an id stands on very many rows.
     rows = featured.groupBy("id").agg(F.min(F.struct("content", "metadata")).alias("f")).orderBy("id")
     sample = rows.select("id", "f.content", "f.metadata").toArrow()
@@ -390,8 +464,7 @@ def judge_quality(
     shared = docs.sparkSession.sparkContext.broadcast(models)  # two weight vectors of fixed size
 
     def made(batch: pa.RecordBatch) -> list:
-        content, metadata = _views(batch, text, source, lang)
-        views = Rows(content, CONTENT_PLACES), Rows(metadata, METADATA_PLACES)
+        views = _rows(batch, text, source, lang)
         p = {k: m.probability(*views) for k, m in shared.value.items()}
         good = p.get("quality", np.ones(batch.num_rows))
         toxic = p.get("toxic", np.zeros(batch.num_rows))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from plumbline.llm.common import shared_path, stored
+from plumbline.llm.common import shared_path, stored, texts_of
 from plumbline.llm.suffixes import sorted_suffixes
 
 U = np.uint64
@@ -94,16 +94,6 @@ class Segments:
         return np.cumsum(out)
 
 
-def texts_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a column of texts, and where each row begins and ends; null is empty."""
-    joined = column.cast(pa.large_string()).fill_null("").combine_chunks()
-    if isinstance(joined, pa.ChunkedArray):
-        joined = pa.concat_arrays(joined.chunks) if joined.num_chunks else pa.array([], pa.large_string())
-    edges = np.frombuffer(joined.buffers()[1] or b"\0" * 8, np.int64)[joined.offset : joined.offset + len(joined) + 1]
-    data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)
-    return data[edges[0] : edges[-1]], edges - edges[0]
-
-
 def segments(data: np.ndarray, edges: np.ndarray, ids: np.ndarray, length: int) -> Segments:
     """All windows of a block's documents, as segments."""
     gram, w = min(GRAM, length), length - min(GRAM, length) + 1
