@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.operators import spatial
+from plumbline.operators.joins import shuffled
 from plumbline.operators.table import Refused
 
 #: Slivers are thinner than the first and smaller than the second.
@@ -138,7 +139,7 @@ def lines_must_connect(lines: DataFrame, tolerance: float, key: str = "idx") ->
     ends = ends.select(key, "side", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
     vertices = lines.select(F.col(key).alias("other"), F.explode("path").alias("p")).select("other", F.col("p")[0].alias("rx"), F.col("p")[1].alias("ry"))
     near = spatial.within_distance(ends.withColumnsRenamed({"x": "lx", "y": "ly"}), vertices, tolerance).where(F.col(key) != F.col("other"))
-    return ends.join(near.select(key, "side").distinct(), [key, "side"], "left_anti")
+    return ends.join(shuffled(near.select(key, "side").distinct()), [key, "side"], "left_anti")
 
 
 def polygons_must_close(polygons: DataFrame, tolerance: float, key: str = "idx") -> DataFrame:
@@ -265,4 +266,4 @@ def extended_lines(lines: DataFrame, tolerance: float = 0.25, key: str = "idx")
     to = best.groupBy("id").agg(F.min(F.when(F.col("side") == 0, F.col("m.to"))).alias("__first"), F.min(F.when(F.col("side") == 1, F.col("m.to"))).alias("__last"))
     n = F.size("path")
     path = F.transform("path", lambda p, i: F.when((i == 0) & F.col("__first").isNotNull(), F.col("__first")).when((i == n - 1) & F.col("__last").isNotNull(), F.col("__last")).otherwise(p))
-    return lines.join(to.withColumnRenamed("id", key), key, "left").withColumn("path", path).drop("__first", "__last")
+    return lines.join(shuffled(to.withColumnRenamed("id", key)), key, "left").withColumn("path", path).drop("__first", "__last")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.operators.joins import shuffled
 from plumbline.storage import stored
 
 BOX = ("minx", "miny", "maxx", "maxy")
@@ -159,7 +160,7 @@ def within_distance(left: DataFrame, right: DataFrame, distance: float) -> DataF
     a = left.withColumn("n", F.explode(near)).withColumn("cx", _cell(F.col("lx"), distance) + F.col("n.i")).withColumn("cy", _cell(F.col("ly"), distance) + F.col("n.j")).drop("n")
     b = right.withColumn("cx", _cell(F.col("rx"), distance)).withColumn("cy", _cell(F.col("ry"), distance))
     gap = F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
-    return a.join(b, ["cx", "cy"]).withColumn("distance", gap).where(F.col("distance") <= distance).drop("cx", "cy")
+    return a.join(shuffled(b), ["cx", "cy"]).withColumn("distance", gap).where(F.col("distance") <= distance).drop("cx", "cy")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, start: float, by_axis: bool = False) -> DataFrame:
