@@ -85,7 +85,7 @@ def box_join(left: DataFrame, right: DataFrame, size: float, lbox: tuple[str, ..
     a = _dealt(left, lbox, size, _used(right, rbox, size), 1, 2)
     b = _dealt(right, rbox, size, left_levels, 2, 1).drop("__cell")
     first = [F.floor(F.greatest(lbox[k], rbox[k]) / F.col("__cell")) == F.col(c) for k, c in enumerate(("cx", "cy"))]
-    pairs = a.join(b, [*on, "__lv", "__role", "cx", "cy"]).where(boxes_meet(lbox, rbox) & first[0] & first[1])
+    pairs = a.join(shuffled(b), [*on, "__lv", "__role", "cx", "cy"]).where(boxes_meet(lbox, rbox) & first[0] & first[1])
     return pairs.drop("__lv", "__role", "__cell", "cx", "cy")
 
 
@@ -119,9 +119,9 @@ def enclosed(borders: DataFrame, points: DataFrame, size: float, key: str = "idx
     outer = F.transform(F.col("geom.parts"), lambda rs: F.slice(rs, 1, 1))
     shells = borders.select(key, *BOX, g.geometry(F.col("geom.type"), outer).alias("geom"))
     used = borders.select(F.col(key), F.explode(g.positions(F.col("geom"))).alias("__p")).select(key, F.col("__p")[0].alias("x"), F.col("__p")[1].alias("y")).distinct()
-    held = contained(points.select("x", "y"), shells, size).join(used, [key, "x", "y"], "left_anti")
+    held = contained(points.select("x", "y"), shells, size).join(shuffled(used), [key, "x", "y"], "left_anti")
     counts = held.groupBy(key).agg(F.count(F.lit(1)).alias("enclosed"))
-    return borders.select(key).join(counts, key, "left").select(key, F.coalesce("enclosed", F.lit(0)).alias("enclosed"))
+    return borders.select(key).join(shuffled(counts), key, "left").select(key, F.coalesce("enclosed", F.lit(0)).alias("enclosed"))
 
 
 def burn_in(polygons: DataFrame, texts: DataFrame, size: float, text: str, priority: str = "nearest", key: str = "idx", separator: str = " / ", field: str | None = None) -> DataFrame:
@@ -136,22 +136,22 @@ def burn_in(polygons: DataFrame, texts: DataFrame, size: float, text: str, prior
     found = contained(named.withColumn("__point", F.xxhash64(*named.columns)), polygons, size)
     # Equal points are burnt alike, so they may share their mark.
     firsts = found.groupBy("__point").agg(F.min(key).alias(key))
-    found = found.join(firsts, ["__point", key], "left_semi")
+    found = found.join(shuffled(firsts), ["__point", key], "left_semi")
     if priority == "concatenate":
         best = found.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("burnt")), separator).alias("burnt"))
     else:
         far = F.hypot(F.col("x") - (F.col("minx") + F.col("maxx")) / 2, F.col("y") - (F.col("miny") + F.col("maxy")) / 2)
         if priority == "field":
             best = found.groupBy(key, field).agg(F.min("burnt").alias("burnt")).groupBy(key).agg(F.max_by("burnt", field).alias("burnt"))
-            return polygons.join(best, key, "left")
+            return polygons.join(shuffled(best), key, "left")
         rank = {"nearest": far, "largest": -F.col("height") if priority == "largest" else None, "first": F.col("row") if priority == "first" else None}[priority]
         best = found.groupBy(key).agg(F.min(F.struct(rank.alias("r"), "burnt")).alias("m")).select(key, F.col("m.burnt").alias("burnt"))
-    return polygons.join(best, key, "left")
+    return polygons.join(shuffled(best), key, "left")
 
 
 def orphans(texts: DataFrame, polygons: DataFrame, size: float, key: str) -> DataFrame:
     """Points in no polygon."""
-    return texts.join(contained(texts, polygons, size).select(key), key, "left_anti")
+    return texts.join(shuffled(contained(texts, polygons, size).select(key)), key, "left_anti")
 
 
 def within_distance(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:

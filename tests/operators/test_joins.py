@@ -22,7 +22,11 @@ def listed(store):
     return [rows.apply(k) for k in range(rows.size())]
 
 
-@pytest.mark.parametrize("name", ["rule_shared_boundaries", "rule_must_not_have_gaps", "rule_lines_must_connect", "lines_extended"])
+NAMES = """rule_shared_boundaries rule_must_not_have_gaps rule_lines_must_connect lines_extended burn_in_all burn_in_nearest plots_enclosing
+observations_snapped plots_masked repair_planned topology_issues"""
+
+
+@pytest.mark.parametrize("name", NAMES.split())
 def test_nothing_is_broadcast(spark, name):
     # What is known of finished shuffles may be used; guesses from files may not.
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
