@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as g
 from plumbline.operators import spatial
 from plumbline.operators.components import components
+from plumbline.operators.joins import shuffled
 from plumbline.storage import stored
 
 PLACE = ["part", "ring", "pos"]
@@ -49,7 +50,7 @@ def edge_cells(edges: DataFrame, cell: float, margin: float, ends: tuple[str, st
 def points_near_edges(points: DataFrame, edges: DataFrame, tolerance: float, cell: float) -> DataFrame:
     """Pairs of points ``x, y`` and edges ``ax, ay, bx, by`` at most so far apart: ``t`` (0 to 1) and ``qx, qy`` on the edge, ``distance``."""
     dealt = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    met = dealt.join(edge_cells(edges, cell, tolerance), ["cx", "cy"]).drop("cx", "cy")
+    met = dealt.join(shuffled(edge_cells(edges, cell, tolerance)), ["cx", "cy"]).drop("cx", "cy")
     ax, ay, bx, by, x, y = (F.col(c) for c in ("ax", "ay", "bx", "by", "x", "y"))
     dx, dy = bx - ax, by - ay
     size = dx * dx + dy * dy
@@ -71,24 +72,24 @@ def shared_nodes(df: DataFrame, tolerance: float, key: str = "idx", geom: str =
     b = places.select(F.col("id").alias("b"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     links = spatial.within_distance(a, b, tolerance).where("a < b").select("a", "b")
     of = components(places.select("id"), links)
-    named = stored(places.join(of, "id"), "nodes")
+    named = stored(places.join(shuffled(of), "id"), "nodes")
     mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     nodes = named.groupBy("component").agg(mean("x").alias("tx"), mean("y").alias("ty"), F.min("first").alias("f"), F.max("last").alias("l"), F.sum("n").alias("features"))
     nodes = nodes.where("f <> l").select("component", F.round("tx", 9).alias("tx"), F.round("ty", 9).alias("ty"), "features")
-    out = named.join(nodes, "component").select("x", "y", "tx", "ty", "features")
+    out = named.join(shuffled(nodes), "component").select("x", "y", "tx", "ty", "features")
     return out.withColumn("moved_by", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y")))
 
 
 def snap_shared_edges(df: DataFrame, tolerance: float, key: str = "idx", geom: str = "geom") -> DataFrame:
     """A layer whose vertices near those of neighbours lie on common nodes, with ``moved`` (vertices) and ``moved_by`` (the farthest)."""
     nodes = shared_nodes(df, tolerance, key, geom).where("moved_by > 0")
-    rows = vertices(df, key, geom).withColumns({"x": F.col("p")[0], "y": F.col("p")[1]}).join(nodes, ["x", "y"], "left")
+    rows = vertices(df, key, geom).withColumns({"x": F.col("p")[0], "y": F.col("p")[1]}).join(shuffled(nodes), ["x", "y"], "left")
     new = F.when(F.col("tx").isNotNull(), F.concat(F.array("tx", "ty"), F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0))))).otherwise(F.col("p"))
     rows = stored(rows.withColumn("p", new), "snapped")
     # The end of a closed ring isn't a vertex of its own.
     facts = rows.where("tx is not null").groupBy(key).agg(F.count_distinct("x", "y").alias("moved"), F.max("moved_by").alias("moved_by"))
     whole = reassembled(rows.select(key, *PLACE, "p"), key)
-    out = df.join(whole, key).join(facts, key, "left").withColumn(geom, g.geometry(F.col(f"{geom}.type"), F.col("parts"))).drop("parts")
+    out = df.join(shuffled(whole), key).join(shuffled(facts), key, "left").withColumn(geom, g.geometry(F.col(f"{geom}.type"), F.col("parts"))).drop("parts")
     return out.withColumns({"moved": F.coalesce("moved", F.lit(0)), "moved_by": F.coalesce("moved_by", F.lit(0.0))})
 
 
@@ -103,7 +104,7 @@ def rebuild_topology(df: DataFrame, tolerance: float, cell: float, key: str = "i
     nodes = rows.select(F.col("p")[0].alias("x"), F.col("p")[1].alias("y")).distinct()
     before = rows.select(key, "part", "ring", F.col("pos").alias("pos"), F.col("p")[0].alias("ax"), F.col("p")[1].alias("ay"))
     after = rows.select(key, "part", "ring", (F.col("pos") - 1).alias("pos"), F.col("p")[0].alias("bx"), F.col("p")[1].alias("by"))
-    edges = before.join(after, [key, *PLACE])
+    edges = before.join(shuffled(after), [key, *PLACE])
     away = lambda a, b: F.hypot(F.col("x") - F.col(a), F.col("y") - F.col(b)) > tolerance
     hits = points_near_edges(nodes, edges, tolerance, cell).where(away("ax", "ay") & away("bx", "by") & (F.col("t") > 0) & (F.col("t") < 1))
     # Of two at one place along an edge the first by position goes in.
@@ -111,7 +112,7 @@ def rebuild_topology(df: DataFrame, tolerance: float, cell: float, key: str = "i
     hits = stored(hits, "inserted")
     whole = reassembled(rows.select(key, "part", "ring", F.col("pos").cast("double").alias("pos"), "p").unionByName(hits), key)
     counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("inserted"))
-    out = snapped.join(whole, key).join(counts, key, "left").withColumn(geom, g.geometry(F.col(f"{geom}.type"), F.col("parts"))).drop("parts")
+    out = snapped.join(shuffled(whole), key).join(shuffled(counts), key, "left").withColumn(geom, g.geometry(F.col(f"{geom}.type"), F.col("parts"))).drop("parts")
     return out.withColumn("inserted", F.coalesce("inserted", F.lit(0)))
 
 
@@ -124,7 +125,7 @@ def snap_targets(points: DataFrame, layer: DataFrame, tolerance: float, cell: fl
     rows = vertices(layer, key)
     before = rows.select(key, *PLACE, F.col("p")[0].alias("ax"), F.col("p")[1].alias("ay"))
     after = rows.select(key, "part", "ring", (F.col("pos") - 1).alias("pos"), F.col("p")[0].alias("bx"), F.col("p")[1].alias("by"))
-    edges = before.join(after, [key, *PLACE]).select(F.col(key).alias("of"), "ax", "ay", "bx", "by")
+    edges = before.join(shuffled(after), [key, *PLACE]).select(F.col(key).alias("of"), "ax", "ay", "bx", "by")
     # A vertex or a midpoint within the tolerance lies on an edge that is.
     met = points_near_edges(points.select(point_key, "x", "y"), edges, tolerance, cell)
     place = {
