@@ -71,13 +71,13 @@ def self_crossings(df: DataFrame, key: str = "idx", geom: str = "geom", short: i
     )
     at = [key, "part", "ring", "cx", "cy"]
     other = dealt.select(*at, F.col("i").alias("j"), F.col("e").alias("f"))
-    met = dealt.join(other, at).where(F.col("i") < F.col("j"))
+    met = dealt.join(shuffled(other), at).where(F.col("i") < F.col("j"))
     return met.where(g.segments_cross(F.col("e.p"), F.col("e.q"), F.col("f.p"), F.col("f.q"))).select(key, "part", "ring", "i", "j").distinct()
 
 
 def must_contain(polygons: DataFrame, points: DataFrame, size: float, key: str = "idx") -> DataFrame:
     """Polygons that hold no point of the other layer."""
-    return polygons.join(spatial.contained(points.select("x", "y"), polygons, size).select(key), key, "left_anti")
+    return polygons.join(shuffled(spatial.contained(points.select("x", "y"), polygons, size).select(key)), key, "left_anti")
 
 
 def must_be_within(points: DataFrame, polygons: DataFrame, size: float, key: str) -> DataFrame:
@@ -250,7 +250,7 @@ def undo_repair(df: DataFrame, plan: DataFrame, key: str = "idx") -> DataFrame:
 
 def _with_geometry(df: DataFrame, plan: DataFrame, which: str, key: str) -> DataFrame:
     new = plan.select(F.col(key), F.lit(True).alias("__new"), F.col(which).alias("__geom"))
-    return df.join(new, key, "left").withColumn("geom", F.when(F.col("__new"), F.col("__geom")).otherwise(F.col("geom"))).drop("__new", "__geom")
+    return df.join(shuffled(new), key, "left").withColumn("geom", F.when(F.col("__new"), F.col("__geom")).otherwise(F.col("geom"))).drop("__new", "__geom")
 
 
 def extended_lines(lines: DataFrame, tolerance: float = 0.25, key: str = "idx") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import crs
 from plumbline.functions import geometry as g
 from plumbline.operators import components, fidelity, georeference, labels, raster, rules, shared, spatial, tiles, vector
+from plumbline.operators.joins import shuffled
 from plumbline.plans import layers
 from plumbline.plans.layers import table
 from plumbline.plans.registry import query
@@ -190,7 +191,7 @@ def repair_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = rules.apply_repair(plots, plan)
     back = rules.undo_repair(after, plan).select("idx", F.col("geom").alias("__back"))
     shell = lambda c: g.signed_area(F.get(F.get(F.col(c)["parts"], F.lit(0)), F.lit(0)))
-    return after.select("idx", F.col("geom").alias("__after")).join(plan.select("idx", "before", "moved"), "idx").join(back, "idx").select(
+    return after.select("idx", F.col("geom").alias("__after")).join(shuffled(plan.select("idx", "before", "moved")), "idx").join(shuffled(back), "idx").select(
         "idx", shell("before").alias("before"), shell("__after").alias("after"), "moved", shell("__back").alias("undone")
     )
 
@@ -335,7 +336,7 @@ def plots_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = table(spark, sf_dir, "supplier").select(*[c.alias(k) for k, c in corners.items()], g.polygon(g.box(*corners.values())).alias("geom"))
     plots = layers.plots(spark, sf_dir)
     clipped, erased = (vector.masked(plots, masks, 40.0, e).select("idx", F.round(g.area(F.col("geom")), 6).alias(name)) for e, name in ((False, "clipped"), (True, "erased")))
-    return erased.join(clipped, "idx", "left").select("idx", "clipped", "erased")
+    return erased.join(shuffled(clipped), "idx", "left").select("idx", "clipped", "erased")
 
 
 # Shared borders.
