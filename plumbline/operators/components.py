@@ -7,32 +7,40 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.operators import spatial
+from plumbline.operators.joins import shuffled
 from plumbline.storage import stored
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes (id)`` with ``component``, the smallest id reachable over ``links (a, b)``.
+    """``nodes (id)`` with ``component``, the smallest id reachable over ``links (a, b)`` between them.
 
-    Each round takes the least label among neighbours and then the label of that label, so
-    rounds grow with the logarithm of distances, not with them; each is kept in the shared folder.
+    In a round every node goes to its least neighbour, if that is less than itself. Where such steps end is found by pointer
+    jumping, so the logarithm of the longest way counts, and each tree then becomes one node with the
+    links that leave it. So what is left shrinks from round to round; each is kept in the shared folder.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    # Sides are kept before they are joined, so that they are plain shuffles, which the adaptive planner
+    # splits where very many nodes go to one.
+    left = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = stored(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
-        lower = labels.join(near, "id", "left").select("id", "component", F.least("component", "least").alias("low"))
-        # A node's old root learns its new label as well, then everyone takes its root's.
-        # Kept before it is joined, so that the joins' sides are plain shuffles, which the adaptive planner
-        # splits where very many nodes have one root.
-        lower = stored(lower, "lower")
-        roots = stored(lower.groupBy(F.col("component").alias("id")).agg(F.min("low").alias("root")), "roots")
-        step = lower.join(roots.withColumnsRenamed({"id": "low", "root": "jump"}), "low", "left").join(
-            roots.withColumnsRenamed({"id": "component", "root": "own"}), "component", "left"
-        )
-        new = stored(step.select("id", F.least("low", "jump", "own").alias("component")))
-        if not new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").take(1):
-            return new
-        labels = new
+    while left.take(1):
+        roots = _ends(left.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).where("to < id"))
+        for end in ("a", "b"):
+            of = shuffled(roots.select(F.col("id").alias(end), F.col("to").alias("__to")))
+            left = left.join(of, end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
+        left = stored(left.where("a <> b").distinct(), "links-left")
+        known = shuffled(roots.withColumnRenamed("id", "component"))
+        labels = stored(labels.join(known, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+    return labels
+
+
+def _ends(steps: DataFrame) -> DataFrame:
+    """``steps (id, to)`` with ``to`` where one after another ends; every ``to`` is less than its id."""
+    state = stored(steps.select("id", "to", F.lit(True).alias("moved")), "steps")
+    while state.where("moved").take(1):
+        ahead = shuffled(state.select(F.col("id").alias("to"), F.col("to").alias("next")))
+        further = state.join(ahead, "to", "left")
+        state = stored(further.select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "steps")
+    return state.select("id", "to")
 
 
 def _labelled_runs(pixels: DataFrame) -> DataFrame:
@@ -43,8 +51,8 @@ def _labelled_runs(pixels: DataFrame) -> DataFrame:
     runs = stored(runs_of_value(pixels).withColumn("id", place))
     a = runs.select(F.col("id").alias("a"), "band", "value", "row", F.col("c0").alias("a0"), F.col("c1").alias("a1"))
     b = runs.select(F.col("id").alias("b"), "band", "value", (F.col("row") - 1).alias("row"), F.col("c0").alias("b0"), F.col("c1").alias("b1"))
-    links = a.join(b, ["band", "value", "row"]).where("a0 <= b1 and b0 <= a1").select("a", "b")
-    return runs.join(components(runs, links), "id")
+    links = a.join(shuffled(b), ["band", "value", "row"]).where("a0 <= b1 and b0 <= a1").select("a", "b")
+    return runs.join(shuffled(components(runs, links)), "id")
 
 
 def raster_regions(pixels: DataFrame) -> DataFrame:
@@ -64,7 +72,7 @@ def region_polygons(pixels: DataFrame) -> DataFrame:
     x0, x1, y0, y1 = F.col("c0").cast("double"), F.col("c1") + 1.0, F.col("row").cast("double"), F.col("row") + 1.0
     shapes = runs.select("component", x0.alias("minx"), y0.alias("miny"), g.polygon(g.box(x0, y0, x1, y1)).alias("geom"))
     facts = runs.groupBy("component").agg(F.first("value").alias("value"), F.sum(F.col("c1") - F.col("c0") + 1).alias("cells"))
-    return dissolve(shapes, "component", 8.0).join(facts, "component")
+    return dissolve(shapes, "component", 8.0).join(shuffled(facts), "component")
 
 
 def adjacent_groups(polygons: DataFrame, size: float, key: str = "idx") -> DataFrame:
@@ -75,7 +83,7 @@ def adjacent_groups(polygons: DataFrame, size: float, key: str = "idx") -> DataF
     )
     # Each edge names its least polygon; the others link to it.
     least = edges.groupBy("edge").agg(F.min("id").alias("b"))
-    links = edges.join(least, "edge").select(F.col("id").alias("a"), "b").where("a <> b")
+    links = edges.join(shuffled(least), "edge").select(F.col("id").alias("a"), "b").where("a <> b")
     return components(polygons.select(F.col(key).alias("id")), links).withColumnRenamed("id", key)
 
 

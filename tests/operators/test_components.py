@@ -6,6 +6,7 @@ from plumbline.operators import components as c
 from plumbline.operators import edits, planar
 from plumbline.operators.table import Refused
 from plumbline.sources import detect
+from plumbline.storage import stored
 
 
 def test_components_of_a_long_chain(spark):
@@ -90,3 +91,16 @@ def test_long_chains_and_rings_are_ordered(spark):
     assert len(rings) == 1 and sorted(map(tuple, rings[0][:-1])) == sorted(map(tuple, ring[:-1]))
     assert sorted(n for n, _ in got) == [1, 1, 1, 4, 299]
     assert c.merge_lines(df.limit(0)).count() == 0
+
+
+def test_rounds_of_a_long_block_are_few(spark, monkeypatch):
+    """A block of squares, and chains whose ids go up and down: few tables are kept, however far a label has to go."""
+    kept = []
+    monkeypatch.setattr(c, "stored", lambda df, name="rows": (kept.append(name), stored(df, name))[1])
+    n = 1000
+    grid = [(r * 10 + k, (r + i) * 10 + k + j) for r in range(n) for k in range(10) for i, j in ((0, 1), (1, 0)) if k + j < 10 and r + i < n]
+    up_and_down = [(20_000 + k, 30_000 + k) for k in range(300)] + [(30_000 + k, 20_001 + k) for k in range(299)]
+    ids = {k for p in grid + up_and_down for k in p} | {50_000}
+    got = c.components(spark.createDataFrame([(k,) for k in ids], "id long"), spark.createDataFrame(grid + up_and_down, "a long, b long"))
+    assert {tuple(r) for r in got.select("id", "component").collect()} == {(k, 0 if k < 20_000 else 50_000 if k == 50_000 else 20_000) for k in ids}
+    assert len(kept) < 35
