@@ -69,6 +69,11 @@ def vertex_count(g: Column) -> Column:
     return F.size(positions(g))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it and inside of whatever lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _edges(path: Column, f: Callable[[Column, Column], Column]) -> Column:
     n = F.size(path)
     return F.zip_with(F.slice(path, 1, F.greatest(n - 1, F.lit(0))), F.slice(path, 2, F.greatest(n - 1, F.lit(0))), f)
@@ -443,18 +448,25 @@ def representative_point(geom: Column) -> Column:
     The line is half way between two neighbouring heights of vertices, those farthest apart, so it meets no vertex. Null
     where there is no area.
     """
-    ys = F.array_sort(F.array_distinct(ordinates(geom, 1)))
-    n = F.greatest(F.size(ys) - 1, F.lit(0))
-    gaps = F.zip_with(F.slice(ys, 1, n), F.slice(ys, 2, n), lambda a, b: F.struct((b - a).alias("gap"), ((a + b) / 2).alias("y")))
-    level = F.array_max(gaps)["y"]
 
-    def crossings(ring: Column) -> Column:
+    def level_of(ys: Column) -> Column:
+        n = F.greatest(F.size(ys) - 1, F.lit(0))
+        gaps = F.zip_with(F.slice(ys, 1, n), F.slice(ys, 2, n), lambda a, b: F.struct((b - a).alias("gap"), ((a + b) / 2).alias("y")))
+        return F.array_max(gaps)["y"]
+
+    def crossings(ring: Column, level: Column) -> Column:
         return F.array_compact(_edges(ring, lambda p, q: F.when((p[1] > level) != (q[1] > level), p[0] + (level - p[1]) / (q[1] - p[1]) * (q[0] - p[0]))))
 
-    xs = F.array_sort(F.flatten(F.transform(rings(geom), crossings)))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("wide"), ((F.get(xs, 2 * k) + F.get(xs, 2 * k + 1)) / 2).alias("x")))
-    x = F.array_max(F.filter(pairs, lambda s: s["wide"] > 0))["x"]
-    return F.when(geom["type"].endswith("Polygon") & x.isNotNull(), F.array(x, level))
+    def middle(xs: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("wide"), ((F.get(xs, 2 * k) + F.get(xs, 2 * k + 1)) / 2).alias("x")))
+        return F.array_max(F.filter(pairs, lambda s: s["wide"] > 0))["x"]
+
+    def at(level: Column) -> Column:
+        xs = F.array_sort(F.flatten(F.transform(rings(geom), lambda r: crossings(r, level))))
+        return _once(_once(xs, middle), lambda x: F.when(x.isNotNull(), F.array(x, level)))
+
+    found = _once(_once(F.array_sort(F.array_distinct(ordinates(geom, 1))), level_of), at)
+    return F.when(geom["type"].endswith("Polygon"), found)
 
 
 def offset_path(path: Column, distance: Column | float, miter_limit: float = 4.0) -> Column:

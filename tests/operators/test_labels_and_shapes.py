@@ -76,3 +76,10 @@ def test_a_warp_to_mercator_is_planned_from_the_edges(spark):
     assert raster.reproject(pixels, 40, 30, t, utm, utm)[1:] == (40, 30, t)
     with pytest.raises((crs.NoTransform, Refused)):
         raster.reproject(pixels, 40, 30, t, utm, crs.Crs(9999, "other", "projected"))
+
+
+def test_steps_of_representative_points_are_worked_out_once(spark):
+    """Lambdas aren't searched for common parts: what they name is worked out again for each vertex."""
+    df = spark.createDataFrame([], f"geom {g.GEOMETRY}").select(g.representative_point(F.col("geom")).alias("p"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_distinct") == 1
