@@ -9,6 +9,7 @@ from plumbline.functions import geometry as g
 from plumbline.operators import spatial
 from plumbline.operators.joins import shuffled
 from plumbline.operators.table import Refused
+from plumbline.operators.vector import spread
 
 #: Slivers are thinner than the first and smaller than the second.
 SLIVER_THINNESS, SLIVER_AREA = 0.02, 0.5
@@ -31,6 +32,8 @@ def topology_issues(df: DataFrame, key: str = "idx", geom: str = "geom") -> Data
 
     Edges of one ring that cross are found by an equi-join of edges on ring and grid cell.
     """
+    # Few bytes, but much work for each.
+    df = spread(df, key)
     s = F.col(geom)
     is_area, is_line = s["type"].endswith("Polygon"), s["type"].endswith("LineString")
     issues = {
